@@ -9,6 +9,7 @@ from codefacts.functions import paths
 from codefacts.functions.ranking import first_per_group
 from codefacts.operators.graph import relative_base
 from codefacts.profile import APP_LIKE_OWNERS, Profile
+from codefacts.session import cut_lineage, materialize
 
 #: an imported name is followed through at most this many re-exports
 MAX_HOPS = 6
@@ -41,13 +42,16 @@ def follow(edges: DataFrame, targets: DataFrame) -> DataFrame:
     Runs backwards from the targets, so only imports that end at one are ever touched. A name has one import edge and a
     target is not followed further, so each (file, name) appears once; a loop of re-exports never reaches a target.
     """
-    goals = targets.select("repo", "path", "var").distinct()
+    goals = cut_lineage(targets.select("repo", "path", "var").distinct())
     level = goals.select("repo", "path", "var", F.col("path").alias("hit_path"), F.col("var").alias("hit_var"))
     found = level.withColumn("hops", F.lit(0))
     open_edges = edges.join(goals, ["repo", "path", "var"], "left_anti")
     for hop in range(1, MAX_HOPS + 1):
         ahead = level.select("repo", F.col("path").alias("src_path"), F.col("var").alias("src_var"), "hit_path", "hit_var")
-        level = open_edges.join(ahead, ["repo", "src_path", "src_var"]).select("repo", "path", "var", "hit_path", "hit_var")
+        step = open_edges.join(ahead, ["repo", "src_path", "src_var"]).select("repo", "path", "var", "hit_path", "hit_var")
+        level = cut_lineage(step)
+        if level.isEmpty():
+            break
         found = found.unionByName(level.withColumn("hops", F.lit(hop)))
     return found
 
@@ -81,7 +85,7 @@ def resolve_endpoints(routes: DataFrame, bps: DataFrame, single_calls: DataFrame
     ``resolution`` is one of blueprint, noprefix, imported, registrar, app, default, nonliteral, unresolved.
     """
     last_bp = first_per_group(bps, ["repo", "path", "var"], [F.desc("seq")])
-    edges = import_edges(import_facts, file_paths)
+    edges = materialize(import_edges(import_facts, file_paths))
     bp_follow = follow(edges, last_bp)
     regs = registrar_bindings(routes, single_calls, last_bp, edges, bp_follow)
     owners = bp_follow.join(

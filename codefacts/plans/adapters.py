@@ -114,7 +114,7 @@ class S%2$s(BasePlugin):
         return h(n)
 
     def _hidden(self):
-        return os.path.join(S%3$s)
+        return os.path.join(S%3$s, S%3$s(self))
 '''
 
 COMPONENT_ROUTES = '''from flask import Blueprint
@@ -203,14 +203,17 @@ def _repo_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers with their repository and the component each one imports: the next of the nation, the last the first."""
+    """Suppliers with their repository and the component each one imports.
+
+    Components form rings: the next supplier of the nation among each hundred keys, the last one imports the first.
+    """
     rows = table(spark, sf_dir, "supplier").join(
         _repo_names(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey")
     )
-    w = Window.partitionBy("repo").orderBy("s_suppkey")
-    first = rows.groupBy("repo").agg(F.min("s_suppkey").alias("first_key"))
-    nxt = rows.withColumn("after", F.lead("s_suppkey").over(w)).join(first, "repo")
-    return nxt.withColumn("next_key", F.coalesce("after", "first_key")).drop("after", "first_key")
+    ring = Window.partitionBy("repo", "ring")
+    rows = rows.withColumn("ring", F.floor(F.col("s_suppkey") / 100))
+    following = F.lead("s_suppkey").over(ring.orderBy("s_suppkey"))
+    return rows.withColumn("next_key", F.coalesce(following, F.min("s_suppkey").over(ring))).drop("ring")
 
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

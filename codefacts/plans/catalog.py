@@ -6,6 +6,7 @@ from codefacts.plans import (  # noqa: F401
     catalog_churn,
     catalog_facts,
     catalog_overview,
+    catalog_structure,
 )
 from codefacts.plans.registry import REGISTRY
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codefacts.operators import cxx
@@ -11,12 +12,13 @@ from codefacts.operators import graph as gr
 from codefacts.operators import symbols as sy
 from codefacts.plans import adapters as ad
 from codefacts.plans.registry import query
+from codefacts.session import materialize
 
 #: the corpus in SQL: one row per supplier / customer / part with everything the oracles need
 CORPUS = """
 with n as (select n_nationkey, lower(replace(n_name, ' ', '_')) as repo from nation),
 s as (select repo, s_suppkey as k, s_name as name, s_nationkey as nk, s_acctbal as bal,
-  coalesce(lead(s_suppkey) over (partition by repo order by s_suppkey), min(s_suppkey) over (partition by repo)) as nx
+  coalesce(lead(s_suppkey) over (partition by repo, s_suppkey // 100 order by s_suppkey), min(s_suppkey) over (partition by repo, s_suppkey // 100)) as nx
   from supplier join n on s_nationkey = n_nationkey),
 c as (select repo, c_custkey as k, c_name as name, c_acctbal as bal, c_acctbal <= 9500 as ok, 'core/c' || c_custkey || '.py' as path
   from customer join n on c_nationkey = n_nationkey),
@@ -32,7 +34,7 @@ def facts_of(spark, sf):
 @query(
     "python_facts",
     "C1 C2 C3 C11 U5",
-    CORPUS + """select repo, 'plugins/s' || k || '/__init__.py' as path, true as ok, 'Component of ' || name || '.' as doc, 15 as loc_total, 11 as loc_code, 2 as n_defs from s
+    CORPUS + """select repo, 'plugins/s' || k || '/__init__.py' as path, true as ok, 'Component of ' || name || '.' as doc, 15 as loc_total, 11 as loc_code, 3 as n_defs from s
     union all select repo, 'plugins/s' || k || '/routes.py', true, null, 26, 20, 4 from s
     union all select repo, path, ok, null, 15, case when bal < 0 or not ok then 10 else 9 end, case when ok then 2 else 0 end from c
     union all select repo, 'shared/base.py', true, 'Shared helpers.', 18, 11, 4 from n""",
@@ -132,7 +134,7 @@ def import_statements(spark, sf):
 
 _CALLS = """
 cl as (select repo, path, x.c as caller, x.t as target from (
-  select repo, 'plugins/s' || k || '/__init__.py' as path, unnest([{c: 'S' || k || '.run', t: 'h'}, {c: 'S' || k || '._hidden', t: 'os.path.join'}]) as x from s
+  select repo, 'plugins/s' || k || '/__init__.py' as path, unnest([{c: 'S' || k || '.run', t: 'h'}, {c: 'S' || k || '._hidden', t: 'os.path.join'}, {c: 'S' || k || '._hidden', t: 'S' || nx}]) as x from s
   union all select repo, 'plugins/s' || k || '/routes.py', unnest([{c: '@module', t: 'Blueprint'}, {c: 'view_' || k, t: 'eval'}, {c: 'view_' || k, t: 'bp.route'},
     {c: 'register.lost', t: 'app2.get'}, {c: 'save_' || k, t: 'subprocess.run'}, {c: 'save_' || k, t: 'bp.post'}]) from s
   union all select repo, path, unnest([{c: 'load_' || k, t: 'p'}, {c: 'run_' || k, t: 'load_' || k}, {c: 'run_' || k, t: 'js.dumps'}]) from c where ok
@@ -149,7 +151,7 @@ def call_sites(spark, sf):
     "single_name_calls",
     "C8",
     CORPUS + """select repo, path, x.f as f, x.a as a from (
-    select repo, 'plugins/s' || k || '/__init__.py' as path, unnest([{f: 'h', a: 'n'}, {f: 'os.path.join', a: 'S' || nx}]) as x from s
+    select repo, 'plugins/s' || k || '/__init__.py' as path, unnest([{f: 'h', a: 'n'}, {f: 'S' || nx, a: 'self'}]) as x from s
     union all select repo, 'plugins/s' || k || '/routes.py', {f: 'eval', a: 'req'} from s
     union all select repo, path, unnest([{f: 'p', a: 'x'}, {f: 'js.dumps', a: 'x'}]) from c where ok
     union all select repo, 'shared/base.py', {f: 'helper', a: 'x'} from n)""",
@@ -231,7 +233,7 @@ so as (select *, case when file like 'plugins/%' then split_part(file, '/', 2) e
 
 
 def symbols_of(spark, sf):
-    facts = facts_of(spark, sf)
+    facts = materialize(facts_of(spark, sf))
     return sy.symbol_table(fx.classes(facts), fx.functions(facts), fx.routes(facts))
 
 
@@ -270,15 +272,215 @@ def symbol_search_substring(spark, sf):
 
 # ------------------------------------------------------------------ graph
 _GRAPH = CORPUS + """, se as (
-  select repo, 'plugins/s' || k || '/__init__.py' as src_path, 'S' || k || '.run' as caller, 'shared/base.py' as dst_path, 'h' as callee from s
-  union all select repo, path, 'load_' || k, 'shared/base.py', 'p' from c where ok
+  select repo, 'plugins/s' || k || '/__init__.py' as src_path, 'S' || k || '._hidden' as caller, 'plugins/s' || nx || '/__init__.py' as dst_path, 'S' || nx as callee from s
   union all select repo, path, 'run_' || k, path, 'load_' || k from c where ok
   union all select repo, 'shared/base.py', 'pooled', 'shared/base.py', 'helper' from n),
-edge as (select repo, src_path || '::' || caller as src, dst_path || '::' || callee as dst, src_path, dst_path, 1::bigint as weight from se)
+edge as (select repo, src_path || '::' || caller as src, dst_path || '::' || callee as dst, src_path, dst_path, 1::bigint as weight from se),
+inc as (select repo, a.path, 'p' || a.other || '.h' as target, b.path as dst_path from p a left join p b using (repo) where b.k = a.other
+  union all select repo, path, 'p' || other || '.h', null from p where other not in (select k from p)),
+fe as (select repo, 'call' as kind, src_path as src, dst_path as dst, weight from edge where src_path <> dst_path
+  union all select repo, 'include', path, dst_path, 1 from inc where dst_path is not null),
+oe as (select repo, a as src, b as dst, sum(weight)::bigint as weight from (select *,
+  case when src like 'plugins/%' then split_part(src, '/', 2) else split_part(src, '/', 1) end as a,
+  case when dst like 'plugins/%' then split_part(dst, '/', 2) else split_part(dst, '/', 1) end as b from fe) where a <> b group by all)
 """
 
 
-def _resolved(spark, sf):
-    facts = facts_of(spark, sf)
+def _graph(spark, sf):
+    facts = materialize(facts_of(spark, sf))
     defs = gr.definitions(fx.classes(facts), fx.methods(facts), fx.functions(facts))
-    return gr.resolve_calls(fx.calls(facts), fx.import_facts(facts), defs, facts.select("repo", "path")), defs
+    resolved = gr.resolve_calls(fx.calls(facts), fx.import_facts(facts), defs, facts.select("repo", "path"))
+    return gr.symbol_edges(resolved), defs, facts
+
+
+def _include_rows(spark, sf):
+    files = ad.code_corpus(spark, sf)
+    return gr.resolve_includes(cxx.includes(files), cxx.sources(files).select("repo", "path"))
+
+
+def _file_edges(spark, sf):
+    return gr.file_edges(_graph(spark, sf)[0], _include_rows(spark, sf))
+
+
+@query("call_graph", "E2 E3 D21", _GRAPH + "select * from edge")
+def call_graph(spark, sf):
+    return _graph(spark, sf)[0]
+
+
+@query("heaviest_call_edges", "G2", _GRAPH + """select repo, src, dst, weight, rank from (select *, row_number() over
+  (partition by repo order by weight desc, src, dst) as rank from edge) where rank <= 1500""")
+def heaviest_call_edges(spark, sf):
+    return gr.heaviest_edges(_graph(spark, sf)[0]).select("repo", "src", "dst", "weight", "rank")
+
+
+@query(
+    "call_graph_nodes",
+    "D21",
+    _GRAPH + """, ends as (select repo, src as id, src_path as file from edge union all select repo, dst, dst_path from edge)
+    select repo, id, file, substr(id, length(file) + 3) as symbol,
+      case when file like 'plugins/%' then split_part(file, '/', 2) else split_part(file, '/', 1) end as owner,
+      case when id like '%.\\_hidden' escape '\\' then 'method' when file like 'plugins/%' then 'class' else 'function' end as kind,
+      count(*)::bigint as uses from ends group by all""",
+)
+def call_graph_nodes(spark, sf):
+    edges, defs, _ = _graph(spark, sf)
+    return gr.node_table(edges, defs)
+
+
+@query("include_resolution", "E4", _GRAPH + "select * from inc")
+def include_resolution(spark, sf):
+    return _include_rows(spark, sf)
+
+
+@query("file_graph", "D21", _GRAPH + "select * from fe")
+def file_graph(spark, sf):
+    return _file_edges(spark, sf)
+
+
+@query("owner_graph", "I5 D21 H7", _GRAPH + "select * from oe")
+def owner_graph(spark, sf):
+    return gr.owner_edges(_file_edges(spark, sf))
+
+
+@query(
+    "file_degrees",
+    "I3 D21",
+    _GRAPH + """select repo, node, sum(i)::bigint as in_deg, sum(o)::bigint as out_deg, sum(i)::bigint as in_w, sum(o)::bigint as out_w from (
+    select repo, src as node, 0 as i, 1 as o from fe union all select repo, dst, 1, 0 from fe) group by all""",
+)
+def file_degrees(spark, sf):
+    return gr.degrees(_file_edges(spark, sf))
+
+
+@query(
+    "graph_stats",
+    "D22",
+    _GRAPH + """, fl as (select repo, 'i' || k from s union all select repo, 'r' || k from s union all select repo, path from c union all select repo, 'b' from n)
+    select f.repo, f.files, coalesce(e.x, 0) as edges_total, coalesce(g.x, 0) as file_edges, coalesce(o.x, 0) as owner_edges,
+      least(coalesce(e.x, 0), 1500) as edges_emitted, coalesce(e.x, 0) > 1500 as truncated
+    from (select repo, count(*) as files from fl group by repo) f
+    left join (select repo, count(*) as x from edge group by repo) e using (repo)
+    left join (select repo, count(*) as x from fe group by repo) g using (repo)
+    left join (select repo, count(*) as x from oe group by repo) o using (repo)""",
+)
+def graph_stats(spark, sf):
+    edges, _, facts = _graph(spark, sf)
+    files = gr.file_edges(edges)
+    return gr.graph_stats(facts.select("repo", "path"), edges, files, gr.owner_edges(files))
+
+
+@query(
+    "component_ring_cycles",
+    "I1 G7 R36",
+    _GRAPH + """, ring as (select repo, min(k) as lo, list('plugins/s' || k || '/__init__.py' order by 'plugins/s' || k || '/__init__.py') as names, count(*) as length
+      from s group by repo, k // 100),
+    walk as (with recursive w as (select s.repo, k as start, k, 0 as hop, 'plugins/s' || k || '/__init__.py' as chain, nx from s
+        where ('plugins/s' || k || '/__init__.py') in (select names[1] from ring where ring.repo = s.repo)
+      union all select w.repo, start, w.nx, hop + 1, chain || ' -> plugins/s' || w.nx || '/__init__.py', s.nx from w join s on s.repo = w.repo and s.k = w.nx where w.nx <> start)
+      select repo, start, max(hop) + 1 as length, max_by(chain, hop) as chain from w group by repo, start)
+    select repo, length, chain || ' -> plugins/s' || start || '/__init__.py' as chain from walk where length > 1""",
+)
+def component_ring_cycles(spark, sf):
+    return gr.cycles(gr.file_edges(_graph(spark, sf)[0])).select("repo", F.col("length").cast("long").alias("length"), "chain")
+
+
+@query(
+    "include_cycles",
+    "I2 R37",
+    _GRAPH + """select repo, 2 as length, least(path, dst_path) || ' -> ' || greatest(path, dst_path) || ' -> ' || least(path, dst_path) as chain
+    from inc where dst_path is not null and path < dst_path""",
+)
+def include_cycles(spark, sf):
+    return gr.cycles(gr.file_edges(_graph(spark, sf)[0], _include_rows(spark, sf)).where("kind = 'include'"), self_loops=False).drop("cycle")
+
+
+def _event_graph(spark, sf):
+    """Which kind of event follows which, in buckets of users: a small graph out of the whole event log."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    ev = ad.table(spark, sf, "events").withColumn("after", F.lead("event_type").over(w)).where("after is not null")
+    repo = F.concat(F.lit("u"), F.floor(F.col("user_id") / 50).cast("string"))
+    return ev.groupBy(repo.alias("repo"), F.col("event_type").alias("src"), F.col("after").alias("dst")).agg(F.count("*").alias("weight"))
+
+
+_EVENT_GRAPH = """
+with recursive eg as (select repo, src, dst, count(*) as weight from (select 'u' || (user_id // 50) as repo, event_type as src,
+  lead(event_type) over (partition by user_id order by ts, event_id) as dst from events) where dst is not null group by all)
+"""
+
+
+@query(
+    "event_succession_cycles",
+    "I1 G7",
+    _EVENT_GRAPH + """, walk as (select repo, src as start, dst as node, [src, dst] as path from eg where dst > src
+      union all select w.repo, start, dst, list_append(path, dst) from walk w join eg on eg.repo = w.repo and eg.src = w.node
+      where dst > start and not list_contains(path, dst)),
+    closed as (select w.repo, start, node, path, row_number() over (partition by w.repo, start, node order by len(path), path) as r
+      from walk w join eg on eg.repo = w.repo and eg.src = w.node and eg.dst = w.start)
+    select repo, len(path) as length, array_to_string(list_append(path, path[1]), ' -> ') as chain from closed where r = 1
+    union all select repo, 1, src || ' -> ' || src from eg where src = dst""",
+)
+def event_succession_cycles(spark, sf):
+    return gr.cycles(_event_graph(spark, sf)).select("repo", F.col("length").cast("long").alias("length"), "chain")
+
+
+@query(
+    "core_subgraph",
+    "E25",
+    _EVENT_GRAPH + """, d as (select repo, node, count(*) as deg from (select repo, src as node from eg union all select repo, dst from eg) group by all),
+    k as (select repo, node from (select *, row_number() over (partition by repo order by deg desc, node) as r from d) where r <= 3)
+    select eg.* from eg where (repo, src) in (select repo, node from k) and (repo, dst) in (select repo, node from k)""",
+)
+def core_subgraph(spark, sf):
+    return gr.core_subgraph(_event_graph(spark, sf), k=3)
+
+
+@query(
+    "ego_network",
+    "E25 E11",
+    _EVENT_GRAPH + "select *, case when src = 'error' then 'out' else 'in' end as direction from eg where src = 'error' or dst = 'error'",
+)
+def ego_network(spark, sf):
+    return gr.ego_network(_event_graph(spark, sf), "error")
+
+
+@query(
+    "reachable_components",
+    "I4",
+    CORPUS + """, walk as (with recursive w as (select repo, 's' || k as start, k as node, 0 as hops from s
+      union all select w.repo, start, s.nx, hops + 1 from w join s on s.repo = w.repo and s.k = w.node where hops < 3)
+      select repo, start, 's' || node as node, min(hops) as hops from w group by all)
+    select * from walk""",
+)
+def reachable_components(spark, sf):
+    sup = ad.suppliers(spark, sf)
+    name = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    edges = sup.select("repo", name.alias("src"), F.concat(F.lit("s"), F.col("next_key").cast("string")).alias("dst"))
+    starts = sup.select("repo", name.alias("start"), name.alias("node"))
+    return gr.reachable(starts, edges, max_hops=3)
+
+
+# ------------------------------------------------------------------ endpoints
+def endpoints_of(facts):
+    return ep.resolve_endpoints(
+        fx.routes(facts), fx.blueprints(facts), fx.single_name_calls(facts), fx.import_facts(facts), facts.select("repo", "path")
+    )
+
+
+@query(
+    "endpoint_paths",
+    "E5 E6 E7 E8 F2",
+    DEFS + "select repo, path, endpoint, prefix, prefix || rule_value as endpoint_path, 's' || k as bp_name, 'blueprint' as resolution from rt",
+)
+def endpoint_paths(spark, sf):
+    rows = endpoints_of(materialize(facts_of(spark, sf)))
+    return rows.select("repo", "path", "endpoint", "prefix", "endpoint_path", "bp_name", "resolution")
+
+
+@query("endpoint_resolutions", "E8", DEFS + "select repo, 'blueprint' as resolution, count(*) as routes from rt group by repo")
+def endpoint_resolutions(spark, sf):
+    return ep.resolution_stats(endpoints_of(materialize(facts_of(spark, sf))))
+
+
+@query("route_prefixes", "D29", DEFS + "select repo, prefix, count(*) as routes from rt group by all")
+def route_prefixes(spark, sf):
+    return ep.prefix_distribution(fx.routes(materialize(facts_of(spark, sf))))
