@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codefacts.sources.corpus import spread_scan
+
 #: language of a document -> extension of the file it stands for
 DOC_EXT = {"en": ".py", "fr": ".js", "de": ".css", "es": ".md"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One driver table. ``spread`` is for stages that spend their time on the CPU, see ``spread_scan``."""
+    scan = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_scan(scan) if spread else scan
 
 
 def doc_path() -> Column:
@@ -28,7 +32,7 @@ DOC_PATH_SQL = (
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as source files: repository = source, path = language and id, content = the whole text."""
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", spread=True).select(
         F.col("source").alias("repo"),
         doc_path().alias("path"),
         F.col("text").alias("content"),
@@ -241,7 +245,7 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     component_files = sup.select("repo", F.explode(parts).alias("f")).select("repo", "f.*")
 
     names = _repo_names(spark, sf_dir)
-    cust = table(spark, sf_dir, "customer").join(names, F.col("c_nationkey") == F.col("n_nationkey"))
+    cust = table(spark, sf_dir, "customer", spread=True).join(names, F.col("c_nationkey") == F.col("n_nationkey"))
     # a customer in debt breaks the layering, one with a large balance does not parse
     extra = F.when(F.col("c_acctbal") < 0, "from plugins.s1 import S1").when(F.col("c_acctbal") > 9500, "def broken(:").otherwise("")
     module = F.format_string(MODULE_FILE, F.col("c_name"), F.col("c_custkey"), extra)
@@ -249,7 +253,7 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     core_files = cust.select("repo", core_path.alias("path"), module.alias("content"))
     shared = names.select("repo", F.lit("shared/base.py").alias("path"), F.lit(SHARED_BASE).alias("content"))
 
-    part = table(spark, sf_dir, "part")
+    part = table(spark, sf_dir, "part", spread=True)
     partner = F.col("p_partkey") + F.when(F.col("p_partkey") % 2 == 0, 1).otherwise(-1)
     header = F.format_string(HEADER_FILE, F.col("p_partkey"), F.col("p_name"), partner, F.col("p_size"))
     header_path = F.concat(F.lit("lib/"), F.lower(F.translate("p_brand", "#", "")), F.lit("/p"), F.col("p_partkey").cast("string"), F.lit(".h"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from codefacts.plans import (  # noqa: F401
     catalog_churn,
     catalog_facts,
+    catalog_matching,
     catalog_overview,
     catalog_structure,
 )
