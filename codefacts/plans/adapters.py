@@ -261,3 +261,34 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     files = component_files.unionByName(core_files).unionByName(shared).unionByName(headers)
     return files.withColumn("size", F.octet_length("content").cast("long")).withColumn("mtime", F.lit(0).cast("long"))
+
+
+WORKFLOW_FILE = '''name: ci %1$s
+on: push
+jobs:
+  build:
+    %2$s
+    steps:
+      - uses: actions/checkout@%3$s
+      - uses: org/tool@v%1$s
+        shell: bash
+      - run: %4$s
+    env:
+      # password: hidden
+      TOKEN: x
+      %5$s: abcdefghijklmnop%1$s
+'''
+
+
+def workflow_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One workflow file per supplier; nations with an odd key use the second platform."""
+    sup = table(spark, sf_dir, "supplier").join(_repo_names(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey"))
+    limit = F.when(F.col("s_acctbal") > 5000, "timeout-minutes: 30").otherwise("runs-on: linux")
+    pin = F.when(F.col("s_acctbal") > 2000, F.sha1("s_name")).otherwise("v4")
+    run = F.when(F.col("s_acctbal") < 0, "echo ::set-output name=a::b").when(F.col("s_acctbal") > 8000, "set -e").otherwise("npm --registry registry.npmjs.org")
+    name = F.when(F.col("s_acctbal") < 1000, "password").otherwise("api_key")
+    folder = F.when(F.col("s_nationkey") % 2 == 1, ".gitee").otherwise(".github")
+    return sup.select(
+        "repo", F.concat(folder, F.lit("/workflows/w"), F.col("s_suppkey").cast("string"), F.lit(".yml")).alias("path"),
+        F.format_string(WORKFLOW_FILE, F.col("s_suppkey"), limit, pin, run, name).alias("content"),
+    )

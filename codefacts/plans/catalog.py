@@ -7,6 +7,7 @@ from codefacts.plans import (  # noqa: F401
     catalog_facts,
     catalog_matching,
     catalog_overview,
+    catalog_rules,
     catalog_structure,
 )
 from codefacts.plans.registry import REGISTRY
