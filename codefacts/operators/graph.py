@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codefacts.functions import paths
 from codefacts.functions.ranking import top_k
-from codefacts.session import cut_lineage
+from codefacts.session import cut_lineage, grow
 
 
 # ------------------------------------------------------------------ name binding
@@ -267,13 +267,14 @@ def cycles(edges: DataFrame, self_loops: bool = True) -> DataFrame:
     # paths that start at the smallest node of their cycle and only visit larger ones
     frontier = core.where("dst > src").select("repo", F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src", "dst").alias("path"))
     seen = cut_lineage(frontier)
-    frontier = seen
+    frontier, length = seen, 1
     while not frontier.isEmpty():
+        length += 1
         step = frontier.join(core.withColumnRenamed("src", "node"), ["repo", "node"]).where("dst > start")
         grown = step.select("repo", "start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         fresh = grown.join(seen.select("repo", "start", "node"), ["repo", "start", "node"], "left_anti")
         frontier = cut_lineage(fresh.groupBy("repo", "start", "node").agg(F.min("path").alias("path")))
-        seen = seen.unionByName(frontier)
+        seen = grow(seen, frontier, length)
     closing = core.where("dst < src").select("repo", F.col("dst").alias("start"), F.col("src").alias("node"))
     found = seen.join(closing, ["repo", "start", "node"]).select("repo", F.col("path").alias("cycle"))
     if self_loops:
@@ -295,5 +296,5 @@ def reachable(starts: DataFrame, edges: DataFrame, max_hops: int | None = None)
         hop += 1
         nxt = frontier.join(steps, ["repo", "node"]).select("repo", "start", F.col("next").alias("node")).distinct()
         frontier = cut_lineage(nxt.join(seen, ["repo", "start", "node"], "left_anti").withColumn("hops", F.lit(hop)))
-        seen = seen.unionByName(frontier)
+        seen = grow(seen, frontier, hop)
     return seen

@@ -6,6 +6,7 @@ from codefacts.plans import (  # noqa: F401
     catalog_churn,
     catalog_facts,
     catalog_matching,
+    catalog_misc,
     catalog_overview,
     catalog_rules,
     catalog_structure,

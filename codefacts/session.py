@@ -59,3 +59,9 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def grow(seen: DataFrame, fresh: DataFrame, round_: int) -> DataFrame:
+    """Add the rows of one iteration to the visited set; the union is compacted now and then so plans stay short."""
+    both = seen.unionByName(fresh)
+    return cut_lineage(both) if round_ % 16 == 0 else both
