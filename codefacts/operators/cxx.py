@@ -23,6 +23,7 @@ FUNCTION = (
     r"(?m)^(?!\s*[A-Za-z_~]\w*\s*::\s*\w*\s*\()([A-Za-z_][\w:<>,\s\*&]*?)\b"
     r"([A-Za-z_~]\w*(?:::[A-Za-z_~]\w*)*)\s*\(([^;{)]*)\)\s*(?:const\s*)?(?:override\s*)?\{"
 )
+COMMENT = r"(?s)/\*.*?\*/"
 NOT_FUNCTIONS = ("if", "for", "while", "switch", "return", "catch")
 # ----------------------------------------------------------- end of fixed values
 
@@ -32,11 +33,10 @@ _MARK = "\x01"
 def blank_comments(col: Column | str) -> Column:
     """Comments replaced by blanks, line breaks kept; a comment without an end stays as it is."""
     body = paths._c(col)
-    head = F.regexp_extract(body, r"(?s)^(.*\*/)", 1)
-    tail = F.substr(body, F.length(head) + 1)
-    pieces = F.split(head, r"(?s)(?=/\*)|(?<=\*/)")
-    cleaned = F.transform(pieces, lambda p: F.when(p.startswith("/*"), F.regexp_replace(p, r"[^\n]", " ")).otherwise(p))
-    return F.regexp_replace(F.concat(F.array_join(cleaned, ""), tail), r"//[^\n]*", "")
+    around = F.split(body, COMMENT)
+    blanked = F.transform(F.regexp_extract_all(body, F.lit(COMMENT), F.lit(0)), lambda c: F.regexp_replace(c, r"[^\n]", " "))
+    pieces = F.zip_with(around, blanked, lambda text_, comment: F.concat(text_, F.coalesce(comment, F.lit(""))))
+    return F.regexp_replace(F.array_join(pieces, ""), r"//[^\n]*", "")
 
 
 def _matches(df: DataFrame, body: str, pattern: str) -> DataFrame:

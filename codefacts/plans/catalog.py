@@ -9,6 +9,7 @@ from codefacts.plans import (  # noqa: F401
     catalog_misc,
     catalog_overview,
     catalog_rules,
+    catalog_streams,
     catalog_structure,
 )
 from codefacts.plans.registry import REGISTRY

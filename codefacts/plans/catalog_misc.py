@@ -184,7 +184,7 @@ def commit_log_text(spark, sf):
       union all select repo, 'plugins/s' || k || '/routes.py', 27, 4, 'flask', 1, 1, 4, 3, 'misc' from s where bal < 0
       union all select repo, path, 16, 2, case when bal < 0 then 'plugins,shared' else 'shared' end, 1, 1, 4, 2, 'misc' from c where ok
       union all select repo, path, 16, 0, '', 0, 0, 5, 2, 'misc' from c where not ok
-      union all select repo, 'shared/base.py', 19, 4, '', 1, 2, 5, 3, 'misc' from n)""",
+      union all select repo, 'shared/base.py', 19, 3, '', 1, 2, 5, 3, 'misc' from n)""",
 )
 def script_census(spark, sf):
     c = load_corpus(materialize(ad.code_corpus(spark, sf)))
