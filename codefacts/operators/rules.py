@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codefacts.functions import paths, text
-from codefacts.functions.ranking import first_per_group
+from codefacts.functions.ranking import first_per_group, top_k
 from codefacts.operators import facts as fx
 from codefacts.operators import graph as gr
 from codefacts.operators.overview import in_scope
@@ -172,6 +172,12 @@ def ordered(findings: DataFrame) -> DataFrame:
     return findings.orderBy("repo", severity_rank(), "rule_id", "target", "file", "line")
 
 
+def worst(findings: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` findings of each repository in that order."""
+    order = [severity_rank(), F.col("rule_id"), F.col("target"), F.coalesce("file", F.lit("")), F.coalesce("line", F.lit(0))]
+    return top_k(findings, ["repo"], order, k)
+
+
 def severity_summary(findings: DataFrame) -> DataFrame:
     """Findings per severity."""
     return findings.groupBy("repo").agg(

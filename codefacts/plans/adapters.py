@@ -292,3 +292,48 @@ def workflow_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         "repo", F.concat(folder, F.lit("/workflows/w"), F.col("s_suppkey").cast("string"), F.lit(".yml")).alias("path"),
         F.format_string(WORKFLOW_FILE, F.col("s_suppkey"), limit, pin, run, name).alias("content"),
     )
+
+
+BASE_FILE = '''class BasePlugin:
+    """Base of %1$s."""
+
+    @abstractmethod
+    def run_%2$s(self): pass
+
+    def stop(self, hard=False): pass
+
+    def _inner(self): pass
+'''
+
+ENTRY_FILE = '''"""Entry of %1$s."""
+
+
+@app.route('/health')
+def health():
+    return 1
+'''
+
+
+def framework_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One repository per supplier with a component framework, one undocumented component and an entry script."""
+    sup = table(spark, sf_dir, "supplier", spread=True)
+
+    def file(path: str, *text) -> Column:
+        body = F.lit(text[0]) if len(text) == 1 else F.format_string(*text)
+        return F.struct(F.lit(path).alias("path"), body.alias("content"))
+
+    hooks = F.concat(F.lit("class Hook"), F.col("s_nationkey").cast("string"), F.lit(": pass\ndef emit(): pass\ndef _no(): pass\n"))
+    manifest = F.concat(F.lit('{"identifier": "c", "version": "'), F.col("s_nationkey").cast("string"), F.lit('.0.0", "capabilities": ["x"]}'))
+    files = F.array(
+        file("plugin_manager/base.py", BASE_FILE, "s_name", "s_suppkey"),
+        file("plugin_manager/manager.py", "class First: pass\nclass My%1$sManager:\n    def list_all(self): pass\n", "s_suppkey"),
+        file("plugin_manager/discovery.py", '"""Rules.\n\n1. init %1$s\n"""', "s_suppkey"),
+        F.struct(F.lit("plugin_manager/hooks.py").alias("path"), hooks.alias("content")),
+        file("plugins/_base/db.py", '"""Pool."""\n'),
+        file("plugins/_templates/basic/plugin.json", '{"name": "T%1$s", "version": "9"}', "s_suppkey"),
+        file("plugins/c/__init__.py", ""),
+        F.struct(F.lit("plugins/c/plugin.json").alias("path"), manifest.alias("content")),
+        file("main.py", ENTRY_FILE, "s_name"),
+    )
+    rows = sup.select(F.concat(F.lit("w"), F.col("s_suppkey").cast("string")).alias("repo"), F.explode(files).alias("f")).select("repo", "f.*")
+    return rows.withColumn("size", F.octet_length("content").cast("long")).withColumn("mtime", F.lit(0).cast("long"))

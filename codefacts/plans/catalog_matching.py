@@ -148,3 +148,32 @@ def sloc_by_language(spark, sf):
 )
 def sloc_by_module(spark, sf):
     return mt.sloc_by_module(mt.sloc(ad.document_files(spark, sf)))
+
+
+@query(
+    "pair_rules_from_json",
+    "A10",
+    """select 'n' || s_suppkey as name, 'x' || s_nationkey as use, '' as escape, case when s_acctbal < 0 then 40 else 7 end as window_lines, case when s_acctbal < 0 then 'n' || s_suppkey else 'd' end as about from supplier""",
+)
+def pair_rules_from_json(spark, sf):
+    from codefacts.sources.manifests import read_pair_rules
+
+    more = F.when(F.col("s_acctbal") < 0, "").otherwise(', "window": 7, "desc": "d"')
+    text = F.format_string('[{"name": "n%s", "assign": "a", "use": "x%s"%s}]', F.col("s_suppkey"), F.col("s_nationkey"), more)
+    rows = read_pair_rules(ad.table(spark, sf, "supplier").select(text.alias("content")))
+    return rows.select("name", "use", "escape", F.col("window").alias("window_lines"), F.col("desc").alias("about"))
+
+
+@query(
+    "decoded_texts",
+    "A2",
+    "select doc_id, md5(case when lang = 'de' then text || chr(65533) else text end) as digest, length(text) + case when lang = 'de' then 1 else 0 end as chars from documents",
+)
+def decoded_texts(spark, sf):
+    """English texts get a byte-order mark, German ones a byte that no decoder accepts."""
+    from codefacts.functions.text import decode_text
+
+    raw = F.encode("text", "UTF-8")
+    marked = F.when(F.col("lang") == "en", F.concat(F.lit(b"\xef\xbb\xbf"), raw)).when(F.col("lang") == "de", F.concat(raw, F.lit(b"\xff"))).otherwise(raw)
+    rows = ad.table(spark, sf, "documents", spread=True).select("doc_id", decode_text(marked).alias("t"))
+    return rows.select("doc_id", F.md5(F.encode("t", "UTF-8")).alias("digest"), F.length("t").alias("chars"))

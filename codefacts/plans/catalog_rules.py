@@ -273,3 +273,22 @@ def external_findings(spark, sf):
     good, bad = au.external_findings(items)
     kept = good.select("repo", F.col("line").cast("long").alias("seq"), "rule_id", F.lit("kept").alias("outcome"))
     return kept.unionByName(bad.withColumnRenamed("reason", "outcome"))
+
+
+@query(
+    "worst_findings",
+    "G5",
+    _FINDINGS + """select repo, rule_id, severity, target, rank from (select *, row_number() over (partition by repo order by case severity when 'error' then 0 when 'warning' then 1 else 2 end,
+      rule_id, target, coalesce(file, ''), coalesce(line, 0)) as rank from allf) where rank <= 5""",
+)
+def worst_findings(spark, sf):
+    return ru.worst(ru.run_rules(spark, _rule_input(spark, sf)), 5).select("repo", "rule_id", "severity", "target", "rank")
+
+
+@query(
+    "ci_audit_findings",
+    "R26",
+    _CI + "select repo, file, rule_id, 'architecture' as dimension, case severity when 'error' then 'blocking' when 'warning' then 'minor' else 'info' end as severity, line from f",
+)
+def ci_audit_findings(spark, sf):
+    return au.ci_findings(ci.workflow_findings(_workflows(spark, sf))).select("repo", "file", "rule_id", "dimension", "severity", "line")

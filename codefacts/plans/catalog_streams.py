@@ -109,3 +109,21 @@ def stream_python_facts(spark, sf):
     out = jobs.scratch(spark, "facts")
     jobs.extract_continuously(files, out, jobs.scratch(spark, "ck"), available_now=True).awaitTermination()
     return spark.read.parquet(out).select("repo", "path", "ok", "loc_total", "loc_code")
+
+
+@query(
+    "stream_rewritten_history",
+    "K2",
+    """with e as (select event_type as repo, 'u' || user_id || '.py' as path, ts::date as day, floor(value)::int as added from events where value < 50 and event_type <> 'error')
+    select repo, path, day, count(*) as n, sum(added)::bigint as added from e group by all""",
+)
+def stream_rewritten_history(spark, sf):
+    """All large changes and all error events leave the history; the stream of them drives the recomputation."""
+    changes = ad.event_changes(spark, sf)
+    stays = (F.col("added") < 50) & (F.col("repo") != "error")
+    daily, current = jobs.scratch(spark, "daily"), jobs.scratch(spark, "changes")
+    jobs.replace_days(changes, changes, daily)
+    changes.where(stays).write.parquet(current)
+    gone = _change_stream(spark, sf).where(~stays)
+    jobs.watch_rewrites(gone, current, daily, jobs.scratch(spark, "ck"), available_now=True).awaitTermination()
+    return jobs.read_daily(spark, daily).select("repo", "path", "day", "n", "added")

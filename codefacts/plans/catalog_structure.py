@@ -325,3 +325,74 @@ def catalogue_diff(spark, sf):
     new = lines.where(F.col("l_shipdate") >= F.lit("1995-01-01")).withColumn("l_returnflag", flag)
     rows = df_.diff_tables(old, new, ["l_orderkey", "l_linenumber"], ["l_returnflag", "l_linestatus"])
     return rows.withColumn("fields", F.array_join("fields", ","))
+
+
+# ------------------------------------------------------------------ component framework
+def _framework(spark, sf):
+    return load_corpus(materialize(ad.framework_corpus(spark, sf)))
+
+
+@query(
+    "framework_contract",
+    "D10",
+    """select 'w' || s_suppkey as repo, p.part, p.name, p.abstract from supplier, lateral (select 'base' as part, 'run_' || s_suppkey as name, true as abstract
+    union all select 'base', 'stop', false union all select 'manager', 'list_all', false) p""",
+)
+def framework_contract(spark, sf):
+    return st.framework_contract(_framework(spark, sf).tables).select("repo", "part", "name", "abstract")
+
+
+@query(
+    "framework_hooks",
+    "D10",
+    """select 'w' || s_suppkey as repo, 'hooks' as label, 1 as rank, 'Hook' || s_nationkey as name from supplier union all select 'w' || s_suppkey, 'hooks', 2, 'emit' from supplier""",
+)
+def framework_hooks(spark, sf):
+    return st.hook_names(_framework(spark, sf).tables)
+
+
+@query(
+    "discovery_rules",
+    "D10",
+    "select 'w' || s_suppkey as repo, l.n as line_no, l.line from supplier, lateral (select 0 as n, 'Rules.' as line union all select 1, '' union all select 2, '1. init ' || s_suppkey) l",
+)
+def discovery_rules(spark, sf):
+    return st.discovery_rules(_framework(spark, sf).tables)
+
+
+@query(
+    "framework_resources",
+    "D13 D10",
+    """select 'w' || s_suppkey as repo, x.kind, x.name, x.about from supplier, lateral (select 'helper' as kind, 'plugins._base.db' as name, 'Pool.' as about
+    union all select 'template', 'plugins/_templates/basic', 'T' || s_suppkey union all select 'support', 'plugin_manager.hooks', '1 classes, 2 functions') x""",
+)
+def framework_resources(spark, sf):
+    c = _framework(spark, sf)
+    helpers = st.framework_helpers(c.tables).select("repo", F.lit("helper").alias("kind"), F.col("module").alias("name"), F.col("docstring").alias("about"))
+    templates = st.component_templates(c.files).select("repo", F.lit("template").alias("kind"), F.col("dir").alias("name"), F.col("name").alias("about"))
+    counts = F.format_string("%d classes, %d functions", "classes", "functions")
+    support = st.support_modules(c.tables).select("repo", F.lit("support").alias("kind"), F.col("module").alias("name"), counts.alias("about"))
+    return helpers.unionByName(templates).unionByName(support)
+
+
+@query(
+    "entry_scripts",
+    "D9",
+    "select 'w' || s_suppkey as repo, 'main.py' as path, 'Entry of ' || s_name || '.' as docstring, 6::bigint as loc, 1::bigint as route_count from supplier",
+)
+def entry_scripts(spark, sf):
+    return st.entry_scripts(_framework(spark, sf).tables)
+
+
+@query(
+    "undocumented_components",
+    "R4 R3",
+    """select 'w' || s_suppkey as repo, r.rule_id, 'c' as target from supplier, (select unnest(['SPEC003', 'SPEC004']) as rule_id) r""",
+)
+def undocumented_components(spark, sf):
+    from codefacts.operators import rules as ru
+
+    c = _framework(spark, sf)
+    comps = _components(c)
+    x = ru.RuleInput(c.files, c.py_facts, comps, c.tables.routes, comps, comps, comps)
+    return ru.spec_rules(x).select("repo", "rule_id", "target")

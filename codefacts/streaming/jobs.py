@@ -74,24 +74,25 @@ def changelog_state(spark: SparkSession, path: str, keys: list[str]) -> DataFram
 
 
 def replace_days(rewritten: DataFrame, changes: DataFrame, daily_path: str) -> None:
-    """K2: history was rewritten: recompute the affected (repo, day) partitions from the current change table.
+    """K2: history was rewritten: recompute the (repo, month) partitions it touches from the current change table.
 
-    A day that has no change left is written as removed by leaving its partition empty.
+    Months keep the number of files low; the rows inside stay daily. A month that has no change left is replaced by a
+    marker row, because a partition without rows would not be replaced.
     """
-    days = rewritten.select("repo", F.to_date("ts").alias("day")).distinct()
-    current = changes.withColumn("day", F.to_date("ts")).join(days, ["repo", "day"], "left_semi")
-    fresh = ch.churn_daily(current.drop("day"))
-    gone = days.join(fresh.select("repo", "day").distinct(), ["repo", "day"], "left_anti")
-    empty = gone.select(
-        "repo", F.lit(None).cast("string").alias("path"), "day", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("added"), F.lit(0).cast("long").alias("deleted")
-    )
-    rows = fresh.unionByName(empty)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo", "day").parquet(daily_path)
+    month = F.to_date(F.date_trunc("month", "ts"))
+    touched = rewritten.select("repo", month.alias("month")).distinct()
+    current = changes.withColumn("month", month).join(touched, ["repo", "month"], "left_semi")
+    fresh = ch.churn_daily(current.drop("month")).withColumn("month", F.to_date(F.date_trunc("month", "day")))
+    gone = touched.join(fresh.select("repo", "month").distinct(), ["repo", "month"], "left_anti")
+    zero = F.lit(0).cast("long")
+    marker = gone.select("repo", F.lit(None).cast("string").alias("path"), F.col("month").alias("day"), zero.alias("n"), zero.alias("added"), zero.alias("deleted"), "month")
+    rows = fresh.unionByName(marker)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo", "month").parquet(daily_path)
 
 
 def read_daily(spark: SparkSession, daily_path: str) -> DataFrame:
-    """Daily rows without the markers of emptied days."""
-    return spark.read.parquet(daily_path).where("path is not null")
+    """Daily rows without the markers of emptied months."""
+    return spark.read.parquet(daily_path).where("path is not null").drop("month")
 
 
 def watch_rewrites(rewrites: DataFrame, changes_path: str, daily_path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
