@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codefacts.functions import paths
 from codefacts.functions.ranking import top_k
+from codefacts.functions.skew import salted_join
 from codefacts.session import cut_lineage, grow
 
 
@@ -92,7 +93,9 @@ def resolve_calls(calls: DataFrame, import_facts: DataFrame, defs: DataFrame, fi
     by_last = few.select("repo", F.col("symbol").alias("last"), F.col("files").alias("last_files"), F.lit(True).alias("last_known"))
     by_two = few.select("repo", F.col("symbol").alias("dotted"), F.col("files").alias("two_files"), F.lit(True).alias("two_known"))
     found = named.join(by_import, key, "left").join(by_self, key, "left")
-    found = found.join(by_last, ["repo", "last"], "left").join(by_two, ["repo", "dotted"], "left")
+    # a common name such as a built-in may be the target of a third of all calls
+    found = salted_join(found, by_last, ["repo", "last"], ["path", "target"], "left")
+    found = salted_join(found, by_two, ["repo", "dotted"], ["path", "target"], "left")
     none = F.array().cast("array<string>")
     too_many = (F.col("last_known") & F.col("last_files").isNull()) | (F.col("two_known") & F.col("two_files").isNull())
     pool = F.array_union(F.coalesce("last_files", none), F.coalesce("two_files", none))
@@ -123,7 +126,8 @@ def resolve_includes(includes: DataFrame, file_paths: DataFrame) -> DataFrame:
     joined = wanted.join(exact, ["repo", "clean"], "left").join(named, ["repo", "base"], "left")
     dest = F.when(F.col("whole"), F.col("clean")).when(F.col("n") == 1, F.col("hit")).otherwise(F.col("base_hit"))
     found = joined.select("repo", "clean", dest.alias("dst_path"))
-    return targets.join(found, ["repo", "clean"], "left").select("repo", "path", "target", "dst_path")
+    # one header may be the target of a third of all includes
+    return salted_join(targets, found, ["repo", "clean"], ["path"], "left").select("repo", "path", "target", "dst_path")
 
 
 # ------------------------------------------------------------------ rollups

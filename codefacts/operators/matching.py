@@ -160,34 +160,41 @@ def pair_rule_hits(files: DataFrame, rules: tuple[PairRule, ...] = (RAW_CONNECTI
 
 
 def _pair_hits(files: DataFrame, rule: PairRule) -> DataFrame:
-    split = files.select("repo", "path", text.split_lines("content").alias("ls"))
-    starts = F.filter(
-        F.transform("ls", lambda x, i: F.struct(i.alias("i"), F.regexp_extract(x, rule.assign, 1).alias("var"), text.indent_width(x).alias("indent"))),
-        lambda s: s["var"] != "",
-    )
-    rows = split.select("repo", "path", "ls", F.explode(starts).alias("s"))
-    ahead = F.slice("ls", F.col("s.i") + 2, F.lit(rule.window - 1))
-    rows = rows.select("repo", "path", "s", ahead.alias("ahead"))
-    use = F.replace(F.lit(rule.use), F.lit("{var}"), F.col("s.var"))
-
-    def event(raw: Column) -> Column:
+    # everything that depends on the line alone is worked out once per line, not once per assignment above it
+    def facts(raw: Column) -> Column:
         body = text.strip(raw)
         goes_on = F.lit(False)
         for word in CONTINUING_BLOCKS:
             goes_on = goes_on | body.startswith(word)
-        left = (text.indent_width(raw) < F.col("s.indent")) & ~goes_on
-        found = F.when(body == "", 0).when(left, 1)
-        if rule.escape:
-            found = found.when(F.rlike(body, F.lit(rule.escape)), 2)
-        return found.when(F.rlike(body, use), 3).otherwise(0)
+        escapes = F.rlike(body, F.lit(rule.escape)) if rule.escape else F.lit(False)
+        return F.struct(body.alias("body"), text.indent_width(raw).alias("indent"), goes_on.alias("goes_on"), escapes.alias("escapes"))
+
+    raw_lines = text.split_lines("content")
+    names = F.transform(raw_lines, lambda x: F.regexp_extract(x, rule.assign, 1))
+    # a file without an assignment ends here
+    split = files.select("repo", "path", raw_lines.alias("raw"), names.alias("vars")).where(F.exists("vars", lambda v: v != ""))
+    split = split.select("repo", "path", "vars", F.transform("raw", facts).alias("ls"))
+    starts = split.select("repo", "path", "ls", F.posexplode("vars").alias("i", "var")).where("var <> ''")
+    ahead = F.slice("ls", F.col("i") + 2, F.lit(rule.window - 1))
+    rows = starts.select("repo", "path", "i", "var", F.get("ls", F.col("i"))["indent"].alias("indent"), ahead.alias("ahead"))
+    use = F.replace(F.lit(rule.use), F.lit("{var}"), F.col("var"))
+
+    def event(x: Column) -> Column:
+        return (
+            F.when(x["body"] == "", 0)
+            .when((x["indent"] < F.col("indent")) & ~x["goes_on"], 1)
+            .when(x["escapes"], 2)
+            .when(F.rlike(x["body"], use), 3)
+            .otherwise(0)
+        )
 
     events = F.transform("ahead", event)
     first = F.array_position(F.transform(events, lambda e: e > 0), True)
-    rows = rows.select("repo", "path", "s", "ahead", events.alias("events"), first.cast("int").alias("first"))
+    rows = rows.select("repo", "path", "i", "ahead", events.alias("events"), first.cast("int").alias("first"))
     used = rows.where((F.col("first") > 0) & (F.get("events", F.col("first") - 1) == 3))
     return used.select(
-        "repo", "path", F.lit(rule.name).alias("rule"), (F.col("s.i") + 1 + F.col("first")).cast("int").alias("line_no"),
-        F.substring(text.strip(F.get("ahead", F.col("first") - 1)), 1, 120).alias("snippet"),
+        "repo", "path", F.lit(rule.name).alias("rule"), (F.col("i") + 1 + F.col("first")).cast("int").alias("line_no"),
+        F.substring(F.get("ahead", F.col("first") - 1)["body"], 1, 120).alias("snippet"),
     )
 
 

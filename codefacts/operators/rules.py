@@ -84,22 +84,32 @@ def _inside(df: DataFrame, x: RuleInput) -> DataFrame:
     return df.where(F.col("path").startswith(x.profile.component_dir + "/"))
 
 
+def _tagged_hits(pattern: str, rule: str, severity: str, message: str) -> Column:
+    tags = [F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(message).alias("message")]
+    return F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(0)), lambda hit: F.struct(*tags, hit.alias("hit")))
+
+
 def security_rules(x: RuleInput) -> DataFrame:
     """Secrets and SQL in texts, eval and shell calls in facts."""
-    out = None
+    found = []
     for rule, severity, pattern, message in (
         ("SEC001", "error", SECRET_TEXT, "value that looks like a hard-coded secret"),
         ("SEC004", "warning", SQL_TEXT, "SQL put together from strings"),
     ):
-        hits = _component_sources(x).select("repo", "path", F.explode(F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).alias("hit"))
-        part = _findings(hits, rule, severity, "security", F.col("path"), message, F.substring(text.strip("hit"), 1, 120))
-        out = part if out is None else out.unionByName(part)
-    calls = _inside(fx.rule_calls(x.py_facts), x)
-    at = F.concat(F.lit("() @L"), F.col("lineno").cast("string"))
-    ev = calls.where(F.col("name").isin("eval", "exec"))
-    out = out.unionByName(_findings(ev, "SEC002", "warning", "security", F.col("path"), "eval or exec", F.concat("name", at), line=F.col("lineno")))
-    shell = calls.where(F.col("name").startswith("subprocess.") & (F.try_element_at("kwargs", F.lit("shell")) == "True"))
-    return out.unionByName(_findings(shell, "SEC003", "warning", "security", F.col("path"), "subprocess with shell=True", F.concat("name", at), line=F.col("lineno")))
+        found.append(_tagged_hits(pattern, rule, severity, message))
+    texts = _component_sources(x).select("repo", "path", F.explode(F.concat(*found)).alias("f")).select("repo", "path", "f.*")
+    out = texts.select(
+        "repo", F.col("rule").alias("rule_id"), "severity", F.lit("security").alias("category"), F.col("path").alias("target"), F.lit(None).cast("string").alias("file"),
+        F.lit(None).cast("int").alias("line"), "message", F.substring(text.strip("hit"), 1, 120).alias("evidence"),
+    )
+    name = F.col("name")
+    evals = name.isin("eval", "exec")
+    shell = name.startswith("subprocess.") & (F.try_element_at("kwargs", F.lit("shell")) == "True")
+    calls = _inside(fx.rule_calls(x.py_facts), x).where(evals | shell)
+    at = F.concat(name, F.lit("() @L"), F.col("lineno").cast("string"))
+    message = F.when(evals, "eval or exec").otherwise("subprocess with shell=True")
+    risky = _findings(calls, "", "warning", "security", F.col("path"), message, at, line=F.col("lineno"))
+    return out.unionByName(risky.withColumn("rule_id", F.when(F.col("message") == "eval or exec", "SEC002").otherwise("SEC003")))
 
 
 def architecture_rules(x: RuleInput) -> DataFrame:

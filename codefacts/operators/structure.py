@@ -72,11 +72,16 @@ def component_dirs(files: DataFrame, profile: Profile = Profile()) -> DataFrame:
     return seen.select("repo", "dir", (F.col("has_init") & F.col("has_manifest")).alias("valid"), reasons.alias("reasons"))
 
 
+def component_index(files: DataFrame, profile: Profile = Profile()) -> DataFrame:
+    """Valid components with their manifest columns only, for everything that needs no size or route."""
+    dirs = component_dirs(files, profile).where("valid").select("repo", "dir")
+    manifest = mf.manifest_columns(mf.read_manifests(files, profile), mf.read_manifest_contract(files, profile), profile)
+    return dirs.join(manifest, ["repo", "dir"])
+
+
 def components(files: DataFrame, facts: FactTables, profile: Profile = Profile()) -> DataFrame:
     """One row per valid component: manifest columns, sizes, routes, markers and documents."""
     key = ["repo", "dir"]
-    dirs = component_dirs(files, profile).where("valid").select(*key)
-    manifest = mf.manifest_columns(mf.read_manifests(files, profile), mf.read_manifest_contract(files, profile), profile)
     is_py = paths.extension("path").isin(*PY_EXTS)
 
     def inside(df: DataFrame) -> DataFrame:
@@ -102,7 +107,7 @@ def components(files: DataFrame, facts: FactTables, profile: Profile = Profile()
         F.array_sort(F.collect_set(F.when((below == "i18n") & (depth == 4) & base.rlike(r"\.ya?ml$"), paths.stem("path")))).alias("i18n_locales"),
         F.array_sort(F.collect_set(F.when((depth == 3) & counted & paths.extension("path").isin(".md", ".txt"), base))).alias("docs"),
     )
-    rows = dirs.join(manifest, key, "left")
+    rows = component_index(files, profile)
     for part in (loc, based, route_n, route_rows, marks):
         rows = rows.join(part, key, "left")
     for name in ("py_files", "loc", "loc_code", "base_classes", "route_count"):
@@ -281,7 +286,10 @@ def component_edges(comps: DataFrame, comp_imports: DataFrame) -> DataFrame:
 
 
 def boundary_violations(imports: DataFrame, comps: DataFrame, module_rows: DataFrame, profile: Profile = Profile()) -> DataFrame:
-    """Core files that import a component; the framework's own loader directory is exempt."""
+    """Core files that import a component; the framework's own loader directory is exempt.
+
+    Only the names are read: ``component_index`` and ``module_dirs`` are enough.
+    """
     target = F.regexp_extract("module", f"^\\Q{profile.component_dir}\\E\\.([a-z0-9_]+)", 1)
     rows = imports.where((F.instr("path", "/") > 0) & F.col("path").endswith(".py")).select(
         "repo", "path", paths.top_dir("path").alias("module_name"), F.col("module").alias("imports"), target.alias("dir")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.functions import paths
+from codefacts.functions.skew import salted_join
 from codefacts.operators import facts as fx
 
 
@@ -34,7 +35,7 @@ def inverted_index(symbols: DataFrame, block: int = 1000) -> DataFrame:
     """
     counts = symbols.groupBy("repo", "name").agg(F.count("*").alias("total"))
     counts = counts.withColumn("blocks", F.ceil(F.col("total") / block).cast("int"))
-    placed = symbols.join(counts, ["repo", "name"]).withColumn(
+    placed = salted_join(symbols, counts, ["repo", "name"], ["file", "line"]).withColumn(
         "block", F.pmod(F.xxhash64("file", "line", "kind"), F.col("blocks"))
     )
     entry = F.struct("file", "line", "kind", "owner")

@@ -348,7 +348,7 @@ def dependency_diagram(spark, sf):
 )
 def violation_overlay(spark, sf):
     c = load_corpus(materialize(ad.code_corpus(spark, sf)))
-    comps, mods = st.components(c.files, c.tables, c.profile), st.modules(c.files, c.tables, c.profile)
+    comps, mods = st.component_index(c.files, c.profile), st.module_dirs(c.files, c.profile)
     bad = st.boundary_violations(c.tables.imports, comps, mods, c.profile).select("repo", F.col("module").alias("node"))
     return gr.mark_violations(mods.select("repo", F.col("name").alias("node")), "node", bad)
 

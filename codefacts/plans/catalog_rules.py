@@ -60,7 +60,7 @@ def _rule_input(spark, sf):
     files = materialize(ad.code_corpus(spark, sf))
     c = load_corpus(files)
     comps = materialize(st.components(files, c.tables, c.profile))
-    mods = st.modules(files, c.tables, c.profile)
+    mods = st.module_dirs(files, c.profile)
     edges = st.component_edges(comps, st.component_imports(c.tables.imports, c.profile))
     violations = st.boundary_violations(c.tables.imports, comps, mods, c.profile)
     roles = files.select("repo").distinct().select("repo", F.lit("business").alias("role"))

@@ -118,7 +118,7 @@ def component_base_ratio(spark, sf):
 )
 def component_edges(spark, sf):
     c = _corpus(spark, sf)
-    return st.component_edges(_components(c), _component_imports(c))
+    return st.component_edges(st.component_index(c.files, c.profile), _component_imports(c))
 
 
 @query(
@@ -128,19 +128,19 @@ def component_edges(spark, sf):
 )
 def boundary_violations(spark, sf):
     c = _corpus(spark, sf)
-    return st.boundary_violations(c.tables.imports, _components(c), _modules(c), c.profile)
+    return st.boundary_violations(c.tables.imports, st.component_index(c.files, c.profile), st.module_dirs(c.files, c.profile), c.profile)
 
 
 @query("component_dependents", "E11", CORPUS + "select repo, 's' || k as dependent from s where nx = 1")
 def component_dependents(spark, sf):
     c = _corpus(spark, sf)
-    return st.dependents(st.component_edges(_components(c), _component_imports(c)), "s1")
+    return st.dependents(st.component_edges(st.component_index(c.files, c.profile), _component_imports(c)), "s1")
 
 
 @query("target_by_name", "B12", CORPUS + "select distinct repo, 'module' as kind, 'core' as name from c")
 def target_by_name(spark, sf):
     c = _corpus(spark, sf)
-    return st.resolve_target(_components(c), _modules(c), "core")
+    return st.resolve_target(st.component_index(c.files, c.profile), st.module_dirs(c.files, c.profile), "core")
 
 
 @query(
