@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.functions import paths, syntax, text
-from codefacts.functions.ranking import first_per_group
 from codefacts.profile import APP_LIKE_OWNERS, HTTP_METHODS, PY_EXTS
 from codefacts.schemas import PY_SYNTAX
 
@@ -161,13 +160,16 @@ def _positional(args: Column, index: int) -> Column:
     return F.get(F.filter(args, lambda a: a["kw"].isNull()), F.lit(index))
 
 
+def _is_blueprint(chain: Column, assigned_to: Column) -> Column:
+    return (F.element_at(chain, -1) == "Blueprint") & (F.size(chain) <= 2) & assigned_to.isNotNull()
+
+
 def blueprints(facts: DataFrame) -> DataFrame:
     """``x = Blueprint(name, ..., url_prefix=...)`` assignments.
 
     ``prefix`` is the literal value, null when ``url_prefix`` is given but is not a string literal.
     """
-    rows = call_records(facts).where((F.element_at("chain", -1) == "Blueprint") & F.col("assigned_to").isNotNull())
-    rows = rows.where(F.size("chain") <= 2)
+    rows = call_records(facts).where(_is_blueprint(F.col("chain"), F.col("assigned_to")))
     prefix = _keyword(F.col("args"), "url_prefix")
     return rows.select(
         "repo", "path", "seq", F.col("assigned_to").alias("var"),
@@ -183,15 +185,20 @@ def routes(facts: DataFrame) -> DataFrame:
 
     ``rule`` is the source text, ``rule_value`` its literal value (null when it is computed).
     """
-    rows = call_records(facts)
-    bps = first_per_group(
-        blueprints(facts).select("repo", "path", F.col("var").alias("bp"), "url_prefix", "seq"),
-        ["repo", "path", "bp"], [F.col("seq")],
-    ).drop("seq")
+    # the blueprints of a file travel along with its calls, so no join is needed
+    own_bps = F.transform(
+        F.filter("calls", lambda c: _is_blueprint(c["chain"], c["assigned_to"])),
+        lambda c: F.named_struct(
+            F.lit("var"), c["assigned_to"], F.lit("prefix"), F.coalesce(_keyword(c["args"], "url_prefix")["text"], F.lit(""))
+        ),
+    )
+    rows = facts.select("repo", "path", own_bps.alias("bps"), F.posexplode("calls").alias("seq", "r")).select("repo", "path", "bps", "seq", "r.*")
     chain, args = F.col("chain"), F.col("args")
     owner, attr = chain[0], F.element_at(chain, -1)
     pairs = rows.where((F.size("chain") == 2) & ~owner.startswith("<"))
     pairs = pairs.withColumn("bp", owner).withColumn("attr", attr)
+    prefix = F.get(F.filter("bps", lambda b: b["var"] == F.col("bp")), F.lit(0))["prefix"]
+    pairs = pairs.withColumn("url_prefix", prefix).drop("bps")
     decorated = pairs.where(F.col("decorates").isNotNull() & F.col("attr").isin("route", *HTTP_METHODS))
     added = pairs.where(F.col("attr") == "add_url_rule")
     kw_methods = F.transform(_keyword(args, "methods")["strs"], F.upper)
@@ -201,7 +208,7 @@ def routes(facts: DataFrame) -> DataFrame:
     default = F.when(F.col("attr") == "route", F.array(F.lit("GET"))).otherwise(F.array(F.upper("attr")))
     own_methods = F.when(F.size(kw_methods) > 0, kw_methods).otherwise(default)
     dec = decorated.select(
-        "repo", "path", "seq", "bp", form.alias("via"),
+        "repo", "path", "seq", "bp", "url_prefix", form.alias("via"),
         F.when(first.isNull(), "").otherwise(first["text"]).alias("rule"), first["value"].alias("rule_value"),
         F.sort_array(F.array_distinct(own_methods)).alias("methods"),
         F.col("decorates").alias("endpoint"), F.col("decorates_line").alias("lineno"),
@@ -220,13 +227,13 @@ def routes(facts: DataFrame) -> DataFrame:
     rule_text = F.coalesce(literal["text"], F.lit(""))
     placeholder = F.concat(F.lit("<"), F.regexp_replace(rule_text, "^'+|'+$", ""), F.lit(">"))
     via_add = added.select(
-        "repo", "path", "seq", "bp", F.lit("add_url_rule").alias("via"), rule_text.alias("rule"),
+        "repo", "path", "seq", "bp", "url_prefix", F.lit("add_url_rule").alias("via"), rule_text.alias("rule"),
         literal["value"].alias("rule_value"), F.sort_array(F.array_distinct(listed)).alias("methods"),
         F.when(given != "", given).otherwise(placeholder).alias("endpoint"), "lineno",
         F.lit(None).cast("string").alias("purpose"), F.col("bp").endswith("bp").alias("owner_is_param"),
         F.lit(None).cast("string").alias("registrar"),
     )
-    joined = dec.unionByName(via_add).join(bps, ["repo", "path", "bp"], "left")
+    joined = dec.unionByName(via_add)
     known = F.col("url_prefix").isNotNull()
     kept = joined.where((F.col("via") != "shorthand") | known | F.col("bp").isin(*APP_LIKE_OWNERS))
     param = F.when(F.col("via") == "add_url_rule", ~known & F.col("owner_is_param")).otherwise(F.col("owner_is_param"))

@@ -32,8 +32,11 @@ class FactTables:
 def fact_tables(files: DataFrame, py_facts: DataFrame, profile: Profile = Profile()) -> FactTables:
     """One set of tables for both front ends; missing columns of the C family are null."""
     scoped = files.where(in_scope("path", profile))
-    py_files = py_facts.select("repo", "path", "loc_total", "loc_code", text.first_line("doc").alias("docstring"), F.col("doc").alias("doc_full"))
-    c_files = cxx.file_facts(scoped).drop("defines").withColumn("doc_full", F.lit(None).cast("string"))
+    based = F.filter("defs", lambda d: (d["kind"] == "class") & (d["container"] == "") & F.exists(d["bases"], lambda b: b.endswith(profile.base_class)))
+    py_files = py_facts.select(
+        "repo", "path", "loc_total", "loc_code", text.first_line("doc").alias("docstring"), F.col("doc").alias("doc_full"), F.size(based).alias("base_classes")
+    )
+    c_files = cxx.file_facts(scoped).drop("defines").withColumn("doc_full", F.lit(None).cast("string")).withColumn("base_classes", F.lit(0))
     c_classes = cxx.classes(scoped)
     classes = fx.classes(py_facts, profile.base_class).unionByName(
         c_classes.select("repo", "path", "name", "bases", F.lit(None).cast("string").alias("docstring"), F.lit(False).alias("inherits_base"), "lineno")
@@ -92,8 +95,8 @@ def components(files: DataFrame, facts: FactTables, profile: Profile = Profile()
     loc = inside(facts.files.where(is_py)).groupBy(*key).agg(
         F.count("*").alias("py_files"), F.sum("loc_total").alias("loc"), F.sum("loc_code").alias("loc_code"),
         F.max(F.when((base == "__init__.py") & (depth == 3), F.col("docstring"))).alias("entry_docstring"),
+        F.sum("base_classes").alias("base_classes"),
     )
-    based = inside(facts.classes.where("inherits_base")).groupBy(*key).agg(F.count("*").alias("base_classes"))
     routes = inside(facts.routes)
     route_n = routes.groupBy(*key).agg(F.count("*").alias("route_count"))
     route_item = F.struct("path", "rule", "url_prefix", "methods", "endpoint", "lineno")
@@ -108,7 +111,7 @@ def components(files: DataFrame, facts: FactTables, profile: Profile = Profile()
         F.array_sort(F.collect_set(F.when((depth == 3) & counted & paths.extension("path").isin(".md", ".txt"), base))).alias("docs"),
     )
     rows = component_index(files, profile)
-    for part in (loc, based, route_n, route_rows, marks):
+    for part in (loc, route_n, route_rows, marks):
         rows = rows.join(part, key, "left")
     for name in ("py_files", "loc", "loc_code", "base_classes", "route_count"):
         rows = rows.withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
