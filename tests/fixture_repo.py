@@ -1,70 +1,62 @@
-"""A small repository with a component framework, one good and one bad component."""
+"""A small repository of our own: a component framework, a good and a bad component, one layering fault."""
 
 import json
 
-FILES = {
-    "plugin_manager/base.py": '''#!/usr/bin/env python3
-"""Plugin System - BasePlugin abstract class.
-All plugins must inherit from BasePlugin.
-"""
-from abc import ABC, abstractmethod
+BASE = '''"""What every component must offer."""
+import abc
+
+
+class BasePlugin(abc.ABC):
+    """Base class of components."""
+
+    @abc.abstractmethod
+    def start(self): ...
+
+    def label(self, lang="en"):
+        """Shown in menus."""
+        return lang
 
-class BasePlugin(ABC):
-    name: str = ''
-    def __init__(self):
-        self.manager = None
-    @abstractmethod
-    def setup(self):
-        'Called once before activate.'
-    @abstractmethod
-    def activate(self):
-        'Enable plugin features.'
-    def deactivate(self):
-        'Tear down.'
-    def t(self, text, locale=None):
-        'Translate text via plugin i18n.'
-        return text
-''',
-    "plugin_manager/manager.py": '''from .base import BasePlugin
+    def _secret(self):
+        return 1
+'''
 
-class PluginManager:
-    'Load and manage plugins.'
-    def is_enabled(self, pid): return True
-    def get_config(self, pid): return {}
-''',
-    "plugin_manager/discovery.py": '"""Plugin Manager - PluginDiscovery.\nRules:\n  1. a subdirectory\n  2. an init file\n  3. a manifest\n  4. no _ or . names\n"""',
-    "shared/__init__.py": "def pooled():\n    return None\n",
-    "i18n/__init__.py": "def _(s):\n    return s\n",
-    "plugins/__init__.py": "# plugins namespace package\n",
-    "plugins/_base/db.py": "def get_pooled_connection():\n    return None\n",
-    "plugins/demo/__init__.py": '''from plugin_manager.base import BasePlugin
+VIEWS = '''from flask import Blueprint
 
-class DemoPlugin(BasePlugin):
-    'Demo plugin for tests.'
-    name = 'demo'
-    def setup(self): pass
-    def activate(self): pass
-''',
-    "plugins/demo/plugin.json": json.dumps({
-        "identifier": "demo", "name": "Demo", "version": "1.0.0", "description": "demo", "author": "t", "min_app_version": "0.10.0",
-        "agent_role": "business", "capabilities": ["demo.x"], "depends_on": {"shop": ">=1.0.0"}}),
-    "plugins/demo/routes.py": '''from flask import Blueprint
-demo_bp = Blueprint('demo', __name__, url_prefix='/admin/demo')
+bills = Blueprint("bills", __name__, url_prefix="/admin/billing")
 
-@demo_bp.route('/ping', methods=['GET', 'POST'])
-def ping():
-    return 'pong'
 
-@demo_bp.route('/list')
-def list_items():
+@bills.route("/open", methods=["POST", "GET"])
+def open_bills():
     return []
-''',
-    "plugins/bad/__init__.py": "class BadPlugin:\n    pass\n",
-    "plugins/bad/plugin.json": json.dumps({"identifier": "Bad-Id", "name": "Bad", "version": "1.0"}),
-    "docs/plugin-manifest.schema.json": json.dumps({
-        "required": ["identifier", "name", "version", "description", "author", "min_app_version", "agent_role", "capabilities"],
-        "properties": {"agent_role": {"enum": ["athena", "content", "business", "builder"]}, "category": {"enum": ["system", "shop", "tools"]}}}),
-    "AGENTS.md": "### First rule\ntext\n### Second rule\nmore\n",
-    "debug_probe.py": "print(1)\n",
-    "test_results.json": "{}",
+
+
+@bills.delete("/<int:n>")
+def drop(n):
+    return n
+'''
+
+FILES = {
+    "plugin_manager/base.py": BASE,
+    "plugin_manager/manager.py": "from .base import BasePlugin\n\n\nclass ComponentManager:\n    def names(self):\n        return []\n",
+    "plugin_manager/discovery.py": '"""How components are found.\n\nOne folder each.\n"""\n',
+    "plugin_manager/util.py": "X = 1\n",
+    "plugins/_base/http.py": '"""HTTP helpers."""\n# none yet\n',
+    "plugins/_templates/shop/plugin.json": '{"name": "Shop template"}',
+    "plugins/billing/__init__.py": (
+        '"""Billing component."""\nfrom plugin_manager.base import BasePlugin\nfrom plugins.ledger import post\n'
+        'from plugins._base.http import get\n\n\nclass Billing(BasePlugin):\n    """Sends bills."""\n'
+    ),
+    "plugins/billing/views.py": VIEWS,
+    "plugins/billing/plugin.json": json.dumps({"identifier": "billing", "version": "3.1.0", "capabilities": ["bill"], "depends_on": ["ledger", "mail"], "hooks": {"b": 1, "a": 2}}),
+    "plugins/billing/i18n/en.yml": "a: b\n",
+    "plugins/billing/README.md": "# Billing\n",
+    "plugins/ledger/__init__.py": "def post(x):\n    return x\n",
+    "plugins/ledger/plugin.json": json.dumps({"identifier": "Ledger!", "version": "2"}),
+    "plugins/half/__init__.py": "",
+    "core/run.py": "import plugins.ledger\nimport os\n\n\ndef main():\n    return os\n",
+    "main.py": '"""Entry."""\n\n\n@app.get("/up")\ndef up():\n    return 1\n',
+    "docs/plugin-manifest.schema.json": json.dumps({"required": ["identifier", "version", "capabilities"], "properties": {"kind": {"enum": ["a", "b"]}, "name": {"type": "string"}}}),
+    "AGENTS.md": "# Agents\n### Naming\ntext\n### Tests\n",
+    "debug_me.py": "1\n",
+    "out.log": "noise\n",
 }

@@ -1,4 +1,4 @@
-"""Endpoint prefixes over import chains."""
+"""Endpoint prefixes over import chains: one corpus, one expected table."""
 
 from dataclasses import replace
 
@@ -8,83 +8,84 @@ from codefacts.operators import endpoints as ep
 from codefacts.operators import facts as fx
 from codefacts.profile import Profile
 
-BP = "from flask import Blueprint\n"
 
-
-@pytest.fixture
+def blueprint(var, prefix=None):
+    extra = "" if prefix is None else f", url_prefix={prefix}"
+    return f"import flask\n{var} = flask.Blueprint('{var}_name', __name__{extra})\n"
+
+
+def route(owner, rule="'/r'", name="view"):
+    return f"@{owner}.route({rule})\ndef {name}(): ...\n"
+
+
+def registrar(name, rule="'/r'"):
+    return f"def {name}(target):\n    @target.route({rule})\n    def inside(): ...\n"
+
+
+CHAIN = {"hop0.py": blueprint("far", "'/far'"), **{f"hop{i}.py": f"from hop{i - 1} import far\n" for i in range(1, 8)}}
+
+FILES = {
+    # the blueprint of the same file: slashes are joined once
+    "own.py": blueprint("b", "'/own/'") + route("b", "'/a'", "a") + route("b", "''", "empty") + route("b", "'c'", "c"),
+    "bare.py": blueprint("b") + route("b"),
+    "named.py": blueprint("b", "PREFIX") + route("b"),
+    "computed.py": blueprint("b", "'/k'") + route("b", "'/x' + y"),
+    # imports: relative with a new name, absolute from another directory, a package that passes the name on
+    "shop/bp.py": blueprint("cart", "'/cart'"),
+    "shop/items.py": "from .bp import cart as here\n" + route("here"),
+    "office/far.py": "from shop.bp import cart\n" + route("cart"),
+    "pkg/__init__.py": "from .inner.deep import leaf\n",
+    "pkg/inner/deep.py": blueprint("leaf", "'/leaf'"),
+    "user.py": "from pkg import leaf\n" + route("leaf"),
+    # six re-exports are followed, seven are not; a ring of re-exports leads nowhere
+    **CHAIN,
+    "six.py": "from hop5 import far\n" + route("far"),
+    "seven.py": "from hop6 import far\n" + route("far"),
+    "ring1.py": "from ring2 import z\n" + route("z"), "ring2.py": "from ring1 import z\n",
+    # registrars: called next to the blueprint, through a package, inside a function, twice, and never
+    "reg/local.py": blueprint("mine", "'/mine'") + registrar("attach") + "attach(mine)\n",
+    "reg/api.py": registrar("mount"),
+    "reg/__init__.py": "from .api import mount\n",
+    "wire_b.py": "from reg import mount\n" + blueprint("second", "'/second'") + "mount(second)\n",
+    "wire_a.py": "from reg import mount\n" + blueprint("first", "'/first'") + "def setup():\n    mount(nothing_known)\n    mount(first)\n",
+    "reg/lonely.py": registrar("unused"),
+    # application objects and names nobody knows
+    "web.py": route("app", "'/up'") + "@router.get('/g')\ndef g(): ...\n" + route("stranger", "'/s'", "s"),
+    "plugins/gift/routes.py": blueprint("b") + route("b", "'/list'"),
+}
+
+WANT = {
+    "own.py": [("blueprint", "/own/a"), ("blueprint", "/own"), ("blueprint", "/own/c")],
+    "bare.py": [("noprefix", "/r")], "named.py": [("nonliteral", None)], "computed.py": [("blueprint", None)],
+    "shop/items.py": [("imported", "/cart/r")], "office/far.py": [("imported", "/cart/r")], "user.py": [("imported", "/leaf/r")],
+    "six.py": [("imported", "/far/r")], "seven.py": [("unresolved", None)], "ring1.py": [("unresolved", None)],
+    "reg/local.py": [("registrar", "/mine/r")], "reg/api.py": [("registrar", "/first/r")], "reg/lonely.py": [("unresolved", None)],
+    "web.py": [("app", "/up"), ("app", "/g"), ("unresolved", None)],
+    "plugins/gift/routes.py": [("noprefix", "/list")],
+}
+
+
+@pytest.fixture(scope="module")
 def resolve(make_files):
-    def run(files, path, profile=Profile()):
-        f = fx.extract_facts(make_files(files)).cache()
+    f = fx.extract_facts(make_files(FILES)).cache()
+
+    def run(profile):
         got = ep.resolve_endpoints(fx.routes(f), fx.blueprints(f), fx.single_name_calls(f), fx.import_facts(f), f.select("repo", "path"), profile)
-        return [(r.resolution, r.endpoint_path) for r in got.where(got["path"] == path).orderBy("lineno").collect()]
+        table: dict = {}
+        for r in sorted(got.collect(), key=lambda r: (r.path, r.lineno)):
+            table.setdefault(r.path, []).append((r.resolution, r.endpoint_path))
+        return table, got
 
     return run
 
 
-def test_same_file(resolve):
-    assert resolve({"a.py": BP + "bp = Blueprint('b', n, url_prefix='/admin/x/')\n@bp.route('/ping')\ndef p(): pass\n@bp.route('')\ndef q(): pass\n@bp.route('z')\ndef z(): pass\n"}, "a.py") == [
-        ("blueprint", "/admin/x/ping"), ("blueprint", "/admin/x"), ("blueprint", "/admin/x/z")]
-
-
-def test_without_prefix(resolve):
-    assert resolve({"a.py": BP + "bp = Blueprint('b', n)\n@bp.route('/root')\ndef x(): pass\n"}, "a.py") == [("noprefix", "/root")]
-
-
-def test_imported(resolve):
-    files = {"p/admin.py": BP + "admin_bp = Blueprint('a', n, url_prefix='/admin')\n", "p/users.py": "from .admin import admin_bp\n@admin_bp.route('/users')\ndef u(): pass\n",
-             "q/v.py": "from p.admin import admin_bp as x\n@x.route('/v')\ndef v(): pass\n"}
-    assert resolve(files, "p/users.py") == [("imported", "/admin/users")]
-    assert resolve(files, "q/v.py") == [("imported", "/admin/v")]
-
-
-def test_registrar_through_a_package(resolve):
-    files = {
-        "p/routes.py": BP + "main_bp = Blueprint('m', n, url_prefix='/main')\nfrom .sub import register_sub\nregister_sub(main_bp)\n",
-        "p/sub/__init__.py": "from .impl import register_sub\n",
-        "p/sub/impl.py": "def register_sub(bp):\n    @bp.route('/deep')\n    def deep(): pass\n",
-    }
-    assert resolve(files, "p/sub/impl.py") == [("registrar", "/main/deep")]
-
-
-def test_registrar_called_in_a_function(resolve):
-    files = {
-        "p/s/__init__.py": BP + "s_bp = Blueprint('s', n, url_prefix='/admin/s')\ndef go():\n    from .routes import register_routes\n    register_routes(s_bp)\n",
-        "p/s/routes.py": "def register_routes(bp):\n    @bp.route('/tokens')\n    def tokens(): pass\n",
-    }
-    assert resolve(files, "p/s/routes.py") == [("registrar", "/admin/s/tokens")]
-
-
-def test_long_chains_end_and_loops_do_not_matter(resolve):
-    files = {"b0.py": BP + "x = Blueprint('b', n, url_prefix='/c')\n"}
-    files |= {f"b{i}.py": f"from b{i - 1} import x\n" for i in range(1, 9)}
-    route = "@x.route('/r')\ndef r(): pass\n"
-    assert resolve({**files, "near.py": "from b5 import x\n" + route}, "near.py") == [("imported", "/c/r")]
-    assert resolve({**files, "far.py": "from b6 import x\n" + route}, "far.py") == [("unresolved", None)]
-    assert resolve({"l1.py": "from l2 import x\n" + route, "l2.py": "from l1 import x\n"}, "l1.py") == [("unresolved", None)]
-
-
-def test_default_prefix(resolve):
-    files = {"plugins/coupon/routes.py": BP + "c_bp = Blueprint('c', n)\n@c_bp.route('/list')\ndef l(): pass\n"}
-    assert resolve(files, "plugins/coupon/routes.py") == [("noprefix", "/list")]
-    profile = replace(Profile(), default_component_prefix="/plugin/{identifier}")
-    assert resolve(files, "plugins/coupon/routes.py", profile) == [("default", "/plugin/coupon/list")]
-
-
-def test_not_literal_app_and_unknown(resolve):
-    files = {
-        "a.py": BP + "from cfg import P\nbp = Blueprint('b', n, url_prefix=P)\n@bp.route('/ok')\ndef ok(): pass\n",
-        "d.py": BP + "bp = Blueprint('d', n, url_prefix='/d')\n@bp.route('/x/' + y)\ndef dyn(): pass\n",
-        "s.py": "@app.route('/health')\ndef h(): pass\n@mystery.route('/m')\ndef m(): pass\n",
-    }
-    assert resolve(files, "a.py") == [("nonliteral", None)]
-    assert resolve(files, "d.py") == [("blueprint", None)]
-    assert resolve(files, "s.py") == [("app", "/health"), ("unresolved", None)]
+def test_every_form(resolve):
+    table, got = resolve(Profile())
+    assert table == WANT
+    stats = {r.resolution: r.routes for r in ep.resolution_stats(got).collect()}
+    assert stats == {"blueprint": 4, "noprefix": 2, "nonliteral": 1, "imported": 4, "unresolved": 4, "registrar": 2, "app": 2}
 
 
-def test_first_known_call_decides(resolve):
-    files = {
-        "z/reg.py": "def reg(b):\n    @b.route('/r')\n    def r(): pass\n",
-        "a.py": BP + "from z.reg import reg\none = Blueprint('1', n, url_prefix='/one')\nreg(unknown)\nreg(one)\n",
-        "b.py": BP + "from z.reg import reg\ntwo = Blueprint('2', n, url_prefix='/two')\nreg(two)\n",
-    }
-    assert resolve(files, "z/reg.py") == [("registrar", "/one/r")]
+def test_default_prefix_of_components(resolve):
+    table, _ = resolve(replace(Profile(), default_component_prefix="/c/{identifier}"))
+    assert table == {**WANT, "plugins/gift/routes.py": [("default", "/c/gift/list")]}

@@ -31,90 +31,91 @@ def mods(corpus):
 def test_overview_counts(corpus):
     sizes = ov.file_sizes(corpus.files).cache()
     t = ov.totals(sizes).first()
-    assert (t.files, t.assets, t.lines, t.code) == (13, 3, 60, 53)
+    # counted by hand: docs/, debug_me.py and out.log stay out
+    assert (t.files, t.assets, t.lines, t.code) == (17, 6, 64, 44)
     tops = {r.top: (r.files, r.lines, r.code) for r in ov.by_top_dir(sizes).collect()}
-    assert tops == {"plugin_manager": (3, 34, 31), "plugins": (7, 22, 18), "i18n": (1, 2, 2), "shared": (1, 2, 2), "<root>": (1, 0, 0)}
-    assert rows(ov.extension_histogram(sizes), "ext", "files") == [(".json", 2), (".md", 1), (".py", 10)]
+    assert tops == {"plugin_manager": (4, 27, 19), "plugins": (10, 25, 17), "core": (1, 6, 4), "<root>": (2, 6, 4)}
+    assert rows(ov.extension_histogram(sizes), "ext", "files") == [(".json", 3), (".md", 2), (".py", 11), (".yml", 1)]
     big = ov.largest_files(sizes, 2).orderBy("rank").collect()
-    assert [(r.path, r.lines, r.code) for r in big] == [("plugin_manager/base.py", 21, 19), ("plugins/demo/routes.py", 10, 8)]
+    assert [(r.path, r.lines, r.code) for r in big] == [("plugin_manager/base.py", 16, 11), ("plugins/billing/views.py", 13, 8)]
 
 
 def test_symbols(corpus):
     table = sy.symbol_table(corpus.tables.classes, corpus.tables.functions, corpus.tables.routes)
     got = {(r.name, r.kind, r.file, r.line, r.owner) for r in table.collect()}
-    assert len({g[0] for g in got}) == 11
-    assert ("/ping", "route", "plugins/demo/routes.py", 5, "demo") in got
-    assert ("/list", "route", "plugins/demo/routes.py", 9, "demo") in got
-    assert ("BasePlugin", "class", "plugin_manager/base.py", 7, "plugin_manager") in got
-    assert ("DemoPlugin", "class", "plugins/demo/__init__.py", 3, "demo") in got
-    assert ("get_pooled_connection", "function", "plugins/_base/db.py", 1, "_base") in got
+    assert got == {
+        ("/open", "route", "plugins/billing/views.py", 7, "billing"), ("/<int:n>", "route", "plugins/billing/views.py", 12, "billing"),
+        ("open_bills", "function", "plugins/billing/views.py", 7, "billing"), ("drop", "function", "plugins/billing/views.py", 12, "billing"),
+        ("Billing", "class", "plugins/billing/__init__.py", 7, "billing"), ("post", "function", "plugins/ledger/__init__.py", 1, "ledger"),
+        ("BasePlugin", "class", "plugin_manager/base.py", 5, "plugin_manager"), ("ComponentManager", "class", "plugin_manager/manager.py", 4, "plugin_manager"),
+        ("main", "function", "core/run.py", 5, "core"), ("up", "function", "main.py", 5, "<root>"), ("/up", "route", "main.py", 5, "<root>"),
+    }
 
 
 def test_components(comps):
     by_dir = {r.dir: r for r in comps.collect()}
-    assert set(by_dir) == {"demo", "bad"}
-    demo, bad = by_dir["demo"], by_dir["bad"]
-    assert demo.manifest_valid and demo.route_count == 2 and demo.base_classes == 1 and demo.depends_on == {"shop": ">=1.0.0"}
-    assert not bad.manifest_valid
-    assert "identifier is not [a-z0-9_]+: Bad-Id" in bad.manifest_errors and "version is not X.Y.Z: 1.0" in bad.manifest_errors
-    assert "missing field: author" in bad.manifest_errors
+    assert set(by_dir) == {"billing", "ledger"}
+    good, bad = by_dir["billing"], by_dir["ledger"]
+    assert good.manifest_valid and good.manifest_errors == [] and good.route_count == 2 and good.base_classes == 1
+    assert set(good.depends_on) == {"ledger", "mail"} and good.hooks_keys == ["a", "b"] and good.i18n_locales == ["en"] and good.docs == ["README.md"]
+    assert (good.py_files, good.loc, good.loc_code, good.entry_docstring) == (2, 21, 14, "Billing component.")
+    assert [r.endpoint for r in good.routes] == ["open_bills", "drop"] and not good.route_truncated
+    assert bad.manifest_errors == ["missing field: capabilities", "identifier is not [a-z0-9_]+: Ledger!", "version is not X.Y.Z: 2"]
 
 
 def test_contract_source(corpus):
     row = mf.read_manifest_contract(corpus.files).first()
-    assert len(row.required) == 8
-    assert row.enums["category"] == ["system", "shop", "tools"]
+    assert row.required == ["identifier", "version", "capabilities"] and row.enums == {"kind": ["a", "b"]}
 
 
-def test_rejected_component_dirs(make_files):
-    files = make_files({"plugins/x/__init__.py": "", "plugins/y/plugin.json": "{}", "plugins/_z/a.py": ""})
-    got = {r.dir: (r.valid, r.reasons) for r in st.component_dirs(files).collect()}
-    assert got == {"x": (False, ["no plugin.json"]), "y": (False, ["no __init__.py"])}
+def test_rejected_component_dirs(corpus):
+    got = {r.dir: (r.valid, r.reasons) for r in st.component_dirs(corpus.files).collect()}
+    assert got == {"billing": (True, []), "ledger": (True, []), "half": (False, ["no plugin.json"])}
 
 
 def test_modules(mods):
-    got = {r.name: (r.py_files, r.class_total, r.function_total) for r in mods.collect()}
-    assert got == {"plugin_manager": (3, 2, 0), "shared": (1, 0, 1), "i18n": (1, 0, 0)}
+    got = {r.name: (r.py_files, r.class_total, r.function_total, r.route_count) for r in mods.collect()}
+    assert got == {"plugin_manager": (4, 2, 0, 0), "core": (1, 0, 1, 0)}
     pm = mods.where("name = 'plugin_manager'").first()
-    assert [c["name"] for c in pm.classes] == ["PluginManager", "BasePlugin"]
-    assert pm.import_roots == {"abc": 1, "base": 1}
+    assert [c["name"] for c in pm.classes] == ["BasePlugin", "ComponentManager"] and pm.import_roots == {"abc": 1, "base": 1}
 
 
 def test_framework_contract(corpus):
-    got = st.framework_contract(corpus.tables)
-    names = [(r.part, r.name, r.abstract) for r in got.orderBy("part", "seq").collect()]
-    assert names == [
-        ("base", "setup", True), ("base", "activate", True), ("base", "deactivate", False), ("base", "t", False),
-        ("manager", "is_enabled", False), ("manager", "get_config", False),
-    ]
-    assert st.discovery_rules(corpus.tables).count() == 6
-    assert rows(st.framework_helpers(corpus.tables), "module") == [("plugins._base.db",)]
-    assert st.support_modules(corpus.tables).count() == 0
+    got = [(r.part, r.name, r.abstract) for r in st.framework_contract(corpus.tables).orderBy("part", "seq").collect()]
+    assert got == [("base", "start", True), ("base", "label", False), ("manager", "names", False)]
+    assert [r.line for r in st.discovery_rules(corpus.tables).orderBy("line_no").collect()] == ["How components are found.", "", "One folder each."]
+    assert rows(st.framework_helpers(corpus.tables), "module", "docstring") == [("plugins._base.http", "HTTP helpers.")]
+    assert rows(st.support_modules(corpus.tables), "module") == [("plugin_manager.util",)]
+    assert rows(st.component_templates(corpus.files), "dir", "name") == [("plugins/_templates/shop", "Shop template")]
+    assert rows(st.entry_scripts(corpus.tables), "path", "docstring", "route_count") == [("main.py", "Entry.", 1)]
 
 
 def test_interactions(corpus, comps, mods):
     imports = st.component_imports(corpus.tables.imports)
     assert rows(st.core_usage(imports), "module", "imports") == [("plugin_manager", 1)]
-    assert rows(st.component_edges(comps, imports), "src", "dst") == [("demo", "shop")]
-    assert st.boundary_violations(corpus.tables.imports, comps, mods).count() == 0
+    assert rows(st.helper_usage(imports), "helper", "imports") == [("http", 1)]
+    assert rows(st.component_edges(comps, imports), "src", "dst") == [("billing", "ledger"), ("billing", "mail")]
+    assert rows(st.dependents(st.component_edges(comps, imports), "ledger"), "dependent") == [("billing",)]
+    assert rows(st.boundary_violations(corpus.tables.imports, comps, mods), "module", "file", "imports") == [("core", "core/run.py", "plugins.ledger")]
     assert rows(st.base_class_ratio(comps), "with_base_class", "components") == [(1, 2)]
 
 
 def test_headings_and_kpis(corpus, comps, mods):
     md = corpus.files.where("path = 'AGENTS.md'")
-    assert [r.heading for r in dc.headings(md, 3, 30).orderBy("pos").collect()] == ["First rule", "Second rule"]
+    assert [r.heading for r in dc.headings(md, 3, 30).orderBy("pos").collect()] == ["Naming", "Tests"]
+    assert rows(dc.key_documents(corpus.files), "path", "title") == [("AGENTS.md", "Agents")]
     violations = st.boundary_violations(corpus.tables.imports, comps, mods)
     k = dc.kpis(ov.totals(ov.file_sizes(corpus.files)), mods, comps, violations, st.entry_scripts(corpus.tables)).first()
-    assert (k.core_modules, k.plugins, k.plugins_manifest_invalid, k.routes_total, k.files, k.lines_code) == (3, 2, 1, 2, 13, 53)
+    assert (k.core_modules, k.plugins, k.plugins_manifest_invalid, k.routes_total, k.routes_core, k.boundary_violations, k.files) == (2, 2, 1, 2, 1, 1, 17)
 
 
 def test_shape_and_target(corpus, comps, mods):
     from codefacts.profile import EMBEDDED, GENERIC, Profile
 
     assert ov.infer_shape(corpus.files, [EMBEDDED, GENERIC, Profile()]).first().profile == "default"
-    assert rows(st.resolve_target(comps, mods, "demo"), "kind", "name") == [("plugin", "demo")]
-    assert rows(st.resolve_target(comps, mods, "module:shared"), "kind", "name") == [("module", "shared")]
-    parts = st.context_slice(corpus.tables, "plugin", "demo", "full")
+    assert rows(st.resolve_target(comps, mods, "billing"), "kind", "name") == [("plugin", "billing")]
+    assert rows(st.resolve_target(comps, mods, "module:core"), "kind", "name") == [("module", "core")]
+    parts = st.context_slice(corpus.tables, "plugin", "billing", "full")
     assert parts["routes"].count() == 2 and parts["files"].count() == 2
 
 
@@ -146,3 +147,17 @@ def test_fingerprint_changes_with_any_file(spark, make_files):
 def test_package_root_is_a_module_only_with_sources(make_files):
     files = make_files({"lib/a.h": "", "assets/x.css": "", "tests/t.py": ""})
     assert rows(st.module_dirs(files), "name") == [("lib",), ("tests",)]
+
+
+def test_whole_analysis(corpus, tmp_path):
+    from codefacts.plans.analysis import analyze
+    from codefacts.sources import sinks
+
+    sections = analyze(corpus)
+    gates = {r.gate: r.passed for r in sections["gate_results"].collect()}
+    assert gates == {"manifest-invalid": False, "boundary-violation": False, "plugin-cycle": True, "include-cycle": True,
+                     "route-unprefixed": True, "file-too-large": True, "findings": False}
+    assert rows(sections["findings"].where("severity = 'error'"), "rule_id", "target") == [("ARCH001", "core"), ("SPEC002", "Ledger!"), ("SPEC005", "Ledger!")]
+    assert {r.endpoint_path for r in sections["endpoints"].collect()} == {"/admin/billing/open", "/admin/billing/<int:n>", "/up"}
+    written = sinks.write_sections(sections, str(tmp_path / "out"), "s1", only=["overview", "components", "findings"])
+    assert sorted(written) == ["components", "findings", "overview"]
