@@ -174,28 +174,29 @@ def _pair_hits(files: DataFrame, rule: PairRule) -> DataFrame:
     # a file without an assignment ends here
     split = files.select("repo", "path", raw_lines.alias("raw"), names.alias("vars")).where(F.exists("vars", lambda v: v != ""))
     split = split.select("repo", "path", "vars", F.transform("raw", facts).alias("ls"))
-    starts = split.select("repo", "path", "ls", F.posexplode("vars").alias("i", "var")).where("var <> ''")
-    ahead = F.slice("ls", F.col("i") + 2, F.lit(rule.window - 1))
-    rows = starts.select("repo", "path", "i", "var", F.get("ls", F.col("i"))["indent"].alias("indent"), ahead.alias("ahead"))
-    use = F.replace(F.lit(rule.use), F.lit("{var}"), F.col("var"))
-
-    def event(x: Column) -> Column:
-        return (
-            F.when(x["body"] == "", 0)
-            .when((x["indent"] < F.col("indent")) & ~x["goes_on"], 1)
-            .when(x["escapes"], 2)
-            .when(F.rlike(x["body"], use), 3)
-            .otherwise(0)
-        )
-
-    events = F.transform("ahead", event)
-    first = F.array_position(F.transform(events, lambda e: e > 0), True)
-    rows = rows.select("repo", "path", "i", "ahead", events.alias("events"), first.cast("int").alias("first"))
-    used = rows.where((F.col("first") > 0) & (F.get("events", F.col("first") - 1) == 3))
-    return used.select(
-        "repo", "path", F.lit(rule.name).alias("rule"), (F.col("i") + 1 + F.col("first")).cast("int").alias("line_no"),
-        F.substring(F.get("ahead", F.col("first") - 1)["body"], 1, 120).alias("snippet"),
-    )
+
+    def outcome(var: Column, i: Column) -> Column:
+        """The first line after line ``i`` that decides, with its number; the file's lines are never copied per assignment."""
+        indent = F.get(F.col("ls"), i)["indent"]
+        use = F.replace(F.lit(rule.use), F.lit("{var}"), var)
+
+        def event(x: Column, j: Column) -> Column:
+            kind = (
+                F.when(x["body"] == "", 0)
+                .when((x["indent"] < indent) & ~x["goes_on"], 1)
+                .when(x["escapes"], 2)
+                .when(F.rlike(x["body"], use), 3)
+                .otherwise(0)
+            )
+            return F.named_struct(F.lit("kind"), kind, F.lit("line_no"), (i + j + 2).cast("int"), F.lit("body"), x["body"])
+
+        ahead = F.slice(F.col("ls"), i + 2, F.lit(rule.window - 1))
+        decisive = F.filter(F.transform(ahead, event), lambda e: e["kind"] > 0)
+        return F.when(var != "", F.get(decisive, F.lit(0)))
+
+    hits = F.filter(F.transform("vars", outcome), lambda h: h.isNotNull() & (h["kind"] == 3))
+    used = split.select("repo", "path", F.explode(hits).alias("h"))
+    return used.select("repo", "path", F.lit(rule.name).alias("rule"), F.col("h.line_no").alias("line_no"), F.substring("h.body", 1, 120).alias("snippet"))
 
 
 # ------------------------------------------------------------------ claims
