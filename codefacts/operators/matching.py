@@ -171,9 +171,10 @@ def _pair_hits(files: DataFrame, rule: PairRule) -> DataFrame:
 
     raw_lines = text.split_lines("content")
     names = F.transform(raw_lines, lambda x: F.regexp_extract(x, rule.assign, 1))
-    # a file without an assignment ends here
-    split = files.select("repo", "path", raw_lines.alias("raw"), names.alias("vars")).where(F.exists("vars", lambda v: v != ""))
-    split = split.select("repo", "path", "vars", F.transform("raw", facts).alias("ls"))
+    split = files.select("repo", "path", raw_lines.alias("raw"), names.alias("vars"))
+    # only a file with an assignment pays for the line facts; a filter here would be pushed below the split and repeat it
+    assigns = F.exists("vars", lambda v: v != "")
+    split = split.select("repo", "path", "vars", F.when(assigns, F.transform("raw", facts)).alias("ls"))
 
     def outcome(var: Column, i: Column) -> Column:
         """The first line after line ``i`` that decides, with its number; the file's lines are never copied per assignment."""
