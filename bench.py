@@ -1,7 +1,7 @@
 """Headline queries at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``; prints one JSON line with seconds per query.
 
-Each query is run once to warm up the session (JIT, Python workers) only through a small shared warm-up, then timed once
-from plan to last row; results are consumed by a no-op sink, so no rows pass through the driver.
+One small aggregation starts the session; then each query is timed once, cold, from building its plan to its last row.
+Results go to a no-op sink, so no rows pass through the driver.
 """
 
 from __future__ import annotations
