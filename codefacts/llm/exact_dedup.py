@@ -33,7 +33,8 @@ def frequent(rows: DataFrame, tracked: int = TRACKED) -> DataFrame:
     """(digest, keep_id, group_size) of digests that more than one row in ``tracked`` has; at most ``tracked`` rows."""
     capacity = 1 << (tracked * 4 - 1).bit_length()
     partial = rows.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(FAN_IN)).alias("part")).agg(F.expr(f"approx_top_k_accumulate(digest, {capacity})").alias("sketch"))
-    top = partial.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {capacity}), {tracked})").alias("top"))
+    # grouped, if by a constant: a task without sketches must not begin one
+    top = partial.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {capacity}), {tracked})").alias("top"))
     candidates = top.select(F.explode("top").alias("item")).select(F.col("item.item").alias("digest"))
     counted = rows.join(F.broadcast(candidates), "digest").groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     total = rows.agg(F.count("*").alias("n"))
