@@ -19,6 +19,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codefacts.llm.arrays import place
 from codefacts.session import materialize
 
 #: sampled records for each range
@@ -34,21 +35,6 @@ def text_key(text: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 12)
 
 
-def _place(bounds: Column, value: Column, steps: int) -> Column:
-    """How many of the sorted ``bounds`` are below ``value``: a binary search, ``steps`` halvings."""
-    half = lambda span: F.element_at(bounds, ((span["lo"] + span["hi"]) / 2).cast("int") + 1)
-    mid = lambda span: ((span["lo"] + span["hi"]) / 2).cast("int")
-    start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
-    return F.aggregate(
-        F.array_repeat(F.lit(0), steps),
-        start,
-        lambda span, _: F.when(span["lo"] >= span["hi"], span)
-        .when(half(span) < value, F.struct((mid(span) + 1).alias("lo"), span["hi"].alias("hi")))
-        .otherwise(F.struct(span["lo"].alias("lo"), mid(span).alias("hi"))),
-        lambda span: span["lo"],
-    )
-
-
 def _quantiles(value: str, parts: int) -> Column:
     return F.array_sort(F.array_distinct(F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(50 * parts))))
 
@@ -71,7 +57,7 @@ def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
     drawn = records.filter(coin * F.lit(rate) < F.col("size"))
     bounds = drawn.agg(_quantiles("key", ranges).alias("bounds")).first().bounds or []  # at most ``ranges`` numbers
     sorted_bounds = F.array(*[F.lit(int(b)) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    below = _place(sorted_bounds, F.col("key"), max(1, len(bounds)).bit_length() + 1)
+    below = place(sorted_bounds, F.col("key"))
     own = F.coalesce(F.try_element_at(sorted_bounds, below + 1) == F.col("key"), F.lit(False))
     ranged = records.withColumn("range", below * 2 + own.cast("int"))  # odd: the range of one boundary key
 
@@ -91,7 +77,7 @@ def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
         sub = F.lit(0)
         for number, cut in cuts.items():
             if cut:
-                sub = F.when(F.col("range") == number, _place(F.array(*[F.lit(c) for c in cut]), finer, len(cut).bit_length() + 1)).otherwise(sub)
+                sub = F.when(F.col("range") == number, place(F.array(*[F.lit(c) for c in cut]), finer)).otherwise(sub)
         ranged = ranged.withColumn("sub", F.when(F.col("doc_id").isNull() & (F.col("range") % 2 == 1), F.lit(0)).otherwise(sub))
 
     # exact places: sums of whole ranges on the driver (their number is bounded), running sums inside each range
