@@ -2,13 +2,13 @@
 
 Two texts are linked if the Jaccard similarity of their sets of shingles is at least 0.8; a class is a connected part of
 the links. Equal texts are one text from the start. Texts whose signatures agree in a whole band share a bucket; with
-16 bands of 4 registers a pair of similarity 0.8 shares one with probability 0.9998, a pair of 0.9 with 1 - 2e-8.
+20 bands of 4 registers a pair of similarity 0.8 shares one with probability 0.99997.
 
-Buckets are never expanded into all their pairs. In the first round every text of a bucket is compared with the bucket's
-smallest id. Classes are joined, and in later rounds texts that are not in the largest class of their bucket are compared
-with those of other classes, 16 of them, then 256 and so on, until every pair of a bucket has been compared or lies in
-one class. So no link of a bucket is lost, and a bucket of copies costs one comparison for each text. The rounds keep
-their tables in the shared folder.
+Buckets are never expanded into all their pairs. First every text of a bucket is compared with the bucket's smallest id,
+so a bucket of copies costs one comparison for each text, and linked texts share a label. Then texts that are not in the
+largest label of their bucket are held against those of other labels by sketches of 256 registers (the comparison is part
+of the join): pairs whose sketches agree like 0.8 are compared first, labels are joined again, and then all pairs of
+different labels whose sketches do not rule out 0.8 (four standard errors). Each such pair is met in one bucket only.
 
 Null and empty texts and texts without words are only alike if they are equal (null is empty). Texts of one to four
 words are one shingle. Rows without an id are left out of ``classes`` and kept by ``keep_one``; repeated rows of an id
@@ -19,10 +19,11 @@ by ``classes`` and kept by ``keep_one``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.llm import exact_dedup, grams, minhash
@@ -30,25 +31,41 @@ from codefacts.session import materialize
 
 #: similarity from which on two texts are linked
 SIMILARITY = 0.8
-BANDS, ROWS = 16, 4
-#: how many more texts of a bucket are compared in a round than in the round before
-GROWTH = 16
+BANDS, ROWS = 20, 4
+#: registers of a sketch, four bits of each; similarities of sketches from which on pairs are compared, in two steps
+REGISTERS, SKETCH_STEPS = 256, (0.80, 0.69)
 
 
 def band_table(texts: DataFrame) -> DataFrame:
-    """doc and keys (one for each band) of the texts that have words."""
+    """doc, keys (one for each band) and sketch of the texts that have words."""
+
+    def lists(values: np.ndarray) -> pa.Array:
+        each = values.shape[1]
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, each), pa.int32()), pa.array(values.ravel(), pa.int64()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shifts = np.arange(16, dtype=np.uint64) * np.uint64(4)
         for batch in batches:
             for lo, hi in grams.slices(batch.column("text")):
                 part = batch.slice(lo, hi - lo)
                 rows, values, counts = minhash.shingles(part.column("text"))
-                owner, has = minhash.signatures(rows, values, counts, hi - lo, BANDS * ROWS)
-                keys = minhash.band_keys(owner[has], BANDS)
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel(), pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc").filter(pa.array(has)), listed], names=["doc", "keys"])
+                owner, has = minhash.signatures(rows, values, counts, hi - lo, REGISTERS)
+                owner = owner[has]
+                sketch = np.bitwise_or.reduce((owner & np.uint64(15)).reshape(len(owner), REGISTERS // 16, 16) << shifts, axis=2)
+                keys = minhash.band_keys(owner[:, : BANDS * ROWS], BANDS)
+                yield pa.RecordBatch.from_arrays([part.column("doc").filter(pa.array(has)), lists(keys), lists(sketch.view(np.int64))], names=["doc", "keys", "sketch"])
+
+    return texts.mapInArrow(work, "doc long, keys array<long>, sketch array<long>")
+
 
-    return texts.mapInArrow(work, "doc long, keys array<long>")
+def sketches_agree(mine: Column, other: Column, similarity: float) -> Column:
+    """Whether two sketches agree in as many registers as texts of that similarity do on average."""
+    differ = F.lit(0)
+    for k in range(REGISTERS // 16):
+        x = F.get(mine, F.lit(k)).bitwiseXOR(F.get(other, F.lit(k)))
+        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        differ = differ + F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+    return differ <= int(REGISTERS * 15 / 16 * (1 - similarity))
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -101,12 +118,37 @@ def components(links: DataFrame) -> DataFrame:
     return materialize(edges.select(F.col("v").alias("doc"), F.col("u").alias("class")).unionByName(roots).groupBy("doc").agg(F.min("class").alias("class")))
 
 
-def _relabel(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """``classes`` (doc, class) after joining the classes that ``links`` connect."""
-    name = lambda end: classes.select(F.col("doc").alias(end), F.col("class").alias(f"class_{end}"))
-    between = links.join(name("a"), "a").join(name("b"), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
-    new = components(between).select(F.col("doc").alias("class"), F.col("class").alias("joined"))
-    return materialize(classes.join(new, "class", "left").select("doc", F.coalesce("joined", "class").alias("class")))
+def _between(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(class_a, class_b): different labels that links connect."""
+    name = lambda end: labels.select(F.col("doc").alias(end), F.col("class").alias(f"class_{end}"))
+    return links.join(name("a"), "a").join(name("b"), "b").filter("class_a <> class_b").select("class_a", "class_b").distinct()
+
+
+def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (doc, class) after hanging every class on the smallest class it is linked to, followed up twice.
+
+    Texts of one label are connected; connected texts may still have several labels.
+    """
+    between = materialize(_between(labels, links))
+    both = between.select(F.col("class_a").alias("u"), F.col("class_b").alias("v")).unionByName(between.select(F.col("class_b").alias("u"), F.col("class_a").alias("v")))
+    hung = materialize(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("v")))
+    for _ in range(2):
+        hung = hung.join(hung.select(F.col("u").alias("v"), F.col("v").alias("w")), "v").select("u", F.col("w").alias("v"))
+    return materialize(labels.join(hung.select(F.col("u").alias("class"), F.col("v").alias("new")), "class", "left").select("doc", F.coalesce("new", "class").alias("class")))
+
+
+def _cross_pairs(buckets: DataFrame, bands: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of one bucket with different labels and sketches like ``similarity``, each once."""
+    member = buckets.join(labels, "doc")
+    counted = member.groupBy("key", "class").agg(F.count("*").alias("n"))
+    open_keys = counted.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.count("*").alias("classes")).filter("classes > 1")
+    member = materialize(member.join(open_keys.select("key", "largest"), "key").join(bands, "doc"))
+    outside = member.filter("class <> largest").select("key", F.col("doc").alias("a"), F.col("class").alias("of"), F.col("keys").alias("own"), F.col("sketch").alias("mine"))
+    # a pair counts in the first bucket it shares, and there from one side: keys of different bands never agree
+    earlier = F.size(F.array_intersect(F.slice("keys", F.lit(1), F.col("band")), F.col("own")))
+    once = (F.col("class") == F.col("largest")) | (F.col("a") < F.col("doc"))
+    met = outside.join(member, [outside["key"] == member["key"], F.col("of") != F.col("class"), once, sketches_agree(F.col("mine"), F.col("sketch"), similarity), earlier == 0])
+    return materialize(met.select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")))
 
 
 def linked_classes(texts: DataFrame) -> DataFrame:
@@ -114,37 +156,22 @@ def linked_classes(texts: DataFrame) -> DataFrame:
     bands = materialize(band_table(texts))
     entries = bands.select("doc", F.posexplode("keys").alias("band", "key"))
     shared = entries.groupBy("key").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")
-    buckets = materialize(entries.join(shared, "key").join(bands, "doc"))
-    docs = buckets.select("doc").distinct()
-    held = materialize(texts.join(docs.hint("shuffle_hash"), "doc"))
-    classes = materialize(docs.withColumn("class", F.col("doc")))
-
-    pairs = materialize(buckets.filter("leader <> doc").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct())
-    tested, led, leaders_each = pairs, None, GROWTH
-    while True:
-        links = materialize(similar(pairs, held))
-        classes = _relabel(classes, links)
-        member = buckets.select("key", "band", "doc", "keys").join(classes, "doc")
-        counted = member.groupBy("key", "class").agg(F.count("*").alias("n"))
-        open_keys = counted.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.count("*").alias("classes")).filter("classes > 1")
-        member = materialize(member.join(open_keys.select("key", "largest"), "key"))
-        outside = member.filter("class <> largest").select("key", "doc")
-        if led is not None:
-            outside = outside.join(led, ["key", "doc"], "left_anti")
-        slot = F.pmod(F.xxhash64(F.lit(leaders_each), "doc"), F.lit(leaders_each))
-        chosen = materialize(outside.groupBy("key", slot.alias("slot")).agg(F.min("doc").alias("doc")).select("key", "doc"))
-        if chosen.isEmpty():
-            break
-        led = chosen if led is None else materialize(led.unionByName(chosen))
-        leaders = chosen.join(member, ["key", "doc"]).select("key", F.col("doc").alias("leader"), F.col("class").alias("of"), F.col("keys").alias("own"))
-        # a pair is compared in the first bucket that it shares
-        earlier = F.size(F.array_intersect(F.slice("keys", 1, F.col("band")), F.col("own")))
-        met = member.join(leaders, "key").filter((F.col("class") != F.col("of")) & (F.when(F.col("band") > 0, earlier).otherwise(0) == 0))
-        fresh = met.select(F.least("leader", "doc").alias("a"), F.greatest("leader", "doc").alias("b")).distinct()
-        pairs = materialize(fresh.join(tested, ["a", "b"], "left_anti"))
-        tested = tested.unionByName(pairs)
-        leaders_each *= GROWTH
-    return classes
+    buckets = materialize(entries.join(shared, "key"))
+    labels = materialize(buckets.select("doc").distinct().withColumn("class", F.col("doc")))
+    held = materialize(texts.join(labels.select("doc").hint("shuffle_hash"), "doc"))
+
+    pairs = buckets.filter("leader <> doc").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
+    links = [materialize(similar(pairs, held))]
+    labels = _relabel(labels, links[0])
+    buckets = buckets.drop("leader")
+    for step in SKETCH_STEPS:
+        links.append(materialize(similar(_cross_pairs(buckets, bands, labels, step), held)))
+        if step != SKETCH_STEPS[-1]:
+            labels = _relabel(labels, links[-1])
+    # a link may have joined one of its ends to something smaller only, so all links count again, between labels
+    every = reduce(DataFrame.unionByName, links)
+    parts = components(_between(labels, every).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
+    return labels.join(parts.select(F.col("doc").alias("class"), F.col("class").alias("joined")), "class", "left").select("doc", F.coalesce("joined", "class").alias("class"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
