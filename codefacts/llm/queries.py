@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts.llm import bpe, decontamination, exact_dedup, linear, near_dedup, pii, quality, shards, toxicity
+from codefacts.llm import bpe, decontamination, exact_dedup, linear, near_dedup, pii, quality, shards, toxicity, warc
+from codefacts.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +34,21 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+@query(
+    "op2_warc",
+    """
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+    FROM f
+    """,
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = materialize(warc.write_packages(table(spark, sf_dir, "pages"), warc.archive_folder(spark)))
+    return warc.read_packages(packages, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query(
     "op3_exact_dedup",
     """
