@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts.llm import bpe, decontamination, exact_dedup, linear, near_dedup, pii, quality, shards, toxicity, warc
+from codefacts.llm import bpe, decontamination, exact_dedup, linear, maintext, near_dedup, pii, quality, shards, toxicity, warc
 from codefacts.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+@query("op6_maintext")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return maintext.extract(pages, maintext.fit(pages)).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 @query("op7_decontamination")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontamination.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
