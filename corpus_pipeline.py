@@ -1,19 +1,20 @@
-"""Cleaning a document table in stages; every stage is written as Parquet and read again as the next one's input."""
+"""Cleaning and encoding a document table in stages; every stage is written as Parquet and read again as the next one's input."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codefacts.llm import exact_dedup, toxicity
+from codefacts.llm import bpe, decontamination, exact_dedup, near_dedup, toxicity
+from codefacts.llm.queries import tokenizer_path
 from codefacts.session import ensure_checkpoint_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold; the model is fitted on the labelled rows of the whole table."""
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.reject(docs, model)
+    """Documents whose toxicity score is below the threshold; the model is fitted on labelled rows."""
+    return toxicity.reject(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,12 +22,31 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.keep_one(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every class of near duplicates the document with the smallest id."""
+    return near_dedup.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words lie in benchmark passages."""
+    return decontamination.drop(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left: doc_id, n_tokens, ids and the digest of the decoded text."""
+    coded = bpe.encode(docs, tokenizer_path(), decoded=True)
+    return coded.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("bpe", encode),
 ]
 
-#: no SQL can say what a fitted classifier or a tokenizer does
+#: no SQL can say what a fitted classifier or a tokenizer does; tests/llm has a brute-force version
 ORACLE_SQL = None
 
 
