@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from codefacts.llm import grams
 
 #: labelled rows that a classifier is fitted on, at most
-LABELLED_ROWS = 8000
+LABELLED_ROWS = 6000
 #: features are hashed into 2 ** BITS buckets
 BITS = 18
 #: buckets that may get a weight, at most
@@ -90,9 +90,10 @@ def labelled_sample(
                 )
 
     described = texts.mapInArrow(describe, "doc_id long, label int, features binary, variants array<binary>").dropDuplicates(["doc_id"])
-    found = sorted(described.collect(), key=lambda r: r.doc_id)
     read = lambda b: np.frombuffer(b, np.int32)
-    return Sample(np.array([r.label for r in found], np.int64), [read(r.features) for r in found], [[read(v) for v in r.variants] for r in found])
+    found = [(r.doc_id, r.label, read(r.features), [read(v) for v in r.variants]) for r in described.toLocalIterator()]  # ``rows`` of them, partition by partition
+    found.sort(key=lambda r: r[0])
+    return Sample(np.array([y for _, y, _, _ in found], np.int64), [x for _, _, x, _ in found], [v for _, _, _, v in found])
 
 
 def log_count_ratio(features: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0) -> np.ndarray:

@@ -37,7 +37,7 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("frauen", "männer", "femmes", "hommes", "mujeres", "hombres"),
 )
 #: altered texts for each labelled row
-VARIANTS = 2
+VARIANTS = 1
 #: weight of the squared change of score, and of the squared weights
 FAIRNESS, RIDGE = 5.0, 1e-3
 
