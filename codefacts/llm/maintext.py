@@ -123,13 +123,12 @@ def main_text(page: str, scores: dict[str, float]) -> str:
     best = total = 0.0
     region, begin = (0, 0), 0
     for k, (key, _, n, gone) in enumerate(seen):
-        if gone:  # what is left out neither joins nor parts what is around it
-            total -= 0 if key[0] == "w" else LEAST
-        else:
-            score = scores.get(key)
-            if score is None:
-                score = default_score(key)
-            total += score * n if key[0] == "w" else score
+        if gone:
+            continue  # what is left out neither joins nor parts what is around it
+        score = scores.get(key)
+        if score is None:
+            score = default_score(key)
+        total += score * n if key[0] == "w" else score
         if total <= 0:
             total, begin = 0.0, k + 1
         elif total > best:

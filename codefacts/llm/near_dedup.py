@@ -193,5 +193,5 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the smallest id, with all columns."""
-    dropped = classes(docs).filter(~F.col("kept")).select("doc_id")
-    return docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    gone = classes(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__gone"], "left_anti")
