@@ -215,10 +215,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame
 
 def drop(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns; no row is moved."""
-    names = {c: f"own_{k}" for k, c in enumerate(docs.columns)}  # so that no column of theirs is taken for one of ours
-    text = names["text"]
-    held = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    marked, _ = _marked(held.withColumnRenamed(text, "text"), benchmark, block)
+    at = docs.columns.index("text")  # their columns get other names meanwhile, so that none is taken for one of ours
+    names = ["text" if k == at else f"own_{k}" for k in range(len(docs.columns))]
+    marked, _ = _marked(docs.toDF(*names), benchmark, block)
     n_hit = F.aggregate(_merged(F.col("spans")), F.lit(0).cast("long"), lambda n, s: n + s["end_word"] - s["first_word"])
-    kept = marked.filter(~is_contaminated(F.col("n_words"), n_hit)).withColumnRenamed("text", text)
-    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
+    return marked.filter(~is_contaminated(F.col("n_words"), n_hit)).select(*names).toDF(*docs.columns)

@@ -135,9 +135,10 @@ def score(docs: DataFrame, model: linear.Model) -> DataFrame:
 def reject(docs: DataFrame, model: linear.Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all their columns, that are not toxic; filtered where they lie, without a shuffle."""
     at = docs.columns.index("text")
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # whatever the columns are called
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(model.scores(batch.column(at)) < threshold))
 
-    return docs.mapInArrow(work, docs.schema)
+    return plain.mapInArrow(work, plain.schema).toDF(*docs.columns)
