@@ -72,7 +72,7 @@ def unused_imports(py_facts: DataFrame, threshold: int | None = None) -> DataFra
     first_part = lambda i: F.substring_index(i["module"], ".", 1)
     bound = F.transform(top, lambda i: F.struct(F.coalesce(i["alias"], i["name"], first_part(i)).alias("name"), i["lineno"].alias("lineno")))
     # of several imports of a name, the last one is its binding
-    names = F.array_except(F.array_distinct(F.transform(bound, lambda b: b["name"])), F.array_union("used", "exported"))
+    names = F.array_except(F.array_distinct(F.transform(bound, lambda b: b["name"])), F.array_union(F.col("used"), fx.exported("listed")))
     unused = F.transform(names, lambda n: F.struct(n.alias("name"), F.element_at(F.filter(bound, lambda b: b["name"] == n), -1)["lineno"].alias("lineno")))
     rows = py_facts.where("ok").select("repo", "path", F.explode(unused).alias("u"))
     return rows.select("repo", "path", F.col("u.lineno").alias("lineno"), F.concat(F.lit("unused import "), F.col("u.name")).alias("snippet"))

@@ -68,7 +68,7 @@ def functions(facts: DataFrame) -> DataFrame:
     rows = _records(facts, "defs").where("kind = 'def' and container = ''")
     return rows.select(
         "repo", "path", "name", F.concat(F.lit("def "), "name", "signature").alias("signature"),
-        F.col("doc").alias("docstring"), "decorators", (~F.col("name").startswith("_")).alias("public"), "lineno",
+        text.first_line("doc").alias("docstring"), "decorators", (~F.col("name").startswith("_")).alias("public"), "lineno",
     )
 
 
@@ -77,7 +77,7 @@ def classes(facts: DataFrame, base_class: str = "BasePlugin") -> DataFrame:
     rows = _records(facts, "defs").where("kind = 'class' and container = ''")
     based = F.exists("bases", lambda b: b.endswith(base_class))
     return rows.select(
-        "repo", "path", "name", "bases", F.col("doc").alias("docstring"), based.alias("inherits_base"), "lineno"
+        "repo", "path", "name", "bases", text.first_line("doc").alias("docstring"), based.alias("inherits_base"), "lineno"
     )
 
 
@@ -86,7 +86,7 @@ def methods(facts: DataFrame) -> DataFrame:
     rows = _records(facts, "defs").where("kind = 'def' and container <> ''")
     return rows.select(
         "repo", "path", F.col("container").alias("class_name"), F.col("container_line").alias("class_line"), "seq",
-        "name", F.concat("name", "signature").alias("signature"), F.col("doc").alias("docstring"),
+        "name", F.concat("name", "signature").alias("signature"), text.first_line("doc").alias("docstring"),
         _is_abstract(F.col("decorators")).alias("abstract"), "decorators", "lineno",
     )
 
@@ -115,11 +115,11 @@ def call_records(facts: DataFrame) -> DataFrame:
 
 
 def _target(chain: Column) -> Column:
-    return F.array_join(F.slice(chain, 1, 3), ".")
+    return F.array_join(chain, ".")
 
 
 def calls(facts: DataFrame) -> DataFrame:
-    """Distinct (caller, target) pairs; a target has at most three name parts."""
+    """Distinct (caller, target) pairs; a target has all its name parts."""
     pair = F.transform(
         F.filter("calls", lambda c: c["chain"][0] != "<other>"),
         lambda c: F.struct(
@@ -143,13 +143,17 @@ def single_name_calls(facts: DataFrame) -> DataFrame:
 
 
 def rule_calls(facts: DataFrame) -> DataFrame:
-    """Every call as ``owner.attr`` (or the bare last name) with its keyword arguments as a map of source text."""
+    """Every call as ``owner.attr`` (or the bare last name) with its keyword arguments as a map of source text.
+
+    Python's parser lets a keyword be given twice; the last one counts.
+    """
     chain = F.col("chain")
     plain_owner = (F.size(chain) == 2) & ~chain[0].startswith("<")
     name = F.when((F.size(chain) == 1) | plain_owner, F.array_join(chain, ".")).otherwise(F.element_at(chain, -1))
     keywords = F.filter("args", lambda a: a["kw"].isNotNull() & (a["kw"] != "**"))
-    pairs = F.transform(keywords, lambda a: F.struct(a["kw"], a["text"]))
-    return call_records(facts).select("repo", "path", name.alias("name"), "lineno", F.map_from_entries(pairs).alias("kwargs"))
+    names = F.array_distinct(F.transform(keywords, lambda a: a["kw"]))
+    last = F.transform(names, lambda n: F.element_at(F.filter("args", lambda a: a["kw"] == n), -1)["text"])
+    return call_records(facts).select("repo", "path", name.alias("name"), "lineno", F.map_from_arrays(names, last).alias("kwargs"))
 
 
 def _keyword(args: Column, name: str) -> Column:
@@ -212,7 +216,7 @@ def routes(facts: DataFrame) -> DataFrame:
         F.when(first.isNull(), "").otherwise(first["text"]).alias("rule"), first["value"].alias("rule_value"),
         F.sort_array(F.array_distinct(own_methods)).alias("methods"),
         F.col("decorates").alias("endpoint"), F.col("decorates_line").alias("lineno"),
-        F.col("decorates_doc").alias("purpose"), F.col("owner_param_of").isNotNull().alias("owner_is_param"),
+        text.first_line("decorates_doc").alias("purpose"), F.col("owner_param_of").isNotNull().alias("owner_is_param"),
         F.col("owner_param_of").alias("registrar"),
     )
     rule_kw, name_kw, view = _keyword(args, "rule"), _keyword(args, "endpoint"), _keyword(args, "view_func")
@@ -246,8 +250,16 @@ def route_symbol(rule: Column | str) -> Column:
 
 
 def handlers(facts: DataFrame) -> DataFrame:
-    """Exception handlers, for the swallowed-error checks."""
-    return _records(facts, "handlers")
+    """Exception handlers, for the swallowed-error checks: what they return, and whether they look at the error."""
+    rows = _records(facts, "handlers")
+    literal = F.exists("returns", lambda kind: kind.isin("Constant", "List", "Dict", "Tuple"))
+    return rows.withColumn("const_return", literal).withColumn("uses_error", F.col("caught").isNotNull() & F.array_contains("names", F.col("caught")))
+
+
+def exported(listed: Column | str) -> Column:
+    """Names that a file lists in its first ``__all__``."""
+    own = F.get(F.filter(listed, lambda x: F.array_contains(x["targets"], "__all__")), F.lit(0))
+    return F.coalesce(own["strs"], F.array().cast("array<string>"))
 
 
 def split_by_cache(files: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:

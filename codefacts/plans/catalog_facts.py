@@ -64,7 +64,7 @@ fun as (select repo, 'plugins/s' || k || '/routes.py' as path, 'view_' || k as n
   union all select repo, 'shared/base.py', 'helper', 'def helper(x)', null, 17, 18 from n),
 cls as (select repo, 'plugins/s' || k || '/__init__.py' as path, 'S' || k as name, 'BasePlugin' as bases, 'Acts for ' || name || '.' as docstring, true as inherits_base, 7 as lineno from s
   union all select repo, 'shared/base.py', 'BasePlugin', 'ABC', 'Base of all components.', false, 5 from n),
-meth as (select repo, 'plugins/s' || k || '/__init__.py' as path, 'S' || k as class_name, 'run' as name, 'run(self, n: int = 1, *rest)' as signature, 'Run it.' as docstring, false as abstract, 10 as lineno, 12 as endline from s
+meth as (select repo, 'plugins/s' || k || '/__init__.py' as path, 'S' || k as class_name, 'run' as name, 'run(self, n: int=1, *rest)' as signature, 'Run it.' as docstring, false as abstract, 10 as lineno, 12 as endline from s
   union all select repo, 'plugins/s' || k || '/__init__.py', 'S' || k, '_hidden', '_hidden(self)', null, false, 14, 15 from s
   union all select repo, 'shared/base.py', 'BasePlugin', 'run', 'run(self, n)', 'Do the work.', true, 9, 10 from n),
 rt as (select repo, 'plugins/s' || k || '/routes.py' as path, 'bp' as bp, 'route' as via, '''/n' || nk || '''' as rule, '/n' || nk as rule_value,

@@ -18,8 +18,8 @@ PY_SYNTAX = (
     " calls: array<struct<scope: string, chain: array<string>, lineno: int, args: array<struct<" + ARG + ">>,"
     " assigned_to: string, decorates: string, decorates_line: int, decorates_doc: string, owner_param_of: string>>,"
     " imports: array<struct<kind: string, module: string, level: int, name: string, alias: string, lineno: int, top: boolean>>,"
-    " handlers: array<struct<lineno: int, body: array<string>, const_return: boolean, uses_error: boolean>>,"
-    " used: array<string>, exported: array<string>>"
+    " handlers: array<struct<lineno: int, body: array<string>, caught: string, names: array<string>, returns: array<string>>>,"
+    " used: array<string>, listed: array<struct<targets: array<string>, strs: array<string>>>>"
 )
 
 #: A rule finding; M13: an audit finding

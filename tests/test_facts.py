@@ -29,7 +29,7 @@ def test_empty_comments_and_failures(make_files):
 def test_signatures(parse):
     f = parse("async def f(a, /, b: int = 1, *args, c, d=2, **kw) -> dict[str, int]:\n    'One.\\n\\n    Two.'\ndef g(*, x): pass\ndef _h(): pass\n")
     assert rows(fx.functions(f), "name", "signature", "docstring", "public") == [
-        ("_h", "def _h()", None, False), ("f", "def f(a, /, b: int = 1, *args, c, d=2, **kw) -> dict[str, int]", "One.", True), ("g", "def g(*, x)", None, True)]
+        ("_h", "def _h()", None, False), ("f", "def f(a, /, b: int=1, *args, c, d=2, **kw) -> dict[str, int]", "One.", True), ("g", "def g(*, x)", None, True)]
 
 
 def test_only_direct_definitions_count(parse):
@@ -77,7 +77,7 @@ def test_imports(parse):
 def test_call_sites(parse):
     f = parse("x()\nclass C:\n    y = z.w.v.u()\n    def m(self): a()(b).c(); [1][0](2); self.n()\n@deco(k)\ndef f(q=dflt()): return lambda: inner()\n")
     assert rows(fx.calls(f), "caller", "target") == sorted([
-        ("@module", "x"), ("C", "z.w.v"), ("C.m", "a"), ("C.m", "<expr>.c"), ("C.m", "self.n"), ("f", "deco"), ("f", "dflt"), ("f", "inner")], key=repr)
+        ("@module", "x"), ("C", "z.w.v.u"), ("C.m", "a"), ("C.m", "<expr>.c"), ("C.m", "self.n"), ("f", "deco"), ("f", "dflt"), ("f", "inner")], key=repr)
 
 
 def test_syntax_checks(parse):
@@ -153,3 +153,20 @@ def test_comment_blanking_keeps_lines(spark):
 
     for r in df.select("i", cxx.blank_comments("t").alias("c")).collect():
         assert r.c == want(texts[r.i]), repr(texts[r.i])
+
+
+def test_one_odd_file_does_not_stop_the_rest(parse):
+    """Half characters, keywords given twice and long texts pass; nothing is shortened."""
+    long = "/" + "x" * 150
+    f = parse(
+        f"x = '\\ud800'\nbp = Blueprint('b', __name__)\n@bp.route('{long}')\ndef v():\n    f(a=1, a=2)\n    a.b.c.d.e(x)\n    g('\\udfff', k='\\ud83d')\n"
+    )
+    assert fx.failures(f).count() == 0
+    assert rows(fx.routes(f), "rule_value", "rule") == [(long, f"'{long}'")]
+    assert ("v", "a.b.c.d.e") in rows(fx.calls(f), "caller", "target")
+    assert [r.kwargs for r in fx.rule_calls(f).where("name = 'f'").collect()] == [{"a": "2"}]
+
+
+def test_exports_are_read_from_the_first_list(parse):
+    f = parse("__all__ = ['a', 'b']\nif x:\n    __all__ = ['c']\nother = ['d']\n")
+    assert rows(f.select(fx.exported("listed").alias("e"))) == [(["a", "b"],)]
