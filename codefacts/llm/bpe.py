@@ -28,9 +28,10 @@ import regex
 from pyspark.sql import DataFrame
 
 from codefacts.llm import grams
+from codefacts.llm.batches import bounded
 
 #: remembered words and transitions of one worker, at most
-WORDS, TRANSITIONS = 600_000, 1_000_000
+WORDS, TRANSITIONS = 250_000, 250_000
 #: characters that are split into words at once
 PIECE = 1 << 20
 
@@ -92,8 +93,9 @@ class Automaton:
         if made in self.ends:
             raise ValueError("two merges make the same token")
         self.cut.setdefault(u, {})[v] = number
-        self.ends[made] = ((made, _NEVER), *((t, min(n, number)) for t, n in self.ends[v]))
-        self.starts[made] = ((made, _NEVER), *((t, min(n, number)) for t, n in self.starts[u]))
+        # the part itself was hidden by this merge, the parts of the part by earlier ones
+        self.ends[made] = ((made, _NEVER), (v, number), *self.ends[v][1:])
+        self.starts[made] = ((made, _NEVER), (u, number), *self.starts[u][1:])
 
     def _arc(self, state: int, token: int) -> bool:
         """Whether the state entered by ``state`` has an arc ``token``: no part of the arc was cut while it was still open.
@@ -216,7 +218,7 @@ def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_tokens long, ids binary" + (", decoded string" if decoded else ""))
+    return bounded(docs.select("doc_id", "text")).mapInArrow(work, f"doc_id {kind}, n_tokens long, ids binary" + (", decoded string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -229,4 +231,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [machine.decode(x or b"") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(work, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+    return bounded(encoded.select("doc_id", "ids")).mapInArrow(work, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from codefacts.llm import grams
 from codefacts.llm import words as W
+from codefacts.llm.batches import bounded
 from codefacts.llm.fmindex import FMIndex
 
 #: words of a phrase
@@ -172,7 +173,7 @@ def _with_block(docs: DataFrame, part: DataFrame, first: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(list(old.values()), names=list(old))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in made)
-    return docs.mapInArrow(work, f"{schema}, {_MARKED}")
+    return bounded(docs).mapInArrow(work, f"{schema}, {_MARKED}")
 
 
 def _merged(spans: Column) -> Column:

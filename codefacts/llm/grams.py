@@ -10,7 +10,7 @@ import pyarrow as pa
 from codefacts.llm import words as W
 
 #: texts of at most this many bytes together are turned into features at once; a longer text is done piece by piece
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.llm import grams
+from codefacts.llm.batches import bounded
 
 #: labelled rows that a classifier is fitted on, at most
 LABELLED_ROWS = 6000
@@ -89,7 +90,7 @@ def labelled_sample(
                     names=["doc_id", "label", "features", "variants"],
                 )
 
-    described = texts.mapInArrow(describe, "doc_id long, label int, features binary, variants array<binary>").dropDuplicates(["doc_id"])
+    described = bounded(texts).mapInArrow(describe, "doc_id long, label int, features binary, variants array<binary>").dropDuplicates(["doc_id"])
     read = lambda b: np.frombuffer(b, np.int32)
     found = [(r.doc_id, r.label, read(r.features), [read(v) for v in r.variants]) for r in described.toLocalIterator()]  # ``rows`` of them, partition by partition
     found.sort(key=lambda r: r[0])
@@ -170,4 +171,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(batch.column("text")), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return bounded(docs.select("doc_id", "text")).mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")

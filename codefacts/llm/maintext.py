@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.llm import grams
+from codefacts.llm.batches import bounded
 
 #: labelled pages that are counted, and scores that are kept, at most
 LABELLED_PAGES, SCORES = 2000, 5000
@@ -172,7 +173,7 @@ def fit(pages: DataFrame, most: int = LABELLED_PAGES) -> dict[str, float]:
             [pa.array([k for k, _ in keys], pa.string()), pa.array([i for _, i in keys], pa.bool_()), pa.array([total[k] for k in keys], pa.int64())], names=["key", "inside", "n"]
         )
 
-    counted = sample.select("html").mapInArrow(count, "key string, inside boolean, n long").groupBy("key").agg(
+    counted = bounded(sample.select("html")).mapInArrow(count, "key string, inside boolean, n long").groupBy("key").agg(
         F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("inside"), F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("outside")
     )
     rows = counted.orderBy(F.desc(F.col("inside") + F.col("outside")), "key").limit(SCORES).collect()
@@ -197,4 +198,4 @@ def extract(pages: DataFrame, scores: dict[str, float]) -> DataFrame:
                 texts = [main_text(page or "", scores) for page in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(work, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")
+    return bounded(pages.select("page_id", "url", "html")).mapInArrow(work, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.llm import exact_dedup, grams, minhash
+from codefacts.llm.batches import bounded
 from codefacts.session import materialize
 
 #: similarity from which on two texts are linked
@@ -55,7 +56,7 @@ def band_table(texts: DataFrame) -> DataFrame:
                 keys = minhash.band_keys(owner[:, : BANDS * ROWS], BANDS)
                 yield pa.RecordBatch.from_arrays([part.column("doc").filter(pa.array(has)), lists(keys), lists(sketch.view(np.int64))], names=["doc", "keys", "sketch"])
 
-    return texts.mapInArrow(work, "doc long, keys array<long>, sketch array<long>")
+    return bounded(texts).mapInArrow(work, "doc long, keys array<long>, sketch array<long>")
 
 
 def sketches_agree(mine: Column, other: Column, similarity: float) -> Column:
@@ -90,7 +91,7 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 linked = pa.array((common >= SIMILARITY * union - 1e-9) & (union > 0))
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(linked), part.column("b").filter(linked)], names=["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
+    return bounded(both.select("a", "b", "text_a", "text_b")).mapInArrow(work, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

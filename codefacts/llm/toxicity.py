@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from codefacts.llm import linear
+from codefacts.llm.batches import bounded
 
 FEATURES = linear.Features(heads=(4, 5, 6, 7, 8))
 #: a document counts as toxic from this score on
@@ -141,4 +142,4 @@ def reject(docs: DataFrame, model: linear.Model, threshold: float = THRESHOLD) -
         for batch in batches:
             yield batch.filter(pa.array(model.scores(batch.column(at)) < threshold))
 
-    return plain.mapInArrow(work, plain.schema).toDF(*docs.columns)
+    return bounded(plain).mapInArrow(work, plain.schema).toDF(*docs.columns)

@@ -32,6 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codefacts.llm.batches import bounded
 from codefacts.session import ensure_checkpoint_dir, materialize
 
 #: payloads of fewer bytes are always written out
@@ -230,7 +231,7 @@ def write_packages(pages: DataFrame, folder: str) -> DataFrame:
             package.close()
             yield pa.RecordBatch.from_arrays([pa.array([address]), pa.array([len(index)], pa.int64())], names=["address", "records"])
 
-    return marked.select("page_id", "url", "html", "response").mapInArrow(work, "address string, records long")
+    return bounded(marked.select("page_id", "url", "html", "response")).mapInArrow(work, "address string, records long")
 
 
 def _reader(address: str):

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: bytes of text that are turned into arrays at once; about sixty times as much memory is used meanwhile
-PIECE = 1 << 21
+PIECE = (1 << 20) - 1
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -35,7 +35,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, for positions below ``n``."""
-    size = 1 << max(10, (n + 1).bit_length())
+    size = 1 << max(10, n.bit_length())
     if size not in _powers:
         _powers.clear()
         up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
