@@ -87,7 +87,7 @@ def language_label(path: Column | str, labels: dict[str, str]) -> Column:
     expr = None
     for key, value in labels.items():
         expr = F.when(ext == key, value) if expr is None else expr.when(ext == key, value)
-    bare = F.substring(ext, 2, 100)
+    bare = F.substr(ext, F.lit(2))
     return expr.otherwise(F.when(bare == "", "unknown").otherwise(bare))
 
 

@@ -12,15 +12,17 @@ _PRUNED_K = 1000
 
 
 def top_k(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank_col: str | None = "rank", salts: int = 64
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int | None, rank_col: str | None = "rank", salts: int = 64
 ) -> DataFrame:
-    """the first ``k`` rows per group under a total order.
+    """the first ``k`` rows per group under a total order; all rows, ranked, if ``k`` is None.
 
     Up to 1000, Spark's group-limit cuts every input partition to ``k`` rows per group before the exchange, so a
     group with a third of all rows sends little. Beyond it, a salted first round does the same work spread over tasks.
     """
     by = list(by)
     rank = rank_col or "__rank"
+    if k is None:
+        return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))) if rank_col else df
     if k > _PRUNED_K:
         spread = [c for c in df.columns if c not in by]
         salted = df.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))

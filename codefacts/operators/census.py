@@ -12,7 +12,6 @@ NOISE_DIR = (
     r"(?i)(^|[/\\])(uploads|node_modules|\.venv|venv|__pycache__|site-packages|\.git|"
     r"fixture[^/\\]*|\.pytest_cache|wt-[\w\-]+)([/\\]|$)"
 )
-MAX_SCRIPT_BYTES = 200000
 ARGUMENTS = r"\bargparse\b|\bfire\b|\bclick\b|sys\.argv"
 NETWORK = r"\b(requests|httpx|urllib3|aiohttp|socket|http\.client|paramiko|fabric)\b"
 ABSOLUTE_PATH = r"['\"][A-Za-z]:\\\\|['\"]/[A-Za-z0-9_./\-]{6,}|/home/|/var/|/opt/"
@@ -38,8 +37,8 @@ CATEGORIES = (
 
 
 def census_files(files: DataFrame) -> DataFrame:
-    """Scripts worth a look: not below a noise directory, not too large."""
-    return files.where(paths.extension("path").isin(".py") & ~F.col("path").rlike(NOISE_DIR) & (F.col("size") <= MAX_SCRIPT_BYTES))
+    """Scripts worth a look: not below a noise directory, of any size."""
+    return files.where(paths.extension("path").isin(".py") & ~F.col("path").rlike(NOISE_DIR))
 
 
 def text_signals(files: DataFrame) -> DataFrame:
@@ -65,7 +64,7 @@ def syntax_signals(py_facts: DataFrame) -> DataFrame:
     return py_facts.select(
         "repo", "path", (~F.col("ok")).alias("syntax_error"),
         F.size(F.filter("defs", lambda d: d["kind"] == "def")).alias("funcs"),
-        F.coalesce(F.substring(text.first_line("doc"), 1, 90), F.lit("")).alias("doc"),
+        F.coalesce(text.first_line("doc"), F.lit("")).alias("doc"),
         F.array_sort(others).alias("nonstd"),
     )
 

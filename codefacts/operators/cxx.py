@@ -68,7 +68,7 @@ def file_facts(files: DataFrame) -> DataFrame:
     doc = F.when(has_block, F.get(lines, F.lit(0))).when(slash != "", slash)
     return sources(files).select(
         "repo", "path", text.total_lines(content).alias("loc_total"), text.code_lines(content).alias("loc_code"),
-        F.regexp_count(content, F.lit(DEFINE)).alias("defines"), F.substring(doc, 1, 200).alias("docstring"),
+        F.regexp_count(content, F.lit(DEFINE)).alias("defines"), doc.alias("docstring"),
     )
 
 
@@ -122,7 +122,7 @@ def functions(files: DataFrame) -> DataFrame:
     name = F.element_at(F.split(F.regexp_extract("piece", FUNCTION, 2), "::"), -1)
     head = F.split(F.regexp_extract("piece", FUNCTION, 0), r"\{")[0]
     rows = _matches(clean, "clean", FUNCTION).select(
-        "repo", "path", name.alias("name"), F.substring(text.strip(head), 1, 160).alias("signature"), "lineno",
+        "repo", "path", name.alias("name"), text.strip(head).alias("signature"), "lineno",
         (~name.startswith("_")).alias("public"),
     )
     return rows.where(~F.col("name").isin(*NOT_FUNCTIONS))

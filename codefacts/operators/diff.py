@@ -51,12 +51,12 @@ def snapshot_diff(base: DataFrame, cur: DataFrame) -> DataFrame:
     )
 
 
-def loc_changes(diff: DataFrame, k: int | None = 10) -> DataFrame:
+def loc_changes(diff: DataFrame, k: int | None = None) -> DataFrame:
     """Size changes, largest absolute change first; added and removed components count from or to zero."""
     rows = diff.where("entity_kind <> 'frontend' and (loc_delta <> 0 or (status <> 'common' and entity_kind = 'plugins'))")
     rows = rows.select("repo", F.concat_ws("/", "entity_kind", "entity").alias("target"), F.col("base_loc").alias("base"),
                        F.col("cur_loc").alias("cur"), F.col("loc_delta").alias("delta"))
-    return rows if k is None else top_k(rows, ["repo"], [F.desc(F.abs("delta")), F.col("target")], k)
+    return top_k(rows, ["repo"], [F.desc(F.abs("delta")), F.col("target")], k)
 
 
 def frontend_changes(diff: DataFrame) -> DataFrame:

@@ -51,13 +51,13 @@ def divergence(repos: DataFrame, exclusive: DataFrame) -> DataFrame:
     return rows.withColumn("status", status).withColumn("merge_risk", merge_risk("behind"))
 
 
-def pending_commits(exclusive: DataFrame, commits: DataFrame, k: int = 20) -> DataFrame:
-    """The newest commits that wait on either side."""
+def pending_commits(exclusive: DataFrame, commits: DataFrame, k: int | None = None) -> DataFrame:
+    """The commits that wait on either side, newest first; only the first ``k`` if given."""
     rows = exclusive.join(commits.select("repo", "sha", "ts", "message"), ["repo", "sha"])
     return top_k(rows, ["repo", "side"], [F.desc("ts"), F.col("sha")], k)
 
 
-def new_remote_tags(local_tags: DataFrame, remote_tags: DataFrame, k: int = 10) -> DataFrame:
-    """Tags the remote has and the local side has not, first ``k`` by name."""
+def new_remote_tags(local_tags: DataFrame, remote_tags: DataFrame, k: int | None = None) -> DataFrame:
+    """Tags the remote has and the local side has not, by name; only the first ``k`` if given."""
     missing = remote_tags.select("repo", "tag").distinct().join(local_tags.select("repo", "tag"), ["repo", "tag"], "left_anti")
     return top_k(missing, ["repo"], [F.col("tag")], k)

@@ -18,30 +18,30 @@ STACK_MARKERS = (
 # ----------------------------------------------------------- end of fixed values
 
 
-def headings(files: DataFrame, level: int, k: int, max_chars: int = 120) -> DataFrame:
-    """The first ``k`` headings of a level in each document, evaluated inside the row of the document."""
+def headings(files: DataFrame, level: int, k: int | None = None) -> DataFrame:
+    """The headings of a level in each document (the first ``k`` if given), whole, evaluated inside the row of the document."""
     mark = "#" * level
     stripped = F.transform(text.split_lines("content"), text.strip)
     if level == 2:
         hits = F.filter(stripped, lambda s: s.startswith("## "))
-        shown = F.transform(hits, lambda s: F.substring(text.strip(F.substring(s, 4, 10**6)), 1, max_chars))
+        shown = F.transform(hits, lambda s: text.strip(F.substr(s, F.lit(4))))
     else:
         hits = F.filter(stripped, lambda s: s.startswith(mark))
-        shown = F.transform(hits, lambda s: F.substring(text.strip(F.regexp_replace(s, "^#+", "")), 1, max_chars))
-    return files.select("repo", "path", F.posexplode(F.slice(shown, 1, k)).alias("pos", "heading"))
+        shown = F.transform(hits, lambda s: text.strip(F.regexp_replace(s, "^#+", "")))
+    return files.select("repo", "path", F.posexplode(shown if k is None else F.slice(shown, 1, k)).alias("pos", "heading"))
 
 
-def title(content: Column | str, max_chars: int = 120) -> Column:
+def title(content: Column | str) -> Column:
     """The first ``# `` heading, empty when there is none."""
     stripped = F.transform(text.split_lines(content), text.strip)
     first = F.get(F.filter(stripped, lambda s: s.startswith("# ")), F.lit(0))
-    return F.coalesce(F.substring(text.strip(F.substring(first, 3, 10**6)), 1, max_chars), F.lit(""))
+    return F.coalesce(text.strip(F.substr(first, F.lit(3))), F.lit(""))
 
 
 def standard_document(files: DataFrame, profile: Profile = Profile()) -> DataFrame:
     """The newest standard document of each repository (the last by path) with its title."""
     rows = files.where(F.col("path").rlike(profile.standard_doc_pattern)) if profile.standard_doc_pattern else files.where(F.lit(False))
-    named = rows.select("repo", "path", title("content", 160).alias("title"))
+    named = rows.select("repo", "path", title("content").alias("title"))
     return named.groupBy("repo").agg(F.max("path").alias("path"), F.max_by("title", "path").alias("title"))
 
 
@@ -153,8 +153,8 @@ def project_summary(projects: DataFrame, kpi_rows: DataFrame) -> DataFrame:
     return rows.withColumn("status", status)
 
 
-def dependency_diagram(core_use: DataFrame, comps: DataFrame, edges: DataFrame, modules_k: int = 6, components_k: int = 16) -> DataFrame:
-    """Diagram lines: the most imported modules, the largest components and all components with a dependency."""
+def dependency_diagram(core_use: DataFrame, comps: DataFrame, edges: DataFrame, modules_k: int | None = None, components_k: int | None = None) -> DataFrame:
+    """Diagram lines: imported modules, components and their dependencies; a ``k`` keeps the most imported or largest."""
     hot = top_k(core_use, ["repo"], [F.desc("imports"), F.col("module")], modules_k, "pos").select("repo", F.col("module").alias("node"))
     big = top_k(comps, ["repo"], [F.desc("loc"), F.col("identifier")], components_k, "pos").select("repo", F.col("identifier").alias("node"))
     ends = edges.select("repo", F.explode(F.array("src", "dst")).alias("node"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +13,6 @@ from codefacts.operators.graph import relative_base
 from codefacts.profile import APP_LIKE_OWNERS, Profile
 from codefacts.session import cut_lineage, materialize
 
-#: an imported name is followed through at most this many re-exports
-MAX_HOPS = 6
-
 
 def import_edges(import_facts: DataFrame, file_paths: DataFrame) -> DataFrame:
     """E5, F2: (file, bound name) -> (source file, original name); the first candidate path that exists wins."""
@@ -37,7 +36,7 @@ def import_edges(import_facts: DataFrame, file_paths: DataFrame) -> DataFrame:
 
 
 def follow(edges: DataFrame, targets: DataFrame) -> DataFrame:
-    """Every (file, name) that leads to a target within ``MAX_HOPS`` imports, with the target it leads to.
+    """Every (file, name) that leads to a target through any number of imports, with the target it leads to.
 
     Runs backwards from the targets, so only imports that end at one are ever touched. A name has one import edge and a
     target is not followed further, so each (file, name) appears once; a loop of re-exports never reaches a target.
@@ -46,7 +45,7 @@ def follow(edges: DataFrame, targets: DataFrame) -> DataFrame:
     level = goals.select("repo", "path", "var", F.col("path").alias("hit_path"), F.col("var").alias("hit_var"))
     found = level.withColumn("hops", F.lit(0))
     open_edges = edges.join(goals, ["repo", "path", "var"], "left_anti")
-    for hop in range(1, MAX_HOPS + 1):
+    for hop in count(1):  # ends: a name has one import edge, so nothing is reached twice
         ahead = level.select("repo", F.col("path").alias("src_path"), F.col("var").alias("src_var"), "hit_path", "hit_var")
         step = open_edges.join(ahead, ["repo", "src_path", "src_var"]).select("repo", "path", "var", "hit_path", "hit_var")
         level = cut_lineage(step)

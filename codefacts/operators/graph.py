@@ -161,8 +161,8 @@ def owner_edges(file_edge_rows: DataFrame, component_dir: str = "plugins") -> Da
     return rows.where("src <> dst").groupBy("repo", "src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def heaviest_edges(edges: DataFrame, k: int = 1500) -> DataFrame:
-    """The ``k`` heaviest edges per repository, a presentation limit."""
+def heaviest_edges(edges: DataFrame, k: int | None = None) -> DataFrame:
+    """Edges ranked by weight within each repository; only the ``k`` heaviest if given."""
     return top_k(edges, ["repo"], [F.desc("weight"), F.col("src"), F.col("dst")], k)
 
 
@@ -204,8 +204,8 @@ def node_table(symbol_edge_rows: DataFrame, defs: DataFrame, component_dir: str
     )
 
 
-def graph_stats(file_paths: DataFrame, symbol_edge_rows: DataFrame, file_edge_rows: DataFrame, owner_edge_rows: DataFrame, emitted: int = 1500) -> DataFrame:
-    """Sizes of the graph per repository, and whether the emitted edge list is shorter than the graph."""
+def graph_stats(file_paths: DataFrame, symbol_edge_rows: DataFrame, file_edge_rows: DataFrame, owner_edge_rows: DataFrame) -> DataFrame:
+    """Sizes of the graph per repository."""
 
     def count(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("repo").agg(F.count("*").alias(name))
@@ -215,8 +215,7 @@ def graph_stats(file_paths: DataFrame, symbol_edge_rows: DataFrame, file_edge_ro
         stats = stats.join(count(df, name), "repo", "left")
     for name in ("edges_total", "file_edges", "owner_edges"):
         stats = stats.withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
-    cap = F.lit(emitted).cast("long")
-    return stats.withColumn("edges_emitted", F.least("edges_total", cap)).withColumn("truncated", F.col("edges_total") > cap)
+    return stats
 
 
 def mark_violations(rows: DataFrame, node: str, violations: DataFrame) -> DataFrame:
@@ -225,7 +224,7 @@ def mark_violations(rows: DataFrame, node: str, violations: DataFrame) -> DataFr
     return rows.join(marked, ["repo", node], "left").withColumn("violation", F.col("__hit").isNotNull()).drop("__hit")
 
 
-def core_subgraph(edges: DataFrame, k: int = 90) -> DataFrame:
+def core_subgraph(edges: DataFrame, k: int) -> DataFrame:
     """Edges among the ``k`` nodes of highest degree of each repository."""
     rank = degrees(edges).withColumn("degree", F.col("in_deg") + F.col("out_deg"))
     kept = top_k(rank, ["repo"], [F.desc("degree"), F.col("node")], k).select("repo", "node")

@@ -97,7 +97,7 @@ def line_rule_hits(files: DataFrame, rules: tuple[LineRule, ...] = BUILTIN_LINE_
         return F.get(F.array(*[F.lit(getattr(r, attr)) for r in rules]), F.col("i"))
 
     attrs = ("rule_id", "dimension", "severity", "title", "confidence")
-    return hits.select("repo", "path", "line_no", *[pick(a).alias(a) for a in attrs], F.substring(text.strip("line"), 1, 120).alias("snippet"))
+    return hits.select("repo", "path", "line_no", *[pick(a).alias(a) for a in attrs], text.strip("line").alias("snippet"))
 
 
 def repo_rule_hits(files: DataFrame, repo_rules: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def repo_rule_hits(files: DataFrame, repo_rules: DataFrame) -> DataFrame:
     hits = rows.select("repo", "path", (F.col("pos") + 1).alias("line_no"), "line", F.explode(matched).alias("r"))
     return hits.select(
         "repo", "path", "line_no", *[F.col(f"r.{c}").alias(c) for c in ("rule_id", "dimension", "severity", "title")],
-        F.coalesce("r.confidence", F.lit("medium")).alias("confidence"), F.substring(text.strip("line"), 1, 120).alias("snippet"),
+        F.coalesce("r.confidence", F.lit("medium")).alias("confidence"), text.strip("line").alias("snippet"),
     )
 
 
@@ -197,7 +197,7 @@ def _pair_hits(files: DataFrame, rule: PairRule) -> DataFrame:
 
     hits = F.filter(F.transform("vars", outcome), lambda h: h.isNotNull() & (h["kind"] == 3))
     used = split.select("repo", "path", F.explode(hits).alias("h"))
-    return used.select("repo", "path", F.lit(rule.name).alias("rule"), F.col("h.line_no").alias("line_no"), F.substring("h.body", 1, 120).alias("snippet"))
+    return used.select("repo", "path", F.lit(rule.name).alias("rule"), F.col("h.line_no").alias("line_no"), F.col("h.body").alias("snippet"))
 
 
 # ------------------------------------------------------------------ claims

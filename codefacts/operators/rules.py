@@ -100,7 +100,7 @@ def security_rules(x: RuleInput) -> DataFrame:
     texts = _component_sources(x).select("repo", "path", F.explode(F.concat(*found)).alias("f")).select("repo", "path", "f.*")
     out = texts.select(
         "repo", F.col("rule").alias("rule_id"), "severity", F.lit("security").alias("category"), F.col("path").alias("target"), F.lit(None).cast("string").alias("file"),
-        F.lit(None).cast("int").alias("line"), "message", F.substring(text.strip("hit"), 1, 120).alias("evidence"),
+        F.lit(None).cast("int").alias("line"), "message", text.strip("hit").alias("evidence"),
     )
     name = F.col("name")
     evals = name.isin("eval", "exec")

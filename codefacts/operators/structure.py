@@ -82,8 +82,21 @@ def component_index(files: DataFrame, profile: Profile = Profile()) -> DataFrame
     return dirs.join(manifest, ["repo", "dir"])
 
 
-def components(files: DataFrame, facts: FactTables, profile: Profile = Profile()) -> DataFrame:
-    """One row per valid component: manifest columns, sizes, routes, markers and documents."""
+def component_children(facts: FactTables, profile: Profile = Profile()) -> dict[str, DataFrame]:
+    """Routes, classes and blueprints of each component, a row each, with the component's directory."""
+    inside = lambda df: df.where(_below(profile)).withColumn("dir", _dir())
+    return {
+        "routes": inside(facts.routes).select("repo", "dir", "path", "seq", "bp", "rule", "url_prefix", "methods", "endpoint", "lineno"),
+        "classes": inside(facts.classes).select("repo", "dir", "path", "name", "bases", "docstring", "inherits_base", "lineno"),
+        "blueprints": inside(facts.blueprints).select("repo", "dir", "path", "seq", "var", "name", "url_prefix"),
+    }
+
+
+def components(files: DataFrame, facts: FactTables, profile: Profile = Profile(), max_routes: int | None = None) -> DataFrame:
+    """One row per valid component: manifest columns, sizes, counts, markers and documents.
+
+    The routes themselves are rows of ``component_children``; ``max_routes`` also puts the first few into a list.
+    """
     key = ["repo", "dir"]
     is_py = paths.extension("path").isin(*PY_EXTS)
 
@@ -100,7 +113,7 @@ def components(files: DataFrame, facts: FactTables, profile: Profile = Profile()
     routes = inside(facts.routes)
     route_n = routes.groupBy(*key).agg(F.count("*").alias("route_count"))
     route_item = F.struct("path", "rule", "url_prefix", "methods", "endpoint", "lineno")
-    route_rows = top_k_array(routes, key, [F.col("path"), F.col("seq")], 120, route_item, "routes")
+    route_rows = top_k_array(routes, key, [F.col("path"), F.col("seq")], max_routes, route_item, "routes") if max_routes else None
     below = F.get(paths.segments("path"), F.lit(2))
     counted = F.col("counted")
     marks = inside(files.withColumn("counted", in_scope("path", profile)).select("repo", "path", "counted")).groupBy(*key).agg(
@@ -111,12 +124,12 @@ def components(files: DataFrame, facts: FactTables, profile: Profile = Profile()
         F.array_sort(F.collect_set(F.when((depth == 3) & counted & paths.extension("path").isin(".md", ".txt"), base))).alias("docs"),
     )
     rows = component_index(files, profile)
-    for part in (loc, route_n, route_rows, marks):
+    for part in (loc, route_n, *([route_rows] if route_rows is not None else []), marks):
         rows = rows.join(part, key, "left")
     for name in ("py_files", "loc", "loc_code", "base_classes", "route_count"):
         rows = rows.withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
     rows = rows.withColumn("path", F.concat(F.lit(profile.component_dir + "/"), "dir"))
-    return rows.withColumn("route_truncated", F.col("route_count") > 120)
+    return rows.withColumn("route_truncated", F.col("route_count") > max_routes) if max_routes else rows
 
 
 def framework_helpers(facts: FactTables, profile: Profile = Profile()) -> DataFrame:
@@ -138,7 +151,7 @@ def component_templates(files: DataFrame, profile: Profile = Profile()) -> DataF
     joined = dirs.join(meta, ["repo", "dir"], "left")
     return joined.select(
         "repo", F.concat(F.lit(root), "dir").alias("dir"), F.coalesce(mf._member(F.col("m"), "name"), F.col("dir")).alias("name"),
-        mf._text(F.col("m"), "version").alias("version"), F.substring(mf._text(F.col("m"), "description"), 1, 120).alias("description"),
+        mf._text(F.col("m"), "version").alias("version"), mf._text(F.col("m"), "description").alias("description"),
     )
 
 
@@ -154,36 +167,42 @@ def module_dirs(files: DataFrame, profile: Profile = Profile()) -> DataFrame:
     return seen.where(known | auto).select("repo", "name", known.alias("known"))
 
 
-def modules(files: DataFrame, facts: FactTables, profile: Profile = Profile(), max_classes: int = 40, max_functions: int = 40) -> DataFrame:
-    """Rollup of each core module; class and function lists are top-k by weight, totals are complete."""
-    key = ["repo", "name"]
-    names = module_dirs(files, profile)
+def _by_module(df: DataFrame) -> DataFrame:
+    below = df.where(F.instr("path", "/") > 0).withColumnRenamed("name", "symbol")
+    return below.withColumn("name", paths.top_dir("path"))
 
-    def keyed(df: DataFrame) -> DataFrame:
-        below = df.where(F.instr("path", "/") > 0).withColumnRenamed("name", "symbol")
-        return below.withColumn("name", paths.top_dir("path"))
 
-    init = F.col("path") == F.concat(F.col("name"), F.lit("/__init__.py"))
-    loc = keyed(facts.files).groupBy(*key).agg(
-        F.count("*").alias("py_files"), F.sum("loc_total").alias("loc"), F.sum("loc_code").alias("loc_code"),
-        F.max(F.when(init, F.col("docstring"))).alias("package_docstring"),
-    )
-    classes = keyed(facts.classes)
-    public = keyed(facts.functions.where("public"))
-    routes, bps = keyed(facts.routes), keyed(facts.blueprints)
+def module_children(facts: FactTables) -> dict[str, DataFrame]:
+    """What each core module consists of, a row each; classes and public functions ranked by weight."""
+    key = ["repo", "name"]
     weight = [F.desc("inherits_base"), F.col("docstring").isNull(), F.col("symbol").startswith("_"), F.lower("symbol"), F.col("path"), F.col("lineno")]
-    class_rows = top_k_array(classes, key, weight, max_classes, F.struct(F.col("symbol").alias("name"), "bases", "docstring", "path", "lineno"), "classes")
     order = [F.col("docstring").isNull(), F.lower("symbol"), F.col("path"), F.col("lineno")]
-    func_rows = top_k_array(public, key, order, max_functions, F.struct(F.col("symbol").alias("name"), "signature", "docstring", "path", "lineno"), "functions")
-    roots = keyed(facts.imports.withColumn("root", F.substring_index("module", ".", 1)).drop("module"))
-    root_n = roots.groupBy(*key, "root").agg(F.count("*").alias("n"))
-    root_map = top_k_array(root_n, key, [F.desc("n"), F.col("root")], 10, F.struct("root", "n"), "roots")
-    root_map = root_map.withColumn("import_roots", F.map_from_entries("roots")).drop("roots")
-    rows = names.join(loc, key, "left")
-    for df, name in ((classes, "class_total"), (public, "function_total"), (routes, "route_count"), (bps, "blueprint_count")):
-        rows = rows.join(df.groupBy(*key).agg(F.count("*").alias(name)), key, "left")
-    for part in (class_rows, func_rows, root_map):
-        rows = rows.join(part, key, "left")
+    roots = _by_module(facts.imports.withColumn("root", F.substring_index("module", ".", 1)).drop("module"))
+    return {
+        "classes": top_k(_by_module(facts.classes), key, weight, None).select(*key, "rank", "symbol", "bases", "docstring", "path", "lineno"),
+        "methods": _by_module(facts.methods).select(*key, "class_name", "symbol", "signature", "docstring", "abstract", "path", "lineno"),
+        "functions": top_k(_by_module(facts.functions.where("public")), key, order, None).select(*key, "rank", "symbol", "signature", "docstring", "path", "lineno"),
+        "routes": _by_module(facts.routes).select(*key, "bp", "rule", "url_prefix", "methods", "endpoint", "path", "seq", "lineno"),
+        "blueprints": _by_module(facts.blueprints).select(*key, "symbol", "var", "url_prefix", "path", "seq"),
+        "import_roots": roots.groupBy(*key, "root").agg(F.count("*").alias("imports")),
+    }
+
+
+def modules(files: DataFrame, facts: FactTables, profile: Profile = Profile()) -> DataFrame:
+    """Sizes and counts of each core module; what they count are the rows of ``module_children``."""
+    key = ["repo", "name"]
+    names = module_dirs(files, profile)
+    init = F.col("path") == F.concat(F.col("name"), F.lit("/__init__.py"))
+    rows = names.join(
+        _by_module(facts.files).groupBy(*key).agg(
+            F.count("*").alias("py_files"), F.sum("loc_total").alias("loc"), F.sum("loc_code").alias("loc_code"),
+            F.max(F.when(init, F.col("docstring"))).alias("package_docstring"),
+        ),
+        key, "left",
+    )
+    counted = ((facts.classes, "class_total"), (facts.functions.where("public"), "function_total"), (facts.routes, "route_count"), (facts.blueprints, "blueprint_count"))
+    for df, name in counted:
+        rows = rows.join(_by_module(df).groupBy(*key).agg(F.count("*").alias(name)), key, "left")
     for name in ("py_files", "loc", "loc_code", "class_total", "function_total", "route_count", "blueprint_count"):
         rows = rows.withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
     described = F.coalesce(_known_description(profile), F.col("package_docstring"), F.lit("(source module)"))
@@ -239,7 +258,7 @@ def support_modules(facts: FactTables, profile: Profile = Profile()) -> DataFram
     return rows.select("repo", module.alias("module"), "docstring", "classes", "functions")
 
 
-def hook_names(facts: FactTables, profile: Profile = Profile(), k: int = 40) -> DataFrame:
+def hook_names(facts: FactTables, profile: Profile = Profile(), k: int | None = None) -> DataFrame:
     """Class and public function names of the hook and event modules."""
     label = F.when(F.col("path") == f"{profile.core_dir}/{profile.framework_files['hooks']}", "hooks").when(
         F.col("path") == f"{profile.core_dir}/{profile.framework_files['events']}", "events"
@@ -259,14 +278,14 @@ def component_imports(imports: DataFrame, profile: Profile = Profile()) -> DataF
     return rows.select("repo", "path", "dir", "module", F.substring_index("module", ".", 1).alias("root"), target.alias("target"))
 
 
-def core_usage(comp_imports: DataFrame, profile: Profile = Profile(), k: int = 15) -> DataFrame:
+def core_usage(comp_imports: DataFrame, profile: Profile = Profile(), k: int | None = None) -> DataFrame:
     """How often components import each core module."""
     names = [*profile.core_modules, *profile.core_dir_names]
     counts = comp_imports.where(F.col("root").isin(*names)).groupBy("repo", F.col("root").alias("module")).agg(F.count("*").alias("imports"))
     return top_k(counts, ["repo"], [F.desc("imports"), F.col("module")], k)
 
 
-def helper_usage(comp_imports: DataFrame, profile: Profile = Profile(), k: int = 10) -> DataFrame:
+def helper_usage(comp_imports: DataFrame, profile: Profile = Profile(), k: int | None = None) -> DataFrame:
     """How often components import each framework helper."""
     prefix = f"{profile.component_dir}._base."
     rows = comp_imports.where(F.col("module").startswith(prefix))
@@ -323,7 +342,7 @@ def resolve_target(comps: DataFrame, module_rows: DataFrame, target: str) -> Dat
 DEPTHS = {"brief": (20, 5, 8), "normal": (60, 8, 20), "full": (None, None, None)}
 
 
-def context_slice(facts: FactTables, kind: str, name: str, depth: str = "normal", profile: Profile = Profile()) -> dict[str, DataFrame]:
+def context_slice(facts: FactTables, kind: str, name: str, depth: str = "full", profile: Profile = Profile()) -> dict[str, DataFrame]:
     """What one component or module consists of, cut to the depth; ``full`` is complete."""
     if depth not in DEPTHS:
         raise ValueError(f"unknown depth {depth!r}: one of {', '.join(DEPTHS)}")
@@ -341,7 +360,7 @@ def context_slice(facts: FactTables, kind: str, name: str, depth: str = "normal"
         "routes": cut(facts.routes, n_routes),
         "classes": cut(facts.classes, n_classes),
         "functions": cut(facts.functions.where("public"), n_functions),
-        "imports": top_k(roots, ["repo"], [F.desc("imports"), F.col("root")], 15),
+        "imports": top_k(roots, ["repo"], [F.desc("imports"), F.col("root")], None),
     }
 
 
@@ -361,11 +380,11 @@ def target_totals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("repo").agg(F.count("*").alias("files"), *sums)
 
 
-def global_context(module_rows: DataFrame, comps: DataFrame, docs: DataFrame, max_components: int = 60) -> dict[str, DataFrame]:
-    """The overview slice: modules, the first components by name, at most eight documents."""
+def global_context(module_rows: DataFrame, comps: DataFrame, docs: DataFrame, max_components: int | None = None) -> dict[str, DataFrame]:
+    """The overview slice: modules, components by name (the first few if ``max_components`` says so), documents."""
     cols = ["repo", "identifier", "version", "agent_role", "loc_code", "route_count", "manifest_valid"]
     return {
-        "modules": module_rows.select("repo", "name", "description", "py_files", "loc_code", "route_count", "import_roots"),
+        "modules": module_rows.select("repo", "name", "description", "py_files", "loc_code", "route_count"),
         "components": top_k(comps.select(*cols), ["repo"], [F.col("identifier")], max_components),
-        "documents": top_k(docs, ["repo"], [F.col("path")], 8),
+        "documents": top_k(docs, ["repo"], [F.col("path")], None),
     }

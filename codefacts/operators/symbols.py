@@ -28,10 +28,10 @@ def symbol_table(classes: DataFrame, functions: DataFrame, routes: DataFrame, co
 
 
 def inverted_index(symbols: DataFrame, block: int = 1000) -> DataFrame:
-    """Name -> sorted entries, in blocks of about ``block`` entries.
+    """Name -> sorted entries; every name in blocks of about ``block`` entries, numbered from 0.
 
     A name may be defined in a third of all files, so its entries are spread over as many blocks as its count asks for
-    before any list is built; a rare name has one block with the whole list.
+    before any list is built. The shape is the same for all names: one row for each (name, block).
     """
     counts = symbols.groupBy("repo", "name").agg(F.count("*").alias("total"))
     counts = counts.withColumn("blocks", F.ceil(F.col("total") / block).cast("int"))
@@ -44,13 +44,19 @@ def inverted_index(symbols: DataFrame, block: int = 1000) -> DataFrame:
     )
 
 
+def postings(symbols: DataFrame) -> DataFrame:
+    """D23 as a flat table, sorted within its files: what a lookup by (repo, name) reads; no list is built."""
+    order = ["repo", "name", "file", "line", "kind"]
+    return symbols.select("repo", "name", "file", "line", "kind", "owner").repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def search(symbols: DataFrame, text: str, limit: int = 50) -> DataFrame:
     """Exact hits, else case-insensitive substring hits; first ``limit`` by (file, line, kind, name).
 
     ``total`` is the number of hits before the limit and ``truncated`` tells whether rows are missing.
     """
     query = (text or "").strip()
-    cap = max(1, min(limit or 50, 500))
+    cap = max(1, limit)
     # one pass: a row qualifies as substring hit, and is ranked after every exact hit
     hits = symbols.where(F.lower("name").contains(query.lower()) if query else F.lit(False))
     hits = hits.withColumn("exact", F.col("name") == query)

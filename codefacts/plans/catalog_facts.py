@@ -245,12 +245,10 @@ def symbol_index(spark, sf):
 @query(
     "symbol_postings",
     "D23 M7",
-    _SYMBOLS + """select repo, name, count(*) as total, string_agg(file || ':' || line, ',' order by file, line, kind, owner) as entries from so group by repo, name""",
+    _SYMBOLS + "select repo, name, file, line, kind, owner from so",
 )
 def symbol_postings(spark, sf):
-    rows = sy.inverted_index(symbols_of(spark, sf))
-    shown = F.transform("entries", lambda e: F.concat(e["file"], F.lit(":"), e["line"].cast("string")))
-    return rows.select("repo", "name", "total", F.array_join(shown, ",").alias("entries"))
+    return sy.postings(symbols_of(spark, sf))
 
 
 _SEARCH = """, h as (select *, name = '{q}' as exact from so where contains(lower(name), lower('{q}'))),
@@ -308,7 +306,7 @@ def call_graph(spark, sf):
 
 
 @query("heaviest_call_edges", "G2", _GRAPH + """select repo, src, dst, weight, rank from (select *, row_number() over
-  (partition by repo order by weight desc, src, dst) as rank from edge) where rank <= 1500""")
+  (partition by repo order by weight desc, src, dst) as rank from edge)""")
 def heaviest_call_edges(spark, sf):
     return gr.heaviest_edges(_graph(spark, sf)[0]).select("repo", "src", "dst", "weight", "rank")
 
@@ -356,8 +354,7 @@ def file_degrees(spark, sf):
     "graph_stats",
     "D22",
     _GRAPH + """, fl as (select repo, 'i' || k from s union all select repo, 'r' || k from s union all select repo, path from c union all select repo, 'b' from n)
-    select f.repo, f.files, coalesce(e.x, 0) as edges_total, coalesce(g.x, 0) as file_edges, coalesce(o.x, 0) as owner_edges,
-      least(coalesce(e.x, 0), 1500) as edges_emitted, coalesce(e.x, 0) > 1500 as truncated
+    select f.repo, f.files, coalesce(e.x, 0) as edges_total, coalesce(g.x, 0) as file_edges, coalesce(o.x, 0) as owner_edges
     from (select repo, count(*) as files from fl group by repo) f
     left join (select repo, count(*) as x from edge group by repo) e using (repo)
     left join (select repo, count(*) as x from fe group by repo) g using (repo)

@@ -32,7 +32,7 @@ PROSE_RULES = (
     "line_rule_hits",
     "E17 U3 R16 R17 R18 R19",
     _LINES + f"""select repo, path, line_no, rule_id, severity, snippet from (
-      select *, left({st.strip('line')}, 120) as snippet, {st.strip('line')} like '#%' as com from l) x, lateral (
+      select *, {st.strip('line')} as snippet, {st.strip('line')} like '#%' as com from l) x, lateral (
       select 'MAIL' as rule_id, 'major' as severity, len(regexp_extract_all(line, '[a-z0-9._]+@[a-z0-9.]+\\.[a-z]+')) as n
       union all select 'KEY', 'blocking', case when regexp_matches(line, '(?i)(api[_-]?key|secret|token|password)') and not regexp_matches(line, '(?i)example') then 1 else 0 end
       union all select 'LIC', 'minor', case when regexp_matches(line, '(?i)(license|copyright|warranty)') and not contains(content, 'wht') and not contains(content, 'zzz') then 1 else 0 end
@@ -48,7 +48,7 @@ def line_rule_hits(spark, sf):
     "E17 A9",
     _LINES + f""", r as (select distinct source as repo, 'R-' || lang as rule_id, case lang when 'en' then 'tion' when 'fr' then 'eau[xs]' when 'de' then 'ungen' else 'ción' end as pattern,
       case lang when 'en' then 'qqq' else 'zzzz' end as guard from documents)
-    select l.repo, path, line_no, rule_id, left({st.strip('line')}, 120) as snippet from l join r using (repo)
+    select l.repo, path, line_no, rule_id, {st.strip('line')} as snippet from l join r using (repo)
     where regexp_matches(line, pattern) and not contains(content, guard) and {st.strip('line')} not like '#%'""",
 )
 def repo_rule_hits(spark, sf):
@@ -77,7 +77,7 @@ PROSE_PAIR = mt.PairRule(
            when regexp_matches({st.strip('line')}, '(^|[^A-Za-z0-9_])' || var || '([^A-Za-z0-9_]|$)') then 3 else 0 end as e
       from a join l on a.repo = l.repo and a.path = l.path and l.line_no between a.line_no + 1 and a.line_no + 5),
     first as (select repo, path, a_no, min(line_no) as line_no from ev where e > 0 group by all)
-    select repo, path, 'repeated_word' as rule, line_no, left(body, 120) as snippet from ev join first using (repo, path, a_no, line_no) where e = 3""",
+    select repo, path, 'repeated_word' as rule, line_no, body as snippet from ev join first using (repo, path, a_no, line_no) where e = 3""",
 )
 def pairing_hits(spark, sf):
     return mt.pair_rule_hits(ad.document_files(spark, sf), (PROSE_PAIR,))

@@ -214,11 +214,11 @@ def _readmes(spark, sf):
     "document_sections",
     "C16",
     """with l as (select source || '-' || doc_id as repo, unnest(ls) as s, generate_subscripts(ls, 1) as i from (select source, doc_id, list_transform(string_split('## a' || chr(10) || text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))) as ls from documents)),
-    h as (select repo, left(trim(substr(s, 4)), 120) as heading, row_number() over (partition by repo order by i) - 1 as pos from l where s like '## %')
-    select repo, 'README.md' as path, pos, heading from h where pos < 40""",
+    h as (select repo, trim(substr(s, 4)) as heading, row_number() over (partition by repo order by i) - 1 as pos from l where s like '## %')
+    select repo, 'README.md' as path, pos, heading from h""",
 )
 def document_sections(spark, sf):
-    return dc.headings(_readmes(spark, sf), 2, 40)
+    return dc.headings(_readmes(spark, sf), 2)
 
 
 # ------------------------------------------------------------------ frontends

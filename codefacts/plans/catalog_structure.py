@@ -56,40 +56,65 @@ def component_dirs(spark, sf):
 @query(
     "components",
     "D11 M5",
-    CORPUS + _COMP + """select repo, dir, identifier, version, manifest_valid, py_files, loc, loc_code, base_classes, route_count, n_listed, route_truncated, docs,
-    'Component of ' || name || '.' as entry_docstring from (select *, errs = '' as manifest_valid, 2 as n_listed, false as route_truncated, 'README.md' as docs from co)""",
+    CORPUS + _COMP + """select repo, dir, identifier, version, manifest_valid, py_files, loc, loc_code, base_classes, route_count, docs,
+    'Component of ' || name || '.' as entry_docstring from (select *, errs = '' as manifest_valid, 'README.md' as docs from co)""",
 )
 def components(spark, sf):
     return _components(_corpus(spark, sf)).select(
         "repo", "dir", "identifier", "version", "manifest_valid", "py_files", "loc", "loc_code", "base_classes", "route_count",
-        F.size("routes").alias("n_listed"), "route_truncated", F.array_join("docs", ",").alias("docs"), "entry_docstring",
+        F.array_join("docs", ",").alias("docs"), "entry_docstring",
     )
 
 
 @query(
     "core_modules",
-    "D7 D8 E23 G3 G4 M6",
+    "D7 D8 M6",
     CORPUS + """, roots as (select repo, 'core' as name, unnest([{r: 'os', n: 1}, {r: 'json', n: 1}, {r: 'shared', n: 1}]) as x from c where ok
       union all select repo, 'core', {r: 'plugins', n: 1} from c where ok and bal < 0 union all select repo, 'shared', {r: 'abc', n: 1} from n
       union all select repo, 'lib', {r: 'p' || other, n: 1} from p),
     rc as (select repo, name, x.r as r, count(*) as n from roots group by all),
-    rk as (select *, row_number() over (partition by repo, name order by n desc, r) as i from rc),
-    ri as (select repo, name, string_agg(r || '=' || n, ',' order by i) as import_roots from rk where i <= 10 group by all),
+    ri as (select repo, name, count(*) as roots_listed from rc group by all),
     m as (select repo, 'core' as name, count(*) as py_files, sum(15) as loc, sum(case when bal < 0 or not ok then 10 else 9 end) as loc_code, 0 as class_total,
         count(*) filter (ok) * 2 as function_total, null as package_docstring from c group by repo
       union all select repo, 'shared', 1, 18, 11, 1, 2, null from n
       union all select repo, 'lib', count(*), count(*) * 13, count(*) * 9, count(*), count(*), null from p group by repo)
-    select m.repo, m.name, py_files, loc::bigint as loc, loc_code::bigint as loc_code, class_total, function_total, least(class_total, 40) as n_classes,
-      least(function_total, 40) as n_functions, import_roots from m left join ri using (repo, name)""",
+    select m.repo, m.name, py_files, loc::bigint as loc, loc_code::bigint as loc_code, class_total, function_total, roots_listed from m left join ri using (repo, name)""",
 )
 def core_modules(spark, sf):
-    rows = _modules(_corpus(spark, sf))
-    entries = F.transform(F.map_entries("import_roots"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
-    return rows.select(
-        "repo", "name", "py_files", "loc", "loc_code", "class_total", "function_total",
-        F.coalesce(F.size("classes"), F.lit(0)).alias("n_classes"), F.coalesce(F.size("functions"), F.lit(0)).alias("n_functions"),
-        F.array_join(entries, ",").alias("import_roots"),
-    )
+    c = _corpus(spark, sf)
+    roots = st.module_children(c.tables)["import_roots"].groupBy("repo", "name").agg(F.count("*").alias("roots_listed"))
+    rows = _modules(c).join(roots, ["repo", "name"], "left")
+    return rows.select("repo", "name", "py_files", "loc", "loc_code", "class_total", "function_total", "roots_listed")
+
+
+@query(
+    "core_module_functions",
+    "D7 G4",
+    DEFS + """select repo, 'core' as name, row_number() over (partition by repo order by lower(name), path, lineno) as rank, name as symbol, signature, path, lineno
+    from fun where path like 'core/%'""",
+)
+def core_module_functions(spark, sf):
+    rows = st.module_children(_corpus(spark, sf).tables)["functions"].where("name = 'core'")
+    return rows.select("repo", "name", "rank", "symbol", "signature", "path", "lineno")
+
+
+@query("core_module_import_roots", "D7", CORPUS + """, roots as (select repo, 'core' as name, unnest(['os', 'json', 'shared']) as root from c where ok
+    union all select repo, 'core', 'plugins' from c where ok and bal < 0)
+    select repo, name, root, count(*) as imports from roots group by all""")
+def core_module_import_roots(spark, sf):
+    return st.module_children(_corpus(spark, sf).tables)["import_roots"].where("name = 'core'")
+
+
+@query("component_blueprints", "D11", CORPUS + "select repo, 's' || k as dir, 'plugins/s' || k || '/routes.py' as path, 'bp' as var, 's' || k as name from s")
+def component_blueprints(spark, sf):
+    c = _corpus(spark, sf)
+    return st.component_children(c.tables, c.profile)["blueprints"].select("repo", "dir", "path", "var", "name")
+
+
+@query("component_classes", "D11 C4", CORPUS + "select repo, 's' || k as dir, 'plugins/s' || k || '/__init__.py' as path, 'S' || k as name, true as inherits_base from s")
+def component_classes(spark, sf):
+    c = _corpus(spark, sf)
+    return st.component_children(c.tables, c.profile)["classes"].select("repo", "dir", "path", "name", "inherits_base")
 
 
 _CI = CORPUS + "," + IMPORTS + """, ci as (select *, split_part(path, '/', 2) as dir, split_part(module, '.', 1) as root,
@@ -149,17 +174,17 @@ def target_by_name(spark, sf):
     DEFS + "select repo, path, endpoint, lineno from rt where k = 1",
 )
 def target_context_routes(spark, sf):
-    rows = st.context_slice(_corpus(spark, sf).tables, "plugin", "s1", "brief")["routes"]
+    rows = st.context_slice(_corpus(spark, sf).tables, "plugin", "s1")["routes"]
     return rows.select("repo", "path", "endpoint", "lineno")
 
 
 @query(
     "target_context_functions",
     "B13 D36",
-    DEFS + """select repo, path, name, lineno from (select *, row_number() over (partition by repo order by path, lineno) as r from fun where path like 'core/%') where r <= 20""",
+    DEFS + """select repo, path, name, lineno from (select *, row_number() over (partition by repo order by path, lineno) as r from fun where path like 'core/%')""",
 )
 def target_context_functions(spark, sf):
-    rows = st.context_slice(_corpus(spark, sf).tables, "module", "core", "normal")["functions"]
+    rows = st.context_slice(_corpus(spark, sf).tables, "module", "core")["functions"]
     return rows.select("repo", "path", "name", "lineno")
 
 
@@ -177,7 +202,7 @@ def deep_dive_totals(spark, sf):
     "global_context_components",
     "B14",
     CORPUS + _COMP + """select repo, identifier, version, agent_role, loc_code, route_count, errs = '' as manifest_valid, rank from (
-    select *, row_number() over (partition by repo order by identifier) as rank from co) where rank <= 60""",
+    select *, row_number() over (partition by repo order by identifier) as rank from co)""",
 )
 def global_context_components(spark, sf):
     c = _corpus(spark, sf)
@@ -279,7 +304,7 @@ def snapshot_diff(spark, sf):
     "snapshot_loc_changes",
     "E12 G6",
     _HALVES + """select * from (select repo, 'plugins/' || entity as target, base_loc as base, cur_loc as cur, loc_delta as delta,
-    row_number() over (partition by repo order by abs(loc_delta) desc, 'plugins/' || entity) as rank from d where loc_delta <> 0 or status <> 'common') where rank <= 10""",
+    row_number() over (partition by repo order by abs(loc_delta) desc, 'plugins/' || entity) as rank from d where loc_delta <> 0 or status <> 'common')""",
 )
 def snapshot_loc_changes(spark, sf):
     return df_.loc_changes(_diff(spark, sf))

@@ -73,4 +73,4 @@ def read_commit_log(spark: SparkSession, path: str, repo: Column | None = None)
 def remote_tags(lines: DataFrame) -> DataFrame:
     """Tag names out of ``ls-remote --tags`` lines ``(repo, value)``; peeled entries are left out."""
     ref = F.get(F.split(F.trim("value"), r"\s+"), F.lit(1))
-    return lines.where(ref.startswith("refs/tags/") & ~ref.endswith("^{}")).select("repo", F.substring(ref, 11, 1000).alias("tag")).distinct()
+    return lines.where(ref.startswith("refs/tags/") & ~ref.endswith("^{}")).select("repo", F.substr(ref, F.lit(11)).alias("tag")).distinct()

@@ -97,7 +97,7 @@ def manifest_columns(manifests: DataFrame, contract: DataFrame, profile: Profile
         _text(m, "name").alias("name"), _text(m, "version").alias("version"), _text(m, "category").alias("category"),
         _text(m, "agent_role").alias("agent_role"),
         F.coalesce(F.array_compact(_member(m, "capabilities", "array<string>")), _strings()).alias("capabilities"),
-        F.substring(_text(m, "description"), 1, 160).alias("description"), _text(m, "author").alias("author"),
+        _text(m, "description").alias("description"), _text(m, "author").alias("author"),
         _text(m, "min_app_version").alias("min_app_version"), _text(m, "price_type", "free").alias("price_type"),
         F.coalesce(F.array_compact(_member(m, "permissions", "array<string>")), _strings()).alias("permissions"),
         depends.alias("depends_on"), _name_list(m, "dependencies").alias("dependencies"),

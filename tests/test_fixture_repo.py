@@ -59,10 +59,15 @@ def test_components(comps):
     assert good.manifest_valid and good.manifest_errors == [] and good.route_count == 2 and good.base_classes == 1
     assert set(good.depends_on) == {"ledger", "mail"} and good.hooks_keys == ["a", "b"] and good.i18n_locales == ["en"] and good.docs == ["README.md"]
     assert (good.py_files, good.loc, good.loc_code, good.entry_docstring) == (2, 21, 14, "Billing component.")
-    assert [r.endpoint for r in good.routes] == ["open_bills", "drop"] and not good.route_truncated
     assert bad.manifest_errors == ["missing field: capabilities", "identifier is not [a-z0-9_]+: Ledger!", "version is not X.Y.Z: 2"]
 
 
+def test_component_children(corpus):
+    parts = {k: v.where("dir = 'billing'") for k, v in st.component_children(corpus.tables, corpus.profile).items()}
+    assert [r.endpoint for r in parts["routes"].orderBy("path", "seq").collect()] == ["open_bills", "drop"]
+    assert parts["classes"].where("inherits_base").count() == 1 and parts["blueprints"].count() >= 1
+
+
 def test_contract_source(corpus):
     row = mf.read_manifest_contract(corpus.files).first()
     assert row.required == ["identifier", "version", "capabilities"] and row.enums == {"kind": ["a", "b"]}
@@ -76,8 +81,13 @@ def test_rejected_component_dirs(corpus):
 def test_modules(mods):
     got = {r.name: (r.py_files, r.class_total, r.function_total, r.route_count) for r in mods.collect()}
     assert got == {"plugin_manager": (4, 2, 0, 0), "core": (1, 0, 1, 0)}
-    pm = mods.where("name = 'plugin_manager'").first()
-    assert [c["name"] for c in pm.classes] == ["BasePlugin", "ComponentManager"] and pm.import_roots == {"abc": 1, "base": 1}
+
+
+def test_module_children(corpus):
+    parts = {k: v.where("name = 'plugin_manager'") for k, v in st.module_children(corpus.tables).items()}
+    assert rows(parts["classes"], "rank", "symbol") == [(1, "BasePlugin"), (2, "ComponentManager")]
+    assert rows(parts["import_roots"], "root", "imports") == [("abc", 1), ("base", 1)]
+    assert ("BasePlugin", "start", True) in rows(parts["methods"], "class_name", "symbol", "abstract")
 
 
 def test_framework_contract(corpus):
@@ -102,7 +112,7 @@ def test_interactions(corpus, comps, mods):
 
 def test_headings_and_kpis(corpus, comps, mods):
     md = corpus.files.where("path = 'AGENTS.md'")
-    assert [r.heading for r in dc.headings(md, 3, 30).orderBy("pos").collect()] == ["Naming", "Tests"]
+    assert [r.heading for r in dc.headings(md, 3).orderBy("pos").collect()] == ["Naming", "Tests"]
     assert rows(dc.key_documents(corpus.files), "path", "title") == [("AGENTS.md", "Agents")]
     violations = st.boundary_violations(corpus.tables.imports, comps, mods)
     k = dc.kpis(ov.totals(ov.file_sizes(corpus.files)), mods, comps, violations, st.entry_scripts(corpus.tables)).first()
