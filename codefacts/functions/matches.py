@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 
 from codefacts.functions import text
 
-_MARK = "\x01"
-
 
 def match_positions(body: Column, pattern: str) -> Column:
     """Array of ``(match, line, before)`` in text order; ``before`` is the part of the line left of the match.
 
     For small files such as workflow definitions: the line of a match is counted from the text before it.
     """
-    pieces = F.split(F.regexp_replace(body, f"({pattern})", f"{_MARK}$1"), _MARK)
+    found = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
+    between = F.split(body, pattern, -1)
+    pieces = F.concat(F.slice(between, 1, 1), F.zip_with(found, F.slice(between, F.lit(2), F.size(found)), lambda m, rest: F.concat(m, rest)))
 
     def one(i: Column) -> Column:
         ahead = F.array_join(F.slice(pieces, F.lit(1), i), "")
         return F.struct(
-            F.regexp_extract(F.get(pieces, i), pattern, 0).alias("match"),
+            F.get(found, i - 1).alias("match"),
             (text.count_breaks(ahead) + 1).cast("int").alias("line"),
             F.substring_index(ahead, "\n", -1).alias("before"),
         )
 
-    n = F.size(pieces) - 1
+    n = F.size(found)
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), one)).otherwise(F.array().cast("array<struct<match:string,line:int,before:string>>"))

@@ -6,10 +6,11 @@ one plus the line breaks before it. All of this stays in the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.functions import paths, text
+from codefacts.functions.arrays import sums_before
 from codefacts.profile import CXX_EXTS
 
 # ---------------------------------------------------------------- fixed values
@@ -27,7 +28,6 @@ COMMENT = r"(?s)/\*.*?\*/"
 NOT_FUNCTIONS = ("if", "for", "while", "switch", "return", "catch")
 # ----------------------------------------------------------- end of fixed values
 
-_MARK = "\x01"
 
 
 def blank_comments(col: Column | str) -> Column:
@@ -42,14 +42,16 @@ def blank_comments(col: Column | str) -> Column:
 def _matches(df: DataFrame, body: str, pattern: str) -> DataFrame:
     """One row per match with ``piece`` (the text from the match to the next one) and its line.
 
-    The running line count is a window over the pieces of one file.
+    Lines are counted inside the row of the file; the text is neither marked nor moved.
     """
-    group = "(?m)(" + pattern.removeprefix("(?m)") + ")"
-    marked = F.regexp_replace(F.col(body), group, f"{_MARK}$1")
-    rows = df.select("repo", "path", F.posexplode(F.split(marked, _MARK)).alias("seq", "piece"))
-    order = Window.partitionBy("repo", "path").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    line = F.coalesce(F.sum(text.count_breaks("piece")).over(order), F.lit(0)) + 1
-    return rows.withColumn("lineno", line.cast("int")).where("seq > 0")
+    group = "(?m)" + pattern.removeprefix("(?m)")
+    cut = df.select("repo", "path", F.regexp_extract_all(body, F.lit(group), F.lit(0)).alias("found"), F.split(body, group, -1).alias("between"))
+    after = F.slice("between", F.lit(2), F.size("found"))
+    cut = cut.select("repo", "path", F.get("between", F.lit(0)).alias("head"), F.zip_with("found", after, lambda m, rest: F.concat(m, rest)).alias("pieces"))
+    breaks = F.transform("pieces", lambda p: text.count_breaks(p).cast("long"))
+    cut = cut.select("repo", "path", "pieces", text.count_breaks("head").cast("long").alias("first"), sums_before(breaks).alias("above"))
+    rows = cut.select("repo", "path", "first", F.posexplode(F.arrays_zip("pieces", "above")).alias("seq", "m"))
+    return rows.select("repo", "path", (F.col("seq") + 1).alias("seq"), F.col("m.pieces").alias("piece"), (F.col("first") + F.col("m.above") + 1).cast("int").alias("lineno"))
 
 
 def sources(files: DataFrame) -> DataFrame:

@@ -179,7 +179,7 @@ def _pair_hits(files: DataFrame, rule: PairRule) -> DataFrame:
     def outcome(var: Column, i: Column) -> Column:
         """The first line after line ``i`` that decides, with its number; the file's lines are never copied per assignment."""
         indent = F.get(F.col("ls"), i)["indent"]
-        use = F.replace(F.lit(rule.use), F.lit("{var}"), var)
+        use = F.concat(F.lit("^(?:"), F.replace(F.lit(rule.use), F.lit("{var}"), F.concat(F.lit("\\Q"), var, F.lit("\\E"))), F.lit(")"))
 
         def event(x: Column, j: Column) -> Column:
             kind = (

@@ -6,6 +6,8 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,17 +161,30 @@ RULES: dict[str, Callable[[RuleInput], DataFrame]] = {
 
 
 def run_rules(spark: SparkSession, x: RuleInput, only: list[str] | None = None, rules: dict[str, Callable[[RuleInput], DataFrame]] | None = None) -> DataFrame:
-    """Union of all rule sets. A rule set whose plan cannot be built is reported and left out; the others still run."""
+    """Union of all rule sets.
+
+    A rule set whose plan cannot be built gives an error finding for every repository instead, so that no gate passes
+    for want of evidence; the others still run. Failures of execution are not caught.
+    """
     out = spark.createDataFrame([], FINDINGS)
     for name, rule in (rules or RULES).items():
         if only is None or name in only:
             try:
                 out = out.unionByName(rule(x))
-            except Exception:
-                log.exception("rule set %s was left out", name)
+            except (PySparkException, Py4JError) as e:
+                if not isinstance(e, AnalysisException):
+                    raise
+                out = out.unionByName(_did_not_run(x, name, e))
+            except Exception as e:  # a rule set is a plug-in: whatever it raises while building, the result says so
+                out = out.unionByName(_did_not_run(x, name, e))
     return out
 
 
+def _did_not_run(x: RuleInput, name: str, error: Exception) -> DataFrame:
+    log.error("rule set %s did not run: %s", name, error)
+    return _findings(x.files.select("repo").distinct(), "ENGINE", "error", "engine", F.lit(name), "rule set did not run", str(error).splitlines()[0] if str(error) else type(error).__name__)
+
+
 def severity_rank(col: str = "severity") -> Column:
     expr = F.lit(9)
     for name, rank in SEVERITY_RANK.items():

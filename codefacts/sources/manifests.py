@@ -88,7 +88,7 @@ def manifest_columns(manifests: DataFrame, contract: DataFrame, profile: Profile
     m = F.col("m")
     errors = F.when(F.col("parse_error").isNotNull(), F.array("parse_error")).otherwise(manifest_errors(m, required))
     depends = F.transform_values(
-        F.map_from_arrays(_name_list(m, "depends_on"), _name_list(m, "depends_on")),
+        F.map_from_arrays(F.array_distinct(_name_list(m, "depends_on")), F.array_distinct(_name_list(m, "depends_on"))),
         lambda k, v: F.coalesce(F.try_variant_get(F.try_element_at(_member(m, "depends_on", "map<string,variant>"), k), "$", "string"), F.lit("")),
     )
     return joined.select(

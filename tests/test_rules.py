@@ -71,7 +71,9 @@ def test_broken_rule_set_is_isolated(spark, x):
     def broken(_):
         raise RuntimeError("no")
 
-    assert ru.run_rules(spark, x, rules={"broken": broken, "spec": ru.spec_rules}).count() == 5
+    found = ru.run_rules(spark, x, rules={"broken": broken, "spec": ru.spec_rules})
+    assert found.where("rule_id <> 'ENGINE'").count() == 5
+    assert [(r.target, r.severity, r.evidence) for r in found.where("rule_id = 'ENGINE'").collect()] == [("broken", "error", "no")]
 
 
 @pytest.fixture(scope="module")
