@@ -18,7 +18,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codefacts.llm.arrays import place, sums_before
+from codefacts.functions.arrays import place, sums_before
 from codefacts.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")

@@ -19,7 +19,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codefacts.llm.arrays import place
+from codefacts.functions.arrays import place
 from codefacts.session import materialize
 
 #: sampled records for each range
