@@ -153,6 +153,14 @@ def audit_summary(findings: DataFrame) -> DataFrame:
     return sets.select("repo", F.when(by_sev, "severity").otherwise("dimension").alias("kind"), F.coalesce("severity", "dimension").alias("key"), "findings")
 
 
+def of_dimensions(findings: DataFrame, dims: tuple[str, ...]) -> DataFrame:
+    """The findings of some dimensions; give the same ``dims`` to ``coverage``, and the verdict judges only those."""
+    unknown = [d for d in dims if d not in DIMENSIONS]
+    if unknown or not dims:
+        raise ValueError(f"unknown dimensions: {', '.join(unknown) or 'none given'}")
+    return findings.where(F.col("dimension").isin(*dims))
+
+
 def coverage(repos: DataFrame, findings: DataFrame, dims: tuple[str, ...] = DIMENSIONS, rule_dims: tuple[str, ...] = DIMENSIONS) -> DataFrame:
     """Per repository, dimension and channel: did it run, and how many findings.
 

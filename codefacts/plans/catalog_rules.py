@@ -184,7 +184,7 @@ def _audit(spark, sf):
     return x.files.select("repo").distinct(), materialize(found)
 
 
-@query("audit_findings", "H1 H3 B18 R20 R21 R22 R23 R25 U2 M13", _AUDIT + "select * from a")
+@query("audit_findings", "H1 H3 R20 R21 R22 R23 R25 U2 M13", _AUDIT + "select * from a")
 def audit_findings(spark, sf):
     return _audit(spark, sf)[1].select("repo", "rule_id", "dimension", "severity", "provider", "file", "line")
 
@@ -222,6 +222,22 @@ def audit_verdict(spark, sf):
     return au.verdict(au.coverage(repos, found), found).select("repo", "decision", "blocking")
 
 
+@query(
+    "audit_of_one_dimension",
+    "B18 D26 D27",
+    _AUDIT + """, x as (select repo, count(*) as findings, count(*) filter (severity = 'blocking') as b from a where dimension = 'architecture' group by repo)
+    select r.repo, coalesce(findings, 0) as findings, case when coalesce(b, 0) > 0 then 'not_releasable' else 'releasable' end as decision
+    from (select repo from n union select 'parts') r left join x using (repo)""",
+)
+def audit_of_one_dimension(spark, sf):
+    repos, found = _audit(spark, sf)
+    dims = ("architecture",)
+    chosen = au.of_dimensions(found, dims)
+    matrix = au.coverage(repos, chosen, dims)
+    counts = matrix.groupBy("repo").agg(F.sum("findings").alias("findings"))
+    return au.verdict(matrix, chosen).join(counts, "repo").select("repo", "findings", "decision")
+
+
 @query(
     "audit_annotations",
     "A27",

@@ -37,7 +37,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
+    elif sc.master == "local" or sc.master.startswith("local["):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="codefacts-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codefacts.functions import paths, text
+from codefacts.schemas import SCHEMA_VERSION
 
 
 def spread_scan(scan: DataFrame) -> DataFrame:
@@ -67,8 +68,18 @@ def role_names(files: DataFrame, directory: str, suffix: str = "", strip_pattern
 
 
 def read_snapshot(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """One stored snapshot; the partition filter prunes all others."""
-    return spark.read.parquet(path).where(F.col("snapshot") == name)
+    """One stored snapshot; the partition filter prunes all others.
+
+    An unknown name is an error, as is a snapshot written under another schema version: compared with either, everything
+    would seem added.
+    """
+    rows = spark.read.parquet(path).where(F.col("snapshot") == name)
+    first = rows.limit(1).collect()
+    if not first:
+        raise ValueError(f"no snapshot {name!r} below {path}")
+    if "schema_version" in rows.columns and first[0].schema_version != SCHEMA_VERSION:
+        raise ValueError(f"snapshot {name!r} has schema version {first[0].schema_version}, this is {SCHEMA_VERSION}")
+    return rows
 
 
 def list_snapshots(spark: SparkSession, path: str) -> DataFrame:

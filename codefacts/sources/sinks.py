@@ -11,8 +11,13 @@ from codefacts.schemas import SCHEMA_VERSION
 
 
 def _overwrite(df: DataFrame, path: str, parts: list[str], cluster_by: list[str] | None = None) -> None:
-    """Replace only the partitions that occur in ``df``; each output partition is written by tasks that hold its rows."""
-    rows = df.sortWithinPartitions(*parts, *cluster_by) if cluster_by else df
+    """Replace only the partitions that occur in ``df``.
+
+    Rows are dealt out by ranges of the partition columns first, so a partition is written by the few tasks that hold it,
+    and a large one by several; not by every task of the job.
+    """
+    order = [*parts, *(cluster_by or [])]
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
@@ -73,4 +78,4 @@ def write_run(df: DataFrame, path: str, run_date: str) -> None:
 
 def write_lines(df: DataFrame, path: str) -> None:
     """Text lines, one directory per repository."""
-    df.select("repo", "value").write.mode("overwrite").partitionBy("repo").text(path)
+    df.select("repo", "value").repartitionByRange("repo").write.mode("overwrite").partitionBy("repo").text(path)
