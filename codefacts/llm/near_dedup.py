@@ -6,9 +6,10 @@ the links. Equal texts are one text from the start. Texts whose signatures agree
 
 Buckets are never expanded into all their pairs. First every text of a bucket is compared with the bucket's smallest id,
 so a bucket of copies costs one comparison for each text, and linked texts share a label. Then texts that are not in the
-largest label of their bucket are held against those of other labels by sketches of 256 registers (the comparison is part
-of the join): pairs whose sketches agree like 0.8 are compared first, labels are joined again, and then all pairs of
-different labels whose sketches do not rule out 0.8 (four standard errors). Each such pair is met in one bucket only.
+largest label of their bucket are held against those of other labels by sketches of 512 registers (the comparison is part
+of the join): a sixteenth of the pairs whose sketches agree like 0.8 is compared first, which joins nearly all labels that
+belong together, and then all pairs of different labels whose sketches do not rule out 0.8 (four standard errors). Each
+such pair is met in one bucket only.
 
 Null and empty texts and texts without words are only alike if they are equal (null is empty). Texts of one to four
 words are one shingle. Rows without an id are left out of ``classes`` and kept by ``keep_one``; repeated rows of an id
@@ -33,8 +34,9 @@ from codefacts.session import materialize
 #: similarity from which on two texts are linked
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
-#: registers of a sketch, four bits of each; similarities of sketches from which on pairs are compared, in two steps
-REGISTERS, SKETCH_STEPS = 256, (0.80, 0.69)
+#: registers of a sketch, four bits of each; in two steps: similarity of sketches from which on pairs are compared, and one
+#: in how many of those pairs; the last step takes all
+REGISTERS, STEPS = 512, ((0.80, 16), (0.72, 1))
 
 
 def band_table(texts: DataFrame) -> DataFrame:
@@ -138,8 +140,8 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(labels.join(hung.select(F.col("u").alias("class"), F.col("v").alias("new")), "class", "left").select("doc", F.coalesce("new", "class").alias("class")))
 
 
-def _cross_pairs(buckets: DataFrame, bands: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of one bucket with different labels and sketches like ``similarity``, each once."""
+def _cross_pairs(buckets: DataFrame, bands: DataFrame, labels: DataFrame, similarity: float, one_in: int) -> DataFrame:
+    """Pairs (a, b) of one bucket with different labels and sketches like ``similarity``, each once, or one in so many."""
     member = buckets.join(labels, "doc")
     counted = member.groupBy("key", "class").agg(F.count("*").alias("n"))
     open_keys = counted.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.count("*").alias("classes")).filter("classes > 1")
@@ -148,7 +150,9 @@ def _cross_pairs(buckets: DataFrame, bands: DataFrame, labels: DataFrame, simila
     # a pair counts in the first bucket it shares, and there from one side: keys of different bands never agree
     earlier = F.size(F.array_intersect(F.slice("keys", F.lit(1), F.col("band")), F.col("own")))
     once = (F.col("class") == F.col("largest")) | (F.col("a") < F.col("doc"))
-    met = outside.join(member, [outside["key"] == member["key"], F.col("of") != F.col("class"), once, sketches_agree(F.col("mine"), F.col("sketch"), similarity), earlier == 0])
+    chosen = F.pmod(F.xxhash64("a", "doc"), F.lit(one_in)) == 0 if one_in > 1 else F.lit(True)
+    alike = sketches_agree(F.col("mine"), F.col("sketch"), similarity)
+    met = outside.join(member, [outside["key"] == member["key"], F.col("of") != F.col("class"), once, chosen, alike, earlier == 0])
     return materialize(met.select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")))
 
 
@@ -165,9 +169,9 @@ def linked_classes(texts: DataFrame) -> DataFrame:
     links = [materialize(similar(pairs, held))]
     labels = _relabel(labels, links[0])
     buckets = buckets.drop("leader")
-    for step in SKETCH_STEPS:
-        links.append(materialize(similar(_cross_pairs(buckets, bands, labels, step), held)))
-        if step != SKETCH_STEPS[-1]:
+    for similarity, one_in in STEPS:
+        links.append(materialize(similar(_cross_pairs(buckets, bands, labels, similarity, one_in), held)))
+        if one_in > 1:
             labels = _relabel(labels, links[-1])
     # a link may have joined one of its ends to something smaller only, so all links count again, between labels
     every = reduce(DataFrame.unionByName, links)
