@@ -12,7 +12,7 @@ def bounded(df: DataFrame) -> DataFrame:
     """``df``, in a session whose Arrow batches are bounded; smaller settings stay as they are."""
     conf = df.sparkSession.conf
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BYTES)):
-        now = str(conf.get(key, "0")).lower().rstrip("b")
+        now = str(conf.get(key)).lower().rstrip("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             conf.set(key, str(most))
     return df
