@@ -98,6 +98,16 @@ def core_module_functions(spark, sf):
     return rows.select("repo", "name", "rank", "symbol", "signature", "path", "lineno")
 
 
+@query(
+    "core_module_classes",
+    "D7 G3",
+    CORPUS + """select repo, 'lib' as name, row_number() over (partition by repo order by lower('P' || k), path) as rank, 'P' || k as symbol, path from p
+    union all select repo, 'shared', 1, 'BasePlugin', 'shared/base.py' from n""",
+)
+def core_module_classes(spark, sf):
+    return st.module_children(_corpus(spark, sf).tables)["classes"].where("name in ('lib', 'shared')").select("repo", "name", "rank", "symbol", "path")
+
+
 @query("core_module_import_roots", "D7", CORPUS + """, roots as (select repo, 'core' as name, unnest(['os', 'json', 'shared']) as root from c where ok
     union all select repo, 'core', 'plugins' from c where ok and bal < 0)
     select repo, name, root, count(*) as imports from roots group by all""")
