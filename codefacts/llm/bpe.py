@@ -31,7 +31,7 @@ from codefacts.llm import grams
 from codefacts.llm.batches import bounded
 
 #: remembered words and transitions of one worker, at most
-WORDS, TRANSITIONS = 250_000, 250_000
+WORDS, TRANSITIONS = 500_000, 250_000
 #: characters that are split into words at once
 PIECE = 1 << 20
 
