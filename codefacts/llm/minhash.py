@@ -1,6 +1,6 @@
 """ProbMinHash signatures of weighted word shingles, for whole batches of texts at once.
 
-Every distinct shingle of a text is a Poisson process whose rate is its weight, the number of times it occurs. An arrival
+Every distinct shingle of a text is a Poisson process whose rate is its weight, which the caller gives. An arrival
 goes to a random register, and a register keeps the shingle that arrived first. Two texts agree in a register with the
 probability Jaccard similarity of their weights. A shingle's process ends as soon as its next arrival is later than what
 every register holds, so nearly all shingles are done after one or two arrivals.

@@ -1,8 +1,9 @@
 """Near duplicates: ProbMinHash signatures, banding, and exact verification of five-word shingles.
 
 Two texts are linked if the Jaccard similarity of their sets of shingles is at least 0.8; a class is a connected part of
-the links. Equal texts are one text from the start. Texts whose signatures agree in a whole band share a bucket; with
-20 bands of 4 registers a pair of similarity 0.8 shares one with probability 0.99997.
+the links. Equal texts are one text from the start. Texts whose signatures agree in a whole band share a bucket. Signatures
+give every distinct shingle the weight 1, however often it occurs, so with 20 bands of 4 registers a pair of similarity 0.8
+shares one with probability 0.99997.
 
 Buckets are never expanded into all their pairs. First every text of a bucket is compared with the bucket's smallest id,
 so a bucket of copies costs one comparison for each text, and linked texts share a label. Then texts that are not in the
@@ -52,7 +53,8 @@ def band_table(texts: DataFrame) -> DataFrame:
             for lo, hi in grams.slices(batch.column("text")):
                 part = batch.slice(lo, hi - lo)
                 rows, values, counts = minhash.shingles(part.column("text"))
-                owner, has = minhash.signatures(rows, values, counts, hi - lo, REGISTERS)
+                # sets are what is verified, so each distinct shingle weighs the same here too
+                owner, has = minhash.signatures(rows, values, np.ones_like(counts), hi - lo, REGISTERS)
                 owner = owner[has]
                 sketch = np.bitwise_or.reduce((owner & np.uint64(15)).reshape(len(owner), REGISTERS // 16, 16) << shifts, axis=2)
                 keys = minhash.band_keys(owner[:, : BANDS * ROWS], BANDS)

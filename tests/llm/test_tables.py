@@ -99,6 +99,12 @@ class TestNearDedup:
         kept = near_dedup.keep_one(docs)
         assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2]
 
+    def test_repeated_lines_weigh_once(self, spark):
+        """The same shingles, of which some occur k times."""
+        texts = [" ".join(f"t{i}w{j}" for j in range(200)) + f" footer {' '.join(f'f{i}w{j}' for j in range(10))}" * k for i in range(6) for k in (1, 100)]
+        got = {r.doc_id: r.class_id for r in near_dedup.classes(docs_of(spark, texts)).collect()}
+        assert got == brute_classes(list(enumerate(texts))) == {i: i - i % 2 for i in range(len(texts))}
+
     def test_components(self, spark):
         rng = random.Random(2)
         links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(20)]
