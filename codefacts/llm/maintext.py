@@ -6,6 +6,11 @@ the largest sum. The scores are log-odds counted on labelled pages, which are pa
 (exactly one ``article`` or ``main`` element); a bounded sample of them is counted. Inside the region, elements that are
 no text of the article (menus, forms, scripts, adverts, notices, reader comments) are left out.
 
+Words of class, id and role leave an element out, but never one that holds ``main`` or all articles of the page, nor one
+that holds most of its words (half, or nine tenths if the name says nothing else, and the page marks no article). Words
+after has, no, with, without and not say nothing. Names that only contain a word of layout (``x-widget-text``) make what
+is inside count half, and leave it out if its words speak against the article.
+
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space. Null and
 empty pages, and pages without words, have the empty text. Pages of any length are read whole; broken markup is read as
 far as it goes; equal pages have equal texts; repeated rows are read each; an empty table gives an empty result; without
@@ -19,6 +24,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,20 +48,32 @@ MARKS = frozenset(
     notices alert newsletter subscribe subscription signup sidebar menu menubar nav navbar navigation breadcrumb breadcrumbs comment comments
     respond disqus related recommended share sharing social footer masthead popup modal overlay paywall skip pagination widget""".split()
 )
+#: of these, words that also stand in names of elements around an article; they leave out on their own only
+LAYOUT = frozenset("banner notice notices alert sidebar widget promo promotion social share sharing masthead popup modal overlay paywall skip pagination".split())
+#: a word after one of these does not name the element
+STATES = frozenset("has no with without not".split())
+#: what words count inside an element whose name contains a word of layout
+LOWERED = 0.5
 _TOKEN = re.compile(
-    r"""<!--(?:.*?-->|.*)|<(script|style|textarea|title|noscript|template)\b(?:.*?</\1\s*>|.*)|<(/?)([A-Za-z][^\s/>]*)((?>"[^"]*"|'[^']*'|[^'"<>]){0,4096}+)>?|<[!?][^>]*>?""",
+    r"""<!--(?:.*?-->|.*)|<(script|style|textarea|title|noscript|template)\b(?:.*?</\1\s*>|.*)|<(/?)([A-Za-z][^\s/>]*)((?>"[^"]*"|'[^']*'|[^'"<>]+)*+)>?|<[!?][^>]*>?""",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 
 
-def _is_left_out(tag: str, attributes: str) -> bool:
-    if tag in LEFT_OUT:
-        return True
+def _mark(tag: str, attributes: str) -> int:
+    """What class, id and role say: 2 that the element is no text of an article, 1 that it may be none, else 0."""
     if tag in ("article", "main", "body", "html") or not attributes:
-        return False
-    return any(part in MARKS for found in _ATTRIBUTE.findall(attributes) for part in _PART.findall("".join(found).lower()))
+        return 0
+    out = 0
+    for found in _ATTRIBUTE.findall(attributes):
+        for name in "".join(found).lower().split():
+            parts = _PART.findall(name)
+            marks = [p for k, p in enumerate(parts) if p in MARKS and not (k and parts[k - 1] in STATES)]
+            if marks:
+                out = max(out, 1 if len(marks) < len(parts) and LAYOUT.issuperset(marks) else 2)
+    return out
 
 
 def tokens(page: str) -> list[tuple[str, str, int, bool]]:
@@ -63,21 +81,30 @@ def tokens(page: str) -> list[tuple[str, str, int, bool]]:
 
     The place of words is the nearest element around them that is not inline, and whether a link is around them.
     """
+    return _read(page)[0]
+
+
+def _read(page: str) -> tuple[list[tuple[str, str, int, bool]], list[tuple[int, int]]]:
+    """``tokens``, and the ranges of them that are in elements whose names may say that they are no text of an article."""
     out: list[tuple[str, str, int, bool]] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether their text is left out
-    hidden = links = 0
+    stack: list[tuple[str, bool, list[int] | None]] = []  # open elements, whether their text is left out, and their entry in marked
+    marked: list[list[int]] = []  # begin, end, mark, articles and mains before and inside
+    hidden = links = articles = mains = 0
 
     def close(to: int) -> None:
         nonlocal hidden, links
         while len(stack) > to:
-            tag, gone = stack.pop()
+            tag, gone, entry = stack.pop()
             hidden -= gone
+            if entry:
+                entry[1] = len(out)
+                entry[3:] = articles - entry[3], mains - entry[4]
             links -= tag == "a"
 
     def words(text: str) -> None:
         n = len(text.split())
         if text:
-            place = next((t for t, _ in reversed(stack) if t not in INLINE), "")
+            place = next((t for t, *_ in reversed(stack) if t not in INLINE), "")
             out.append((f"w {'link ' if links else ''}{place}", text, n, hidden > 0))
 
     at = 0
@@ -95,19 +122,53 @@ def tokens(page: str) -> list[tuple[str, str, int, bool]]:
                 close(depth)
             out.append((f"t /{tag}", gap, 0, was_hidden))
             continue
-        if tag not in INLINE and tag not in VOID and stack and any(t == "p" for t, _ in stack[-8:]):
+        if tag not in INLINE and tag not in VOID and stack and any(t == "p" for t, *_ in stack[-8:]):
             # a block ends an open paragraph, with what is open inside it
             depth = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 9), -1) if stack[k][0] == "p"), None)
             if depth is not None:
                 close(depth)
-        gone = _is_left_out(tag, m.group(4) or "") or tag == "header" and not any(t in ("article", "main") for t, _ in stack)
+        gone = tag in LEFT_OUT or tag == "header" and not any(t in ("article", "main") for t, *_ in stack)
+        mark = 0 if gone or hidden else _mark(tag, m.group(4) or "")
         out.append((f"t {tag}", gap, 0, hidden > 0 or gone))
+        if not hidden and not gone:
+            articles += tag == "article"
+            mains += tag == "main"
         if tag not in VOID and not (m.group(4) or "").endswith("/"):
-            stack.append((tag, gone))
+            entry = [len(out) - 1, 0, mark, articles, mains] if mark else None
+            if entry:
+                marked.append(entry)
+            stack.append((tag, gone, entry))
             hidden += gone
             links += tag == "a"
+        elif mark:
+            out[-1] = (f"t {tag}", gap, 0, True)
     words(page[at:])
-    return out
+    close(0)
+    return _judged(out, marked, articles, mains)
+
+
+def _judged(out: list[tuple[str, str, int, bool]], marked: list[list[int]], articles: int, mains: int) -> tuple[list[tuple[str, str, int, bool]], list[tuple[int, int]]]:
+    """The tokens without what marked elements leave out, and the ranges that ``main_text`` judges by scores."""
+    if not marked:
+        return out, []
+    before = [0, *accumulate(0 if gone else n for _, _, n, gone in out)]
+    perhaps: list[tuple[int, int]] = []
+    hidden_to = 0
+    for begin, end, mark, own_articles, own_mains in marked:  # outer elements come first
+        if begin < hidden_to:
+            continue
+        if own_mains or not mains and articles and own_articles == articles:
+            continue
+        n = before[end] - before[begin]
+        if mark == 1:
+            if 2 * n < before[-1] or articles or mains:
+                perhaps.append((begin, end))
+            continue
+        if not articles and not mains and n and 10 * n >= 9 * before[-1]:
+            continue
+        out[begin:end] = [(key, text, n, True) for key, text, n, _ in out[begin:end]]
+        hidden_to = end
+    return out, perhaps
 
 
 def default_score(key: str) -> float:
@@ -120,16 +181,32 @@ def default_score(key: str) -> float:
 
 def main_text(page: str, scores: dict[str, float]) -> str:
     """The text of the region with the largest sum of scores; the first of several, and the shortest of those."""
-    seen = tokens(page)
+    seen, perhaps = _read(page)
+    values = []
+    for key, _, n, gone in seen:
+        score = 0.0 if gone else scores.get(key)
+        if score is None:
+            score = default_score(key)
+        values.append(score * n if key[0] == "w" else score)
+    words = [0.0, *accumulate(v if key[0] == "w" else 0.0 for v, (key, *_) in zip(values, seen, strict=True))]
+    hidden_to = lowered_to = 0  # ranges may lie in each other; their words are lowered once
+    for lo, hi in perhaps:
+        if lo < hidden_to:
+            continue
+        if words[hi] - words[lo] <= 0:
+            seen[lo:hi] = [(key, text, n, True) for key, text, n, _ in seen[lo:hi]]
+            hidden_to = hi
+            continue
+        for k in range(max(lo, lowered_to), hi):
+            if seen[k][0][0] == "w" and values[k] > 0:
+                values[k] *= LOWERED
+        lowered_to = max(lowered_to, hi)
     best = total = 0.0
     region, begin = (0, 0), 0
-    for k, (key, _, n, gone) in enumerate(seen):
+    for k, (_, _, _, gone) in enumerate(seen):
         if gone:
             continue  # what is left out neither joins nor parts what is around it
-        score = scores.get(key)
-        if score is None:
-            score = default_score(key)
-        total += score * n if key[0] == "w" else score
+        total += values[k]
         if total <= 0:
             total, begin = 0.0, k + 1
         elif total > best:

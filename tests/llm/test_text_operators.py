@@ -222,6 +222,25 @@ class TestMainText:
             assert got[10] == "deep" or scores == {} or got[10] == ""
             assert got[11] == self.TEXT.replace("One", ("One " * 3000).strip())
 
+    @pytest.mark.parametrize("attribute", ['class="layout has-sidebar"', 'class="no-comments"', 'id="sidebar-layout"', 'class="related"', 'class="widget"', "role=banner"])
+    def test_class_words_around_the_article_leave_it(self, attribute):
+        page = self.PAGE.replace("<article>", f"<div {attribute}><article>").replace("</article>", "</article></div>")
+        assert maintext.main_text(page, {}) == self.TEXT
+
+    def test_class_words_lower_scores(self):
+        text = "<p>" + "some words of the text " * 10 + "</p>"
+        whole = " ".join(("some words of the text " * 10).split())
+        parts = [f'<div class="x-widget x-widget-text-editor">{text}</div>' for _ in range(3)]
+        assert maintext.main_text("".join(parts), {}) == " ".join([whole] * 3)
+        assert maintext.main_text(f"<div class=comments>{text}</div>", {}) == whole
+        share = '<div class="share-buttons"><a>one</a> <a>two</a></div><section class="related-posts"><article>card</article></section>'
+        assert maintext.main_text(f"<main>{text}{share}{text}</main>", {}) == f"{whole} {whole}"
+        assert maintext.label_counts(f"<article>{parts[0]}</article>")["w p", True] == 50
+
+    def test_attributes_of_any_length(self):
+        long = "<p>before <img src=data:" + "x" * 5000 + ' alt=y> after<p title="' + "<" * 9000 + '">end'
+        assert maintext.main_text(long, {}) == "before after end"
+
     def test_scan_finds_the_best_region(self):
         """The linear scan against all regions."""
         rng = random.Random(1)
