@@ -1,10 +1,12 @@
 """Personal data by patterns and by bootstrapped contexts, in DataFrame functions only.
 
 Base matches of four kinds (email, ip, card, phone) are taken from every whole text, with their places. They are the seed
-entities: the words around them induce lexical patterns (two words before, or one before and one after). Patterns and
+entities: the words around them induce lexical patterns (two words before, one before and one after, or one before),
+without case, punctuation around words and values of digits. Patterns and
 the tokens they surround form a graph that is scored in rounds: a pattern is trusted for a kind by the share of its
 tokens that are believed to be of that kind, a token is believed by the patterns that surround it. Patterns that end up
-trusted then discover tokens that the base patterns miss, if they look like the kind at all. Base matches always stay.
+trusted, however many, then discover tokens that the base patterns miss, if they look like the kind at all. Base matches
+always stay.
 
 Null and empty texts have no matches. Texts of any length are read whole; places count code points, the end excluded.
 Matches of one kind never overlap; those of different kinds may, and all count. Repeated rows are judged each. An empty
@@ -13,12 +15,11 @@ table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.functions.arrays import place, sums_before
+from codefacts.functions.skew import salted_join
 from codefacts.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -38,8 +39,8 @@ TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 LOOKS = {"email": r"^\S+@\S+$", "ip": r"^\S*[0-9]+\.[0-9]+\.\S*$", "card": r"^(?:\D*[0-9]){12}", "phone": r"^(?:\D*[0-9]){7}"}
 #: characters before and after a token in which its words are looked for
 NEAR = 64
-#: rounds of scoring; seeds that a pattern needs; share from which it is trusted; most patterns that are applied
-ROUNDS, SUPPORT, TRUST, PATTERNS = 3, 5, 0.8, 2000
+#: rounds of scoring; seeds that a pattern needs; share from which it is trusted
+ROUNDS, SUPPORT, TRUST = 3, 5, 0.8
 
 
 def _with_places(df: DataFrame, text: str, pattern: str, name: str) -> DataFrame:
@@ -53,8 +54,12 @@ def _with_places(df: DataFrame, text: str, pattern: str, name: str) -> DataFrame
     def match(v: Column, i: Column) -> Column:
         before, after = F.get("__p", i), F.get("__p", i + 1)
         start = F.get("__s", i) + F.char_length(before)
-        near = F.substring(before, -NEAR, NEAR)
-        return F.struct(start.alias("start"), (start + F.char_length(v)).alias("end"), v.alias("value"), near.alias("before"), F.substring(after, 1, NEAR).alias("after"))
+        # what is near may begin before the match before, and end after the next one
+        last = lambda c: F.coalesce(F.substring(c, -NEAR, NEAR), F.lit(""))
+        head = lambda c: F.coalesce(F.substring(c, 1, NEAR), F.lit(""))
+        near = last(F.concat(last(F.get("__p", i - 1)), last(F.get("__v", i - 1)), last(before)))
+        next_ = head(F.concat(head(after), head(F.get("__v", i + 1)), head(F.get("__p", i + 2))))
+        return F.struct(start.alias("start"), (start + F.char_length(v)).alias("end"), v.alias("value"), near.alias("before"), next_.alias("after"))
 
     return df.withColumn(name, F.transform("__v", match)).drop("__v", "__p", "__l", "__s")
 
@@ -99,14 +104,23 @@ def _bare(token: Column) -> Column:
     return F.regexp_replace(token, r"^[^\p{L}\p{N}+@]+|[^\p{L}\p{N}]+$", "")
 
 
+def _plain(words: Column) -> Column:
+    """Words of a context: one space between them, digits as 0, without punctuation around them unless they are nothing else."""
+    bare = F.regexp_replace(words, r"(?<!\S)[^\p{L}\p{N}\s]+(?=[\p{L}\p{N}])|(?<=[\p{L}\p{N}])[^\p{L}\p{N}\s]+(?!\S)", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), r"\p{Nd}+", "0")
+
+
 def _contexts(m: Column) -> Column:
-    """The patterns that surround a token: two words before, or one before and one after; an array of up to two."""
+    """The patterns that surround a token: two words before, one before and one after, one before; an array of up to three."""
     before, after = F.lower(m["before"]), F.lower(m["after"])
     two = F.regexp_extract(before, r"(?:^|\s)(\S+\s+\S+)\s*$", 1)
     one, next_ = F.regexp_extract(before, r"(?:^|\s)(\S+)\s*$", 1), F.regexp_extract(after, r"^\s*(\S+)(?:\s|$)", 1)
-    squeeze = lambda c: F.regexp_replace(c, r"\s+", " ")
     return F.filter(
-        F.array(F.when(two != "", F.concat(F.lit("2 "), squeeze(two))), F.when((one != "") & (next_ != ""), F.concat(F.lit("1 "), one, F.lit(" _ "), next_))),
+        F.array(
+            F.when(two != "", F.concat(F.lit("2 "), _plain(two))),
+            F.when((one != "") & (next_ != ""), F.concat(F.lit("1 "), _plain(one), F.lit(" _ "), _plain(next_))),
+            F.when(one != "", F.concat(F.lit("0 "), _plain(one))),
+        ),
         lambda c: c.isNotNull(),
     )
 
@@ -131,13 +145,13 @@ def _with_candidates(df: DataFrame) -> DataFrame:
 
 
 def evidence(docs: DataFrame) -> DataFrame:
-    """doc_id, base matches by kind, tokens that may be identifiers, seeds; written once, so that texts are read once.
+    """row, doc_id, base matches by kind, tokens that may be identifiers, seeds; written once, so that texts are read once.
 
     Reading it back also keeps filters on what is exploded from being pushed into the regular expressions.
     """
     rows = _with_candidates(base_matches(docs))
     bare = [F.transform(k, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"))).alias(k) for k in KINDS]
-    return materialize(rows.select("doc_id", *bare, "tokens", "seeds"))
+    return materialize(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", *bare, "tokens", "seeds"))
 
 
 def graph(rows: DataFrame) -> DataFrame:
@@ -148,58 +162,68 @@ def graph(rows: DataFrame) -> DataFrame:
     return both.select("kind", "instance", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n"))
 
 
-def trusted_patterns(edges: DataFrame) -> list[tuple[str, str]]:
-    """(pattern, kind) of the patterns that the rounds of scoring end up trusting; at most ``PATTERNS``."""
+def trusted_patterns(edges: DataFrame) -> DataFrame:
+    """pattern, kind, trust and quality of all patterns that the rounds of scoring end up trusting."""
     believed = edges.select("pattern", "instance", "kind", F.col("kind").isNotNull().cast("double").alias("belief"))
-    trusted: list[tuple[str, str]] = []
+    known = None
     for round_ in range(ROUNDS):
         whole = believed.groupBy("pattern").agg(F.countDistinct("instance").alias("instances"))
         part = believed.filter("belief > 0").groupBy("pattern", "kind").agg(F.sum("belief").alias("belief"), F.countDistinct("instance").alias("support"))
         part = part.filter(F.col("support") >= SUPPORT)
         trust = F.col("belief") / F.col("instances")
         scored = part.join(whole, "pattern").select("pattern", "kind", "support", trust.alias("trust")).filter(F.col("trust") >= TRUST)
-        best = scored.orderBy(F.desc(F.col("trust") * F.log2("support")), "pattern", "kind").limit(PATTERNS)
-        found = [(r.pattern, r.kind, r.trust) for r in best.collect()]  # at most PATTERNS rows
-        if not found or {(p, k) for p, k, _ in found} == set(trusted):
-            return [(p, k) for p, k, _ in found]
-        trusted = [(p, k) for p, k, _ in found]
-        if round_ + 1 == ROUNDS:
+        trusted = materialize(scored.select("pattern", "kind", "trust", (F.col("trust") * F.log2("support")).alias("quality")))
+        now = trusted.agg(F.count("*").alias("n"), F.sum(F.xxhash64("pattern", "kind").cast("decimal(38,0)")).alias("h")).first()
+        if not now.n or now == known or round_ + 1 == ROUNDS:
             break
+        known = now
         # a token without a kind is believed by the trusted patterns around it: one minus the product of their doubts
-        table = F.broadcast(edges.sparkSession.createDataFrame(found, "pattern string, kind string, trust double"))
         doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("trust")))))
-        new = edges.filter("kind is null").select("pattern", "instance").join(table, "pattern").groupBy("instance", "kind").agg((1 - doubt).alias("belief"))
-        new = edges.filter("kind is null").select("pattern", "instance").join(new, "instance", "left").select("pattern", "instance", "kind", F.coalesce("belief", F.lit(0.0)).alias("belief"))
+        others = edges.filter("kind is null").select("pattern", "instance")
+        new = salted_join(others, trusted.drop("quality"), ["pattern"], ["instance"]).groupBy("instance", "kind").agg((1 - doubt).alias("belief"))
+        new = others.join(new, "instance", "left").select("pattern", "instance", "kind", F.coalesce("belief", F.lit(0.0)).alias("belief"))
         seeds = edges.filter("kind is not null").select("pattern", "instance", "kind", F.lit(1.0).alias("belief"))
         believed = materialize(seeds.unionByName(new))
     return trusted
 
 
+def _looks(kind: Column, value: Column) -> Column:
+    out = F.lit(False)
+    for k in KINDS:
+        out = F.when(kind == k, F.regexp_like(value, F.lit(LOOKS[k]))).otherwise(out)
+    return out
+
+
+def discovered(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """row and ``found`` (kind, start, end, value) of the rows in which trusted patterns discover tokens.
+
+    Of several patterns around a token the first counts, of several kinds of a pattern the best.
+    """
+    best = patterns.groupBy("pattern").agg(F.min_by("kind", F.struct(-F.col("quality"), F.col("kind"))).alias("kind"))
+    tokens = rows.select("row", F.explode("tokens").alias("t"))
+    any_look = F.lit(False)
+    bare = _bare(F.col("t.value"))
+    for k in KINDS:
+        any_look = any_look | F.regexp_like(bare, F.lit(LOOKS[k]))
+    places = tokens.filter(any_look).select("row", "t.start", "t.value", F.posexplode("t.patterns").alias("nth", "pattern"))
+    met = salted_join(places, best, ["pattern"], ["row", "start"]).groupBy("row", "start").agg(F.min_by("kind", "nth").alias("kind"), F.first("value").alias("token"))
+    inner = _bare(F.col("token"))
+    start = F.col("start") + F.char_length(F.regexp_extract("token", r"^[^\p{L}\p{N}+@]+", 0))
+    judged = met.select("row", "kind", start.alias("start"), (start + F.char_length(inner)).alias("end"), inner.alias("value")).filter(_looks(F.col("kind"), F.col("value")))
+    one = F.struct("start", "kind", "end", "value")
+    listed = F.transform(F.array_sort(F.collect_list(one)), lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
+    return judged.groupBy("row").agg(listed.alias("found"))
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id; ``email``, ``ip``, ``card``, ``phone``: arrays of base matches (start, end, value); ``found``: discovered (kind, start, end, value)."""
     rows = evidence(docs)
     patterns = trusted_patterns(materialize(graph(rows)))
-    kind = "struct<kind:string,start:bigint,end:bigint,value:string>"
-    if not patterns:
-        return rows.select("doc_id", *KINDS, F.array().cast(f"array<{kind}>").alias("found"))
-    lookup = {}
-    for pattern, k in patterns:  # the best pattern comes first
-        lookup.setdefault(pattern, k)
-    known = F.from_json(F.lit(json.dumps(lookup)), "map<string,string>")
-
-    def judged(t: Column) -> Column:
-        kinds = F.filter(F.transform(t["patterns"], lambda p: F.try_element_at(known, p)), lambda k: k.isNotNull())
-        inner = _bare(t["value"])
-        start = t["start"] + F.char_length(F.regexp_extract(t["value"], r"^[^\p{L}\p{N}+@]+", 0))
-        return F.struct(F.get(kinds, F.lit(0)).alias("kind"), start.alias("start"), (start + F.char_length(inner)).alias("end"), inner.alias("value"))
-
-    def looks(t: Column) -> Column:
-        out = F.lit(False)
-        for k in KINDS:
-            out = F.when(t["kind"] == k, F.regexp_like(t["value"], F.lit(LOOKS[k]))).otherwise(out)
-        return t["kind"].isNotNull() & out
-
-    return rows.select("doc_id", *KINDS, F.filter(F.transform("tokens", judged), looks).alias("found"))
+    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string>>")
+    if patterns.isEmpty():
+        return rows.select("doc_id", *KINDS, none.alias("found"))
+    found = materialize(discovered(rows, patterns))
+    return rows.drop("tokens", "seeds").join(found, "row", "left").select("doc_id", *KINDS, F.coalesce("found", none).alias("found"))
 
 
 def _listed(kind: str, spans: Column) -> Column:

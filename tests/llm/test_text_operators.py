@@ -198,6 +198,19 @@ class TestPii:
         rows = pii.span_texts(pii.find(docs_of(spark, texts))).orderBy("doc_id").collect()
         assert [r.spans for r in rows[20:]] == ["phone:11:20", "", ""]
 
+    def test_all_trusted_patterns_count(self, spark):
+        """More patterns than the 2000 that were once kept; every one discovers its token."""
+        name = lambda g: "".join(chr(97 + g // 26**k % 26) for k in range(3))
+        texts = [" ".join(f"{name(g)}x {name(g)}y +1 415 {1000000 + 10 * g + i} {name(g)}z" for i in range(5)) for g in range(2100)]
+        docs = docs_of(spark, texts + [f"{name(g)}x {name(g)}y 555-{12345 + g} {name(g)}z" for g in range(2100)] * 2, extra=False)
+        rows = pii.find(docs).filter("doc_id >= 2100").select(F.col("found.kind").alias("kinds")).collect()
+        assert len(rows) == 4200 and all(r.kinds == ["phone"] for r in rows)
+
+    def test_contexts_are_general(self, spark):
+        texts = [f"{w} {n}: +1 415 {5551000 + n} {w}" for n, w in enumerate(["Ring", "ring,", "(RING", "ring", "ring!", "ring;"])] + ["ring 77 555-12345 now"]
+        rows = pii.span_texts(pii.find(docs_of(spark, texts))).orderBy("doc_id").collect()
+        assert rows[-1].spans == "phone:8:17"
+
     def test_empty_table(self, spark):
         assert pii.span_texts(pii.find(docs_of(spark, ["a"]).limit(0))).count() == 0
 
