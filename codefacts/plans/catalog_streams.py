@@ -27,8 +27,8 @@ def _change_stream(spark, sf):
 
 def _daily(spark, sf):
     out = jobs.scratch(spark, "daily")
-    jobs.write_changelog(jobs.daily_churn(_change_stream(spark, sf)), out, jobs.scratch(spark, "ck"), available_now=True).awaitTermination()
-    return jobs.changelog_state(spark, out, ["repo", "path", "day"])
+    jobs.write_partials(_change_stream(spark, sf), jobs.daily_churn, out, jobs.scratch(spark, "ck"), available_now=True).awaitTermination()
+    return jobs.partials_state(spark, out, ["repo", "path", "day"])
 
 
 @query("stream_daily_churn", "K1 K6", _EV + "select repo, path, day, n, added from d")
@@ -53,9 +53,9 @@ def stream_rolling_churn(spark, sf):
 )
 def stream_sliding_churn(spark, sf):
     out = jobs.scratch(spark, "sliding")
-    rows = jobs.sliding_churn(_change_stream(spark, sf), days=3)
-    jobs.write_changelog(rows, out, jobs.scratch(spark, "ck"), available_now=True).awaitTermination()
-    return jobs.changelog_state(spark, out, ["repo", "path", "day"])
+    sliding = lambda batch: jobs.sliding_churn(batch, days=3)
+    jobs.write_partials(_change_stream(spark, sf), sliding, out, jobs.scratch(spark, "ck"), available_now=True).awaitTermination()
+    return jobs.partials_state(spark, out, ["repo", "path", "day"])
 
 
 @query(
@@ -108,7 +108,7 @@ def stream_python_facts(spark, sf):
     )
     out = jobs.scratch(spark, "facts")
     jobs.extract_continuously(files, out, jobs.scratch(spark, "ck"), available_now=True).awaitTermination()
-    return spark.read.parquet(out).select("repo", "path", "ok", "loc_total", "loc_code")
+    return jobs.read_versions(spark, out).select("repo", "path", "ok", "loc_total", "loc_code")
 
 
 @query(

@@ -1,11 +1,11 @@
-"""Streaming jobs (K1-K6). All state is either a watermarked aggregate or a table that batches replace by partition.
+"""Streaming jobs (K1-K6). State is a table that batches replace by partition, or a watermarked aggregate.
 
 Every ``foreachBatch`` body may be replayed after a failure, so each of them gives the same table when run twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -38,6 +38,7 @@ def start(writer, checkpoint: str, available_now: bool = False, freshness: str =
 def daily_churn(changes: DataFrame, lateness: str = "7 days") -> DataFrame:
     """K1: per file and day, change count and lines; one state row per file and open day.
 
+    As a stream it leaves out rows later than ``lateness`` once later batches have passed them; ``write_partials`` does not.
     The sliding window over these rows is ``operators.churn.rolling_churn`` on the result: a 90-day window sliding by one
     day would keep and emit ninety rows per change.
     """
@@ -49,12 +50,32 @@ def daily_churn(changes: DataFrame, lateness: str = "7 days") -> DataFrame:
 
 
 def sliding_churn(changes: DataFrame, days: int = 90, lateness: str = "7 days") -> DataFrame:
-    """K1: the direct form, for few files and consumers that want every window as it closes."""
+    """K1: the direct form, for few files and consumers that want every window as it closes; late rows as in ``daily_churn``."""
     marked = changes.withWatermark("ts", lateness)
     agg = marked.groupBy("repo", "path", F.window("ts", f"{days} days", "1 day")).agg(F.count("*").alias("churn"), F.sum("added").alias("added_lines"))
     return agg.select("repo", "path", F.date_sub(F.to_date("window.end"), 1).alias("day"), "churn", "added_lines")
 
 
+def write_partials(changes: DataFrame, aggregate, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """K1: the sums of each batch, whatever its days; no watermark, no state, and no change is too late.
+
+    ``aggregate``: ``daily_churn`` or ``sliding_churn``, whose values are sums (their watermark has no effect on the rows of
+    one batch). A replayed batch replaces itself. ``partials_state`` adds the batches up.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        rows = aggregate(batch).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+    return start(changes.writeStream.foreachBatch(save), checkpoint, available_now)
+
+
+def partials_state(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The sums over all batches of ``write_partials``."""
+    log = spark.read.parquet(path)
+    return log.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in log.columns if c not in (*keys, "batch_id")])
+
+
 def write_changelog(updates: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Keep the updates of an aggregate as a changelog with the batch that wrote them; a replayed batch replaces itself."""
 
@@ -105,20 +126,53 @@ def watch_rewrites(rewrites: DataFrame, changes_path: str, daily_path: str, chec
 
 
 # ------------------------------------------------------------------ facts
-def new_contents(files: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """K3: file versions whose content has not been seen for this path within the watermark. Needs ``ts``."""
-    keyed = files.withColumn("code_hash", fx.content_key("content")).withWatermark("ts", lateness)
-    return keyed.dropDuplicatesWithinWatermark(["repo", "path", "code_hash"])
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
 
+def extract_continuously(files: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """K3: parse only contents that are new for their path and keep their facts; needs ``ts``, the version of a file.
 
-def extract_continuously(files: DataFrame, path: str, checkpoint: str, lateness: str = "1 day", available_now: bool = False) -> StreamingQuery:
-    """K3: parse only new contents and keep their facts; the partition of a batch is replaced when it is replayed."""
+    Every version is kept in a table beside the facts, ``read_versions`` joins them, so contents may come late, in any
+    order and again (A, B, A). The partitions of a batch are replaced when it is replayed.
+    """
+    keys = ["repo", "path", "code_hash"]
 
     def parse(batch: DataFrame, batch_id: int) -> None:
-        facts = fx.extract_facts(batch).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        spark = batch.sparkSession
+        number = F.lit(batch_id).cast("long").alias("batch_id")
+        keyed = batch.withColumn("code_hash", fx.content_key("content"))
+        versions = keyed.select(*keys, "ts", number).distinct()
+        versions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(versions_path(path))
+        new = keyed.dropDuplicates(keys)
+        if _exists(spark, path):
+            seen = spark.read.parquet(path).where(F.col("batch_id") < batch_id).select(*[F.col(k).alias(f"seen_{k}") for k in keys])
+            new = new.join(seen, [F.col(k).eqNullSafe(F.col(f"seen_{k}")) for k in keys], "left_anti")
+        facts = fx.extract_facts(new).withColumn("batch_id", number)
         facts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
-    return start(new_contents(files, lateness).writeStream.foreachBatch(parse), checkpoint, available_now)
+    return start(files.writeStream.foreachBatch(parse), checkpoint, available_now)
+
+
+def versions_path(path: str) -> str:
+    return f"{path.rstrip('/')}-versions"
+
+
+def read_versions(spark: SparkSession, path: str) -> DataFrame:
+    """K3: the facts of every version (repo, path, ts) of a file; versions in a row with the same content are one, the first."""
+    seen = spark.read.parquet(versions_path(path)).select("repo", "path", "code_hash", "ts").distinct()
+    order = Window.partitionBy("repo", "path").orderBy("ts", "code_hash")
+    changed = seen.withColumn("before", F.lag(F.struct("code_hash")).over(order)).where("before is null or not before.code_hash <=> code_hash").drop("before")
+    facts = spark.read.parquet(path).drop("batch_id").withColumnsRenamed({"repo": "f_repo", "path": "f_path", "code_hash": "f_hash"})
+    same = F.col("repo").eqNullSafe(F.col("f_repo")) & F.col("path").eqNullSafe(F.col("f_path")) & F.col("code_hash").eqNullSafe(F.col("f_hash"))
+    return changed.join(facts, same).drop("f_repo", "f_path", "f_hash")
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """K3: the facts of the latest version of each file."""
+    newest = Window.partitionBy("repo", "path").orderBy(F.desc("ts"), F.desc("code_hash"))
+    return read_versions(spark, path).withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n")
 
 
 def merge_latest(batch: DataFrame, path: str, buckets: int = 64) -> None:
@@ -129,9 +183,7 @@ def merge_latest(batch: DataFrame, path: str, buckets: int = 64) -> None:
     """
     spark = batch.sparkSession
     rows = batch.withColumn("bucket", F.pmod(F.xxhash64("repo", "path"), F.lit(buckets)).cast("int"))
-    exists = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = exists.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(exists):
+    if _exists(spark, path):
         stored = spark.read.schema(rows.schema).parquet(path)
         rows = rows.unionByName(stored.join(rows.select("bucket").distinct(), "bucket", "left_semi"))
     values = [c for c in rows.columns if c not in ("repo", "path", "bucket")]

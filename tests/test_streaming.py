@@ -117,3 +117,37 @@ def test_sliding_windows(spark, tmp_path):
     by_day = {str(r.day): (r.churn, r.added_lines) for r in got.collect()}
     assert by_day["2024-01-03"] == (2, 7) and by_day["2024-01-01"] == (1, 5) and by_day["2024-01-05"] == (1, 2) and len(by_day) == 5
     assert got.where(F.col("churn") > 2).count() == 0
+
+
+def shuffled_changes(spark, src):
+    """Files of one row each, whose days go back and forth by months."""
+    days = [200, 0, 90, 201, 3, 150, 0, 91]
+    data = [("r", f"{'ab'[i % 2]}.py", str(i), at(d), i + 1, i) for i, d in enumerate(days)]
+    for i, row in enumerate(data):
+        drop(spark, [row], CHANGES, src, f"p{i}")
+    return spark.createDataFrame(data, CHANGES)
+
+
+def test_partial_sums_keep_late_rows(spark, tmp_path):
+    src, log, ck = (str(tmp_path / n) for n in ("in", "log", "ck"))
+    want = shuffled_changes(spark, src)
+    sliding = lambda batch: jobs.sliding_churn(batch, days=3)
+    for name, aggregate, whole in (("d", jobs.daily_churn, ch.churn_daily(want)), ("s", sliding, sliding(want))):
+        jobs.write_partials(source(spark, src, CHANGES), aggregate, log + name, ck + name, available_now=True).awaitTermination()
+        got = jobs.partials_state(spark, log + name, ["repo", "path", "day"])
+        assert spark.read.parquet(log + name).select("batch_id").distinct().count() == 8
+        assert rows(got, *whole.columns) == rows(whole)
+
+
+def test_facts_of_late_and_repeated_contents(spark, tmp_path):
+    schema = "repo string, path string, content string, ts timestamp"
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    a, b = "def f(): pass\n", "x = 1\ny = 2\n"
+    data = [("r", "a.py", a, at(0)), ("r", "a.py", a, at(40)), ("r", "a.py", b, at(20)), ("r", "b.py", b, at(1)), ("r", "a.py", a, at(41))]
+    for i, row in enumerate(data):
+        drop(spark, [row], schema, src, f"p{i}")
+        jobs.extract_continuously(source(spark, src, schema), out, ck, available_now=True).awaitTermination()
+    got = [(r.path, r.ts, r.loc_total) for r in jobs.read_versions(spark, out).orderBy("path", "ts").collect()]
+    assert got == [("a.py", at(0), 1), ("a.py", at(20), 2), ("a.py", at(40), 1), ("b.py", at(1), 2)]
+    assert rows(jobs.read_current(spark, out), "path", "loc_total") == [("a.py", 1), ("b.py", 2)]
+    assert spark.read.parquet(out).count() == 3  # each content of a path is parsed once
