@@ -115,6 +115,41 @@ def core_module_import_roots(spark, sf):
     return st.module_children(_corpus(spark, sf).tables)["import_roots"].where("name = 'core'")
 
 
+@query(
+    "core_module_functions_all",
+    "D7 G4",
+    DEFS + """, every as (select repo, path, name, signature, docstring, lineno from fun
+      union all select repo, path, 'size_of_p' || k, 'int size_of_p' || k || '(int a,' || chr(10) || '  int b)', null, 10 from p)
+    select repo, split_part(path, '/', 1) as name, row_number() over (partition by repo, split_part(path, '/', 1) order by docstring is null, lower(name), path, lineno) as rank,
+      name as symbol, signature, path, lineno from every""",
+)
+def core_module_functions_all(spark, sf):
+    """The functions of every folder; ``core_module_functions`` is the part of it that is in core."""
+    return st.module_children(_corpus(spark, sf).tables)["functions"].select("repo", "name", "rank", "symbol", "signature", "path", "lineno")
+
+
+@query(
+    "core_module_classes_all",
+    "D7 G3",
+    DEFS + """, every as (select repo, path, name, docstring, inherits_base, lineno from cls union all select repo, path, 'P' || k, null, false, 6 from p)
+    select repo, split_part(path, '/', 1) as name, row_number() over (partition by repo, split_part(path, '/', 1)
+      order by inherits_base desc, docstring is null, starts_with(name, '_'), lower(name), path, lineno) as rank, name as symbol, path from every""",
+)
+def core_module_classes_all(spark, sf):
+    return st.module_children(_corpus(spark, sf).tables)["classes"].select("repo", "name", "rank", "symbol", "path")
+
+
+@query(
+    "core_module_import_roots_all",
+    "D7",
+    CORPUS + "," + IMPORTS + """, every as (select repo, split_part(path, '/', 1) as name, split_part(module, '.', 1) as root from imp
+      union all select repo, 'lib', 'p' || other from p)
+    select repo, name, root, count(*) as imports from every group by all""",
+)
+def core_module_import_roots_all(spark, sf):
+    return st.module_children(_corpus(spark, sf).tables)["import_roots"]
+
+
 @query("component_blueprints", "D11", CORPUS + "select repo, 's' || k as dir, 'plugins/s' || k || '/routes.py' as path, 'bp' as var, 's' || k as name from s")
 def component_blueprints(spark, sf):
     c = _corpus(spark, sf)
