@@ -6,6 +6,7 @@ is one narrow stage and nothing is shuffled.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -150,17 +151,24 @@ CONTINUING_BLOCKS = ("try:", "if ", "except", "for ", "with ", "else", "elif", "
 def pair_rule_hits(files: DataFrame, rules: tuple[PairRule, ...] = (RAW_CONNECTION,)) -> DataFrame:
     """The first event after each assignment decides: scope left, escape, or use; a use is a hit.
 
-    The forward frame is a slice of the file's own line array, taken only for lines that assign.
+    An assignment begins at the start of its line; a use or an escape stands anywhere in its own. All rules are tested in one
+    scan. The forward frame is a slice of the file's own line array, taken only for lines that assign.
     """
-    found = None
-    for rule in rules:
-        hits = _pair_hits(files, rule)
-        found = hits if found is None else found.unionByName(hits)
-    return found
+    def names(rule: PairRule):
+        return lambda x: F.regexp_extract(x, f"^(?:{rule.assign})", 1)
+
+    rows = files.select("repo", "path", text.split_lines("content").alias("raw"))
+    rows = rows.select("repo", "path", "raw", *[F.transform("raw", names(r)).alias(f"vars_{k}") for k, r in enumerate(rules)])
+    # only a file with an assignment pays for the line facts; a filter here would be pushed below the split and repeat it
+    facts = [F.when(F.exists(f"vars_{k}", lambda v: v != ""), F.transform("raw", _pair_line(r))).alias(f"lines_{k}") for k, r in enumerate(rules)]
+    rows = rows.select("repo", "path", *[f"vars_{k}" for k in range(len(rules))], *facts)
+    hits = F.concat(*[_pair_outcomes(r, F.col(f"vars_{k}"), F.col(f"lines_{k}")) for k, r in enumerate(rules)])
+    used = rows.select("repo", "path", F.explode(hits).alias("h"))
+    return used.select("repo", "path", "h.rule", "h.line_no", F.col("h.body").alias("snippet"))
 
 
-def _pair_hits(files: DataFrame, rule: PairRule) -> DataFrame:
-    # everything that depends on the line alone is worked out once per line, not once per assignment above it
+def _pair_line(rule: PairRule):
+    """What depends on a line alone is worked out once per line, not once per assignment above it."""
     def facts(raw: Column) -> Column:
         body = text.strip(raw)
         goes_on = F.lit(False)
@@ -169,35 +177,49 @@ def _pair_hits(files: DataFrame, rule: PairRule) -> DataFrame:
         escapes = F.rlike(body, F.lit(rule.escape)) if rule.escape else F.lit(False)
         return F.struct(body.alias("body"), text.indent_width(raw).alias("indent"), goes_on.alias("goes_on"), escapes.alias("escapes"))
 
-    raw_lines = text.split_lines("content")
-    names = F.transform(raw_lines, lambda x: F.regexp_extract(x, rule.assign, 1))
-    split = files.select("repo", "path", raw_lines.alias("raw"), names.alias("vars"))
-    # only a file with an assignment pays for the line facts; a filter here would be pushed below the split and repeat it
-    assigns = F.exists("vars", lambda v: v != "")
-    split = split.select("repo", "path", "vars", F.when(assigns, F.transform("raw", facts)).alias("ls"))
+    return facts
+
+
+def _always_holds_variable(use: str) -> bool:
+    """Every match of ``use`` contains the variable itself, so a line without it need not be tested; False if unsure."""
+    plain = re.sub(r"\\.|\[\^?\]?[^\]]*\]", "_", use)
+    if "(?" in plain:
+        return False
+    depth, found = 0, False
+    for at, c in enumerate(plain):
+        depth += (c == "(") - (c == ")")
+        if depth == 0 and c == "|":
+            return False
+        if depth == 0 and plain.startswith("{var}", at) and plain[at + 5 : at + 6] not in ("?", "*", "{"):
+            found = True
+    return found
+
+
+def _pair_outcomes(rule: PairRule, variables: Column, ls: Column) -> Column:
+    """The uses that decide: an array of (rule, line_no, body)."""
+    quick = _always_holds_variable(rule.use)
 
     def outcome(var: Column, i: Column) -> Column:
         """The first line after line ``i`` that decides, with its number; the file's lines are never copied per assignment."""
-        indent = F.get(F.col("ls"), i)["indent"]
-        use = F.concat(F.lit("^(?:"), F.replace(F.lit(rule.use), F.lit("{var}"), F.concat(F.lit("\\Q"), var, F.lit("\\E"))), F.lit(")"))
+        indent = F.get(ls, i)["indent"]
+        use = F.replace(F.lit(rule.use), F.lit("{var}"), F.concat(F.lit("\\Q"), var, F.lit("\\E")))
 
         def event(x: Column, j: Column) -> Column:
+            used = F.rlike(x["body"], use)
             kind = (
                 F.when(x["body"] == "", 0)
                 .when((x["indent"] < indent) & ~x["goes_on"], 1)
                 .when(x["escapes"], 2)
-                .when(F.rlike(x["body"], use), 3)
+                .when(x["body"].contains(var) & used if quick else used, 3)
                 .otherwise(0)
             )
-            return F.named_struct(F.lit("kind"), kind, F.lit("line_no"), (i + j + 2).cast("int"), F.lit("body"), x["body"])
+            return F.named_struct(F.lit("kind"), kind, F.lit("line_no"), (i + j + 2).cast("int"), F.lit("body"), x["body"], F.lit("rule"), F.lit(rule.name))
 
-        ahead = F.slice(F.col("ls"), i + 2, F.lit(rule.window - 1))
-        decisive = F.filter(F.transform(ahead, event), lambda e: e["kind"] > 0)
-        return F.when(var != "", F.get(decisive, F.lit(0)))
+        ahead = F.slice(ls, i + 2, F.lit(rule.window - 1))
+        return F.when(var != "", F.get(F.filter(F.transform(ahead, event), lambda e: e["kind"] > 0), F.lit(0)))
 
-    hits = F.filter(F.transform("vars", outcome), lambda h: h.isNotNull() & (h["kind"] == 3))
-    used = split.select("repo", "path", F.explode(hits).alias("h"))
-    return used.select("repo", "path", F.lit(rule.name).alias("rule"), F.col("h.line_no").alias("line_no"), F.col("h.body").alias("snippet"))
+    found = F.filter(F.transform(variables, outcome), lambda h: h.isNotNull() & (h["kind"] == 3))
+    return F.coalesce(found, F.array().cast("array<struct<kind:int,line_no:int,body:string,rule:string>>"))
 
 
 # ------------------------------------------------------------------ claims

@@ -137,7 +137,7 @@ def merge_risk_grades(spark, sf):
     "new_remote_tags",
     "E15 H6 A16",
     """select * from (select c_mktsegment as repo, 'v' || c_custkey as tag, row_number() over (partition by c_mktsegment order by 'v' || c_custkey) as rank
-    from customer where c_acctbal < 0) where rank <= 10""",
+    from customer where c_acctbal < 0)""",
 )
 def new_remote_tags(spark, sf):
     cust = ad.table(spark, sf, "customer")

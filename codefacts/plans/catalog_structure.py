@@ -11,6 +11,7 @@ from codefacts.plans import adapters as ad
 from codefacts.plans.analysis import load_corpus
 from codefacts.plans.catalog_facts import CORPUS, DEFS, IMPORTS
 from codefacts.plans.registry import query
+from codefacts.profile import Profile
 from codefacts.session import materialize
 from codefacts.sources import manifests as mf
 
@@ -90,66 +91,69 @@ def core_modules(spark, sf):
 @query(
     "core_module_functions",
     "D7 G4",
-    DEFS + """select repo, 'core' as name, row_number() over (partition by repo order by lower(name), path, lineno) as rank, name as symbol, signature, path, lineno
-    from fun where path like 'core/%'""",
-)
-def core_module_functions(spark, sf):
-    rows = st.module_children(_corpus(spark, sf).tables)["functions"].where("name = 'core'")
-    return rows.select("repo", "name", "rank", "symbol", "signature", "path", "lineno")
-
-
-@query(
-    "core_module_classes",
-    "D7 G3",
-    CORPUS + """select repo, 'lib' as name, row_number() over (partition by repo order by lower('P' || k), path) as rank, 'P' || k as symbol, path from p
-    union all select repo, 'shared', 1, 'BasePlugin', 'shared/base.py' from n""",
-)
-def core_module_classes(spark, sf):
-    return st.module_children(_corpus(spark, sf).tables)["classes"].where("name in ('lib', 'shared')").select("repo", "name", "rank", "symbol", "path")
-
-
-@query("core_module_import_roots", "D7", CORPUS + """, roots as (select repo, 'core' as name, unnest(['os', 'json', 'shared']) as root from c where ok
-    union all select repo, 'core', 'plugins' from c where ok and bal < 0)
-    select repo, name, root, count(*) as imports from roots group by all""")
-def core_module_import_roots(spark, sf):
-    return st.module_children(_corpus(spark, sf).tables)["import_roots"].where("name = 'core'")
-
-
-@query(
-    "core_module_functions_all",
-    "D7 G4",
     DEFS + """, every as (select repo, path, name, signature, docstring, lineno from fun
       union all select repo, path, 'size_of_p' || k, 'int size_of_p' || k || '(int a,' || chr(10) || '  int b)', null, 10 from p)
     select repo, split_part(path, '/', 1) as name, row_number() over (partition by repo, split_part(path, '/', 1) order by docstring is null, lower(name), path, lineno) as rank,
       name as symbol, signature, path, lineno from every""",
 )
-def core_module_functions_all(spark, sf):
-    """The functions of every folder; ``core_module_functions`` is the part of it that is in core."""
+def core_module_functions(spark, sf):
     return st.module_children(_corpus(spark, sf).tables)["functions"].select("repo", "name", "rank", "symbol", "signature", "path", "lineno")
 
 
 @query(
-    "core_module_classes_all",
+    "core_module_classes",
     "D7 G3",
     DEFS + """, every as (select repo, path, name, docstring, inherits_base, lineno from cls union all select repo, path, 'P' || k, null, false, 6 from p)
     select repo, split_part(path, '/', 1) as name, row_number() over (partition by repo, split_part(path, '/', 1)
       order by inherits_base desc, docstring is null, starts_with(name, '_'), lower(name), path, lineno) as rank, name as symbol, path from every""",
 )
-def core_module_classes_all(spark, sf):
+def core_module_classes(spark, sf):
     return st.module_children(_corpus(spark, sf).tables)["classes"].select("repo", "name", "rank", "symbol", "path")
 
 
 @query(
-    "core_module_import_roots_all",
+    "core_module_import_roots",
     "D7",
     CORPUS + "," + IMPORTS + """, every as (select repo, split_part(path, '/', 1) as name, split_part(module, '.', 1) as root from imp
       union all select repo, 'lib', 'p' || other from p)
     select repo, name, root, count(*) as imports from every group by all""",
 )
-def core_module_import_roots_all(spark, sf):
+def core_module_import_roots(spark, sf):
     return st.module_children(_corpus(spark, sf).tables)["import_roots"]
 
 
+@query(
+    "module_descriptions",
+    "E23 D8 M6",
+    CORPUS + """select repo, 'core' as name, 'Customers' as description, true as known from c group by repo union all select repo, 'shared', '(source module)', false from n
+    union all select repo, 'lib', '(source module)', false from p group by repo""",
+)
+def module_descriptions(spark, sf):
+    """A profile that knows ``core``, and a folder that no repository has; all others are found by their files."""
+    c = load_corpus(materialize(ad.code_corpus(spark, sf)), Profile(core_modules={"core": "Customers", "gone": "Nowhere"}))
+    return st.modules(c.files, c.tables, c.profile).select("repo", "name", "description", "known")
+
+
+@query(
+    "module_methods",
+    "D7 C4",
+    DEFS + "select repo, split_part(path, '/', 1) as name, class_name, name as symbol, abstract, path from meth",
+)
+def module_methods(spark, sf):
+    rows = st.module_children(_corpus(spark, sf).tables)["methods"]
+    return rows.select("repo", "name", "class_name", "symbol", "abstract", "path")
+
+
+@query(
+    "module_routes",
+    "D7 C5",
+    CORPUS + """select repo, 'plugins' as name, 'plugins/s' || k || '/routes.py' as path, unnest(['''/n' || nk || '''', '''/p' || k || '''']) as rule from s""",
+)
+def module_routes(spark, sf):
+    """Routes and blueprints of every top folder; the components' folder is one of them here."""
+    return st.module_children(_corpus(spark, sf).tables)["routes"].select("repo", "name", "path", "rule")
+
+
 @query("component_blueprints", "D11", CORPUS + "select repo, 's' || k as dir, 'plugins/s' || k || '/routes.py' as path, 'bp' as var, 's' || k as name from s")
 def component_blueprints(spark, sf):
     c = _corpus(spark, sf)

@@ -65,7 +65,7 @@ def brute_pairs(lines, assign, use, escape, window):
 
 def test_pairing_like_a_loop(spark, make_files):
     rng = random.Random(4)
-    pool = ["c = get_raw_connection()", "    d = db.get_raw_connection()", "c.execute(q)", "    d.execute(q)", "  c.cursor()", "c = PgConnection(c)", "", "def f():", "if x:", "else:", "    pass", "cc.execute(1)"]
+    pool = ["c = get_raw_connection()", "    d = db.get_raw_connection()", "c.execute(q)", "    d.execute(q)", "  c.cursor()", "c = PgConnection(c)", "", "def f():", "if x:", "else:", "    pass", "cc.execute(1)", "row = c.execute(q)", "    return d.execute(q)"]
     texts = {f"f{i:03}.py": "\n".join(rng.choice(pool) for _ in range(12)) for i in range(150)}
     rule = mt.RAW_CONNECTION
     for window in (40, 4):
@@ -74,6 +74,16 @@ def test_pairing_like_a_loop(spark, make_files):
         assert rows(got, "path", "line_no", "snippet") == sorted(want, key=repr)
 
 
+def test_uses_anywhere_in_their_line(make_files):
+    body = "conn = get_raw_connection()\nrow = conn.execute(q)\n\ndef f():\n    db = pool.get_raw_connection()\n    return db.execute(q)\n"
+    late = "x = 1; conn = get_raw_connection()\nconn.execute(q)\n"
+    files = make_files({"a.py": body, "b.py": late, "c.py": ""})
+    assert rows(mt.pair_rule_hits(files), "path", "line_no", "snippet") == [("a.py", 2, "row = conn.execute(q)"), ("a.py", 6, "return db.execute(q)")]
+    anywhere = mt.PairRule("open", assign=r"(\w+) = open\(", use=r"send\({var}\)|(?i)drop {var}", window=3)
+    both = mt.pair_rule_hits(make_files({"d.py": "f = open(p)\ny = send(f)\n", "e.py": "  f = open(p)\n", "g.py": "g = open(p)\nDROP G\nconn = get_raw_connection()\nconn.execute(1)\n"}), (mt.RAW_CONNECTION, anywhere))
+    assert rows(both, "path", "rule", "line_no") == [("d.py", "open", 2), ("g.py", "open", 2), ("g.py", "raw_db_conn_execute", 4)]
+
+
 def test_claims(spark, make_files):
     files = make_files({"a.py": "one\ntwo\nthree two\n"})
     claims = spark.createDataFrame(
