@@ -21,8 +21,6 @@ from codefacts.llm.batches import bounded
 LABELLED_ROWS = 6000
 #: features are hashed into 2 ** BITS buckets
 BITS = 18
-#: buckets that may get a weight, at most
-WEIGHTS = 20_000
 
 
 def fold(doc_id: Column) -> Column:
@@ -100,8 +98,7 @@ def labelled_sample(
 def log_count_ratio(features: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0) -> np.ndarray:
     """Of each bucket: log of how often rows of label 1 have it against rows of label 0; 0 where that says nothing.
 
-    A bucket counts if three rows have it and its two frequencies differ by more than two standard errors; of these the
-    ``WEIGHTS`` clearest are kept.
+    A bucket counts if three rows have it and its two frequencies differ by more than two standard errors.
     """
     size = 1 << BITS
     if not features:
@@ -113,8 +110,6 @@ def log_count_ratio(features: list[np.ndarray], labels: np.ndarray, smooth: floa
     ratio = np.log((ones + smooth) / (n1 + 2 * smooth)) - np.log((zeros + smooth) / (n0 + 2 * smooth))
     clear = np.abs(ones / n1 - zeros / n0) / np.sqrt((ones + zeros + 1) / len(labels) * (1 / n1 + 1 / n0))
     clear[(ones + zeros < 3) | (clear <= 2)] = 0
-    if np.count_nonzero(clear) > WEIGHTS:
-        clear[np.argsort(-clear, kind="stable")[WEIGHTS:]] = 0
     return np.where(clear > 0, ratio, 0.0)
 
 

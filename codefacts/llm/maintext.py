@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from codefacts.llm import grams
 from codefacts.llm.batches import bounded
 
-#: labelled pages that are counted, and scores that are kept, at most
-LABELLED_PAGES, SCORES = 2000, 5000
+#: labelled pages that are counted, at most
+LABELLED_PAGES = 2000
 #: scores lie between these
 MOST, LEAST = 4.0, 0.1
 
@@ -89,10 +89,10 @@ def _read(page: str) -> tuple[list[tuple[str, str, int, bool]], list[tuple[int,
     out: list[tuple[str, str, int, bool]] = []
     stack: list[tuple[str, bool, list[int] | None]] = []  # open elements, whether their text is left out, and their entry in marked
     marked: list[list[int]] = []  # begin, end, mark, articles and mains before and inside
-    hidden = links = articles = mains = 0
+    hidden = links = articles = mains = paragraphs = 0
 
     def close(to: int) -> None:
-        nonlocal hidden, links
+        nonlocal hidden, links, paragraphs
         while len(stack) > to:
             tag, gone, entry = stack.pop()
             hidden -= gone
@@ -100,6 +100,7 @@ def _read(page: str) -> tuple[list[tuple[str, str, int, bool]], list[tuple[int,
                 entry[1] = len(out)
                 entry[3:] = articles - entry[3], mains - entry[4]
             links -= tag == "a"
+            paragraphs -= tag == "p"
 
     def words(text: str) -> None:
         n = len(text.split())
@@ -122,11 +123,9 @@ def _read(page: str) -> tuple[list[tuple[str, str, int, bool]], list[tuple[int,
                 close(depth)
             out.append((f"t /{tag}", gap, 0, was_hidden))
             continue
-        if tag not in INLINE and tag not in VOID and stack and any(t == "p" for t, *_ in stack[-8:]):
-            # a block ends an open paragraph, with what is open inside it
-            depth = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 9), -1) if stack[k][0] == "p"), None)
-            if depth is not None:
-                close(depth)
+        if paragraphs and tag not in INLINE and tag not in VOID:
+            # a block ends an open paragraph, with what is open inside it, however deep
+            close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"))
         gone = tag in LEFT_OUT or tag == "header" and not any(t in ("article", "main") for t, *_ in stack)
         mark = 0 if gone or hidden else _mark(tag, m.group(4) or "")
         out.append((f"t {tag}", gap, 0, hidden > 0 or gone))
@@ -140,6 +139,7 @@ def _read(page: str) -> tuple[list[tuple[str, str, int, bool]], list[tuple[int,
             stack.append((tag, gone, entry))
             hidden += gone
             links += tag == "a"
+            paragraphs += tag == "p"
         elif mark:
             out[-1] = (f"t {tag}", gap, 0, True)
     words(page[at:])
@@ -253,7 +253,7 @@ def fit(pages: DataFrame, most: int = LABELLED_PAGES) -> dict[str, float]:
     counted = bounded(sample.select("html")).mapInArrow(count, "key string, inside boolean, n long").groupBy("key").agg(
         F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("inside"), F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("outside")
     )
-    rows = counted.orderBy(F.desc(F.col("inside") + F.col("outside")), "key").limit(SCORES).collect()
+    rows = counted.collect()  # the keys of at most ``most`` pages
     return {r.key: score(r.key, r.inside, r.outside) for r in rows}
 
 

@@ -37,10 +37,12 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 #: what a discovered token must look like
 LOOKS = {"email": r"^\S+@\S+$", "ip": r"^\S*[0-9]+\.[0-9]+\.\S*$", "card": r"^(?:\D*[0-9]){12}", "phone": r"^(?:\D*[0-9]){7}"}
-#: characters before and after a token in which its words are looked for
+#: characters before and after a token in which its words are looked for first; longer words are then read whole
 NEAR = 64
-#: rounds of scoring; seeds that a pattern needs; share from which it is trusted
-ROUNDS, SUPPORT, TRUST = 3, 5, 0.8
+#: seeds that a pattern needs; share from which it is trusted
+SUPPORT, TRUST = 5, 0.8
+#: rounds after which scoring that has not settled is an error
+MOST_ROUNDS = 200
 
 
 def _with_places(df: DataFrame, text: str, pattern: str, name: str) -> DataFrame:
@@ -59,6 +61,12 @@ def _with_places(df: DataFrame, text: str, pattern: str, name: str) -> DataFrame
         head = lambda c: F.coalesce(F.substring(c, 1, NEAR), F.lit(""))
         near = last(F.concat(last(F.get("__p", i - 1)), last(F.get("__v", i - 1)), last(before)))
         next_ = head(F.concat(head(after), head(F.get("__v", i + 1)), head(F.get("__p", i + 2))))
+        # where a word reaches the end of what was looked at, the pieces are taken whole; all of them together are a few times the text
+        whole = lambda *parts: F.concat(*[F.coalesce(x, F.lit("")) for x in parts])
+        all_before = whole(F.get("__p", i - 2), F.get("__v", i - 2), F.get("__p", i - 1), F.get("__v", i - 1), before)
+        all_after = whole(after, F.get("__v", i + 1), F.get("__p", i + 2), F.get("__v", i + 2), F.get("__p", i + 3))
+        near = F.when(F.regexp_like(near, F.lit(r"\s\S+\s+\S+\s*$")), near).otherwise(all_before)
+        next_ = F.when(F.regexp_like(next_, F.lit(r"^\s*\S+\s")), next_).otherwise(all_after)
         return F.struct(start.alias("start"), (start + F.char_length(v)).alias("end"), v.alias("value"), near.alias("before"), next_.alias("after"))
 
     return df.withColumn(name, F.transform("__v", match)).drop("__v", "__p", "__l", "__s")
@@ -163,10 +171,10 @@ def graph(rows: DataFrame) -> DataFrame:
 
 
 def trusted_patterns(edges: DataFrame) -> DataFrame:
-    """pattern, kind, trust and quality of all patterns that the rounds of scoring end up trusting."""
+    """pattern, kind, trust and quality of all patterns that are trusted when a round of scoring changes no set of them any more."""
     believed = edges.select("pattern", "instance", "kind", F.col("kind").isNotNull().cast("double").alias("belief"))
-    known = None
-    for round_ in range(ROUNDS):
+    known: set = set()
+    while True:
         whole = believed.groupBy("pattern").agg(F.countDistinct("instance").alias("instances"))
         part = believed.filter("belief > 0").groupBy("pattern", "kind").agg(F.sum("belief").alias("belief"), F.countDistinct("instance").alias("support"))
         part = part.filter(F.col("support") >= SUPPORT)
@@ -174,9 +182,11 @@ def trusted_patterns(edges: DataFrame) -> DataFrame:
         scored = part.join(whole, "pattern").select("pattern", "kind", "support", trust.alias("trust")).filter(F.col("trust") >= TRUST)
         trusted = materialize(scored.select("pattern", "kind", "trust", (F.col("trust") * F.log2("support")).alias("quality")))
         now = trusted.agg(F.count("*").alias("n"), F.sum(F.xxhash64("pattern", "kind").cast("decimal(38,0)")).alias("h")).first()
-        if not now.n or now == known or round_ + 1 == ROUNDS:
-            break
-        known = now
+        if not now.n or now in known:  # settled, or the same sets come round again
+            return trusted
+        if len(known) == MOST_ROUNDS:
+            raise RuntimeError("the trusted patterns do not settle")
+        known.add(now)
         # a token without a kind is believed by the trusted patterns around it: one minus the product of their doubts
         doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("trust")))))
         others = edges.filter("kind is null").select("pattern", "instance")
@@ -184,7 +194,6 @@ def trusted_patterns(edges: DataFrame) -> DataFrame:
         new = others.join(new, "instance", "left").select("pattern", "instance", "kind", F.coalesce("belief", F.lit(0.0)).alias("belief"))
         seeds = edges.filter("kind is not null").select("pattern", "instance", "kind", F.lit(1.0).alias("belief"))
         believed = materialize(seeds.unionByName(new))
-    return trusted
 
 
 def _looks(kind: Column, value: Column) -> Column:

@@ -39,8 +39,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
     f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
-    SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-           CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN first IS NOT DISTINCT FROM page_id THEN NULL ELSE first END AS refers_to
     FROM f
     """,
 )

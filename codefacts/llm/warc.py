@@ -10,8 +10,8 @@ names. A task that runs again writes new files; only files that a finished task
 leave nothing half-written in the result. Of records with equal payloads of at least ``REVISIT_FROM`` bytes the one with
 the smallest id is a response, the others are revisits that name it.
 
-Null payloads are empty. Rows without an id, and repeated rows of an id, are records of their own; ids that are null sort
-last, and a revisit never refers to itself. Payloads of any length are one record. An empty table gives no packages and
+Null payloads are empty. Rows without an id, and repeated rows of an id, are records of their own, each judged by its own
+payload; ids that are null sort last, and a revisit never refers to itself. Payloads of any length are one record. An empty table gives no packages and
 an empty result. Other columns are ignored.
 """
 
@@ -41,6 +41,8 @@ REVISIT_FROM = 100
 PACKAGE = 128 << 20
 #: records that are read by one row of work
 SLICE = 512
+#: bytes of archives for each reading task
+TASK = 8 << 20
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _LOCAL, _CENTRAL, _END, _END64, _WHERE64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 _FULL32, _FULL16 = 0xFFFFFFFF, 0xFFFF
@@ -188,19 +190,25 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def roles(pages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest and response (the page_id of the response; its own for responses)."""
+    """page_id, payload_bytes, payload_digest and response: the page_id of the response that a row revisits, null for responses.
+
+    Of a payload that repeats, rows with the smallest page_id are responses, however many; rows without an id revisit it.
+    Where no row of it has an id, all are responses.
+    """
     rows = materialize(pages.select("page_id", F.octet_length("html").cast("long").alias("payload_bytes"), F.sha2(F.col("html").cast("binary"), 256).alias("payload_digest")))
     # counts and least ids are summed up before they are dealt out, so no payload is too frequent
     several = rows.filter(F.col("payload_bytes") >= REVISIT_FROM).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = rows.join(materialize(several.select("payload_digest", "first")), "payload_digest", "left")
-    return first.select("page_id", "payload_bytes", "payload_digest", F.coalesce("first", "page_id").alias("response"))
+    return first.select("page_id", "payload_bytes", "payload_digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("response"))
 
 
 def write_packages(pages: DataFrame, folder: str) -> DataFrame:
     """Writes packages of all pages (page_id, url, html); one row for each finished package: address and records."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    revisits = roles(pages).filter("response <> page_id").select("page_id", "response").distinct()
-    marked = pages.join(revisits.hint("shuffle_hash"), "page_id", "left")
+    revisits = roles(pages).filter("response is not null").select(F.col("page_id").alias("of_page"), F.col("payload_digest").alias("of_digest"), "response").distinct()
+    # an id may come with several payloads, or be missing: the role belongs to both together
+    digest = F.sha2(F.col("html").cast("binary"), 256)
+    marked = pages.withColumn("digest", digest).join(revisits, F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("digest") == F.col("of_digest")), "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = file_system(folder)
@@ -302,8 +310,10 @@ def read_packages(packages: DataFrame, payloads: bool = True) -> DataFrame:
                         rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
-    places = materialize(locate(packages))  # a row is work for one task; spread them, a package may hold most of them
-    spread = places.repartition(F.col("address"), F.element_at("offsets", 1))
+    # a row of places is small, the reading behind it is not: the number of tasks follows the bytes of the archives
+    places = materialize(locate(packages))
+    size = places.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda total, x: total + x))).first()[0] or 0
+    spread = places.repartition(max(packages.sparkSession.sparkContext.defaultParallelism, -(-size // TASK)))
     return spread.mapInArrow(work, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, url string, payload binary")
 
 

@@ -127,7 +127,8 @@ class TestNearDedup:
         assert abs((owner[0] == owner[1]).mean() - want) < 0.04
 
     def test_sketches_rule_out_only_unlike_texts(self, spark):
-        df = spark.createDataFrame([([0] * 16, [0] * 16), ([0] * 16, [-1] * 16)], "a array<long>, b array<long>")
+        n = near_dedup.REGISTERS // 16
+        df = spark.createDataFrame([([0] * n, [0] * n), ([0] * n, [-1] * n)], "a array<long>, b array<long>")
         assert [r.x for r in df.select(near_dedup.sketches_agree(F.col("a"), F.col("b"), 0.69).alias("x")).collect()] == [True, False]
 
 
@@ -172,6 +173,19 @@ class TestWarc:
             assert r.payload == (payload if r.record_type == "response" else None)
         assert warc.read_packages(warc.materialize(warc.write_packages(pages.limit(0), warc.archive_folder(spark)))).count() == 0
 
+    def test_ids_that_repeat_or_are_missing(self, spark):
+        """A role belongs to an id and its payload together; what is written is read back whole."""
+        a, b, c, d = "a" * 150, "b" * 150, "c" * 150, "d" * 150
+        given = [(1, a), (2, a), (2, b), (None, b), (None, c), (3, c), (None, d), (None, d), (None, "x"), (4, None), (4, ""), (5, a), (5, a), (1, a)]
+        pages = spark.createDataFrame(given, "page_id long, html string").withColumn("url", F.lit("u"))
+        rows = warc.read_packages(warc.materialize(warc.write_packages(pages, warc.archive_folder(spark)))).collect()
+        first = {a: 1, b: 2, c: 3}
+        want = []
+        for i, h in given:
+            to = first.get(h) if h in first and first[h] != i else None
+            want.append((i, "revisit" if to else "response", to, len(h or ""), None if to else (h or "").encode()))
+        assert sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes, r.payload) for r in rows), key=repr) == sorted(want, key=repr)
+
     @pytest.mark.parametrize("zip64", [False, True])
     def test_packages_and_zipfile_agree(self, zip64):
         class Kept(io.BytesIO):
