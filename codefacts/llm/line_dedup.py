@@ -87,13 +87,12 @@ def runs(dropped: Column, n_lines: Column) -> Column:
 
 def bitmaps(docs: DataFrame, documents: int = DOCUMENTS, least: int = LEAST) -> DataFrame:
     """The columns of ``docs`` and ``__lines``, ``__keep`` (runs of kept lines) and ``__dropped`` (how many go) of every row."""
-    marked = dropped_lines(docs, documents, least).withColumnRenamed("doc_id", "__id")
-    body = _digest(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.withColumn("__t", body).withColumn("__lines", F.size(lines_of("text")).cast("long"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t.a") == F.col("text_a")) & (F.col("__t.b") == F.col("text_b"))
-    joined = rows.join(marked, same, "left").drop("__t", "__id", "text_a", "text_b")
-    gone = F.coalesce("dropped", F.array().cast("array<int>"))
-    return joined.withColumn("__keep", runs(gone, F.col("__lines"))).withColumn("__dropped", F.size(gone).cast("long")).drop("dropped")
+    marked = dropped_lines(docs, documents, least).toDF("__id", "__a", "__b", "__gone")
+    rows = docs.withColumn("__t", _digest(F.coalesce(F.col("text"), F.lit("")))).withColumn("__lines", F.size(lines_of("text")).cast("long"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t.a") == F.col("__a")) & (F.col("__t.b") == F.col("__b"))
+    joined = rows.join(marked, same, "left").drop("__t", "__id", "__a", "__b")
+    gone = F.coalesce("__gone", F.array().cast("array<int>"))
+    return joined.withColumn("__keep", runs(gone, F.col("__lines"))).withColumn("__dropped", F.size(gone).cast("long")).drop("__gone")
 
 
 def kept_text(text: Column | str, keep: Column, dropped: Column) -> Column:
