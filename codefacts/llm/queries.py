@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts.llm import bpe, decontamination, exact_dedup, line_dedup, linear, maintext, near_dedup, pii, quality, shards, toxicity, warc
+from codefacts.llm import bpe, decontamination, exact_dedup, line_dedup, linear, maintext, near_dedup, pii, quality, search, shards, spelling, toxicity, warc
 from codefacts.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,7 +121,30 @@ def token_digests(docs: DataFrame) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-_LINE_KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+_TERMS = f"unnest(regexp_extract_all(translate(text, {_UPPER}, {_LOWER}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))"
+
+
+@query(
+    "op11_search",
+    f"""
+    WITH t AS (SELECT doc_id, {_TERMS} AS term FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT count(DISTINCT doc_id) AS docs, count(*) AS total FROM t),
+    l AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+    i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, {_TERMS} AS term FROM benchmark WHERE text IS NOT NULL) GROUP BY ALL),
+    f AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+    w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY term, docs),
+    c AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total))))::BIGINT AS score
+          FROM i JOIN f USING (term) JOIN w USING (term) JOIN l USING (doc_id), s GROUP BY ALL)
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+    FROM c WHERE score > 0 QUALIFY rank <= 20
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_LINE_KEY = f"translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_UPPER}, {_LOWER})"
 
 
 @query(
@@ -140,3 +163,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.bitmaps(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = line_dedup.kept_text("text", F.col("__keep"), F.col("__dropped"))
     return rows.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.variants(spelling.count_words(table(spark, sf_dir, "documents")))
+    return words.select("word", "n", "n_near", "form", "form_n", "root")
