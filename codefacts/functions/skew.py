@@ -12,7 +12,7 @@ SALTS = 16
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join a skewed ``left`` to a ``right`` with one row per key, spreading each key over ``salts`` tasks.
+    """Join a skewed ``left`` to a ``right`` with few rows per key, spreading each key over ``salts`` tasks.
 
     ``spread`` names left columns that vary within a hot key. The right side is repeated ``salts`` times, which pays off
     where it is a summary (one row per key) too large to broadcast. Small right sides are left to adaptive execution.

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codefacts.functions.skew import salted_join
 from codefacts.operators import facts as fx
 from codefacts.operators import matching as mt
 from codefacts.operators.overview import in_scope
@@ -44,27 +45,35 @@ def _lookup(col: Column | str, table: dict[str, str], default: str | None = None
 
 
 # ------------------------------------------------------------------ syntax checks
-def bare_except(py_facts: DataFrame, threshold: int | None = None) -> DataFrame:
-    """Handlers that only pass."""
-    rows = fx.handlers(py_facts).where((F.size("body") == 1) & (F.get("body", F.lit(0)) == "Pass"))
-    return rows.select("repo", "path", "lineno", F.lit("except ...: pass").alias("snippet"))
+def _measure(check: str, lineno: Column, amount: Column, snippet: Column) -> Column:
+    return F.struct(F.lit(check).alias("check"), lineno.cast("long").alias("lineno"), amount.cast("long").alias("amount"), snippet.alias("snippet"))
 
 
-def except_return_fallback(py_facts: DataFrame, threshold: int | None = None) -> DataFrame:
-    """Handlers that return a constant or literal and neither use nor re-raise the error."""
-    silent = F.col("const_return") & ~F.col("uses_error") & ~F.array_contains("body", "Raise")
-    return fx.handlers(py_facts).where(silent).select("repo", "path", "lineno", F.lit("except returns a constant").alias("snippet"))
+def _handlers(check: str, wanted: Callable[[Column], Column], snippet: str) -> Column:
+    return F.transform(F.filter("handlers", wanted), lambda h: _measure(check, h["lineno"], F.lit(None), F.lit(snippet)))
 
 
-def long_function(py_facts: DataFrame, threshold: int | None = LONG_FUNCTION) -> DataFrame:
-    """Functions that span ``threshold`` lines or more."""
-    spans = fx.function_spans(py_facts).withColumn("n", F.col("end_lineno") - F.col("lineno"))
-    rows = spans.where(F.col("n") >= (threshold or LONG_FUNCTION))
-    return rows.select("repo", "path", "lineno", F.format_string("def %s() has %d lines", "name", "n").alias("snippet"))
+def _only_passes(h: Column) -> Column:
+    return (F.size(h["body"]) == 1) & (F.get(h["body"], F.lit(0)) == "Pass")
+
+
+def _returns_silently(h: Column) -> Column:
+    """Returns a constant or literal and neither uses nor re-raises the error."""
+    literal = F.exists(h["returns"], lambda kind: kind.isin("Constant", "List", "Dict", "Tuple"))
+    uses_error = h["caught"].isNotNull() & F.array_contains(h["names"], h["caught"])
+    return literal & ~uses_error & ~F.array_contains(h["body"], F.lit("Raise"))
 
 
-def unused_imports(py_facts: DataFrame, threshold: int | None = None) -> DataFrame:
-    """Names bound by top-level imports, except the used and the exported ones; inside the row of a file."""
+def _spans() -> Column:
+    length = lambda d: d["end_lineno"] - d["lineno"]
+    return F.transform(
+        F.filter("defs", lambda d: d["kind"] == "def"),
+        lambda d: _measure("long_function", d["lineno"], length(d), F.format_string("def %s() has %d lines", d["name"], length(d))),
+    )
+
+
+def _unused() -> Column:
+    """H3: names bound by top-level imports, except the used and the exported ones."""
     top = F.filter(
         "imports",
         lambda i: i["top"] & ~((i["kind"] == "from") & (F.coalesce(i["module"], F.lit("")) == "__future__")) & (F.coalesce(i["name"], F.lit("")) != "*"),
@@ -73,14 +82,16 @@ def unused_imports(py_facts: DataFrame, threshold: int | None = None) -> DataFra
     bound = F.transform(top, lambda i: F.struct(F.coalesce(i["alias"], i["name"], first_part(i)).alias("name"), i["lineno"].alias("lineno")))
     # of several imports of a name, the last one is its binding
     names = F.array_except(F.array_distinct(F.transform(bound, lambda b: b["name"])), F.array_union(F.col("used"), fx.exported("listed")))
-    unused = F.transform(names, lambda n: F.struct(n.alias("name"), F.element_at(F.filter(bound, lambda b: b["name"] == n), -1)["lineno"].alias("lineno")))
-    rows = py_facts.where("ok").select("repo", "path", F.explode(unused).alias("u"))
-    return rows.select("repo", "path", F.col("u.lineno").alias("lineno"), F.concat(F.lit("unused import "), F.col("u.name")).alias("snippet"))
+    last = lambda n: F.element_at(F.filter(bound, lambda b: b["name"] == n), -1)["lineno"]
+    return F.transform(names, lambda n: _measure("unused_imports", last(n), F.lit(None), F.concat(F.lit("unused import "), n)))
 
 
-#: Named checks over the facts, for rules of type ``ast``
-AST_CHECKS: dict[str, Callable[..., DataFrame]] = {
-    "bare_except": bare_except, "except_return_fallback": except_return_fallback, "long_function": long_function, "unused_imports": unused_imports,
+#: Named checks: what each one measures in the row of a parsed file
+AST_CHECKS: dict[str, Callable[[], Column]] = {
+    "bare_except": lambda: _handlers("bare_except", _only_passes, "except ...: pass"),
+    "except_return_fallback": lambda: _handlers("except_return_fallback", _returns_silently, "except returns a constant"),
+    "long_function": _spans,
+    "unused_imports": _unused,
 }
 #: rule id -> dimension, severity, confidence, title, check
 BUILTIN_AST_RULES = (
@@ -91,6 +102,72 @@ BUILTIN_AST_RULES = (
 )
 
 
+def measures(py_facts: DataFrame, checks: tuple[str, ...] = tuple(AST_CHECKS)) -> DataFrame:
+    """Repo, path, check, lineno, amount and snippet: all that the checks measure, in one pass over the files.
+
+    ``amount`` is what a threshold is compared with; null where a check only says that something is there.
+    """
+    rows = py_facts.where("ok").select("repo", "path", F.explode(F.concat(*[AST_CHECKS[c]() for c in checks])).alias("m"))
+    return rows.select("repo", "path", "m.*")
+
+
+def _reaches(amount: Column, threshold: Column) -> Column:
+    """No threshold, or 0, stands for the default."""
+    return amount.isNull() | (amount >= F.coalesce(F.when(threshold != 0, threshold), F.lit(LONG_FUNCTION)))
+
+
+def ast_check(py_facts: DataFrame, check: str, threshold: int | None = None) -> DataFrame:
+    """The hits of one check: repo, path, lineno and snippet."""
+    return measures(py_facts, (check,)).where(_reaches(F.col("amount"), F.lit(threshold).cast("int"))).select("repo", "path", "lineno", "snippet")
+
+
+def bare_except(py_facts: DataFrame) -> DataFrame:
+    """Handlers that only pass."""
+    return ast_check(py_facts, "bare_except")
+
+
+def except_return_fallback(py_facts: DataFrame) -> DataFrame:
+    """Handlers that return a constant or literal and neither use nor re-raise the error."""
+    return ast_check(py_facts, "except_return_fallback")
+
+
+def long_function(py_facts: DataFrame, threshold: int | None = LONG_FUNCTION) -> DataFrame:
+    """Functions that span ``threshold`` lines or more."""
+    return ast_check(py_facts, "long_function", threshold)
+
+
+def unused_imports(py_facts: DataFrame) -> DataFrame:
+    """Top-level imports whose name is neither used nor exported."""
+    return ast_check(py_facts, "unused_imports")
+
+
+_RULE_COLUMNS = ("rule_id", "dimension", "severity", "title", "confidence")
+
+
+def builtin_ast_hits(measured: DataFrame) -> DataFrame:
+    """What the built-in rules find in a table of measures; a constant of the plan, nothing is joined."""
+    rules = F.array(*[
+        F.struct(F.lit(check).alias("check"), F.lit(rule).alias("rule_id"), F.lit(dim).alias("dimension"), F.lit(sev).alias("severity"), F.lit(title).alias("title"), F.lit(conf).alias("confidence"))
+        for rule, dim, sev, conf, title, check in BUILTIN_AST_RULES
+    ])
+    hits = measured.where(_reaches(F.col("amount"), F.lit(None).cast("int")))
+    rows = hits.select("repo", "path", "lineno", "snippet", F.explode(F.filter(rules, lambda r: r["check"] == F.col("check"))).alias("r"))
+    return rows.select("repo", "path", "lineno", "snippet", *[F.col(f"r.{c}").alias(c) for c in _RULE_COLUMNS])
+
+
+def repo_ast_hits(measured: DataFrame, repo_rules: DataFrame) -> DataFrame:
+    """What rules of type ``ast`` of a repository find in its own measures, each with its own threshold.
+
+    A rule table is joined with the measures on (repo, check), so a file is measured once however many rules ask. Rules with
+    an unknown check find nothing.
+    """
+    rules = repo_rules.where(F.col("matcher") == "ast").where(F.col("check").isin(*AST_CHECKS)).select(
+        "repo", "check", "threshold", "rule_id", "dimension", "severity", "title", F.coalesce("confidence", F.lit("high")).alias("confidence")
+    )
+    rows = salted_join(measured, rules, ["repo", "check"], ["path", "lineno"]).where(_reaches(F.col("amount"), F.col("threshold")))
+    return rows.select("repo", "path", "lineno", "snippet", *_RULE_COLUMNS)
+
+
 def _audit_rows(df: DataFrame, rule: Column, dim: Column, sev: Column, title: Column, provider: str, confidence: Column, coverage: str = "rule_only") -> DataFrame:
     return df.select(
         "repo", rule.alias("rule_id"), dim.alias("dimension"), sev.alias("severity"), title.alias("title"), F.lit(provider).alias("provider"),
@@ -100,17 +177,21 @@ def _audit_rows(df: DataFrame, rule: Column, dim: Column, sev: Column, title: Co
 
 def scanner_findings(files: DataFrame, py_facts: DataFrame, profile: Profile = Profile(), repo_rules: DataFrame | None = None,
                      line_rules: tuple[mt.LineRule, ...] = mt.BUILTIN_LINE_RULES) -> DataFrame:
-    """Line rules over code files and syntax checks over their facts."""
+    """Line rules over code files and syntax checks over their facts, built in and brought along by a repository.
+
+    Rules whose pattern does not compile find nothing here; ``matching.rejected_rules`` names them.
+    """
     sources = mt.code_files(files.where(in_scope("path", profile)))
     hits = mt.line_rule_hits(sources, line_rules)
     if repo_rules is not None:
         hits = hits.unionByName(mt.repo_rule_hits(sources, repo_rules))
-    lines = hits.select("*", F.col("path").alias("file"), F.col("line_no").alias("line"))
-    out = _audit_rows(lines, F.col("rule_id"), F.col("dimension"), F.col("severity"), F.col("title"), "scanner", F.col("confidence"))
-    for rule_id, dim, sev, conf, title, check in BUILTIN_AST_RULES:
-        rows = AST_CHECKS[check](py_facts).select("repo", F.col("path").alias("file"), F.col("lineno").alias("line"), "snippet")
-        out = out.unionByName(_audit_rows(rows, F.lit(rule_id), F.lit(dim), F.lit(sev), F.lit(title), "scanner", F.lit(conf)))
-    return out
+    lines = hits.select("repo", "path", F.col("line_no").alias("lineno"), "snippet", *_RULE_COLUMNS)
+    measured = measures(py_facts)
+    lines = lines.unionByName(builtin_ast_hits(measured))
+    if repo_rules is not None:
+        lines = lines.unionByName(repo_ast_hits(measured, repo_rules))
+    rows = lines.withColumnRenamed("path", "file").withColumnRenamed("lineno", "line")
+    return _audit_rows(rows, F.col("rule_id"), F.col("dimension"), F.col("severity"), F.col("title"), "scanner", F.col("confidence"))
 
 
 def gate_findings(hits: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from codefacts.functions import paths
 from codefacts.functions.ranking import top_k
 from codefacts.functions.skew import salted_join
+from codefacts.operators.contraction import spread  # noqa: F401 - part of this module's interface
+from codefacts.operators.cycles import cycles, strong_components  # noqa: F401 - likewise
 from codefacts.session import cut_lineage, grow
 
 
@@ -239,53 +241,6 @@ def ego_network(edges: DataFrame, node: str) -> DataFrame:
     )
 
 
-# ------------------------------------------------------------------ cycles
-def cyclic_core(edges: DataFrame) -> DataFrame:
-    """Edges left after dropping, again and again, nodes without an edge in or out. Empty iff there is no cycle.
-
-    Each round is two semi joins on the surviving edges; the number of rounds is bounded by the longest acyclic chain.
-    """
-    rest = cut_lineage(edges.select("repo", "src", "dst").distinct())
-    left = rest.count()
-    while left:
-        has_in = rest.select("repo", F.col("dst").alias("src")).distinct()
-        has_out = rest.select("repo", F.col("src").alias("dst")).distinct()
-        rest = cut_lineage(rest.join(has_in, ["repo", "src"], "left_semi").join(has_out, ["repo", "dst"], "left_semi").select("repo", "src", "dst"))
-        now = rest.count()
-        if now == left:
-            break
-        left = now
-    return rest
-
-
-def cycles(edges: DataFrame, self_loops: bool = True) -> DataFrame:
-    """The cycles of each repository as node arrays that start at their smallest node.
-
-    For every edge that closes a cycle at its smallest node, the shortest such cycle is reported (the first in node order
-    among equals). So there are at most as many cycles as edges, each edge of the kind "back to the smallest node" is
-    covered, and a repository without rows here is free of cycles. Growth is breadth first with one path per
-    (start, node); there is no limit on the length.
-    """
-    core = cyclic_core(edges.where("src <> dst"))
-    # paths that start at the smallest node of their cycle and only visit larger ones
-    frontier = core.where("dst > src").select("repo", F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src", "dst").alias("path"))
-    seen = cut_lineage(frontier)
-    frontier, length = seen, 1
-    while not frontier.isEmpty():
-        length += 1
-        step = frontier.join(core.withColumnRenamed("src", "node"), ["repo", "node"]).where("dst > start")
-        grown = step.select("repo", "start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        fresh = grown.join(seen.select("repo", "start", "node"), ["repo", "start", "node"], "left_anti")
-        frontier = cut_lineage(fresh.groupBy("repo", "start", "node").agg(F.min("path").alias("path")))
-        seen = grow(seen, frontier, length)
-    closing = core.where("dst < src").select("repo", F.col("dst").alias("start"), F.col("src").alias("node"))
-    found = seen.join(closing, ["repo", "start", "node"]).select("repo", F.col("path").alias("cycle"))
-    if self_loops:
-        loops = edges.where("src = dst").select("repo", F.array("src").alias("cycle")).distinct()
-        found = found.unionByName(loops)
-    return found.select("repo", "cycle", F.size("cycle").alias("length"), F.array_join(F.concat("cycle", F.slice("cycle", 1, 1)), " -> ").alias("chain"))
-
-
 # ------------------------------------------------------------------ reachability
 def reachable(starts: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
     """I4: nodes reachable from each start, the start included, with the least number of hops.

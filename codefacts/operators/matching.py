@@ -9,11 +9,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codefacts.functions import paths, text
+from codefacts.functions.skew import salted_join
 from codefacts.profile import CODE_EXTS
+from codefacts.session import materialize
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -101,22 +103,77 @@ def line_rule_hits(files: DataFrame, rules: tuple[LineRule, ...] = BUILTIN_LINE_
     return hits.select("repo", "path", "line_no", *[pick(a).alias(a) for a in attrs], text.strip("line").alias("snippet"))
 
 
+def required_literal(pattern: Column) -> Column:
+    """The longest text that every match of a regular expression contains, or the empty text if that is not sure.
+
+    Alternatives, groups that may be left out, flags and escapes with a name or number make it unsure. What is left is cut at
+    everything that is not a plain character; a character that may be left out is not kept.
+    """
+    unsure = F.rlike(pattern, F.lit(r"\||\(\?|\\[xucpPNkQEhHvVR0-9]|\)[?*{]|\[[^\]]*\["))
+    plain = F.regexp_replace(pattern, r"\\.", "\u0001")
+    plain = F.regexp_replace(plain, r"\[\^?\]?[^\]]*\](?:[?*+]|\{[^}]*\})?", "\u0001")
+    plain = F.regexp_replace(plain, r"(?s:.)(?:[?*]|\{[^}]*\})", "\u0001")
+    plain = F.regexp_replace(plain, r"[+?.^$(){}*\[\]]", "\u0001")
+    parts = F.array_sort(F.split(plain, "\u0001"), lambda x, y: F.char_length(y) - F.char_length(x))
+    return F.when(unsure, F.lit("")).otherwise(F.get(parts, F.lit(0)))
+
+
+def _judged(repo_rules: DataFrame) -> DataFrame:
+    """Line rules with ``reason``, null for those whose pattern compiles; every distinct pattern is compiled once."""
+    rules = repo_rules.where("matcher = 'regex_line'")
+    patterns = rules.select("pattern").where("pattern is not null").distinct()
+    # the compiled form is asked for its text; a pattern that does not compile gives null
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("pattern")).isNotNull()
+    good = materialize(patterns.select("pattern", compiled.alias("compiles"), required_literal(F.col("pattern")).alias("literal")))
+    reason = F.when(F.col("pattern").isNull(), "no pattern").when(~F.col("compiles"), "the pattern does not compile")
+    return rules.join(good, "pattern", "left").withColumn("reason", reason)
+
+
+def rejected_rules(repo_rules: DataFrame) -> DataFrame:
+    """Line rules of repositories that cannot be tested: repo, seq, rule_id, pattern and reason."""
+    return _judged(repo_rules).where("reason is not null").select("repo", "seq", "rule_id", "pattern", "reason")
+
+
+#: rules of a repository that travel together, and bytes of all rules up to which they are sent to every task
+RULE_CHUNK, RULE_BYTES = 64, 32 << 20
+
+
 def repo_rule_hits(files: DataFrame, repo_rules: DataFrame) -> DataFrame:
     """The same for rules that come with each repository (``sources.manifests.read_rules``).
 
-    Rules of a repository are few; they meet its files in an equi join on ``repo`` and are tested inside the row.
+    Rules are judged first: what does not compile is in ``rejected_rules`` and the rest go on. They are indexed by the literal
+    that a match must contain, in chunks of bounded size: a file meets a rule only if it holds the literal, and a line only
+    if the line does. Up to ``RULE_BYTES`` the rules are sent to the files and no file is moved; beyond, files and chunks
+    meet in a salted join, so that a repository with a third of all files is spread.
     """
-    usable = repo_rules.where("matcher = 'regex_line' and pattern is not null")
-    per_repo = usable.groupBy("repo").agg(F.sort_array(F.collect_list(F.struct("seq", "rule_id", "dimension", "severity", "title", "confidence", "pattern", "guards"))).alias("rules"))
+    good = materialize(_judged(repo_rules).where("reason is null"))
+    whole = [F.octet_length(F.coalesce(c, F.lit(""))) for c in ("repo", "pattern", "rule_id", "title")]
+    size = good.agg(F.sum(sum(whole, F.lit(128)))).first()[0] or 0
+    # rules of one literal side by side, cut into chunks by their running number
+    number = F.row_number().over(Window.partitionBy("repo").orderBy("literal", "seq"))
+    rule = F.struct("literal", "seq", "rule_id", "dimension", "severity", "title", "confidence", "pattern", "guards")
+    chunks = good.withColumn("chunk", F.floor((number - 1) / RULE_CHUNK)).groupBy("repo", "chunk").agg(F.array_sort(F.collect_list(rule)).alias("rules")).drop("chunk")
+    own = files.select("repo", "path", "content")
+    met = own.join(F.broadcast(chunks), "repo") if size <= RULE_BYTES else salted_join(own, chunks, ["repo"], ["path"])
     content = F.col("content")
-    active = F.filter("rules", lambda r: ~F.exists(r["guards"], lambda g: content.contains(g)))
-    rows = files.join(per_repo, "repo").select("repo", "path", active.alias("rules"), F.posexplode(text.split_lines(content)).alias("pos", "line"))
-    rows = rows.where(~text.strip("line").startswith("#"))
-    matched = F.filter("rules", lambda r: F.rlike(F.col("line"), r["pattern"]))
-    hits = rows.select("repo", "path", (F.col("pos") + 1).alias("line_no"), "line", F.explode(matched).alias("r"))
-    return hits.select(
-        "repo", "path", "line_no", *[F.col(f"r.{c}").alias(c) for c in ("rule_id", "dimension", "severity", "title")],
-        F.coalesce("r.confidence", F.lit("medium")).alias("confidence"), text.strip("line").alias("snippet"),
+    active = F.filter("rules", lambda r: content.contains(r["literal"]) & ~F.exists(r["guards"], lambda g: content.contains(g)))
+    met = met.select("repo", "path", "content", active.alias("rules")).where(F.size("rules") > 0)
+    numbered = F.transform(text.split_lines("content"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
+    tested = F.filter(numbered, lambda x: ~text.strip(x["line"]).startswith("#"))
+
+    def hits_of(ls: Column) -> Column:
+        # a rule outside, its lines inside: the pattern is compiled once for a file
+        def of_rule(r: Column) -> Column:
+            mine = F.filter(ls, lambda x: x["line"].contains(r["literal"]) & F.rlike(x["line"], r["pattern"]))
+            return F.transform(mine, lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), r.alias("r")))
+
+        return F.flatten(F.transform("rules", of_rule))
+
+    # the outer array holds the lines once, so that they are not split again for every rule
+    rows = met.select("repo", "path", F.explode(F.flatten(F.transform(F.array(tested), hits_of))).alias("h"))
+    return rows.select(
+        "repo", "path", "h.line_no", *[F.col(f"h.r.{c}").alias(c) for c in ("rule_id", "dimension", "severity", "title")],
+        F.coalesce("h.r.confidence", F.lit("medium")).alias("confidence"), text.strip("h.line").alias("snippet"),
     )
 
 

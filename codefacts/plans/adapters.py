@@ -202,7 +202,7 @@ int size_of_p%1$s(int a,
 '''
 
 
-def _repo_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+def repo_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", F.lower(F.translate("n_name", " ", "_")).alias("repo"))
 
 
@@ -212,7 +212,7 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     Components form rings: the next supplier of the nation among each hundred keys, the last one imports the first.
     """
     rows = table(spark, sf_dir, "supplier").join(
-        _repo_names(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey")
+        repo_names(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey")
     )
     ring = Window.partitionBy("repo", "ring")
     rows = rows.withColumn("ring", F.floor(F.col("s_suppkey") / 100))
@@ -244,7 +244,7 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     component_files = sup.select("repo", F.explode(parts).alias("f")).select("repo", "f.*")
 
-    names = _repo_names(spark, sf_dir)
+    names = repo_names(spark, sf_dir)
     cust = table(spark, sf_dir, "customer", spread=True).join(names, F.col("c_nationkey") == F.col("n_nationkey"))
     # a customer in debt breaks the layering, one with a large balance does not parse
     extra = F.when(F.col("c_acctbal") < 0, "from plugins.s1 import S1").when(F.col("c_acctbal") > 9500, "def broken(:").otherwise("")
@@ -282,7 +282,7 @@ jobs:
 
 def workflow_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One workflow file per supplier; nations with an odd key use the second platform."""
-    sup = table(spark, sf_dir, "supplier").join(_repo_names(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey"))
+    sup = table(spark, sf_dir, "supplier").join(repo_names(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey"))
     limit = F.when(F.col("s_acctbal") > 5000, "timeout-minutes: 30").otherwise("runs-on: linux")
     pin = F.when(F.col("s_acctbal") > 2000, F.sha1("s_name")).otherwise("v4")
     run = F.when(F.col("s_acctbal") < 0, "echo ::set-output name=a::b").when(F.col("s_acctbal") > 8000, "set -e").otherwise("npm --registry registry.npmjs.org")

@@ -405,13 +405,25 @@ with recursive eg as (select repo, src, dst, count(*) as weight from (select 'u'
 """
 
 
+_EVENT_COMPONENTS = _EVENT_GRAPH + """, reach as (select repo, src, dst from eg union select r.repo, r.src, eg.dst from reach r join eg on eg.repo = r.repo and eg.src = r.dst),
+    own as (select a.repo, a.src as node, min(least(a.src, a.dst)) as component from reach a join reach b on a.repo = b.repo and a.src = b.dst and a.dst = b.src
+      group by all having max(a.src <> a.dst))
+"""
+
+
+@query("event_components", "I1", _EVENT_COMPONENTS + "select * from own")
+def event_components(spark, sf):
+    """Kinds of events that lead to one another again."""
+    return gr.strong_components(_event_graph(spark, sf))
+
+
 @query(
     "event_succession_cycles",
     "I1 G7",
-    _EVENT_GRAPH + """, walk as (select repo, src as start, dst as node, [src, dst] as path from eg where dst > src
+    _EVENT_COMPONENTS + """, walk as (select eg.repo, src as start, dst as node, [src, dst] as path from eg join own on own.repo = eg.repo and own.node = src and own.component = src where dst <> src
       union all select w.repo, start, dst, list_append(path, dst) from walk w join eg on eg.repo = w.repo and eg.src = w.node
-      where dst > start and not list_contains(path, dst)),
-    closed as (select w.repo, start, node, path, row_number() over (partition by w.repo, start, node order by len(path), path) as r
+      where dst <> start and not list_contains(path, dst)),
+    closed as (select w.repo, start, path, row_number() over (partition by w.repo, start order by len(path), list_reverse(path)) as r
       from walk w join eg on eg.repo = w.repo and eg.src = w.node and eg.dst = w.start)
     select repo, len(path) as length, array_to_string(list_append(path, path[1]), ' -> ') as chain from closed where r = 1
     union all select repo, 1, src || ' -> ' || src from eg where src = dst""",
@@ -449,13 +461,32 @@ def ego_network(spark, sf):
     select * from walk""",
 )
 def reachable_components(spark, sf):
-    sup = ad.suppliers(spark, sf)
-    name = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
-    edges = sup.select("repo", name.alias("src"), F.concat(F.lit("s"), F.col("next_key").cast("string")).alias("dst"))
-    starts = sup.select("repo", name.alias("start"), name.alias("node"))
+    edges = _supplier_edges(spark, sf)
+    starts = edges.select("repo", F.col("src").alias("start"), F.col("src").alias("node"))
     return gr.reachable(starts, edges, max_hops=3)
 
 
+def _supplier_edges(spark, sf):
+    name = lambda c: F.concat(F.lit("s"), F.col(c).cast("string"))
+    return ad.suppliers(spark, sf).select("repo", name("s_suppkey").alias("src"), name("next_key").alias("dst"))
+
+
+@query(
+    "spread_from_first",
+    "I4",
+    CORPUS + """, first as (select repo, min('s' || k) as node from s group by repo),
+    walk as (with recursive w as (select repo, node, 0::bigint as hops from first
+      union all select w.repo, 's' || s.nx, hops + 1 from w join s on s.repo = w.repo and 's' || s.k = w.node where hops < 200)
+      select repo, node, min(hops) as hops from w group by all)
+    select * from walk""",
+)
+def spread_from_first(spark, sf):
+    """What the first component of every repository leads to, however far: one row for each component, not for each pair."""
+    edges = _supplier_edges(spark, sf)
+    starts = edges.groupBy("repo").agg(F.min("src").alias("node"))
+    return gr.spread(starts, edges)
+
+
 # ------------------------------------------------------------------ endpoints
 def endpoints_of(facts):
     return ep.resolve_endpoints(

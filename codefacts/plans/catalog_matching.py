@@ -52,14 +52,36 @@ def line_rule_hits(spark, sf):
     where regexp_matches(line, pattern) and not contains(content, guard) and {st.strip('line')} not like '#%'""",
 )
 def repo_rule_hits(spark, sf):
+    """Every repository also has a rule that does not compile, one without a pattern and one that nothing matches; the others go on."""
+    return mt.repo_rule_hits(ad.document_files(spark, sf), _prose_repo_rules(spark, sf)).select("repo", "path", "line_no", "rule_id", "snippet")
+
+
+def _prose_repo_rules(spark, sf):
     docs = ad.table(spark, sf, "documents").select(F.col("source").alias("repo"), "lang").distinct()
     pattern = F.when(F.col("lang") == "en", "tion").when(F.col("lang") == "fr", "eau[xs]").when(F.col("lang") == "de", "ungen").otherwise("ción")
     guard = F.when(F.col("lang") == "en", "qqq").otherwise("zzzz")
-    rules = docs.select(
-        "repo", F.lit(0).alias("seq"), F.concat(F.lit("R-"), "lang").alias("rule_id"), F.lit("quality").alias("dimension"), F.lit("info").alias("severity"),
-        F.lit("word").alias("title"), F.lit(None).cast("string").alias("confidence"), F.lit("regex_line").alias("matcher"), pattern.alias("pattern"), F.array(guard).alias("guards"),
+
+    def rule(rule_id, pattern):
+        return F.struct(rule_id.alias("rule_id"), pattern.cast("string").alias("pattern"))
+
+    each = F.array(
+        rule(F.concat(F.lit("R-"), "lang"), pattern), rule(F.concat(F.lit("BAD-"), "lang"), F.concat(F.lit("("), pattern)),
+        rule(F.lit("NONE"), F.lit(None)), rule(F.lit("NEVER"), F.lit("q{3}x|qqqq#")),
+    )
+    return docs.select("repo", guard.alias("guard"), F.posexplode(each).alias("seq", "r")).select(
+        "repo", "seq", "r.rule_id", F.lit("quality").alias("dimension"), F.lit("info").alias("severity"), F.lit("word").alias("title"),
+        F.lit(None).cast("string").alias("confidence"), F.lit("regex_line").alias("matcher"), "r.pattern", F.array("guard").alias("guards"),
     )
-    return mt.repo_rule_hits(ad.document_files(spark, sf), rules).select("repo", "path", "line_no", "rule_id", "snippet")
+
+
+@query(
+    "repo_rule_rejects",
+    "A9",
+    """with d as (select distinct source as repo, lang from documents)
+    select repo, 'BAD-' || lang as rule_id, 'the pattern does not compile' as reason from d union all select repo, 'NONE', 'no pattern' from d""",
+)
+def repo_rule_rejects(spark, sf):
+    return mt.rejected_rules(_prose_repo_rules(spark, sf)).select("repo", "rule_id", "reason")
 
 
 #: the first word of a line stands for a variable, its next occurrence for a use, "der" or "the" for an escape

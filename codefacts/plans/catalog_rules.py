@@ -14,10 +14,11 @@ from codefacts.operators import rules as ru
 from codefacts.operators import structure as st
 from codefacts.plans import adapters as ad
 from codefacts.plans.analysis import load_corpus
-from codefacts.plans.catalog_facts import CORPUS
+from codefacts.plans.catalog_facts import CORPUS, DEFS
 from codefacts.plans.registry import query
 from codefacts.session import materialize
 from codefacts.sources import corpus as sc
+from codefacts.sources import manifests as mf
 
 # ------------------------------------------------------------------ CI
 _CI = """
@@ -126,6 +127,38 @@ def long_functions_and_files(spark, sf):
     return rows.select("repo", "rule_id", "target", "line")
 
 
+_AST_RULES = """, rule as (select repo, unnest([{id: 'F-' || n_nationkey, what: 'long_function', most: case when n_nationkey % 2 = 0 then 3 else 4 end}, {id: 'G', what: 'long_function', most: 80},
+    {id: 'H', what: 'unused_imports', most: null}, {id: 'P', what: 'bare_except', most: 9}, {id: 'R', what: 'except_return_fallback', most: null}]) as r from n),
+  span as (select repo, path, lineno, endline - lineno as amount, 'long_function' as what from fun union all select repo, path, lineno, endline - lineno, 'long_function' from meth
+    union all select repo, 'plugins/s' || k || '/routes.py', 17, 1, 'long_function' from s),
+  m as (select * from span union all select repo, path, 4, null, 'unused_imports' from c where ok and bal < 0
+    union all select repo, 'plugins/s' || k || '/routes.py', 11, null, 'bare_except' from s
+    union all select repo, 'plugins/s' || k || '/routes.py', 25, null, 'except_return_fallback' from s)
+"""
+
+
+@query(
+    "repo_ast_rules",
+    "A9 U2 R21",
+    DEFS + _AST_RULES + """select m.repo, m.path, m.lineno, rule.r.id as rule_id from m join rule on m.repo = rule.repo and m.what = rule.r.what
+    where m.amount is null or m.amount >= rule.r.most""",
+)
+def repo_ast_rules(spark, sf):
+    """Every repository brings rules of its own, with thresholds that differ between repositories."""
+    files = ad.code_corpus(spark, sf)
+    most = F.when(F.col("n_nationkey") % 2 == 0, 3).otherwise(4)
+    text = F.format_string(
+        """{"rules": [{"rule_id": "F-%s", "title": "t", "matcher": {"type": "ast", "check": "long_function", "threshold": %s}},
+        {"rule_id": "G", "matcher": {"type": "ast", "check": "long_function"}}, {"rule_id": "H", "matcher": {"type": "ast", "check": "unused_imports"}},
+        {"rule_id": "P", "matcher": {"type": "ast", "check": "bare_except", "threshold": 9}}, {"rule_id": "R", "matcher": {"type": "ast", "check": "except_return_fallback"}},
+        {"rule_id": "U", "matcher": {"type": "ast", "check": "nobody_knows"}}, {"rule_id": "X", "matcher": {"type": "regex_line", "pattern": "import"}}]}""",
+        F.col("n_nationkey"), most,
+    )
+    brought = ad.repo_names(spark, sf).select("repo", F.lit("audit_rules.json").alias("path"), text.alias("content"))
+    measured = au.measures(fx.extract_facts(files))
+    return au.repo_ast_hits(measured, mf.read_rules(brought)).select("repo", "path", "lineno", "rule_id")
+
+
 # ------------------------------------------------------------------ gates
 def _gates(spark, sf, names):
     x = _rule_input(spark, sf)

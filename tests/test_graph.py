@@ -4,7 +4,10 @@ import itertools
 import random
 
 from conftest import rows
+from pyspark.sql import functions as F
 
+from codefacts.operators import contraction as co
+from codefacts.operators import cycles as cy
 from codefacts.operators import divergence as dv
 from codefacts.operators import facts as fx
 from codefacts.operators import graph as gr
@@ -46,46 +49,88 @@ def test_includes(spark, make_files):
     assert got == {"b/b.h": "a/b.h", "x/y.h": "lib/x/y.h", "./x/y.h": "lib/x/y.h", "dup.h": None, "one/dup.h": "one/dup.h", "none.h": None}
 
 
-def brute_cycles(edges):
-    """Shortest cycle for every edge that closes at the smallest node, by trying all simple paths."""
+def brute_components(edges):
+    """node -> smallest node of its component, by closing reachability."""
     nodes = sorted({n for e in edges for n in e})
-    adj = {n: sorted({b for a, b in edges if a == n}) for n in nodes}
-    best = {}
-    for start in nodes:
-        stack = [[start]]
-        while stack:
-            path = stack.pop()
-            for nxt in adj[path[-1]]:
-                if nxt == start and len(path) > 1:
-                    key = (start, path[-1])
-                    best[key] = min(best.get(key, path), path, key=lambda p: (len(p), p))
-                elif nxt > start and nxt not in path:
-                    stack.append([*path, nxt])
-    return sorted([*map(tuple, best.values()), *{(a,) for a, b in edges if a == b}])
-
-
-def test_cycles_against_brute_force(spark):
+    reach = {n: {b for a, b in edges if a == n} for n in nodes}
+    for mid in nodes:
+        for n in nodes:
+            if mid in reach[n]:
+                reach[n] |= reach[mid]
+    own = {n: min([n, *(m for m in reach[n] if n in reach[m])]) for n in nodes}
+    return {n: c for n, c in own.items() if any(m != n and own[m] == c for m in nodes)}
+
+
+def brute_cycles(edges):
+    """For each component the shortest cycle through its smallest node whose end is smallest, and loops."""
+    own, out = brute_components(edges), [(a,) for a, b in set(edges) if a == b]
+    for root in set(own.values()):
+        paths, done = [[root]], []
+        while not done:
+            grown = [[*p, b] for p in paths for a, b in set(edges) if a == p[-1] and own.get(b) == root and a != b]
+            done = [p[:-1] for p in grown if p[-1] == root]
+            paths = [p for p in grown if len(set(p)) == len(p)]
+        out.append(tuple(min(done, key=lambda p: p[::-1])))
+    return sorted(out)
+
+
+def graphs(spark, by_repo):
+    return spark.createDataFrame([(g, a, b) for g, es in by_repo.items() for a, b in es], "repo string, src string, dst string")
+
+
+def random_graphs():
     rng = random.Random(11)
-    data, want = [], {}
-    for g in range(12):
-        n = rng.randrange(2, 7)
-        names = "abcdefg"[:n]
-        es = [e for e in itertools.product(names, names) if rng.random() < 0.3]
-        data += [(f"g{g}", a, b) for a, b in es]
+    out = {}
+    for g in range(40):  # dense ones, sparse ones with long stretches, rings with tails and shortcuts
+        names = [f"{rng.randrange(100):02}{k}" for k in range(rng.randrange(2, 12))]
+        es = {(a, b) for a, b in itertools.product(names, names) if rng.random() < rng.choice((0.08, 0.15, 0.4))}
+        if g % 3 == 0:
+            es |= {(names[k - 1], names[k]) for k in range(rng.randrange(len(names)))} | {(names[-1], names[0])}
+        if g % 4 == 0:
+            ring = [f"x{rng.randrange(1000)}" for _ in range(rng.randrange(2, 30))]
+            es |= {(ring[k - 1], ring[k]) for k in range(len(ring))} | {(ring[0], names[0])}
         if es:
-            want[f"g{g}"] = brute_cycles(es)
-    got: dict = {}
-    for r in gr.cycles(spark.createDataFrame(data, "repo string, src string, dst string")).collect():
-        got.setdefault(r.repo, []).append(tuple(r.cycle))
-    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+            out[f"g{g}"] = sorted(es)
+    return out
 
 
-def test_core_is_empty_without_cycles(spark):
-    es = [("r", f"n{i:02}", f"n{i + 1:02}") for i in range(20)]
-    df = spark.createDataFrame(es, "repo string, src string, dst string")
-    assert gr.cyclic_core(df).count() == 0 and gr.cycles(df).count() == 0
-    back = df.union(spark.createDataFrame([("r", "n07", "n03")], df.schema))
-    assert rows(gr.cycles(back), "length") == [(5,)]
+def test_components_and_cycles_against_brute_force(spark):
+    data = random_graphs()
+    df = graphs(spark, data).withColumn("weight", F.lit(1)).withColumn("tail", F.lit("t"))
+    got: dict = {}
+    for r in gr.strong_components(df).collect():
+        got.setdefault(r.repo, {})[r.node] = r.component
+    want = {g: brute_components(es) for g, es in data.items()}
+    assert got == {g: w for g, w in want.items() if w}
+    cycles: dict = {}
+    for r in gr.cycles(df).collect():
+        cycles.setdefault(r.repo, []).append(tuple(r.cycle))
+        assert r.length == len(r.cycle) and r.chain == " -> ".join([*r.cycle, r.cycle[0]])
+    want = {g: brute_cycles(es) for g, es in data.items()}
+    assert {g: sorted(c) for g, c in cycles.items()} == {g: w for g, w in want.items() if w}
+
+
+def test_no_cycles(spark):
+    df = graphs(spark, {"r": [(f"n{i:02}", f"n{i + 1:02}") for i in range(20)]})
+    assert gr.strong_components(df).count() == 0 and gr.cycles(df).count() == 0 and gr.cycles(df.limit(0)).count() == 0
+    back = df.union(graphs(spark, {"r": [("n07", "n03")]}))
+    assert rows(gr.cycles(back), "length", "chain") == [(5, "n03 -> n04 -> n05 -> n06 -> n07 -> n03")]
+    assert rows(gr.cycles(graphs(spark, {"r": [("a", "a")]}), self_loops=False)) == []
+
+
+def test_long_rings_take_few_rounds(spark, monkeypatch):
+    """A ring of ten thousand nodes, one with shortcuts and a line into it; rounds are tables written."""
+    n = 10_000
+    names = [f"n{(k * 7919) % n:05}" for k in range(n)]
+    ring = [(names[k - 1], names[k]) for k in range(n)]
+    other = [("m" + a, "m" + b) for a, b in ring] + [("m" + names[5], "m" + names[4000]), ("m" + names[9000], "m" + names[8000])]
+    line = [(f"l{k:05}", f"l{k + 1:05}") for k in range(3000)] + [("l03000", "m" + names[17])]
+    written, real = [], cy.materialize
+    monkeypatch.setattr(cy, "materialize", lambda df: written.append(1) or real(df))
+    got = {r.repo: (r.length, r.cycle[0]) for r in gr.cycles(graphs(spark, {"ring": ring, "both": other + line})).collect()}
+    assert got == {"ring": (n, "n00000"), "both": (n - 3994, "mn00000")}
+    one, before = graphs(spark, {"ring": ring}), len(written)
+    assert before < 100 and gr.cycles(one).first().length == n and len(written) - before < 60
 
 
 def test_reachable_stops_in_loops(spark):
@@ -95,6 +140,43 @@ def test_reachable_stops_in_loops(spark):
     assert rows(gr.reachable(starts, df, 1), "node") == [("a",), ("b",)]
 
 
+def test_spread_like_a_walk(spark):
+    rng = random.Random(6)
+    data, starts, want = {}, [], {}
+    for g, es in random_graphs().items():
+        es = es + [(f"t{k}", f"t{k + 1}") for k in range(rng.randrange(20))] + [(es[0][0], "t0")]
+        nodes = sorted({x for e in es for x in e})
+        begin = rng.sample(nodes, rng.choice((0, 1, 2))) + ["nowhere"] * rng.randrange(2)
+        data[g], hops = es, {b: 0 for b in begin}
+        starts += [(g, b) for b in begin]
+        todo = list(hops)
+        while todo:
+            a = todo.pop(0)
+            for x, b in es:
+                if x == a and b not in hops:
+                    hops[b] = hops[a] + 1
+                    todo.append(b)
+        want.update({(g, n): h for n, h in hops.items()})
+    got = gr.spread(spark.createDataFrame(starts, "repo string, node string"), graphs(spark, data)).collect()
+    assert {(r.repo, r.node): r.hops for r in got} == want and len(got) == len(want)
+
+
+def test_a_long_history_takes_few_rounds(spark, monkeypatch):
+    """A hundred thousand commits in a line, one branch of it further than the other."""
+    n = 100_000
+    ids = spark.range(n)
+    parents = ids.select(F.lit("r").alias("repo"), F.concat(F.lit("c"), F.col("id") + 1).alias("sha"), F.concat(F.lit("c"), F.col("id")).alias("parent"))
+    side = spark.createDataFrame([("r", "x1", "c70000"), ("r", "x2", "x1"), ("r", "x3", "x2")], "repo string, sha string, parent string")
+    written, real = [], co.materialize
+    count = lambda df: written.append(1) or real(df)
+    monkeypatch.setattr(co, "materialize", count)
+    monkeypatch.setattr(dv, "materialize", count)
+    head = lambda *shas: spark.createDataFrame([("r", s) for s in shas], "repo string, sha string")
+    got = dv.exclusive_commits(head("x3"), head(f"c{n}"), parents.union(side)).groupBy("side").count().collect()
+    assert {r.side: r["count"] for r in got} == {"ahead": 3, "behind": n - 70000} and len(written) < 40
+    assert dv.exclusive_commits(head("c5"), head("c5"), parents).count() == 0
+
+
 def test_divergence_on_random_histories(spark):
     rng = random.Random(2)
     data, want, heads = [], {}, {"l": [], "r": []}

@@ -116,6 +116,38 @@ def test_rules_of_repositories(make_files):
     assert rows(mt.repo_rule_hits(files.where("path like '%.py'"), rules), "path", "line_no", "rule_id") == [("x.py", 2, "A1")]
 
 
+def rule_table(spark, rules):
+    schema = "repo string, seq int, rule_id string, dimension string, severity string, title string, confidence string, matcher string, pattern string, guards array<string>"
+    return spark.createDataFrame([(r, k, f"R{k}", "quality", "info", "t", None, "regex_line", p, g) for k, (r, p, g) in enumerate(rules)], schema)
+
+
+def test_bad_patterns_are_rejects_and_the_rest_goes_on(spark, make_files, monkeypatch):
+    patterns = ["(", "todo", None, "a{2,1}", r"\d+ left", "x?y", "FIXME|later", r"(?i)HACK", r"\x41B", "[ab]c(de)?f", "*", "", r"q\.z+"]
+    rules = rule_table(spark, [("r", p, []) for p in patterns] + [("s", "todo", []), ("r", "todo", ["SAFE"])])
+    assert rows(mt.rejected_rules(rules), "repo", "rule_id") == [("r", "R0"), ("r", "R10"), ("r", "R2"), ("r", "R3")]
+    lines = ["todo", "7 left", "y", "xy", "later", "# todo", "hack", "AB", "bcf", "acdef", "q.zz", "qxz", "nothing", "todo FIXME"]
+    texts = {"one.py": "\n".join(lines), "two.py": "SAFE\ntodo\n", "none.py": ""}
+    import re
+    want = []
+    for p, body in texts.items():
+        for k, (repo, pattern, guards) in enumerate([("r", p, []) for p in patterns] + [("s", "todo", []), ("r", "todo", ["SAFE"])]):
+            if repo == "r" and k not in (0, 2, 3, 10) and not any(g in body for g in guards):
+                want += [(p, n, f"R{k}") for n, line in enumerate(body.splitlines(), 1) if not line.startswith("#") and re.search(pattern, line)]
+    for size in (mt.RULE_BYTES, 0):  # rules sent to the files, and both sides dealt out
+        monkeypatch.setattr(mt, "RULE_BYTES", size)
+        monkeypatch.setattr(mt, "RULE_CHUNK", 3)
+        assert rows(mt.repo_rule_hits(make_files(texts), rules), "path", "line_no", "rule_id") == sorted(want, key=repr)
+
+
+def test_required_literals(spark):
+    from pyspark.sql import functions as F
+
+    cases = {"todo": "todo", r"\bimport os\b": "import os", "colou?r": "colo", "ab*cd": "cd", "ab+cd": "ab", "x{3}yz": "yz", "a|bcd": "", "(abc)?d": "", "(abc)+d": "abc", "[xyz]*abc": "abc",
+             r"\p{Lu}bc": "", "(?i)abc": "", r"a\.bcd": "bcd", r"\Qa|b\E": "", "": "", "[a[bc]]d": "", "^def main$": "def main", "a??bc": "bc"}
+    df = spark.createDataFrame([(p,) for p in cases], "p string")
+    assert {r.p: r.x for r in df.select("p", mt.required_literal(F.col("p")).alias("x")).collect()} == cases
+
+
 def test_match_positions(spark):
     from pyspark.sql import functions as F
 

@@ -7,6 +7,7 @@ from conftest import rows
 
 from codefacts.operators import audit as au
 from codefacts.operators import diff as df_
+from codefacts.operators import facts as fx
 from codefacts.operators import gates as gt
 from codefacts.operators import graph as gr
 from codefacts.operators import overview as ov
@@ -14,6 +15,7 @@ from codefacts.operators import rules as ru
 from codefacts.operators import structure as st
 from codefacts.plans.analysis import load_corpus
 from codefacts.profile import GENERIC, Profile
+from codefacts.sources import manifests as mf
 
 
 def manifest(ident, role="business", caps='["c"]', version="1.0.0", deps="{}"):
@@ -151,3 +153,24 @@ def test_fingerprints(x, gate_input):
     d = df_.fingerprint_diff(state(found.where("rule_id <> 'QLT003'")), state(found)).first()
     assert not d.decision_changed and d.rules_added == ["quality/QLT003"] and d.rules_removed == []
     assert d.severity_changes and d.severity_changes[0].startswith("minor:")
+
+
+def test_rules_of_type_ast(make_files, spark):
+    """Two repositories, two thresholds; what is there without a threshold; unknown checks and bad thresholds find nothing or the default."""
+    long = "def f():\n" + "    x = 1\n" * 6 + "def g():\n" + "    x = 1\n" * 90 + "try:\n    f()\nexcept E:\n    pass\n"
+    facts = fx.extract_facts(make_files({"a.py": long, "bad.py": "def ("}, "one").unionByName(make_files({"a.py": long}, "two")).unionByName(make_files({"a.py": long}, "none")))
+    rule = '{{"rule_id": "{}", "matcher": {{"type": "ast", "check": "{}"{}}}}}'
+    brought = {
+        "one": [("L", "long_function", ', "threshold": 6'), ("D", "long_function", ', "threshold": 0'), ("B", "bare_except", ""), ("U", "unknown", "")],
+        "two": [("L", "long_function", ', "threshold": 7'), ("S", "long_function", ', "threshold": "x"')],
+    }
+    files = None
+    for repo, rules in brought.items():
+        one = make_files({"audit_rules.json": "[" + ",".join(rule.format(*r) for r in rules) + "]"}, repo)
+        files = one if files is None else files.unionByName(one)
+    rules = mf.read_rules(files)
+    got = rows(au.repo_ast_hits(au.measures(facts), rules), "repo", "rule_id", "lineno")
+    assert got == sorted([("one", "L", 1), ("one", "L", 8), ("one", "D", 8), ("one", "B", 101), ("two", "L", 8), ("two", "S", 8)], key=repr)
+    sources = make_files({"a.py": long}, "one").unionByName(make_files({"a.py": long}, "two"))
+    whole = rows(au.scanner_findings(sources, facts.where("repo <> 'none'"), repo_rules=rules).where("rule_id in ('L', 'D', 'B', 'S')"), "repo", "rule_id", "line", "confidence")
+    assert whole == [(a, b, c, "high") for a, b, c in got]
