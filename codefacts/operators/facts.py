@@ -7,7 +7,7 @@ so reading one kind of fact only reads its column. C-family files are parsed by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,21 +26,28 @@ def _py_syntax(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([syntax.flatten(t or "") for t in series])
 
 
-def extract_facts(files: DataFrame) -> DataFrame:
+def is_parsed(path: Column | str) -> Column:
+    """Files that have facts of their own."""
+    return paths.extension(path).isin(*PY_EXTS)
+
+
+def extract_facts(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One row per Python file with its flat records; the caller filters to the files that need parsing.
 
-    Rows stay in the partition that read them: no shuffle. ``code_hash`` is the content address E19 compares.
+    Rows stay in the partition that read them: no shuffle. ``code_hash`` is the content address E19 compares. Columns in
+    ``keep`` are passed on.
     """
     parse = F.pandas_udf(_py_syntax, PY_SYNTAX)
-    sources = files.where(paths.extension("path").isin(*PY_EXTS))
+    sources = files.where(is_parsed("path"))
     return sources.select(
         "repo",
         "path",
+        *keep,
         text.total_lines("content").alias("loc_total"),
         text.code_lines("content").alias("loc_code"),
         content_key("content").alias("code_hash"),
         parse("content").alias("s"),
-    ).select("repo", "path", "loc_total", "loc_code", "code_hash", "s.*")
+    ).select("repo", "path", *keep, "loc_total", "loc_code", "code_hash", "s.*")
 
 
 def content_key(content: Column | str) -> Column:
@@ -266,26 +273,26 @@ def split_by_cache(files: DataFrame, known: DataFrame) -> tuple[DataFrame, DataF
     """``(reusable, to_parse)`` by comparing the current files with the facts of the previous run.
 
     A file is reusable when its (mtime, size) signature is unchanged, else when its content hash is. ``reason`` is
-    ``sig``, ``hash``, ``changed`` or ``new``. ``known`` has ``repo, path, mtime, size, code_hash``.
+    ``sig``, ``hash``, ``changed`` or ``new``. ``known`` has ``repo, path, mtime, size, code_hash``. ``sources.factstore``
+    keeps facts from run to run with it.
     """
+    rows = judge_files(files, known)
+    hit = F.col("reason").isin("sig", "hash")
+    return rows.where(hit), rows.where(~hit)
+
+
+def judge_files(files: DataFrame, known: DataFrame) -> DataFrame:
+    """Repo, path, mtime, size, code_hash and ``reason`` of each file; contents are hashed where they lie and not moved."""
     old = known.select(
         "repo", "path", F.col("mtime").alias("old_mtime"), F.col("size").alias("old_size"), F.col("code_hash").alias("old_hash")
     )
-    joined = files.join(old, ["repo", "path"], "left")
+    now = files.select("repo", "path", "mtime", "size", content_key("content").alias("code_hash"))
+    joined = now.join(old, ["repo", "path"], "left")
     same_sig = (F.col("mtime") == F.col("old_mtime")) & (F.col("size") == F.col("old_size"))
     reason = (
         F.when(F.col("old_hash").isNull(), "new")
         .when(same_sig, "sig")
-        .when(content_key("content") == F.col("old_hash"), "hash")
+        .when(F.col("code_hash") == F.col("old_hash"), "hash")
         .otherwise("changed")
     )
-    judged = joined.withColumn("reason", reason).drop("old_mtime", "old_size", "old_hash")
-    hit = F.col("reason").isin("sig", "hash")
-    return judged.where(hit), judged.where(~hit)
-
-
-def refresh_facts(files: DataFrame, old_facts: DataFrame, known: DataFrame) -> DataFrame:
-    """Facts of the current files; only misses are parsed, facts of deleted files are dropped."""
-    reusable, to_parse = split_by_cache(files, known)
-    kept = old_facts.join(reusable.select("repo", "path"), ["repo", "path"], "left_semi")
-    return kept.unionByName(extract_facts(to_parse))
+    return joined.select("repo", "path", "mtime", "size", "code_hash", reason.alias("reason"))

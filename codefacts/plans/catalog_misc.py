@@ -40,6 +40,31 @@ def parse_cache_judgement(spark, sf):
     return rows.select("repo", "path", "reason", "reused")
 
 
+@query(
+    "stored_facts",
+    "E19 C3",
+    """select c_mktsegment as repo, 'c' || c_custkey || '.py' as path, case c_nationkey % 4 when 0 then 0 else 1 end as mtime, case c_nationkey % 4 when 1 then 2 else 1 end as loc_total
+    from customer where c_nationkey % 5 <> 4""",
+)
+def stored_facts(spark, sf):
+    """Two runs over a store: files that stay, are edited (two lines now), touched (a new signature only), new, and deleted."""
+    from codefacts.sources import factstore
+    from codefacts.streaming.jobs import scratch
+
+    cust = ad.table(spark, sf, "customer", spread=True)
+    kind, folder = F.col("c_nationkey") % 4, scratch(spark, "store")
+    later = F.when(kind == 0, 0).otherwise(1)
+
+    def files(rows, mtime, text):
+        named = rows.select(F.col("c_mktsegment").alias("repo"), F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"), mtime.cast("long").alias("mtime"), text.alias("content"))
+        return named.withColumn("size", F.octet_length("content").cast("long"))
+
+    one = F.concat(F.lit("x = "), F.col("c_custkey").cast("string"), F.lit("\n"))
+    factstore.refresh(files(cust.where(kind != 3), F.lit(0), one), folder, 8)
+    now = files(cust.where(F.col("c_nationkey") % 5 != 4), later, F.when(kind == 1, F.concat(one, one)).otherwise(one))
+    return factstore.refresh(now, folder).select("repo", "path", F.col("mtime").cast("int").alias("mtime"), F.col("loc_total").cast("int").alias("loc_total"))
+
+
 # ------------------------------------------------------------------ contract
 EVENT_CONTRACT = {
     "type": "object", "required": ["k", "label"],

@@ -111,6 +111,37 @@ def stream_python_facts(spark, sf):
     return jobs.read_versions(spark, out).select("repo", "path", "ok", "loc_total", "loc_code")
 
 
+_SOURCE_VERSIONS = """with v as (select l_returnflag as repo, 'p' || l_partkey || '.py' as path, l_orderkey * 10 + l_linenumber as ts, l_discount > 0.085 as deleted,
+  case l_quantity::int % 3 when 0 then 'a = 1' || chr(10) when 1 then 'b = 1' || chr(10) || 'c = 2' || chr(10) else 'def (' end as content from lineitem),
+  m as (select repo, path, max((ts, deleted, case when deleted then null else substr(sha1(content), 1, 12) end, case when deleted then null else content end)) as x from v group by all)
+"""
+
+
+@query(
+    "stream_current_facts",
+    "K3",
+    _SOURCE_VERSIONS + "select repo, path, x[1] as version, x[4] not like 'def%' as ok, case when x[4] like 'b%' then 2 else 1 end as loc_total, x[3] as code_hash from m where not x[2]",
+)
+def stream_current_facts(spark, sf):
+    """File versions in four batches whose times go back and forth; contents come again, files are deleted and come back, facts are evicted."""
+    lines = ad.table(spark, sf, "lineitem")
+    kind = F.col("l_quantity").cast("int") % 3
+    versions = lines.select(
+        F.col("l_returnflag").alias("repo"), F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit(".py")).alias("path"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ts"), (F.col("l_discount") > 0.085).alias("deleted"),
+        F.when(kind == 0, "a = 1\n").when(kind == 1, "b = 1\nc = 2\n").otherwise("def (").alias("content"),
+    )
+    src, out, ck = (jobs.scratch(spark, n) for n in ("versions", "facts", "ck"))
+    for part in range(4):
+        versions.where(F.pmod(F.xxhash64("ts"), F.lit(4)) == part).coalesce(4).write.parquet(f"{src}/{part}")
+    for upto in range(4):
+        arriving = jobs.read_stream(spark, f"{src}/{{{','.join(str(k) for k in range(upto + 1))}}}", versions.schema)
+        jobs.extract_continuously(arriving, out, ck, available_now=True).awaitTermination()
+        if upto == 2:
+            jobs.evict(spark, out)
+    return jobs.read_current(spark, out).select("repo", "path", F.col("ts").alias("version"), "ok", F.col("loc_total").cast("int").alias("loc_total"), "code_hash")
+
+
 @query(
     "stream_rewritten_history",
     "K2",

@@ -5,7 +5,9 @@ Every ``foreachBatch`` body may be replayed after a failure, so each of them giv
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,6 +15,7 @@ from codefacts.operators import churn as ch
 from codefacts.operators import facts as fx
 from codefacts.operators import matching as mt
 from codefacts.session import ensure_checkpoint_dir, materialize
+from codefacts.streaming.levels import Levels
 
 #: K6: results are at most this old while a query runs
 FRESHNESS = "15 seconds"
@@ -56,24 +59,38 @@ def sliding_churn(changes: DataFrame, days: int = 90, lateness: str = "7 days")
     return agg.select("repo", "path", F.date_sub(F.to_date("window.end"), 1).alias("day"), "churn", "added_lines")
 
 
-def write_partials(changes: DataFrame, aggregate, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+def partials(spark: SparkSession, path: str, keys: Sequence[str] = ("repo", "path", "day")) -> Levels:
+    """K1: the sums of batches as levelled runs, in folders by month: per key and run one row."""
+
+    def combine(rows: DataFrame) -> DataFrame:
+        values = [c for c in rows.columns if c not in (*keys, "month")]
+        return rows.groupBy(*keys, "month").agg(*[F.sum(c).alias(c) for c in values]).select(*rows.columns)
+
+    return Levels(spark, path, combine, partition_by=("month",))
+
+
+def write_partials(changes: DataFrame, aggregate, path: str, checkpoint: str, available_now: bool = False, keys: Sequence[str] = ("repo", "path", "day")) -> StreamingQuery:
     """K1: the sums of each batch, whatever its days; no watermark, no state, and no change is too late.
 
     ``aggregate``: ``daily_churn`` or ``sliding_churn``, whose values are sums (their watermark has no effect on the rows of
-    one batch). A replayed batch replaces itself. ``partials_state`` adds the batches up.
+    one batch). Batches are folded by level, so their number bounds neither folders nor reads. ``partials_state`` adds up
+    what is left.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        rows = aggregate(batch).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        rows = aggregate(batch).withColumn("month", F.date_format("day", "yyyy-MM"))
+        partials(batch.sparkSession, path, keys).add(rows, batch_id)
 
     return start(changes.writeStream.foreachBatch(save), checkpoint, available_now)
 
 
-def partials_state(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The sums over all batches of ``write_partials``."""
-    log = spark.read.parquet(path)
-    return log.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in log.columns if c not in (*keys, "batch_id")])
+def partials_state(spark: SparkSession, path: str, keys: Sequence[str], months: Sequence[str] | None = None) -> DataFrame:
+    """The sums over all batches of ``write_partials``; of some months (``2024-05``) only their folders are read."""
+    log = partials(spark, path, keys).read()
+    if log is None:
+        raise ValueError(f"no batch has been written to {path}")
+    log = log if months is None else log.where(F.col("month").isin(*months))
+    return log.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in log.columns if c not in (*keys, "month")])
 
 
 def write_changelog(updates: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
@@ -101,7 +118,12 @@ def replace_days(rewritten: DataFrame, changes: DataFrame, daily_path: str) -> N
     marker row, because a partition without rows would not be replaced.
     """
     month = F.to_date(F.date_trunc("month", "ts"))
-    touched = rewritten.select("repo", month.alias("month")).distinct()
+    touched = materialize(rewritten.select("repo", month.alias("month")).distinct())
+    span = touched.agg(F.min("month").alias("first"), F.add_months(F.max("month"), 1).alias("end")).first()
+    if span.first is None:
+        return
+    # the range of the touched months reaches the scan of the change table, so others are not read
+    changes = changes.where((F.col("ts") >= F.lit(span.first).cast("timestamp")) & (F.col("ts") < F.lit(span.end).cast("timestamp")))
     current = changes.withColumn("month", month).join(touched, ["repo", "month"], "left_semi")
     fresh = ch.churn_daily(current.drop("month")).withColumn("month", F.to_date(F.date_trunc("month", "day")))
     gone = touched.join(fresh.select("repo", "month").distinct(), ["repo", "month"], "left_anti")
@@ -131,48 +153,119 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
+FACT_KEYS = ["repo", "path", "code_hash"]
+#: folders of a run of facts, by hash of the file; bytes of keys of a batch that are sent to every task
+FACT_BUCKETS, SENT = 16, 64 << 20
+
+
+def _same(left: str, right: str) -> Column:
+    """Null-safe equality of the keys of two sides whose columns begin with ``left`` and ``right``."""
+    out = F.lit(True)
+    for k in FACT_KEYS:
+        out = out & F.col(f"{left}{k}").eqNullSafe(F.col(f"{right}{k}"))
+    return out
+
+
+def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select(*[F.col(k).alias(f"{prefix}{k}") for k in FACT_KEYS])
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("repo", "path"), F.lit(FACT_BUCKETS)).cast("int").alias("bucket")
+
+
+def fact_runs(spark: SparkSession, path: str) -> Levels:
+    """K3: the facts of all contents that were parsed, in folders by hash of the file."""
+    return Levels(spark, f"{path.rstrip('/')}/facts", lambda rows: rows, partition_by=("bucket",))
+
+
+def version_runs(spark: SparkSession, path: str) -> Levels:
+    """K3: repo, path, ts, code_hash and deleted of all versions that came."""
+    return Levels(spark, f"{path.rstrip('/')}/versions", lambda rows: rows.distinct())
+
+
 def extract_continuously(files: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """K3: parse only contents that are new for their path and keep their facts; needs ``ts``, the version of a file.
 
-    Every version is kept in a table beside the facts, ``read_versions`` joins them, so contents may come late, in any
-    order and again (A, B, A). The partitions of a batch are replaced when it is replayed.
+    A row with a true ``deleted`` (a column that may be missing) says that the file was deleted at ``ts``. Versions are kept
+    beside the facts and joined by ``read_versions``, so contents may come late, in any order and again (A, B, A). Only keys
+    are moved: those of a batch are sent to the stored keys, in the folders they fall into, and what is not there is sent to
+    the batch's own rows, which are parsed where they lie. Both tables are levelled, so a replayed batch changes nothing.
     """
-    keys = ["repo", "path", "code_hash"]
 
     def parse(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        number = F.lit(batch_id).cast("long").alias("batch_id")
-        keyed = batch.withColumn("code_hash", fx.content_key("content"))
-        versions = keyed.select(*keys, "ts", number).distinct()
-        versions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(versions_path(path))
-        new = keyed.dropDuplicates(keys)
-        if _exists(spark, path):
-            seen = spark.read.parquet(path).where(F.col("batch_id") < batch_id).select(*[F.col(k).alias(f"seen_{k}") for k in keys])
-            new = new.join(seen, [F.col(k).eqNullSafe(F.col(f"seen_{k}")) for k in keys], "left_anti")
-        facts = fx.extract_facts(new).withColumn("batch_id", number)
-        facts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        facts, versions = fact_runs(spark, path), version_runs(spark, path)
+        deleted = F.coalesce(F.col("deleted"), F.lit(False)) if "deleted" in batch.columns else F.lit(False)
+        keyed = batch.withColumn("code_hash", F.when(~deleted, fx.content_key("content")))
+        arrived = materialize(keyed.select(*FACT_KEYS, "ts", deleted.alias("deleted")).distinct())
+        if not facts.covers(batch_id):
+            wanted = arrived.where(~F.col("deleted")).select(*FACT_KEYS).distinct().withColumn("bucket", _bucket())
+            stored = facts.read()
+            if stored is not None:
+                wanted = materialize(wanted)
+                touched = [r.bucket for r in wanted.select("bucket").distinct().collect()]  # FACT_BUCKETS numbers at most
+                keys = stored.where(F.col("bucket").isin(touched))
+                known = materialize(_prefixed(keys, "old_").join(_sent(_prefixed(wanted, "new_")), _same("old_", "new_"), "left_semi"))
+                wanted = wanted.join(known, _same("", "old_"), "left_anti")
+            wanted = materialize(wanted)
+            new = keyed.where(~deleted).join(_sent(_prefixed(wanted, "new_")), _same("", "new_"), "left_semi")
+            # a content that a batch holds several times is parsed where it lies, and its facts are dealt out instead
+            facts.add(fx.extract_facts(new).dropDuplicates(FACT_KEYS).withColumn("bucket", _bucket()), batch_id)
+        versions.add(arrived, batch_id)
 
     return start(files.writeStream.foreachBatch(parse), checkpoint, available_now)
 
 
-def versions_path(path: str) -> str:
-    return f"{path.rstrip('/')}-versions"
+def _sent(keys: DataFrame) -> DataFrame:
+    """Keys that are sent to every task, if they are small enough; else the join deals them out."""
+    size = keys.agg(F.sum(sum((F.octet_length(F.coalesce(c, F.lit(""))) for c in keys.columns), F.lit(48)))).first()[0] or 0
+    return F.broadcast(keys) if size <= SENT else keys
+
+
+def _all_versions(spark: SparkSession, path: str) -> DataFrame:
+    seen = version_runs(spark, path).read()
+    if seen is None:
+        raise ValueError(f"no batch has been written to {path}")
+    return seen
+
+
+def _with_facts(spark: SparkSession, path: str, versions: DataFrame) -> DataFrame:
+    facts = fact_runs(spark, path).read().drop("bucket").withColumnsRenamed({k: f"f_{k}" for k in FACT_KEYS})
+    return versions.join(facts, _same("", "f_")).drop(*[f"f_{k}" for k in FACT_KEYS])
 
 
 def read_versions(spark: SparkSession, path: str) -> DataFrame:
     """K3: the facts of every version (repo, path, ts) of a file; versions in a row with the same content are one, the first."""
-    seen = spark.read.parquet(versions_path(path)).select("repo", "path", "code_hash", "ts").distinct()
-    order = Window.partitionBy("repo", "path").orderBy("ts", "code_hash")
-    changed = seen.withColumn("before", F.lag(F.struct("code_hash")).over(order)).where("before is null or not before.code_hash <=> code_hash").drop("before")
-    facts = spark.read.parquet(path).drop("batch_id").withColumnsRenamed({"repo": "f_repo", "path": "f_path", "code_hash": "f_hash"})
-    same = F.col("repo").eqNullSafe(F.col("f_repo")) & F.col("path").eqNullSafe(F.col("f_path")) & F.col("code_hash").eqNullSafe(F.col("f_hash"))
-    return changed.join(facts, same).drop("f_repo", "f_path", "f_hash")
+    # of a content and a deletion at the same time, the deletion is later
+    order = Window.partitionBy("repo", "path").orderBy("ts", "deleted", "code_hash")
+    rows = _all_versions(spark, path).distinct().withColumn("before", F.lag(F.struct("code_hash")).over(order))
+    changed = rows.where(F.col("before").isNull() | ~F.col("code_hash").eqNullSafe(F.col("before.code_hash")))
+    return _with_facts(spark, path, changed.where(~F.col("deleted")).select(*FACT_KEYS, "ts"))
+
+
+def _current(spark: SparkSession, path: str) -> DataFrame:
+    """The last version of each file that is there."""
+    last = _all_versions(spark, path).groupBy("repo", "path").agg(F.max(F.struct("ts", "deleted", "code_hash")).alias("v"))
+    return last.where(~F.col("v.deleted")).select("repo", "path", "v.code_hash", "v.ts")
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:
-    """K3: the facts of the latest version of each file."""
-    newest = Window.partitionBy("repo", "path").orderBy(F.desc("ts"), F.desc("code_hash"))
-    return read_versions(spark, path).withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n")
+    """K3: the facts of the latest version of each file; files whose latest version is a deletion are not there."""
+    return _with_facts(spark, path, _current(spark, path).select(*FACT_KEYS, "ts"))
+
+
+def evict(spark: SparkSession, path: str) -> None:
+    """K3: facts of contents that no file has any more leave the store, and so do the versions that had them.
+
+    What is left answers ``read_current`` as before; a deletion stays as a version, so an older content that comes late
+    cannot bring a file back. A content that comes again is parsed again.
+    """
+    current = materialize(_current(spark, path))
+    live = _prefixed(current, "live_")
+    fact_runs(spark, path).rewrite(lambda rows: rows.join(live, _same("", "live_"), "left_semi"))
+    last = lambda rows: rows.groupBy("repo", "path").agg(F.max(F.struct("ts", "deleted", "code_hash")).alias("v"))
+    version_runs(spark, path).rewrite(lambda rows: last(rows).select("repo", "path", "v.code_hash", "v.ts", "v.deleted"))
 
 
 def merge_latest(batch: DataFrame, path: str, buckets: int = 64) -> None:

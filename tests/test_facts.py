@@ -8,6 +8,7 @@ from conftest import rows
 from codefacts.operators import audit as au
 from codefacts.operators import cxx
 from codefacts.operators import facts as fx
+from codefacts.sources import factstore as fs
 
 
 @pytest.fixture
@@ -101,8 +102,43 @@ def test_cache_judgement(make_files):
     reused, todo = fx.split_by_cache(files, known)
     assert {(r.path, r.reason) for r in reused.collect()} == {("same.py", "sig"), ("touched.py", "hash")}
     assert {(r.path, r.reason) for r in todo.collect()} == {("edited.py", "changed"), ("new.py", "new")}
-    fresh = fx.refresh_facts(files, old, known)
-    assert rows(fresh, "path", "code_hash") == rows(fx.extract_facts(files), "path", "code_hash")
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_fact_store(spark, make_files, tmp_path, monkeypatch, sent):
+    """Kept, touched, edited, new and deleted files over four runs; nothing that holds a text is moved."""
+    from pyspark.sql import functions as F
+
+    def run(texts, mtimes):
+        changed = F.lit(0)
+        for path, mtime in mtimes.items():
+            changed = F.when(F.col("path") == path, mtime).otherwise(changed)
+        return make_files(texts).withColumn("mtime", changed.cast("long"))
+
+    folder, parsed = str(tmp_path / "store"), []
+    real = fx.extract_facts
+    monkeypatch.setattr(fs.fx, "extract_facts", lambda files, keep=(): parsed.append(files) or real(files, keep))
+    first = {"same.py": "a", "touched.py": "b", "edited.py": "old", "gone.py": "x", "note.md": "no"}
+    second = {"same.py": "a", "touched.py": "b", "edited.py": "c", "new.py": "d"}
+    fs.refresh(run(first, {}), folder, 4, sent)
+    fs.refresh(run(second, {"touched.py": 7, "edited.py": 8}), folder, 4, sent)
+    if sent:
+        assert [r.path for r in parsed[-1].orderBy("path").collect()] == ["edited.py", "new.py"]
+    plan = parsed[-1]._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "content" in x] and "SortMergeJoin" not in plan
+    got = fs.load(spark, folder)
+    assert rows(got, "path", "mtime", "size", "code_hash") == sorted((p, {"touched.py": 7, "edited.py": 8}.get(p, 0), 1, h) for p, h in rows(real(make_files(second)), "path", "code_hash"))
+    for name in [t.name for t in spark.catalog.listTables() if t.name.startswith("codefacts_facts_")]:
+        spark.sql(f"DROP TABLE {name}")  # another session knows the folder only
+    again = fs.load(spark, folder)
+    assert rows(again, "path") == rows(got, "path")
+    keyed = again.select("repo", "path", "code_hash").join(make_files(second).select("repo", "path"), ["repo", "path"]).hint("merge")
+    plan = again.select("repo", "path", "code_hash").hint("merge").join(make_files(second).select("repo", "path"), ["repo", "path"])._jdf.queryExecution().executedPlan().toString()
+    assert keyed.count() == 4 and plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    fs.refresh(run({}, {}), folder, 4, sent)
+    assert fs.load(spark, folder).count() == 0
+    fs.refresh(run(first, {}), folder, 4, sent)
+    assert fs.load(spark, folder).count() == 4
 
 
 # ------------------------------------------------------------------ C family

@@ -9,6 +9,7 @@ from codefacts.operators import churn as ch
 from codefacts.operators import facts as fx
 from codefacts.operators import matching as mt
 from codefacts.streaming import jobs
+from codefacts.streaming.levels import Levels
 
 CHANGES = "repo string, path string, sha string, ts timestamp, added int, deleted int"
 
@@ -93,7 +94,7 @@ def test_only_new_contents_are_parsed(spark, tmp_path):
     for i, data in enumerate([one, two]):
         drop(spark, data, schema, src, f"p{i}")
         jobs.extract_continuously(source(spark, src, schema), out, ck, available_now=True).awaitTermination()
-    got = spark.read.parquet(out)
+    got = jobs.fact_runs(spark, out).read()
     distinct = spark.createDataFrame(one + two, schema).dropDuplicates(["repo", "path", "content"])
     assert rows(got, "path", "code_hash", "ok") == rows(fx.extract_facts(distinct), "path", "code_hash", "ok")
 
@@ -135,7 +136,10 @@ def test_partial_sums_keep_late_rows(spark, tmp_path):
     for name, aggregate, whole in (("d", jobs.daily_churn, ch.churn_daily(want)), ("s", sliding, sliding(want))):
         jobs.write_partials(source(spark, src, CHANGES), aggregate, log + name, ck + name, available_now=True).awaitTermination()
         got = jobs.partials_state(spark, log + name, ["repo", "path", "day"])
-        assert spark.read.parquet(log + name).select("batch_id").distinct().count() == 8
+        runs = jobs.partials(spark, log + name).runs()
+        assert [(r.level, r.first, r.last) for r in runs] == [(1, 0, 7)]
+        one = jobs.partials_state(spark, log + name, ["repo", "path", "day"], ["2024-01"])
+        assert {str(r.day)[:7] for r in one.collect()} == {"2024-01"}
         assert rows(got, *whole.columns) == rows(whole)
 
 
@@ -150,4 +154,61 @@ def test_facts_of_late_and_repeated_contents(spark, tmp_path):
     got = [(r.path, r.ts, r.loc_total) for r in jobs.read_versions(spark, out).orderBy("path", "ts").collect()]
     assert got == [("a.py", at(0), 1), ("a.py", at(20), 2), ("a.py", at(40), 1), ("b.py", at(1), 2)]
     assert rows(jobs.read_current(spark, out), "path", "loc_total") == [("a.py", 1), ("b.py", 2)]
-    assert spark.read.parquet(out).count() == 3  # each content of a path is parsed once
+    assert jobs.fact_runs(spark, out).read().count() == 3  # each content of a path is parsed once
+
+
+def test_deleted_files_and_eviction(spark, tmp_path):
+    schema = "repo string, path string, content string, ts timestamp, deleted boolean"
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    a, b = "def f(): pass\n", "x = 1\ny = 2\n"
+
+    def arrive(name, *data):
+        drop(spark, list(data), schema, src, name)
+        jobs.extract_continuously(source(spark, src, schema), out, ck, available_now=True).awaitTermination()
+
+    def current():
+        return rows(jobs.read_current(spark, out), "path", "loc_total", "ts")
+
+    arrive("p0", ("r", "a.py", a, at(0), False), ("r", "a.py", a, at(0), None), ("r", "b.py", b, at(1), None), ("r", "c.py", a, at(2), None))
+    arrive("p1", ("r", "b.py", None, at(5), True), ("r", "a.py", b, at(3), False), ("r", "d.py", None, at(9), True))
+    assert current() == [("a.py", 2, at(3)), ("c.py", 1, at(2))]
+    arrive("p2", ("r", "a.py", a, at(4), False), ("r", "b.py", b, at(2), False), ("r", "d.py", a, at(8), False))  # A again, and two that come late
+    want = [("a.py", 1, at(4)), ("c.py", 1, at(2))]
+    assert current() == want and jobs.fact_runs(spark, out).read().count() == 5
+    assert rows(jobs.read_versions(spark, out), "path", "ts") == sorted([("a.py", at(0)), ("a.py", at(3)), ("a.py", at(4)), ("b.py", at(1)), ("c.py", at(2)), ("d.py", at(8))])
+    jobs.evict(spark, out)
+    assert current() == want and jobs.fact_runs(spark, out).read().count() == 2
+    arrive("p3", ("r", "b.py", b, at(3), False), ("r", "a.py", b, at(10), False))  # late again, and evicted content again
+    assert current() == [("a.py", 2, at(10)), ("c.py", 1, at(2))]
+
+
+def test_batches_move_no_text(spark, tmp_path, monkeypatch):
+    schema = "repo string, path string, content string, ts timestamp"
+    out, plans = str(tmp_path / "out"), []
+    real = fx.extract_facts
+    monkeypatch.setattr(jobs.fx, "extract_facts", lambda files: plans.append(files._jdf.queryExecution().executedPlan().toString()) or real(files))
+    for i in range(2):
+        drop(spark, [("r", f"{k}.py", f"x = {k % 3 + i}\n", at(i)) for k in range(20)], schema, str(tmp_path / "in"), f"p{i}")
+        jobs.extract_continuously(source(spark, str(tmp_path / "in"), schema), out, str(tmp_path / "ck"), available_now=True).awaitTermination()
+    assert len(plans) == 2 and all("Exchange hashpartitioning" not in p and "BroadcastHashJoin" in p for p in plans)
+    assert jobs.fact_runs(spark, out).read().count() == 40
+
+
+def test_many_batches_leave_few_folders(spark, tmp_path):
+    """Two hundred batches; replays and runs that no manifest names change nothing."""
+    root = str(tmp_path / "log")
+    levels = Levels(spark, root, lambda df: df.groupBy("k").agg(F.sum("n").alias("n")).select("k", "n"), fan=6)
+    batch = lambda i: spark.range(1).select((F.lit(i) % 3).alias("k"), F.lit(i).cast("long").alias("n")).coalesce(1)
+    assert levels.read() is None and not levels.covers(0)
+    for i in range(200):
+        levels.add(batch(i), i)
+        if i % 50 == 0:
+            levels.add(batch(1000), i)  # a replay
+            batch(7).write.parquet(f"{root}/runs/0-{i}-{i}-lost")
+    folders = [f for f in (tmp_path / "log" / "runs").iterdir() if not f.name.endswith("lost")]
+    assert len(levels.runs()) <= 5 * 4 and len(folders) <= 5 * 4 + 6 and len(list((tmp_path / "log" / "manifest").iterdir())) <= 5
+    got = {r.k: r.n for r in levels.read().groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    assert got == {k: sum(i for i in range(200) if i % 3 == k) for k in range(3)}
+    assert levels.covers(199) and not levels.covers(200)
+    levels.rewrite(lambda df: df.where("k <> 1"))
+    assert len(levels.runs()) == 1 and {r.k for r in levels.read().collect()} == {0, 2} and levels.covers(199)
