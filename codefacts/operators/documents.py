@@ -153,6 +153,52 @@ def project_summary(projects: DataFrame, kpi_rows: DataFrame) -> DataFrame:
     return rows.withColumn("status", status)
 
 
+def frontend_figures(frontends: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Of each frontend repository: files, code lines and bytes (``sizes`` as ``overview.file_sizes`` gives them)."""
+    own = sizes.join(frontends.select("repo").distinct(), "repo", "left_semi")
+    return own.groupBy("repo").agg(F.count("*").alias("frontend_files"), F.sum("code").alias("frontend_code"), F.sum("bytes").alias("frontend_bytes"))
+
+
+_SIZE_FIGURES = ("files", "lines", "code", "bytes")
+_FRONTEND_FIGURES = ("frontend_repos", "frontend_files", "frontend_code", "frontend_bytes")
+
+
+def project_scopes(members: DataFrame, scopes: DataFrame, sizes: DataFrame, frontends: DataFrame) -> DataFrame:
+    """Figures of projects, their repositories and the folders that are scopes of their own.
+
+    ``members``: project, repo; ``scopes``: project, repo, scope (a folder at any depth; they may lie in each other);
+    ``frontends``: project, repo of the frontends that belong to a project. A row's ``level`` is ``project``, ``repo`` or
+    ``scope``; without a file it is ``not_analyzed``, a project with some such members ``partial``. Files are summed up by folder
+    first; each folder then counts for the scopes among its parents, itself and the whole repository, which is the empty scope.
+    """
+    folder = F.regexp_replace("path", "/?[^/]*$", "")
+    by_folder = sizes.groupBy("repo", folder.alias("folder")).agg(F.count("*").alias("files"), *[F.sum(c).alias(c) for c in _SIZE_FIGURES[1:]])
+    parts = F.when(F.col("folder") == "", F.array().cast("array<string>")).otherwise(F.split("folder", "/"))
+    prefixes = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    asked = scopes.select("project", "repo", F.regexp_replace("scope", "^/+|/+$", "").alias("scope")).where("scope <> ''").unionByName(members.select("project", "repo", F.lit("").alias("scope"))).distinct()
+    wanted = asked.select("repo", "scope").distinct()
+    below = by_folder.select("repo", *_SIZE_FIGURES, F.explode(prefixes).alias("scope")).groupBy("repo", "scope").agg(*[F.sum(c).alias(c) for c in _SIZE_FIGURES])
+    figures = wanted.join(below, ["repo", "scope"], "left")
+    per_frontend = frontends.select("project", "repo").distinct().join(frontend_figures(frontends, sizes), "repo")
+    frontend = per_frontend.groupBy("project").agg(F.count("*").alias("frontend_repos"), *[F.sum(c).alias(c) for c in _FRONTEND_FIGURES[1:]])
+    rows = asked.join(figures, ["repo", "scope"], "left").withColumn("is_repo", F.col("scope") == "")
+    # a project is the sum of its repositories; a scope counts for itself only
+    sums = [F.sum(c).alias(f"all_{c}") for c in _SIZE_FIGURES] + [F.sum(F.when(F.col("is_repo"), F.col(c))).alias(f"repo_{c}") for c in _SIZE_FIGURES]
+    grouped = rows.groupingSets([["project", "repo", "scope"], ["project"]], "project", "repo", "scope").agg(
+        F.grouping("repo").alias("whole"), F.count_if("is_repo").alias("members"), F.count_if(F.col("is_repo") & F.col("files").isNull()).alias("missing"), *sums
+    )
+    whole = F.col("whole") == 1
+    figure = lambda c: F.coalesce(F.when(whole, F.col(f"repo_{c}")).otherwise(F.col(f"all_{c}")), F.lit(0).cast("long")).alias(c)
+    status = (
+        F.when(whole & (F.col("missing") == F.col("members")), "not_analyzed").when(whole & (F.col("missing") > 0), "partial")
+        .when(whole | F.col("all_files").isNotNull(), "analyzed").otherwise("not_analyzed")
+    )
+    level = F.when(whole, "project").when(F.col("scope") == "", "repo").otherwise("scope")
+    out = grouped.select("project", "repo", "scope", level.alias("level"), status.alias("status"), *[figure(c) for c in _SIZE_FIGURES])
+    joined = out.join(frontend.withColumn("level", F.lit("project")), ["project", "level"], "left")
+    return joined.select(*out.columns, *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in _FRONTEND_FIGURES])
+
+
 def dependency_diagram(core_use: DataFrame, comps: DataFrame, edges: DataFrame, modules_k: int | None = None, components_k: int | None = None) -> DataFrame:
     """Diagram lines: imported modules, components and their dependencies; a ``k`` keeps the most imported or largest."""
     hot = top_k(core_use, ["repo"], [F.desc("imports"), F.col("module")], modules_k, "pos").select("repo", F.col("module").alias("node"))

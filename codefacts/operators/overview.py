@@ -147,25 +147,6 @@ def infer_shape(files: DataFrame, profiles: list[Profile]) -> DataFrame:
     return seen.select("repo", choice.alias("profile"))
 
 
-def corpus_fingerprint(files: DataFrame, buckets: int = 256) -> DataFrame:
-    """One hash per repository over (path, mtime, size); any added, removed or touched file changes it.
-
-    Files are hashed into a fixed number of buckets by path hash. A bucket digest combines the row digests
-    order-independently (count and exact sums of four 60-bit slices), so no group is ever sorted or held in memory;
-    the repository hash is then taken over its at most ``buckets`` bucket rows.
-    """
-    row = F.sha1(F.concat_ws("|", "path", F.col("mtime").cast("string"), F.col("size").cast("string")))
-    part = [F.conv(F.substring(row, 1 + 10 * i, 10), 16, 10).cast("decimal(38,0)") for i in range(4)]
-    bucket = F.pmod(F.xxhash64("path"), F.lit(buckets)).alias("bucket")
-    digests = files.select("repo", bucket, *[p.alias(f"p{i}") for i, p in enumerate(part)])
-    per_bucket = digests.groupBy("repo", "bucket").agg(
-        F.count("*").alias("n"), *[F.sum(f"p{i}").cast("string").alias(f"p{i}") for i in range(4)]
-    )
-    line = F.struct("bucket", F.concat_ws("|", F.col("n").cast("string"), "p0", "p1", "p2", "p3").alias("line"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"]), "\n")
-    return per_bucket.groupBy("repo").agg(F.sum("n").alias("files"), F.sha1(joined).alias("fingerprint"))
-
-
 # ------------------------------------------------------------ stray-file report
 # fixed values: extension -> category, and the build-output names
 CATEGORY_OF = {

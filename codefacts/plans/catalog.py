@@ -8,7 +8,9 @@ from codefacts.plans import (  # noqa: F401
     catalog_matching,
     catalog_misc,
     catalog_overview,
+    catalog_practice,
     catalog_rules,
+    catalog_sinks,
     catalog_streams,
     catalog_structure,
 )

@@ -9,9 +9,11 @@ from codefacts.operators import cxx
 from codefacts.operators import endpoints as ep
 from codefacts.operators import facts as fx
 from codefacts.operators import graph as gr
+from codefacts.operators import nameindex as nx
 from codefacts.operators import symbols as sy
 from codefacts.plans import adapters as ad
 from codefacts.plans.registry import query
+from codefacts.profile import Profile
 from codefacts.session import materialize
 
 #: the corpus in SQL: one row per supplier / customer / part with everything the oracles need
@@ -265,7 +267,27 @@ def symbol_search_exact(spark, sf):
 
 @query("symbol_search_substring", "B8 G8", _SYMBOLS + _SEARCH.format(q="VIEW_", n=50))
 def symbol_search_substring(spark, sf):
-    return sy.search(symbols_of(spark, sf), "VIEW_")
+    """Through the index of triples: rows of ``vie``, ``iew`` and ``ew_`` are read, not all names."""
+    root = _name_index(spark, sf)
+    return nx.search_index(spark, root, "VIEW_")
+
+
+def _name_index(spark, sf):
+    from codefacts.streaming.jobs import scratch
+
+    root = scratch(spark, "names")
+    nx.write_index(symbols_of(spark, sf), root)
+    return root
+
+
+@query("symbol_search_exact_indexed", "B8 G8 A21", _SYMBOLS + _SEARCH.format(q="helper", n=30))
+def symbol_search_exact_indexed(spark, sf):
+    return nx.search_index(spark, _name_index(spark, sf), "helper", 30)
+
+
+@query("names_with_triples", "B8", _SYMBOLS + "select distinct name from so where contains(lower(name), 'ave_1')")
+def names_with_triples(spark, sf):
+    return nx.matching_names(spark, _name_index(spark, sf), "ave_1")
 
 
 # ------------------------------------------------------------------ graph
@@ -488,9 +510,9 @@ def spread_from_first(spark, sf):
 
 
 # ------------------------------------------------------------------ endpoints
-def endpoints_of(facts):
+def endpoints_of(facts, profile=Profile()):
     return ep.resolve_endpoints(
-        fx.routes(facts), fx.blueprints(facts), fx.single_name_calls(facts), fx.import_facts(facts), facts.select("repo", "path")
+        fx.routes(facts), fx.blueprints(facts), fx.single_name_calls(facts), fx.import_facts(facts), facts.select("repo", "path"), profile
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codefacts.operators import digest as dg
 from codefacts.operators import overview as ov
 from codefacts.plans import adapters as ad
 from codefacts.plans import sql_text as st
@@ -121,13 +122,35 @@ def repo_shape(spark, sf):
     return ov.infer_shape(ad.document_files(spark, sf), _SHAPES)
 
 
+_DIGEST = """with f as (select source as repo, """ + ad.DOC_PATH_SQL + """ as path, n_chars as mtime, strlen(text) as size, doc_id from documents),
+d as (select repo, md5(path || '|' || mtime || '|' || size) as m from f)
+"""
+
+
 @query(
     "corpus_fingerprint",
     "D40",
-    why_no_oracle="bucketed by Spark's xxhash64; checked against a Python recomputation in the tests",
+    _DIGEST + """select repo, count(*) as files, md5(count(*) || '|' || sum(('0x' || substr(m, 1, 8))::bigint) || '|' || sum(('0x' || substr(m, 9, 8))::bigint) || '|' || sum(('0x' || substr(m, 17, 8))::bigint)
+      || '|' || sum(('0x' || substr(m, 25, 8))::bigint)) as fingerprint from d group by repo""",
 )
 def corpus_fingerprint(spark, sf):
-    return ov.corpus_fingerprint(ad.document_files(spark, sf))
+    return dg.corpus_fingerprint(ad.document_files(spark, sf))
+
+
+@query(
+    "corpus_difference",
+    "D40",
+    _DIGEST + """select repo, path, case when doc_id % 50 = 1 then 'removed' when doc_id % 50 = 2 then 'added' else 'changed' end as status from f where doc_id % 50 in (1, 2, 3) and repo <> 'src0'""",
+)
+def corpus_difference(spark, sf):
+    """Two states of a corpus: some files are gone, some new, some touched; one repository is as it was."""
+    from codefacts.streaming.jobs import scratch
+
+    files = ad.document_files(spark, sf).withColumn("k", F.when(F.col("repo") != "src0", F.regexp_extract("path", r"(\d+)\.", 1).cast("long") % 50).otherwise(0))
+    before, after = scratch(spark, "tree"), scratch(spark, "tree")
+    dg.write_tree(files.where("k <> 2"), before)
+    dg.write_tree(files.where("k <> 1").withColumn("mtime", F.col("mtime") + (F.col("k") == 3).cast("long")), after)
+    return dg.corpus_difference(spark, before, after)
 
 
 #: url host and path stand for a stray file's location

@@ -9,6 +9,9 @@ from codefacts.functions import paths
 from codefacts.profile import LANGUAGE_LABELS
 from codefacts.schemas import SCHEMA_VERSION
 
+#: rows of a file that several small repositories share
+ROWS_PER_FILE = 1_000_000
+
 
 def _overwrite(df: DataFrame, path: str, parts: list[str], cluster_by: list[str] | None = None) -> None:
     """Replace only the partitions that occur in ``df``.
@@ -21,8 +24,24 @@ def _overwrite(df: DataFrame, path: str, parts: list[str], cluster_by: list[str]
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
-def write_sections(tables: dict[str, DataFrame], root: str, snapshot: str, only: list[str] | None = None) -> list[str]:
-    """One parquet table per section below ``root``, partitioned by snapshot and repository; ``only`` selects."""
+def write_packed(df: DataFrame, path: str, parts: list[str], rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Replace the partitions ``parts`` that occur in ``df``; inside, files of about even size in the order of repositories.
+
+    Small repositories share a file and a large one has several, so a corpus of a million small repositories is not a million
+    files; the ranges are quantiles of a sample of (repository, row). The statistics of a file name its first and last
+    repository, so a reader of one repository skips the others.
+    """
+    rows = df.withColumn("__row", F.xxhash64(*df.columns))
+    files = max(1, -(-df.count() // rows_per_file))
+    packed = rows.repartitionByRange(files, *parts, "repo", "__row").sortWithinPartitions(*parts, "repo").drop("__row")
+    packed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+
+def write_sections(tables: dict[str, DataFrame], root: str, snapshot: str, only: list[str] | None = None, packed: bool = False) -> list[str]:
+    """One parquet table per section below ``root``, partitioned by snapshot and repository; ``only`` selects.
+
+    ``packed`` is for corpora of many small repositories: partitioned by snapshot only, see ``write_packed``.
+    """
     unknown = set(only or []) - set(tables)
     if unknown:
         raise ValueError(f"unknown sections: {', '.join(sorted(unknown))}")
@@ -30,7 +49,10 @@ def write_sections(tables: dict[str, DataFrame], root: str, snapshot: str, only:
     for name, df in tables.items():
         if only is None or name in only:
             rows = df.withColumn("snapshot", F.lit(snapshot)).withColumn("schema_version", F.lit(SCHEMA_VERSION))
-            _overwrite(rows, f"{root.rstrip('/')}/{name}", ["snapshot", "repo"])
+            if packed:
+                write_packed(rows, f"{root.rstrip('/')}/{name}", ["snapshot"])
+            else:
+                _overwrite(rows, f"{root.rstrip('/')}/{name}", ["snapshot", "repo"])
             written.append(name)
     return written
 

@@ -6,6 +6,7 @@ from fixture_repo import FILES
 from pyspark.sql import functions as F
 
 from codefacts.operators import documents as dc
+from codefacts.operators import digest as dg
 from codefacts.operators import overview as ov
 from codefacts.operators import structure as st
 from codefacts.operators import symbols as sy
@@ -147,10 +148,10 @@ def test_scope_rules(spark):
 
 def test_fingerprint_changes_with_any_file(spark, make_files):
     files = make_files({f"f{i}.py": "x" * i for i in range(50)})
-    a = ov.corpus_fingerprint(files).first()
-    b = ov.corpus_fingerprint(files.repartition(7, "content")).first()
-    c = ov.corpus_fingerprint(files.withColumn("mtime", F.when(F.col("path") == "f7.py", 1).otherwise(F.col("mtime")))).first()
-    d = ov.corpus_fingerprint(files.where("path <> 'f7.py'")).first()
+    a = dg.corpus_fingerprint(files).first()
+    b = dg.corpus_fingerprint(files.repartition(7, "content")).first()
+    c = dg.corpus_fingerprint(files.withColumn("mtime", F.when(F.col("path") == "f7.py", 1).otherwise(F.col("mtime")))).first()
+    d = dg.corpus_fingerprint(files.where("path <> 'f7.py'")).first()
     assert a == b and len({a.fingerprint, c.fingerprint, d.fingerprint}) == 3 and a.files == 50
 
 
