@@ -3,7 +3,8 @@
 A shard is a slice of the rows of a task. Its words are numbered by the words of the benchmark; runs of benchmark words
 that are long enough to hold a phrase are indexed (no phrase can lie elsewhere), phrases are found by backward search,
 their occurrences are located through sampled positions, and what they cover is merged into spans. Documents are never
-moved. The benchmark is sent to the tasks in blocks of bounded size, one after another, each adding its spans.
+moved. The benchmark is sent to the tasks in blocks of bounded size, one after another, each adding its spans; marks of a block
+are written to the shared folder before the next one is fetched, so the driver and the tasks hold one block at a time.
 
 Words: A-Z count as a-z; a word is a run of a-z, 0-9 and characters beyond ASCII. A phrase is 13 consecutive words of an
 item, or a whole item of fewer words. Words are compared by 64-bit hashes. Null and empty texts have no words, no hits
@@ -24,6 +25,7 @@ from codefacts.llm import grams
 from codefacts.llm import words as W
 from codefacts.llm.batches import bounded
 from codefacts.llm.fmindex import FMIndex
+from codefacts.session import materialize
 
 #: words of a phrase
 PHRASE = 13
@@ -139,7 +141,7 @@ _MARKED = f"n_words long, spans array<struct<{','.join(f'{name}:long' for name i
 
 def blocks_of(benchmark: DataFrame, block: int = BLOCK) -> list[DataFrame]:
     """The items in parts of about ``block`` bytes; the larger the benchmark, the more parts."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter(F.col("text").isNotNull())
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter(F.col("text").isNotNull()).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first().bytes
     parts = int(size) // block + 1
     return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) for k in range(parts)]
@@ -203,6 +205,8 @@ def _marked(docs: DataFrame, benchmark: DataFrame, block: int) -> tuple[DataFram
     parts = blocks_of(benchmark, block)
     for k, part in enumerate(parts):
         docs = _with_block(docs, part, first=k == 0)
+        if k + 1 < len(parts):  # its marks are written before the next block is fetched, so one block at a time is held
+            docs = materialize(docs)
     return docs, len(parts)
 
 

@@ -184,7 +184,10 @@ def linked_classes(texts: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """One row per id: doc_id, class_id (the smallest id of its class), class_size and kept (true for that id)."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
-    equal = materialize(exact_dedup.groups(named).groupBy("doc_id").agg(F.max("keep_id").alias("rep"), F.min("group_size").alias("size")))
+    mixed = F.min("digest") != F.max("digest")  # rows of an id have several texts
+    equal = materialize(exact_dedup.groups(named).groupBy("doc_id").agg(F.max("keep_id").alias("rep"), F.min("group_size").alias("size"), mixed.alias("mixed")))
+    if not equal.filter("mixed").isEmpty():
+        return _classes_of_rows(named)
     copies = equal.filter("doc_id <> rep").select(F.col("doc_id").alias("doc"))
     texts = named.select(F.col("doc_id").alias("doc"), "text").join(copies.hint("shuffle_hash"), "doc", "left_anti")
     linked = linked_classes(texts)
@@ -198,6 +201,19 @@ def classes(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), (class_id == F.col("doc_id")).alias("kept"))
 
 
+def _classes_of_rows(named: DataFrame) -> DataFrame:
+    """``classes`` where an id may have several texts: classes of rows, joined where they share an id."""
+    rows = materialize(named.dropDuplicates(["doc_id", "text"]).withColumn("row", F.monotonically_increasing_id()))
+    found = classes(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("class_id").alias("part"))
+    of_id = materialize(rows.select("row", "doc_id").join(found, "row").select("doc_id", "part").distinct())
+    first = of_id.groupBy("doc_id").agg(F.min("part").alias("first"))
+    joined = components(of_id.join(first, "doc_id").select(F.col("part").alias("a"), F.col("first").alias("b")))
+    whole = of_id.join(joined.select(F.col("doc").alias("part"), "class"), "part", "left").select("doc_id", F.coalesce("class", "part").alias("class")).distinct()
+    whole = materialize(whole)
+    size = whole.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    return whole.join(size, "class").select("doc_id", "class_id", "class_size", (F.col("class_id") == F.col("doc_id")).alias("kept"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the smallest id, with all columns."""
     gone = classes(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"))

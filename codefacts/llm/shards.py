@@ -1,9 +1,9 @@
 """Shards by sampled splitters, in DataFrame functions only.
 
 Records are ordered by a key (a hash of the text, then the id), so equal texts lie side by side. A sample that draws each
-record with a chance in proportion to its size gives quantiles of the key; they bound ranges of nearly equal bytes.
-A key that is itself a boundary has a range of its own, and ranges that still hold too much are divided again, by sampled
-quantiles of the key or, where the range is one key, of the id. Running sums inside the ranges, plus what lies before
+record with a chance in proportion to its size, and any record with a small one, gives quantiles of the key; they bound
+ranges of bounded bytes and rows. A key that is itself a boundary has a range of its own, and ranges that still hold too many
+bytes or rows are divided again, by sampled quantiles of the key or, where the range is one key, of the id. Running sums inside the ranges, plus what lies before
 each range, give every record its exact place in the order, and shards are cut from the order at equal numbers of bytes.
 Every shard's bytes are therefore within the size of one record of the even share.
 
@@ -54,7 +54,10 @@ def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
     # draws in proportion to size: the hash of the id is the coin, so a lost task draws the same records again
     coin = F.pmod(F.xxhash64(F.lit(17), "key", "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     rate = float(total.bytes / (ranges * SAMPLES))
-    drawn = records.filter(coin * F.lit(rate) < F.col("size"))
+    # and some are drawn whatever their size, so that a key of many tiny records is a boundary too
+    row_share, by_row = total.n / ranges, ranges * SAMPLES / total.n
+    is_drawn = (coin * F.lit(rate) < F.col("size")) | (coin < F.lit(by_row))
+    drawn = records.filter(is_drawn)
     bounds = drawn.agg(_quantiles("key", ranges).alias("bounds")).first().bounds or []  # at most ``ranges`` numbers
     sorted_bounds = F.array(*[F.lit(int(b)) for b in bounds]) if bounds else F.array().cast("array<bigint>")
     below = place(sorted_bounds, F.col("key"))
@@ -62,14 +65,15 @@ def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
     ranged = records.withColumn("range", below * 2 + own.cast("int"))  # odd: the range of one boundary key
 
     # ranges that hold too much: bounded by the number of ranges, so their description may go through the driver
-    sums = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).filter((F.col("bytes") > OVERFULL * share) & (F.col("n") > 1)).collect()
+    overfull = ((F.col("bytes") > OVERFULL * share) | (F.col("n") > OVERFULL * row_share)) & (F.col("n") > 1)
+    sums = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).filter(overfull).collect()
     ranged = ranged.withColumn("sub", F.lit(0))
     if sums:
-        parts = {r["range"]: min(2 * ranges, int(r["bytes"] / share) + 2) for r in sums}
+        parts = {r["range"]: min(2 * ranges, int(max(r["bytes"] / share, r["n"] / row_share)) + 2) for r in sums}
         # inside a range that is one key the id tells records apart; elsewhere the key does
         finer = F.when(F.col("range") % 2 == 1, F.col("doc_id")).otherwise(F.col("key"))
         full = F.col("range").isin(sorted(parts))
-        again = ranged.filter(full).withColumn("finer", finer).filter(coin * F.lit(rate) < F.col("size"))
+        again = ranged.filter(full).withColumn("finer", finer).filter(is_drawn)
         cuts = {}
         for row in again.groupBy("range").agg(_quantiles("finer", max(parts.values())).alias("cut")).collect():
             wide, want = row["cut"] or [], parts[row["range"]]

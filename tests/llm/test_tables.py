@@ -126,12 +126,35 @@ class TestNearDedup:
         owner, _ = minhash.signatures(rows, values, np.array([*x.values(), *y.values()]), 2, 4096)
         assert abs((owner[0] == owner[1]).mean() - want) < 0.04
 
+    def test_ids_with_several_texts(self, spark):
+        a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+        long = " ".join(f"w{k}" for k in range(60))
+        rows = [(1, a), (2, a), (2, b), (3, b), (4, "alone"), (5, long), (6, long + " end"), (6, "other words"), (7, "other words"), (8, None), (8, "x y"), (9, "")]
+        got = {r.doc_id: (r.class_id, r.class_size, r.kept) for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        classes = [{1, 2, 3}, {4}, {5, 6, 7}, {8, 9}]
+        assert got == {i: (min(c), len(c), i == min(c)) for c in classes for i in c}
+
     def test_sketches_rule_out_only_unlike_texts(self, spark):
         n = near_dedup.REGISTERS // 16
         df = spark.createDataFrame([([0] * n, [0] * n), ([0] * n, [-1] * n)], "a array<long>, b array<long>")
         assert [r.x for r in df.select(near_dedup.sketches_agree(F.col("a"), F.col("b"), 0.69).alias("x")).collect()] == [True, False]
 
 
+class TestRanges:
+    def test_many_tiny_records_are_divided(self, spark, monkeypatch):
+        """A third of all rows are empty: no window of one task holds them, and the law holds as ever."""
+        texts = ["x" * 400 + str(k) for k in range(4000)] + [""] * 2000 + [None] * 500
+        frames, real = [], shards.materialize
+        monkeypatch.setattr(shards, "materialize", lambda df: frames.append(real(df)) or frames[-1])
+        rows = shards.assign(docs_of(spark, texts), 8).collect()
+        held = {(r["range"], r["sub"]): r["count"] for f in frames if "sub" in f.columns and "shard" not in f.columns for r in f.groupBy("range", "sub").count().collect()}
+        assert max(held.values()) < 5 * len(texts) / shards.LEAST_RANGES
+        total = sum(r.size for r in rows)
+        for k in range(8):
+            mine = [r for r in rows if r.shard == k]
+            assert abs(sum(r.size for r in mine) - total / 8) <= 404 and sorted(r.slot for r in mine) == list(range(len(mine)))
+
+
 class TestShards:
     @pytest.mark.parametrize("texts", [["x" * (k % 37) for k in range(900)], ["copy of a long text"] * 500 + [str(k) * (k % 9 + 1) for k in range(700)], [*ODD], ["a"]])
     def test_law(self, spark, texts):
