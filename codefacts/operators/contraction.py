@@ -7,8 +7,6 @@ for each node or edge.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,19 +27,19 @@ def straight(edges: DataFrame, keep: DataFrame | None = None) -> tuple[DataFrame
     if keep is not None:
         line = line.join(keep.select(*_NODE), _NODE, "left_anti")
     line = materialize(line.withColumn("open", F.lit(True)))
-    n = line.count()
-    for _ in range(1 + math.ceil(math.log2(n)) if n else 0):
+    while not line.where("open").isEmpty():
         further = line.select("repo", F.col("node").alias("stop"), F.col("stop").alias("s"), F.col("steps").alias("k"), F.col("tail").alias("t"), F.col("low").alias("l"))
         doubled = line.join(further, ["repo", "stop"], "left")
         line = materialize(
             doubled.select(
                 *_NODE, F.coalesce("s", "stop").alias("stop"), (F.col("steps") + F.coalesce("k", F.lit(0))).alias("steps"), F.coalesce("t", "tail").alias("tail"),
-                F.least("low", "l").alias("low"), F.col("s").isNotNull().alias("open"),
+                F.least("low", "l").alias("low"), F.col("s").isNotNull().alias("open"), (F.col("low") != F.col("l")).alias("apart"),
             )
         )
-        if line.where("open").isEmpty():
+        # two stretches that follow one another have different smallest nodes, unless each is a whole ring; once that holds for
+        # all that are still open, only rings are, and every node has met all of its ring
+        if line.where("open and apart").isEmpty():
             break
-    # after so many doublings only what goes round is still open, and has met every node of its ring
     return line.where("not open").select(*_NODE, "stop", "steps", "tail"), line.where("open").select(*_NODE, "low")
 
 

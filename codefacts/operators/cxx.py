@@ -39,27 +39,69 @@ def blank_comments(col: Column | str) -> Column:
     return F.regexp_replace(F.array_join(pieces, ""), r"//[^\n]*", "")
 
 
-def _matches(df: DataFrame, body: str, pattern: str) -> DataFrame:
-    """One row per match with ``piece`` (the text from the match to the next one) and its line.
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _located(body: str, pattern: str) -> Column:
+    """An array of (piece, lineno): the text from each match to the next one, and the line of the match.
 
     Lines are counted inside the row of the file; the text is neither marked nor moved.
     """
     group = "(?m)" + pattern.removeprefix("(?m)")
-    cut = df.select("repo", "path", F.regexp_extract_all(body, F.lit(group), F.lit(0)).alias("found"), F.split(body, group, -1).alias("between"))
-    after = F.slice("between", F.lit(2), F.size("found"))
-    cut = cut.select("repo", "path", F.get("between", F.lit(0)).alias("head"), F.zip_with("found", after, lambda m, rest: F.concat(m, rest)).alias("pieces"))
-    breaks = F.transform("pieces", lambda p: text.count_breaks(p).cast("long"))
-    cut = cut.select("repo", "path", "pieces", text.count_breaks("head").cast("long").alias("first"), sums_before(breaks).alias("above"))
-    rows = cut.select("repo", "path", "first", F.posexplode(F.arrays_zip("pieces", "above")).alias("seq", "m"))
-    return rows.select("repo", "path", (F.col("seq") + 1).alias("seq"), F.col("m.pieces").alias("piece"), (F.col("first") + F.col("m.above") + 1).cast("int").alias("lineno"))
+    cut = F.struct(F.regexp_extract_all(body, F.lit(group), F.lit(0)).alias("found"), F.split(body, group, -1).alias("between"))
+
+    def pieces(c: Column) -> Column:
+        after = F.slice(c["between"], F.lit(2), F.size(c["found"]))
+        return F.struct(F.zip_with(c["found"], after, lambda m, rest: F.concat(m, rest)).alias("pieces"), text.count_breaks(F.get(c["between"], F.lit(0))).cast("long").alias("first"))
+
+    def numbered(c: Column) -> Column:
+        above = sums_before(F.transform(c["pieces"], lambda p: text.count_breaks(p).cast("long")))
+        return F.zip_with(c["pieces"], above, lambda p, n: F.struct(p.alias("piece"), (c["first"] + n + 1).cast("int").alias("lineno")))
+
+    return _once(_once(cut, pieces), numbered)
 
 
 def sources(files: DataFrame) -> DataFrame:
     return files.where(paths.extension("path").isin(*CXX_EXTS)).select("repo", "path", "content")
 
 
-def file_facts(files: DataFrame) -> DataFrame:
-    """Per file, line counts, number of defines and the first line of the leading comment."""
+def _last_part(name: Column) -> Column:
+    return F.element_at(F.split(name, "::"), -1)
+
+
+def _class_of(m: Column) -> Column:
+    piece, lineno = m["piece"], m["lineno"]
+    bases = F.transform(
+        F.split(F.regexp_extract(piece, CLASS, 3), ","),
+        lambda b: _last_part(F.split(text.strip(F.regexp_replace(b, r"\b(?:public|protected|private|virtual)\b", "")), "<")[0]),
+    )
+
+    def method(f: Column) -> Column:
+        name = _last_part(F.regexp_extract(f, FUNCTION, 2))
+        signature = F.concat(name, F.lit("("), text.strip(F.regexp_extract(f, FUNCTION, 3)), F.lit(")"))
+        return F.struct(name.alias("name"), signature.alias("signature"), f.contains("= 0").alias("abstract"), (lineno + text.count_breaks(f)).cast("int").alias("lineno"))
+
+    return F.struct(
+        F.regexp_extract(piece, CLASS, 2).alias("name"), F.regexp_extract(piece, CLASS, 1).alias("kind"),
+        F.filter(F.transform(bases, text.strip), lambda b: b != "").alias("bases"), lineno.alias("lineno"),
+        F.transform(F.regexp_extract_all(piece, F.lit(FUNCTION), F.lit(0)), method).alias("methods"),
+    )
+
+
+def _function_of(m: Column) -> Column:
+    name = _last_part(F.regexp_extract(m["piece"], FUNCTION, 2))
+    head = F.split(F.regexp_extract(m["piece"], FUNCTION, 0), r"\{")[0]
+    return F.struct(name.alias("name"), text.strip(head).alias("signature"), m["lineno"].alias("lineno"), (~name.startswith("_")).alias("public"))
+
+
+def extract(files: DataFrame) -> DataFrame:
+    """One row per C-family file with all its facts, from one reading of its text; nothing is moved.
+
+    ``includes``, ``classes`` (their ``methods`` in them; the body of a class ends where the next one starts) and ``functions``
+    are arrays; a consumer that wants one of them reads no other.
+    """
     content = F.col("content")
     block = F.regexp_extract(content, r"(?s)\A\s*/\*\*?(.*?)\*/", 1)
     lines = F.filter(
@@ -68,20 +110,32 @@ def file_facts(files: DataFrame) -> DataFrame:
     slash = text.strip(F.regexp_extract(content, r"(?m)^\s*//\s*(.+)$", 1))
     has_block = F.rlike(content, F.lit(r"(?s)\A\s*/\*\*?.*?\*/"))
     doc = F.when(has_block, F.get(lines, F.lit(0))).when(slash != "", slash)
-    return sources(files).select(
+    included = F.transform(
+        F.regexp_extract_all("content", F.lit(INCLUDE), F.lit(0)),
+        lambda m: F.struct(text.strip(F.regexp_extract(m, INCLUDE, 2)).alias("target"), (F.regexp_extract(m, INCLUDE, 1) == "<").alias("system")),
+    )
+    clean = sources(files).withColumn("clean", blank_comments("content"))
+    functions_ = F.filter(F.transform(_located("clean", FUNCTION), _function_of), lambda f: ~f["name"].isin(*NOT_FUNCTIONS))
+    return clean.select(
         "repo", "path", text.total_lines(content).alias("loc_total"), text.code_lines(content).alias("loc_code"),
-        F.regexp_count(content, F.lit(DEFINE)).alias("defines"), doc.alias("docstring"),
+        F.regexp_count(content, F.lit(DEFINE)).alias("defines"), doc.alias("docstring"), included.alias("includes"),
+        F.transform(_located("clean", CLASS), _class_of).alias("classes"), functions_.alias("functions"),
     )
 
 
-def includes(files: DataFrame) -> DataFrame:
+def _facts(df: DataFrame) -> DataFrame:
+    """``df`` is either files with their content or what ``extract`` made of them."""
+    return extract(df) if "content" in df.columns else df
+
+
+def file_facts(df: DataFrame) -> DataFrame:
+    """Per file, line counts, number of defines and the first line of the leading comment."""
+    return _facts(df).select("repo", "path", "loc_total", "loc_code", "defines", "docstring")
+
+
+def includes(df: DataFrame) -> DataFrame:
     """Include directives in order; ``system`` for the angle-bracket form."""
-    found = F.regexp_extract_all("content", F.lit(INCLUDE), F.lit(0))
-    rows = sources(files).select("repo", "path", F.posexplode(found).alias("seq", "m"))
-    return rows.select(
-        "repo", "path", "seq", text.strip(F.regexp_extract("m", INCLUDE, 2)).alias("target"),
-        (F.regexp_extract("m", INCLUDE, 1) == "<").alias("system"),
-    )
+    return _facts(df).select("repo", "path", F.posexplode("includes").alias("seq", "m")).select("repo", "path", "seq", "m.target", "m.system")
 
 
 def include_modules(incs: DataFrame) -> DataFrame:
@@ -90,41 +144,18 @@ def include_modules(incs: DataFrame) -> DataFrame:
     return incs.where(~F.col("system")).select("repo", "path", name.alias("module")).where("module <> ''")
 
 
-def classes(files: DataFrame) -> DataFrame:
-    """Classes and structs; the body of one ends where the next one starts."""
-    clean = sources(files).select("repo", "path", blank_comments("content").alias("clean"))
-    bases = F.split(F.regexp_extract("piece", CLASS, 3), ",")
-    named = F.transform(
-        bases,
-        lambda b: F.element_at(
-            F.split(F.split(text.strip(F.regexp_replace(b, r"\b(?:public|protected|private|virtual)\b", "")), "<")[0], "::"), -1
-        ),
-    )
-    return _matches(clean, "clean", CLASS).select(
-        "repo", "path", F.regexp_extract("piece", CLASS, 2).alias("name"), F.regexp_extract("piece", CLASS, 1).alias("kind"),
-        F.filter(F.transform(named, text.strip), lambda b: b != "").alias("bases"), "lineno", F.col("piece").alias("body"),
-    )
+def classes(df: DataFrame) -> DataFrame:
+    """Classes and structs."""
+    return _facts(df).select("repo", "path", F.explode("classes").alias("c")).select("repo", "path", "c.name", "c.kind", "c.bases", "c.lineno")
 
 
-def methods(class_rows: DataFrame) -> DataFrame:
-    """Function definitions inside a class body."""
-    found = F.regexp_extract_all("body", F.lit(FUNCTION), F.lit(0))
-    rows = class_rows.select("repo", "path", F.col("name").alias("class_name"), "lineno", F.explode(found).alias("m"))
-    name = F.element_at(F.split(F.regexp_extract("m", FUNCTION, 2), "::"), -1)
-    signature = F.concat(name, F.lit("("), text.strip(F.regexp_extract("m", FUNCTION, 3)), F.lit(")"))
-    return rows.select(
-        "repo", "path", "class_name", name.alias("name"), signature.alias("signature"),
-        (F.col("lineno") + text.count_breaks("m")).cast("int").alias("lineno"),
-    )
+def methods(df: DataFrame) -> DataFrame:
+    """Function definitions inside a class body; ``abstract`` as they say ``= 0``."""
+    rows = _facts(df).select("repo", "path", F.explode("classes").alias("c"))
+    listed = rows.select("repo", "path", F.col("c.name").alias("class_name"), F.col("c.lineno").alias("class_line"), F.posexplode("c.methods").alias("seq", "m"))
+    return listed.select("repo", "path", "class_name", "class_line", "seq", "m.name", "m.signature", "m.abstract", "m.lineno")
 
 
-def functions(files: DataFrame) -> DataFrame:
+def functions(df: DataFrame) -> DataFrame:
     """Function definitions that start at the left margin."""
-    clean = sources(files).select("repo", "path", blank_comments("content").alias("clean"))
-    name = F.element_at(F.split(F.regexp_extract("piece", FUNCTION, 2), "::"), -1)
-    head = F.split(F.regexp_extract("piece", FUNCTION, 0), r"\{")[0]
-    rows = _matches(clean, "clean", FUNCTION).select(
-        "repo", "path", name.alias("name"), text.strip(head).alias("signature"), "lineno",
-        (~name.startswith("_")).alias("public"),
-    )
-    return rows.where(~F.col("name").isin(*NOT_FUNCTIONS))
+    return _facts(df).select("repo", "path", F.explode("functions").alias("f")).select("repo", "path", "f.name", "f.signature", "f.lineno", "f.public")

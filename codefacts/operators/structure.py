@@ -13,6 +13,7 @@ from codefacts.operators import cxx
 from codefacts.operators import facts as fx
 from codefacts.operators.overview import in_scope
 from codefacts.profile import CXX_EXTS, PY_EXTS, Profile
+from codefacts.session import materialize
 from codefacts.sources import manifests as mf
 
 
@@ -27,6 +28,8 @@ class FactTables:
     imports: DataFrame
     routes: DataFrame
     blueprints: DataFrame
+    includes: DataFrame
+    c_files: DataFrame
 
 
 def fact_tables(files: DataFrame, py_facts: DataFrame, profile: Profile = Profile()) -> FactTables:
@@ -36,19 +39,22 @@ def fact_tables(files: DataFrame, py_facts: DataFrame, profile: Profile = Profil
     py_files = py_facts.select(
         "repo", "path", "loc_total", "loc_code", text.first_line("doc").alias("docstring"), F.col("doc").alias("doc_full"), F.size(based).alias("base_classes")
     )
-    c_files = cxx.file_facts(scoped).drop("defines").withColumn("doc_full", F.lit(None).cast("string")).withColumn("base_classes", F.lit(0))
-    c_classes = cxx.classes(scoped)
+    c_facts = materialize(cxx.extract(scoped))  # one reading of every C text, however many tables take from it
+    c_files = cxx.file_facts(c_facts).drop("defines").withColumn("doc_full", F.lit(None).cast("string")).withColumn("base_classes", F.lit(0))
+    c_classes = cxx.classes(c_facts)
     classes = fx.classes(py_facts, profile.base_class).unionByName(
         c_classes.select("repo", "path", "name", "bases", F.lit(None).cast("string").alias("docstring"), F.lit(False).alias("inherits_base"), "lineno")
     )
     return FactTables(
         files=py_files.unionByName(c_files),
-        functions=fx.functions(py_facts).unionByName(cxx.functions(scoped), allowMissingColumns=True),
+        functions=fx.functions(py_facts).unionByName(cxx.functions(c_facts), allowMissingColumns=True),
         classes=classes,
-        methods=fx.methods(py_facts),
-        imports=fx.imports(py_facts).unionByName(cxx.include_modules(cxx.includes(scoped)).distinct()),
+        methods=fx.methods(py_facts).unionByName(cxx.methods(c_facts), allowMissingColumns=True),
+        imports=fx.imports(py_facts).unionByName(cxx.include_modules(cxx.includes(c_facts)).distinct()),
         routes=fx.routes(py_facts),
         blueprints=fx.blueprints(py_facts),
+        includes=cxx.includes(c_facts),
+        c_files=c_facts.select("repo", "path"),
     )
 
 

@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from codefacts.operators import cxx
 from codefacts.operators import endpoints as ep
 from codefacts.operators import facts as fx
 from codefacts.operators import gates as gt
@@ -36,9 +35,9 @@ def load_corpus(files: DataFrame, profile: Profile = Profile(), py_facts: DataFr
 
 
 def call_edges(c: Corpus) -> DataFrame:
-    """Symbol edges of the Python files of a corpus."""
+    """Symbol edges of a corpus: calls of the Python files, to symbols of any file."""
     t, facts = c.tables, c.py_facts
-    defs = gr.definitions(fx.classes(facts, c.profile.base_class), t.methods, fx.functions(facts))
+    defs = gr.definitions(t.classes, t.methods, t.functions)
     return gr.symbol_edges(gr.resolve_calls(fx.calls(facts), fx.import_facts(facts), defs, facts.select("repo", "path")))
 
 
@@ -49,7 +48,6 @@ def analyze(c: Corpus, roles: DataFrame | None = None) -> dict[str, DataFrame]:
     computed twice.
     """
     t, profile, files = c.tables, c.profile, c.files
-    scoped = files.where(ov.in_scope("path", profile))
     sizes = ov.file_sizes(files, profile)
     comps = materialize(st.components(files, t, profile))
     names = st.module_dirs(files, profile)
@@ -57,7 +55,7 @@ def analyze(c: Corpus, roles: DataFrame | None = None) -> dict[str, DataFrame]:
     comp_edges = materialize(st.component_edges(comps, comp_imports))
     violations = st.boundary_violations(t.imports, comps, names, profile)
     symbol_edges = materialize(call_edges(c))
-    includes = gr.resolve_includes(cxx.includes(scoped), cxx.sources(scoped).select("repo", "path"))
+    includes = gr.resolve_includes(t.includes, t.c_files)
     file_edges = materialize(gr.file_edges(symbol_edges, includes))
     rule_input = ru.RuleInput(files, c.py_facts, comps, t.routes, comp_edges, violations, sizes, roles, profile)
     findings = materialize(ru.run_rules(files.sparkSession, rule_input))

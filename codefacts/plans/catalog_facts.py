@@ -216,11 +216,10 @@ def c_includes(spark, sf):
     union all select repo, path, 'P' || k || '.size_of_p' || k, 'method', 7 from p""",
 )
 def c_symbols(spark, sf):
-    files = ad.code_corpus(spark, sf)
-    classes = cxx.classes(files)
-    members = cxx.methods(classes).withColumn("name", F.concat_ws(".", "class_name", "name"))
-    rows = classes.select("repo", "path", "name", "kind", "lineno")
-    for df, kind in ((cxx.functions(files), "function"), (members, "method")):
+    facts = materialize(cxx.extract(ad.code_corpus(spark, sf)))
+    members = cxx.methods(facts).withColumn("name", F.concat_ws(".", "class_name", "name"))
+    rows = cxx.classes(facts).select("repo", "path", "name", "kind", "lineno")
+    for df, kind in ((cxx.functions(facts), "function"), (members, "method")):
         rows = rows.unionByName(df.select("repo", "path", "name", F.lit(kind).alias("kind"), "lineno"))
     return rows
 

@@ -136,8 +136,8 @@ def module_descriptions(spark, sf):
 
 @query(
     "module_methods",
-    "D7 C4",
-    DEFS + "select repo, split_part(path, '/', 1) as name, class_name, name as symbol, abstract, path from meth",
+    "D7 C4 C9",
+    DEFS + "select repo, split_part(path, '/', 1) as name, class_name, name as symbol, abstract, path from meth union all select repo, 'lib', 'P' || k, 'size_of_p' || k, false, path from p",
 )
 def module_methods(spark, sf):
     rows = st.module_children(_corpus(spark, sf).tables)["methods"]

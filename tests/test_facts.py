@@ -174,6 +174,25 @@ def test_c_family(make_files):
     assert rows(cxx.include_modules(cxx.includes(files)), "module") == [("b",), ("c",)]
     assert [(r.name, r.kind, r.bases) for r in cxx.classes(files).orderBy("lineno").collect()] == [("Foo", "class", ["Bar", "Baz"]), ("Qux", "struct", [])]
     assert rows(cxx.functions(files), "name", "lineno") == [("bar", 19), ("go", 15)]
+    facts = cxx.extract(files)
+    assert rows(cxx.functions(facts)) == rows(cxx.functions(files)) and rows(cxx.classes(facts)) == rows(cxx.classes(files)) and rows(cxx.includes(facts)) == rows(cxx.includes(files))
+    plan = cxx.includes(facts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "template" not in plan  # who asks for includes does not pay for classes
+
+
+def test_methods_of_c_classes_are_definitions(make_files, spark):
+    """Methods with what they say about themselves; they are definitions that a graph has as nodes."""
+    from codefacts.operators import graph as gr
+    from codefacts.operators import structure as st
+
+    body = "class A : public B {\nint one(int x = 0) {\n    return x;\n  }\nvoid two() {\n  }\n};\nstruct C {\nint three() const {\n  }\n};\n"
+    files = make_files({"lib/a.hpp": body, "lib/e.h": "", "m.py": "from lib import one\ndef f():\n    one()\n"})
+    got = rows(cxx.methods(files), "class_name", "name", "signature", "abstract", "class_line", "lineno")
+    assert [r[:5] for r in got] == [("A", "one", "one(int x = 0)", True, 1), ("A", "two", "two()", False, 1), ("C", "three", "three()", False, 8)]
+    t = st.fact_tables(files, fx.extract_facts(files))
+    assert rows(t.methods, "class_name", "name") == [("A", "one"), ("A", "two"), ("C", "three")]
+    defs = gr.definitions(t.classes, t.methods, t.functions)
+    assert {("A", "class"), ("A.one", "method"), ("C.three", "method"), ("f", "function")} <= {(r.symbol, r.kind) for r in defs.collect()}
 
 
 def test_comment_blanking_keeps_lines(spark):
