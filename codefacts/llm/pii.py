@@ -1,7 +1,8 @@
 """Personal data by patterns and by bootstrapped contexts, in DataFrame functions only.
 
 Base matches of four kinds (email, ip, card, phone) are taken from every whole text, with their places. They are the seed
-entities: the words around them induce lexical patterns (two words before, one before and one after, or one before),
+entities, and so are secrets that cannot be taken for anything else (hexadecimal digests), which are no base matches and are
+reported only where a pattern finds them. The words around seeds induce lexical patterns (two words before, one before and one after, or one before),
 without case, punctuation around words and values of digits. Patterns and
 the tokens they surround form a graph that is scored in rounds: a pattern is trusted for a kind by the share of its
 tokens that are believed to be of that kind, a token is believed by the patterns that surround it. Patterns that end up
@@ -35,8 +36,10 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 # End of fixed values.
 #: a token that may be an identifier: it has a digit or an @
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: kinds beyond the base: what a token must be to be a seed of it
+SEEDS = {"secret": r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"}
 #: what a discovered token must look like
-LOOKS = {"email": r"^\S+@\S+$", "ip": r"^\S*[0-9]+\.[0-9]+\.\S*$", "card": r"^(?:\D*[0-9]){12}", "phone": r"^(?:\D*[0-9]){7}"}
+LOOKS = {"secret": r"^[A-Za-z0-9+/=_.~-]{16,}$", "email": r"^\S+@\S+$", "ip": r"^\S*[0-9]+\.[0-9]+\.\S*$", "card": r"^(?:\D*[0-9]){12}", "phone": r"^(?:\D*[0-9]){7}"}
 #: characters before and after a token in which its words are looked for first; longer words are then read whole
 NEAR = 64
 #: seeds that a pattern needs; share from which it is trusted
@@ -133,8 +136,19 @@ def _contexts(m: Column) -> Column:
     )
 
 
+def _seed_kind(value: Column) -> Column:
+    """The kind beyond the base that a token is a seed of, else null."""
+    out = F.lit(None).cast("string")
+    for kind, pattern in SEEDS.items():
+        out = F.when(F.regexp_like(value, F.lit(pattern)), kind).otherwise(out)
+    return out
+
+
 def _with_candidates(df: DataFrame) -> DataFrame:
-    """Adds ``tokens`` (start, end, value, patterns) that no base match touches, and ``seeds`` (kind, value, patterns)."""
+    """Adds ``tokens`` (start, end, value, patterns, kind) that no base match touches, and ``seeds`` (kind, value, patterns).
+
+    The kind of a token is null unless it is a seed of a kind beyond the base.
+    """
     df = _with_places(df, "text", TOKEN, "tokens_all")
 
     def free(t: Column) -> Column:
@@ -145,7 +159,8 @@ def _with_candidates(df: DataFrame) -> DataFrame:
         return out
 
     tokens = F.transform(
-        F.filter("tokens_all", free), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), _contexts(t).alias("patterns"))
+        F.filter("tokens_all", free),
+        lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), _contexts(t).alias("patterns"), _seed_kind(_bare(t["value"])).alias("kind")),
     )
     seed = lambda k: lambda m: F.struct(F.lit(k).alias("kind"), m["value"].alias("value"), _contexts(m).alias("patterns"))
     seeds = F.concat(*[F.transform(k, seed(k)) for k in KINDS])
@@ -165,7 +180,7 @@ def evidence(docs: DataFrame) -> DataFrame:
 def graph(rows: DataFrame) -> DataFrame:
     """Edges of the pattern-instance graph: pattern, instance, kind (of seeds, else null) and n."""
     seeds = rows.select(F.explode("seeds").alias("e")).select("e.kind", F.lower("e.value").alias("instance"), "e.patterns")
-    others = rows.select(F.explode("tokens").alias("e")).select(F.lit(None).cast("string").alias("kind"), F.lower(_bare(F.col("e.value"))).alias("instance"), "e.patterns")
+    others = rows.select(F.explode("tokens").alias("e")).select("e.kind", F.lower(_bare(F.col("e.value"))).alias("instance"), "e.patterns")
     both = seeds.unionByName(others).filter("instance <> ''")
     return both.select("kind", "instance", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n"))
 
@@ -198,8 +213,8 @@ def trusted_patterns(edges: DataFrame) -> DataFrame:
 
 def _looks(kind: Column, value: Column) -> Column:
     out = F.lit(False)
-    for k in KINDS:
-        out = F.when(kind == k, F.regexp_like(value, F.lit(LOOKS[k]))).otherwise(out)
+    for k, looks in LOOKS.items():
+        out = F.when(kind == k, F.regexp_like(value, F.lit(looks))).otherwise(out)
     return out
 
 
@@ -212,8 +227,8 @@ def discovered(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     tokens = rows.select("row", F.explode("tokens").alias("t"))
     any_look = F.lit(False)
     bare = _bare(F.col("t.value"))
-    for k in KINDS:
-        any_look = any_look | F.regexp_like(bare, F.lit(LOOKS[k]))
+    for looks in LOOKS.values():
+        any_look = any_look | F.regexp_like(bare, F.lit(looks))
     places = tokens.filter(any_look).select("row", "t.start", "t.value", F.posexplode("t.patterns").alias("nth", "pattern"))
     met = salted_join(places, best, ["pattern"], ["row", "start"]).groupBy("row", "start").agg(F.min_by("kind", "nth").alias("kind"), F.first("value").alias("token"))
     inner = _bare(F.col("token"))
@@ -240,10 +255,14 @@ def _listed(kind: str, spans: Column) -> Column:
 
 
 def span_texts(found: DataFrame) -> DataFrame:
-    """doc_id, counts of base matches, ``base`` and ``spans``: kind:start:end by kind and start, joined by commas."""
+    """doc_id, counts of base matches and of discovered ones, ``base`` and ``spans``: kind:start:end by kind and start, joined by commas.
+
+    Kinds beyond the base come after those of the base.
+    """
     base = F.array_join(F.concat(*[_listed(k, F.col(k)) for k in KINDS]), ",")
     span = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))
     of_kind = lambda k: lambda m: m["kind"] == k
     merged = [_listed(k, F.array_sort(F.concat(F.transform(k, span), F.transform(F.filter("found", of_kind(k)), span)))) for k in KINDS]
-    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
+    merged += [_listed(k, F.array_sort(F.transform(F.filter("found", of_kind(k)), span))) for k in SEEDS]
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS] + [F.size("found").cast("long").alias("n_found")]
     return found.select("doc_id", *counts, base.alias("base"), F.array_join(F.concat(*merged), ",").alias("spans"))

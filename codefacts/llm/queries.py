@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op1_pii")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = pii.span_texts(pii.find(table(spark, sf_dir, "documents")))
-    return listed.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+    return listed.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans", "n_found")
 
 
 @query(

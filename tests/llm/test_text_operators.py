@@ -1,6 +1,7 @@
 """Encoding, decontamination, personal data, page texts: against brute force, and on odd rows."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -206,6 +207,54 @@ class TestPii:
         rows = pii.find(docs).filter("doc_id >= 2100").select(F.col("found.kind").alias("kinds")).collect()
         assert len(rows) == 4200 and all(r.kinds == ["phone"] for r in rows)
 
+    def test_secrets_are_discovered_by_their_context(self, spark):
+        """Digests after ``token =`` are seeds; what else stands there is discovered, what stands elsewhere is not."""
+        digest = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+        texts = [f'set token = "{digest(i)}" now' for i in range(8)] + ['my token = "sk_live_9aZ8bY7cX6dW5e" here', f"commit {digest(99)} done", "token = 7", "total: 1234567890abcdefXYZ"]
+        rows = pii.span_texts(pii.find(docs_of(spark, texts))).orderBy("doc_id").collect()
+        assert [r.spans for r in rows[:8]] == ["secret:13:53"] * 8 and [r.spans for r in rows[8:]] == ["secret:12:34", "", "", ""]
+        assert all(r.n_found == (r.spans != "") and r.base == "" for r in rows)
+
+    def test_scoring_like_a_loop(self, spark):
+        """Trust of patterns and belief of instances, computed from the edges by hand until the trusted set repeats."""
+        rng = random.Random(12)
+        edges = {(f"p{rng.randrange(14)}", f"i{rng.randrange(60)}") for _ in range(260)}
+        seeds = {f"i{k}": ("phone" if k % 3 else "email") for k in range(36)}
+        kinds = {(p, i): (seeds[i] if i in seeds and rng.random() < 0.95 else None) for p, i in edges}
+        belief = {(p, i, k): 1.0 if k else 0.0 for (p, i), k in kinds.items()}
+        seen, trusted = [], {}
+        while True:
+            trusted = {}
+            for p in {p for p, _, _ in belief}:
+                instances = {i for q, i, _ in belief if q == p}
+                for kind in ("phone", "email"):
+                    own = [(i, b) for (q, i, k), b in belief.items() if q == p and k == kind and b > 0]
+                    if len({i for i, _ in own}) >= pii.SUPPORT and sum(b for _, b in own) / len(instances) >= 0.35:
+                        trusted[p, kind] = sum(b for _, b in own) / len(instances)
+            if not trusted or set(trusted) in seen:
+                break
+            seen.append(set(trusted))
+            belief = {(p, i, k): 1.0 for (p, i), k in kinds.items() if k}
+            for (p, i), k in kinds.items():
+                if k is None:
+                    near = {}
+                    for (q, j), kk in kinds.items():
+                        if j == i and kk is None:
+                            for kind in ("phone", "email"):
+                                if (q, kind) in trusted:
+                                    near.setdefault(kind, []).append(trusted[q, kind])
+                    for kind, ts in near.items():
+                        belief[p, i, kind] = 1 - math.prod(max(1e-9, 1 - t) for t in ts)
+                    if not near:
+                        belief[p, i, None] = 0.0
+        old, pii.TRUST = pii.TRUST, 0.35
+        try:
+            table = spark.createDataFrame([(p, i, k, 1) for (p, i), k in kinds.items()], "pattern string, instance string, kind string, n long")
+            got = {(r.pattern, r.kind): r.trust for r in pii.trusted_patterns(table).collect()}
+        finally:
+            pii.TRUST = old
+        assert got.keys() == trusted.keys() and len(got) >= 3 and all(abs(got[k] - trusted[k]) < 1e-9 for k in got)
+
     def test_contexts_are_general(self, spark):
         texts = [f"{w} {n}: +1 415 {5551000 + n} {w}" for n, w in enumerate(["Ring", "ring,", "(RING", "ring", "ring!", "ring;"])] + ["ring 77 555-12345 now"]
         rows = pii.span_texts(pii.find(docs_of(spark, texts))).orderBy("doc_id").collect()
