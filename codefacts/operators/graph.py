@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from codefacts.functions import paths
 from codefacts.functions.ranking import top_k
-from codefacts.functions.skew import salted_join
+from codefacts.functions.skew import counted_join, salted_join
 from codefacts.operators.contraction import spread  # noqa: F401 - part of this module's interface
 from codefacts.operators.cycles import cycles, strong_components  # noqa: F401 - likewise
-from codefacts.session import cut_lineage, grow
+from codefacts.session import cut_lineage, grow, materialize
 
 
 # ------------------------------------------------------------------ name binding
@@ -75,7 +75,7 @@ def resolve_calls(calls: DataFrame, import_facts: DataFrame, defs: DataFrame, fi
         (F.size(segs) == 1).alias("bare"),
     )
     binds = bindings(import_facts).withColumnRenamed("target", "source")
-    named = targets.join(binds, ["repo", "path", "bind"], "left")
+    named = materialize(targets.join(binds, ["repo", "path", "bind"], "left"))
     key = ["repo", "path", "target"]
 
     # A: module prefixes, longest first, that exist and define the target
@@ -90,21 +90,19 @@ def resolve_calls(calls: DataFrame, import_facts: DataFrame, defs: DataFrame, fi
     by_self = local.join(defs.select("repo", "path", "symbol").distinct(), ["repo", "path", "symbol"]).select(*key).distinct()
     by_self = by_self.withColumn("b_file", F.col("path"))
 
-    # unique definitions, looked up by last name and by the last two names
-    few = _few_files(defs)
-    by_last = few.select("repo", F.col("symbol").alias("last"), F.col("files").alias("last_files"), F.lit(True).alias("last_known"))
-    by_two = few.select("repo", F.col("symbol").alias("dotted"), F.col("files").alias("two_files"), F.lit(True).alias("two_known"))
-    found = named.join(by_import, key, "left").join(by_self, key, "left")
-    # a common name such as a built-in may be the target of a third of all calls
-    found = salted_join(found, by_last, ["repo", "last"], ["path", "target"], "left")
-    found = salted_join(found, by_two, ["repo", "dotted"], ["path", "target"], "left")
-    none = F.array().cast("array<string>")
-    too_many = (F.col("last_known") & F.col("last_files").isNull()) | (F.col("two_known") & F.col("two_files").isNull())
-    pool = F.array_union(F.coalesce("last_files", none), F.coalesce("two_files", none))
-    others = F.array_except(pool, F.array("path"))
-    unique_other = F.when(~F.coalesce(too_many, F.lit(False)) & (F.size(others) == 1), others[0])
-    unique_bare = F.when(F.col("bare") & (F.size(F.coalesce("last_files", none)) == 1), F.get("last_files", F.lit(0)))
-    dest = F.when(F.col("source").isNotNull(), F.coalesce("a_file", unique_other)).otherwise(F.coalesce("b_file", unique_bare))
+    # unique definitions of the last name and of the last two: one join by symbol; a common name may be the target of a third of all calls
+    few = _few_files(defs).withColumn("known", F.lit(True))
+    symbols = named.select(*key, "last", "bare", F.col("source").isNotNull().alias("bound"), F.explode(F.array_distinct(F.array("last", "dotted"))).alias("symbol"))
+    met = counted_join(symbols, few, ["repo", "symbol"], ["path", "target"], "left")
+    pooled = met.groupBy(*key).agg(
+        F.bool_or("bare").alias("bare"), F.bool_or("bound").alias("bound"), F.bool_or(F.col("known") & F.col("files").isNull()).alias("too_many"),
+        F.array_distinct(F.flatten(F.collect_list("files"))).alias("pool"), F.max(F.when(F.col("symbol") == F.col("last"), F.col("files"))).alias("last_files"),
+    )
+    found = pooled.join(by_import, key, "left").join(by_self, key, "left")
+    others = F.array_except("pool", F.array("path"))
+    unique_other = F.when(~F.coalesce("too_many", F.lit(False)) & (F.size(others) == 1), others[0])
+    unique_bare = F.when(F.col("bare") & (F.size("last_files") == 1), F.get("last_files", F.lit(0)))
+    dest = F.when(F.col("bound"), F.coalesce("a_file", unique_other)).otherwise(F.coalesce("b_file", unique_bare))
     resolved = found.select(*key, dest.alias("dst_path")).where("dst_path is not null")
     return calls.join(resolved, key).select("repo", "path", "caller", "target", "dst_path")
 

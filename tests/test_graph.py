@@ -3,9 +3,11 @@
 import itertools
 import random
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from codefacts.functions import skew
 from codefacts.operators import contraction as co
 from codefacts.operators import cycles as cy
 from codefacts.operators import divergence as dv
@@ -41,6 +43,19 @@ def test_import_fallback_needs_one_other_file(make_files):
     assert got == [("a.py::f", "b.py::thing")]
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_counted_joins_spread_hot_keys_only(spark, monkeypatch, how):
+    rng = random.Random(7)
+    left = spark.createDataFrame([("hot" if rng.random() < 0.4 else f"k{rng.randrange(30)}", i) for i in range(500)] + [(None, 1)], "k string, i int")
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("k2", 4), ("lone", 5), (None, 6)], "k string, v int")
+    want = rows(left.join(right, ["k"], how))
+    for least in (1000, 100, 1):
+        got = skew.counted_join(left, right, ["k"], ["i"], how, 4, least)
+        assert rows(got) == want, least
+        if least == 100:
+            assert "__salt" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_includes(spark, make_files):
     inc = spark.createDataFrame([("r", "a/a.h", t, s) for t, s in [("b/b.h", False), ("x/y.h", False), ("./x/y.h", False), ("dup.h", False), ("one/dup.h", False), ("vector", True), ("none.h", False)]],
                                 "repo string, path string, target string, system boolean")
