@@ -339,7 +339,7 @@ def test_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "benchmark"):
         con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     want = con.sql(ORACLES[name])
     got = QUERIES[name](spark, SF)
