@@ -23,10 +23,10 @@ def _trim(edges: DataFrame) -> DataFrame:
         has_in = rest.select("repo", F.col("dst").alias("src")).distinct()
         has_out = rest.select("repo", F.col("src").alias("dst")).distinct()
         kept = materialize(rest.join(has_in, ["repo", "src"], "left_semi").join(has_out, ["repo", "dst"], "left_semi").select(*edges.columns))
-        now = kept.count()
+        rest, now = kept, kept.count()
         if now == left:
             break
-        rest, left = kept, now
+        left = now
     return rest
 
 
@@ -35,7 +35,7 @@ def _colour(edges: DataFrame) -> DataFrame:
     members, rest = None, _trim(edges)
     while not rest.isEmpty():
         start = rest.select("repo", F.explode(F.array("src", "dst")).alias("node")).distinct()
-        labels = materialize(start.select(*_NODE, F.col("node").alias("label"), F.lit(True).alias("new")))
+        labels = start.select(*_NODE, F.col("node").alias("label"), F.lit(True).alias("new"))
         while True:  # the smallest node from which each one is reached
             told = labels.where("new").join(rest.withColumnRenamed("src", "node"), _NODE).groupBy("repo", F.col("dst").alias("node")).agg(F.min("label").alias("told"))
             heard = labels.select(*_NODE, "label").join(told, _NODE, "left")
@@ -57,16 +57,20 @@ def _colour(edges: DataFrame) -> DataFrame:
             reached = materialize(reached) if round_ % 16 == 0 else reached
         members = reached if members is None else members.unionByName(reached)
         out = inner.join(reached.select("repo", F.col("node").alias("src")), ["repo", "src"], "left_anti")
-        rest = _trim(materialize(out.join(reached.select("repo", F.col("node").alias("dst")), ["repo", "dst"], "left_anti").select("repo", "src", "dst")))
+        rest = _trim(out.join(reached.select("repo", F.col("node").alias("dst")), ["repo", "dst"], "left_anti").select("repo", "src", "dst"))
     return edges.select("repo", F.col("src").alias("node"), F.col("src").alias("label")).limit(0) if members is None else members
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """Repo, node and component, the smallest node of the strongly connected component; only components of several nodes."""
-    plain = materialize(edges.where("src <> dst").select("repo", "src", "dst").distinct())
+    return _components(materialize(edges.where("src <> dst").select("repo", "src", "dst").distinct()))
+
+
+def _components(plain: DataFrame) -> DataFrame:
+    """``strong_components`` of edges that are written, distinct and no loops."""
     line, rings = straight(plain)
     short = materialize(contract(plain, line, line.select(*_NODE).unionByName(rings.select(*_NODE))))
-    labels = _colour(materialize(short.where("src <> dst").select("repo", "src", "dst").distinct()))
+    labels = _colour(short.where("src <> dst").select("repo", "src", "dst").distinct())
     # a way that leaves a node and returns to it is a component too
     own = short.where("src = dst").select("repo", F.col("src").alias("node"), F.col("src").alias("label")).distinct()
     labels = materialize(labels.unionByName(own.join(labels.select(*_NODE), _NODE, "left_anti")))
@@ -75,9 +79,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
     inside = short.where("tail is not null").join(of("src"), ["repo", "src"]).join(of("dst"), ["repo", "dst"]).where("src_label = dst_label")
     between = line.join(inside.select("repo", "tail", F.col("src_label").alias("label")), ["repo", "tail"]).select(*_NODE, "label")
     every = labels.unionByName(between).unionByName(rings.select(*_NODE, F.col("low").alias("label")))
-    named = materialize(every)
-    names = named.groupBy("repo", "label").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")
-    return named.join(names, ["repo", "label"]).select(*_NODE, "component")
+    names = every.groupBy("repo", "label").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")
+    return every.join(names, ["repo", "label"]).select(*_NODE, "component")
 
 
 def shortest_cycles(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -95,17 +98,18 @@ def shortest_cycles(edges: DataFrame, members: DataFrame) -> DataFrame:
     way = F.min(F.struct("steps", F.coalesce("tail", "src").alias("last")))
     short = materialize(short.groupBy("repo", "component", "src", "dst").agg(way.alias("w")).select("repo", "component", "src", "dst", "w.steps", "w.last"))
     onward = short.where("dst <> component").select("repo", F.col("src").alias("node"), "dst", "steps", "last")
-    state = frontier = materialize(roots.select(*_NODE, F.lit(0).cast("long").alias("far"), F.lit(None).cast("string").alias("last"), F.lit(None).cast("string").alias("prev")))
+    no_way = [F.lit(None).cast("string").alias(c) for c in ("last", "prev")]
+    state = roots.select(*_NODE, F.lit(0).cast("long").alias("far"), *no_way, F.lit(True).alias("new"))
     while True:
-        told = frontier.select(*_NODE, "far").join(onward, _NODE).groupBy("repo", F.col("dst").alias("node")).agg(
+        told = state.where("new").select(*_NODE, "far").join(onward, _NODE).groupBy("repo", F.col("dst").alias("node")).agg(
             F.min(F.struct((F.col("far") + F.col("steps")).alias("far"), "last", F.col("node").alias("prev"))).alias("t")
         )
         known = state.select(*_NODE, F.struct("far", "last", "prev").alias("s"))
-        better = told.join(known, _NODE, "left").where(F.col("s").isNull() | (F.col("t") < F.col("s")))
-        frontier = materialize(better.select(*_NODE, "t.far", "t.last", "t.prev"))
-        if frontier.isEmpty():
+        both = told.join(known, _NODE, "full_outer")
+        better = F.col("t").isNotNull() & (F.col("s").isNull() | (F.col("t") < F.col("s")))
+        state = materialize(both.select(*_NODE, F.coalesce(better, F.lit(False)).alias("new"), F.when(better, F.col("t")).otherwise(F.col("s")).alias("v")).select(*_NODE, "v.far", "v.last", "v.prev", "new"))
+        if state.where("new").isEmpty():
             break
-        state = materialize(state.join(frontier.select(*_NODE), _NODE, "left_anti").unionByName(frontier))
     ends = short.where("dst = component").join(state.select("repo", F.col("node").alias("src"), "far"), ["repo", "src"])
     last_step = F.min(F.struct((F.col("far") + F.col("steps")).alias("stop"), "last", F.col("src").alias("node"), F.col("far").alias("start")))
     # back along the nodes before, one row for each component and round
@@ -140,7 +144,7 @@ def cycles(edges: DataFrame, self_loops: bool = True) -> DataFrame:
     nodes that are on any cycle are rows of ``strong_components``.
     """
     edges = materialize(edges.select("repo", "src", "dst").distinct())  # whatever made them is not done again
-    members = materialize(strong_components(edges))
+    members = materialize(_components(edges.where("src <> dst")))
     found = edges.select("repo", F.array("src").alias("cycle")).limit(0) if members.isEmpty() else shortest_cycles(edges, members)
     if self_loops:
         found = found.unionByName(edges.where("src = dst").select("repo", F.array("src").alias("cycle")))
