@@ -143,36 +143,58 @@ def read_rules(files: DataFrame, names: tuple[str, ...] = ("audit_rules.json", "
     ).where("coalesce(rule_id, '') <> ''")
 
 
-def read_pair_rules(docs: DataFrame) -> DataFrame:
-    """A10: pairing rules from JSON text in ``content``; a rule without name, assign or use stops the job."""
+def _listed(docs: DataFrame, *keep: str) -> DataFrame:
+    """The members of a JSON array in ``content``, numbered."""
     items = F.try_variant_get(F.try_parse_json("content"), "$", "array<variant>")
-    rows = docs.select(F.posexplode(items).alias("seq", "r"))
+    return docs.select(*keep, F.posexplode(items).alias("seq", "v"))
+
+
+def _field(path: str, kind: str = "string") -> Column:
+    return F.try_variant_get("v", f"$.{path}", kind)
+
 
-    def field(key: str) -> Column:
-        return F.try_variant_get("r", f"$.{key}", "string")
+def _lacking(what: str, *needed: tuple[str, Column]) -> Column:
+    """The first needed value that is null, named; null if all are there."""
+    out = F.lit(None).cast("string")
+    for name, value in reversed(needed):
+        out = F.when(value.isNull(), F.lit(f"{what} lacks {name}")).otherwise(out)
+    return out
 
-    def needed(key: str) -> Column:
-        message = F.concat(F.lit(f"pairing rule lacks {key}: "), F.to_json("r"))
-        return F.coalesce(field(key), F.raise_error(message).cast("string"))
 
+def _pair_rule_reason() -> Column:
+    return _lacking("pairing rule", *[(k, _field(k)) for k in ("name", "assign", "use")])
+
+
+def read_pair_rules(docs: DataFrame) -> DataFrame:
+    """A10: pairing rules from JSON text in ``content``; those without name, assign or use are in ``rejected_pair_rules``."""
+    rows = _listed(docs).where(_pair_rule_reason().isNull())
     return rows.select(
-        "seq", needed("name").alias("name"), needed("assign").alias("assign"), needed("use").alias("use"),
-        F.coalesce(field("escape"), F.lit("")).alias("escape"), F.coalesce(field("desc"), field("name")).alias("desc"),
-        F.coalesce(F.try_variant_get("r", "$.window", "int"), F.lit(40)).alias("window"),
+        "seq", _field("name").alias("name"), _field("assign").alias("assign"), _field("use").alias("use"),
+        F.coalesce(_field("escape"), F.lit("")).alias("escape"), F.coalesce(_field("desc"), _field("name")).alias("desc"),
+        F.coalesce(_field("window", "int"), F.lit(40)).alias("window"),
     )
 
 
-def read_claims(docs: DataFrame) -> DataFrame:
-    """Anchor claims from JSON text; ``contains`` is an accepted spelling of ``must_contain``."""
-    items = F.try_variant_get(F.try_parse_json("content"), "$", "array<variant>")
-    rows = docs.select("repo", F.posexplode(items).alias("seq", "c"))
+def rejected_pair_rules(docs: DataFrame) -> DataFrame:
+    """A10: members that are no pairing rule: seq, reason and their text; one bad rule does not stop the others."""
+    return _listed(docs).withColumn("reason", _pair_rule_reason()).where("reason is not null").select("seq", "reason", F.to_json("v").alias("text"))
 
-    def field(key: str, kind: str = "string") -> Column:
-        return F.try_variant_get("c", f"$.{key}", kind)
 
-    needle = F.coalesce(field("must_contain"), field("contains"))
-    checked = F.coalesce(needle, F.raise_error(F.concat(F.lit("claim without must_contain: "), F.to_json("c"))).cast("string"))
-    return rows.select(
-        "repo", "seq", F.coalesce(field("id"), F.lit("?")).alias("id"), field("file").alias("path"), checked.alias("must_contain"),
-        field("line", "int").alias("line"), F.coalesce(field("note"), F.lit("")).alias("note"),
+def _needle() -> Column:
+    return F.coalesce(_field("must_contain"), _field("contains"))
+
+
+def read_claims(docs: DataFrame) -> DataFrame:
+    """Anchor claims from JSON text; ``contains`` is an accepted spelling of ``must_contain``.
+
+    Claims without either are in ``rejected_claims``.
+    """
+    return _listed(docs, "repo").where(_needle().isNotNull()).select(
+        "repo", "seq", F.coalesce(_field("id"), F.lit("?")).alias("id"), _field("file").alias("path"), _needle().alias("must_contain"),
+        _field("line", "int").alias("line"), F.coalesce(_field("note"), F.lit("")).alias("note"),
     )
+
+
+def rejected_claims(docs: DataFrame) -> DataFrame:
+    """Members that claim nothing: repo, seq, reason and their text."""
+    return _listed(docs, "repo").where(_needle().isNull()).select("repo", "seq", F.lit("claim lacks must_contain").alias("reason"), F.to_json("v").alias("text"))

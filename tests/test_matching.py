@@ -99,12 +99,12 @@ def test_claim_and_rule_sources(spark):
     assert rows(mf.read_claims(docs), "id", "path", "must_contain", "line") == [("?", "y.py", "u", 3), ("a", "x.py", "t", None)]
     pair = spark.createDataFrame([('[{"name": "n", "assign": "a", "use": "u"}]',)], "content string")
     assert rows(mf.read_pair_rules(pair), "name", "escape", "window", "desc") == [("n", "", 40, "n")]
-    bad = spark.createDataFrame([('[{"name": "n", "use": "u"}]',)], "content string")
-    try:
-        mf.read_pair_rules(bad).collect()
-        raise AssertionError("a rule without assign must stop the job")
-    except Exception as e:
-        assert "lacks assign" in str(e)
+    mixed = spark.createDataFrame([('[{"name": "n", "use": "u"}, {"name": "m", "assign": "a", "use": "u", "window": 3}, {"use": "u"}, 7]',), ("no json",), (None,)], "content string")
+    assert rows(mf.read_pair_rules(mixed), "seq", "name", "window") == [(1, "m", 3)]
+    assert rows(mf.rejected_pair_rules(mixed), "seq", "reason") == [(0, "pairing rule lacks assign"), (2, "pairing rule lacks name"), (3, "pairing rule lacks name")]
+    claims = spark.createDataFrame([("r", '[{"id": "a", "file": "x.py"}, {"file": "y.py", "contains": "u"}]')], "repo string, content string")
+    assert rows(mf.read_claims(claims), "seq", "must_contain") == [(1, "u")]
+    assert rows(mf.rejected_claims(claims)) == [("r", 0, "claim lacks must_contain", '{"file":"x.py","id":"a"}')]
 
 
 def test_rules_of_repositories(make_files):
