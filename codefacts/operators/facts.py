@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from codefacts.functions import paths, syntax, text
 from codefacts.profile import APP_LIKE_OWNERS, HTTP_METHODS, PY_EXTS
@@ -20,10 +22,25 @@ from codefacts.schemas import PY_SYNTAX
 MODULE_SCOPE = "@module"
 
 
-def _py_syntax(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Arrow batches of whole texts in, syntax records out; null texts (other languages) pass through as empty."""
-    for series in batches:
-        yield pd.DataFrame([syntax.flatten(t or "") for t in series])
+#: files whose records are Python objects at the same time, whatever the size of a batch
+PARSED_AT_ONCE = 200
+
+
+def _parser():
+    """Arrow batches of whole texts in, syntax records out; null texts (other languages) pass through as empty.
+
+    Not deterministic to the optimizer, which else parses once to find rows with records and again to read them.
+    """
+    kind = T._parse_datatype_string(PY_SYNTAX)
+    records = to_arrow_type(kind)
+
+    def parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            starts = range(0, len(batch), PARSED_AT_ONCE)
+            parts = [pa.array([syntax.flatten(t or "") for t in batch.slice(k, PARSED_AT_ONCE).to_pylist()], records) for k in starts]
+            yield pa.concat_arrays(parts) if parts else pa.array([], records)
+
+    return F.arrow_udf(parse, kind).asNondeterministic()
 
 
 def is_parsed(path: Column | str) -> Column:
@@ -37,7 +54,7 @@ def extract_facts(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     Rows stay in the partition that read them: no shuffle. ``code_hash`` is the content address E19 compares. Columns in
     ``keep`` are passed on.
     """
-    parse = F.pandas_udf(_py_syntax, PY_SYNTAX)
+    parse = _parser()
     sources = files.where(is_parsed("path"))
     return sources.select(
         "repo",

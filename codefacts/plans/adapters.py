@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codefacts.sources.corpus import spread_scan
+from codefacts.sources.corpus import spread_rows, spread_scan
 
 #: language of a document -> extension of the file it stands for
 DOC_EXT = {"en": ".py", "fr": ".js", "de": ".css", "es": ".md"}
@@ -222,7 +222,7 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1: files of all derived repositories."""
-    sup = suppliers(spark, sf_dir)
+    sup = spread_rows(suppliers(spark, sf_dir))
     key = F.col("s_suppkey").cast("string")
     here = F.concat(F.lit("plugins/s"), key)
     admin = F.when(F.col("s_acctbal") < 0, "open").otherwise("admin")
@@ -282,7 +282,7 @@ jobs:
 
 def workflow_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One workflow file per supplier; nations with an odd key use the second platform."""
-    sup = table(spark, sf_dir, "supplier").join(repo_names(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey"))
+    sup = table(spark, sf_dir, "supplier", spread=True).join(repo_names(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey"))
     limit = F.when(F.col("s_acctbal") > 5000, "timeout-minutes: 30").otherwise("runs-on: linux")
     pin = F.when(F.col("s_acctbal") > 2000, F.sha1("s_name")).otherwise("v4")
     run = F.when(F.col("s_acctbal") < 0, "echo ::set-output name=a::b").when(F.col("s_acctbal") > 8000, "set -e").otherwise("npm --registry registry.npmjs.org")

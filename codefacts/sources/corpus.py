@@ -19,6 +19,11 @@ def spread_scan(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def spread_rows(rows: DataFrame) -> DataFrame:
+    """Deal out few narrow rows that a costly stage follows, where the exchange before them was sized by their bytes."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def scan_files(spark: SparkSession, root: str, repo: Column | str | None = None, glob: str | None = None) -> DataFrame:
     """A1, A2: every file below ``root`` as ``(repo, path, content, size, mtime)``, text decoded safely.
 

@@ -225,3 +225,19 @@ def test_one_odd_file_does_not_stop_the_rest(parse):
 def test_exports_are_read_from_the_first_list(parse):
     f = parse("__all__ = ['a', 'b']\nif x:\n    __all__ = ['c']\nother = ['d']\n")
     assert rows(f.select(fx.exported("listed").alias("e"))) == [(["a", "b"],)]
+
+
+def test_files_are_parsed_once(make_files):
+    facts = fx.extract_facts(make_files({"a.py": "def f(): pass\n"}))
+    for made in (fx.functions(facts), fx.rule_calls(facts), fx.failures(facts)):
+        assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_source_as_the_standard_library_prints_it():
+    import ast
+
+    from codefacts.functions.syntax import _source
+
+    for code in ("x", "'it\\'s'", '"a\\n"', "u'k'", "1", "True", "None", "1e999", "2j", "b'x'", "...", "f(x)", "-1", "f'{x}'"):
+        node = ast.parse(code, mode="eval").body
+        assert _source(node) == ast.unparse(node)
