@@ -175,7 +175,7 @@ def project_scopes(spark, sf):
 def stream_freshness(spark, sf):
     """A query that goes on by its interval, is waited for until it has caught up, and stopped."""
     schema = ad.table(spark, sf, "events").schema
-    counts = jobs.read_stream(spark, sf, schema, glob="events.parquet").groupBy(F.col("event_type").alias("repo")).agg(F.count("*").alias("n"))
+    counts = jobs.table_stream(spark, f"{sf.rstrip('/')}/events.parquet", schema).groupBy(F.col("event_type").alias("repo")).agg(F.count("*").alias("n"))
     out = jobs.scratch(spark, "fresh")
     running = jobs.write_changelog(counts, out, jobs.scratch(spark, "ck"))
     try:

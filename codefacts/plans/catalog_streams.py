@@ -18,7 +18,7 @@ d as (select repo, path, day, count(*) as n, sum(added)::bigint as added from e
 
 def _change_stream(spark, sf):
     schema = ad.table(spark, sf, "events").schema
-    ev = jobs.read_stream(spark, sf, schema, glob="events.parquet")
+    ev = jobs.table_stream(spark, f"{sf.rstrip('/')}/events.parquet", schema)
     return ev.select(
         F.col("event_type").alias("repo"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".py")).alias("path"),
         F.col("ts").cast("timestamp").alias("ts"), F.floor("value").cast("int").alias("added"), F.lit(0).alias("deleted"),
@@ -66,7 +66,7 @@ def stream_sliding_churn(spark, sf):
 )
 def stream_rule_hits(spark, sf):
     schema = ad.table(spark, sf, "documents").schema
-    docs = jobs.read_stream(spark, sf, schema, glob="documents.parquet")
+    docs = jobs.table_stream(spark, f"{sf.rstrip('/')}/documents.parquet", schema)
     files = docs.select(F.col("source").alias("repo"), ad.doc_path().alias("path"), F.col("text").alias("content"))
     out = jobs.scratch(spark, "hits")
     hits = jobs.continuous_rules(files, tuple(r for r in PROSE_RULES if r.rule_id == "KEY"))
@@ -83,7 +83,7 @@ def stream_rule_hits(spark, sf):
 )
 def stream_latest_files(spark, sf):
     schema = ad.table(spark, sf, "lineitem").schema
-    lines = jobs.read_stream(spark, sf, schema, glob="lineitem.parquet")
+    lines = jobs.table_stream(spark, f"{sf.rstrip('/')}/lineitem.parquet", schema)
     versions = lines.select(
         F.col("l_returnflag").alias("repo"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("path"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("version"), (F.col("l_discount") > 0.09).alias("deleted"),
@@ -101,7 +101,7 @@ def stream_latest_files(spark, sf):
 def stream_python_facts(spark, sf):
     """Documents as file versions in upload order; contents that repeat for a path are parsed once."""
     schema = ad.table(spark, sf, "documents").schema
-    docs = jobs.read_stream(spark, sf, schema, glob="documents.parquet")
+    docs = jobs.table_stream(spark, f"{sf.rstrip('/')}/documents.parquet", schema)
     files = docs.select(
         F.col("source").alias("repo"), F.concat(F.lit("en/doc_"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"),
         F.col("text").alias("content"), F.timestamp_seconds(F.col("doc_id") + 86400).alias("ts"),

@@ -31,6 +31,15 @@ def read_stream(spark: SparkSession, path: str, schema, glob: str | None = None,
     return reader.parquet(path)
 
 
+def table_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """One table as a stream, be it a parquet file or a folder of them.
+
+    The last letter is written as a pattern: a plain path is taken as the base folder of partitions, which a file cannot be.
+    """
+    path = path.rstrip("/")
+    return read_stream(spark, f"{path[:-1]}[{path[-1]}]", schema)
+
+
 def start(writer, checkpoint: str, available_now: bool = False, freshness: str = FRESHNESS) -> StreamingQuery:
     """K6: run continuously with the freshness interval, or once over what is there."""
     trigger = {"availableNow": True} if available_now else {"processingTime": freshness}
@@ -155,7 +164,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 FACT_KEYS = ["repo", "path", "code_hash"]
 #: folders of a run of facts, by hash of the file; bytes of keys of a batch that are sent to every task
-FACT_BUCKETS, SENT = 16, 64 << 20
+FACT_BUCKETS, SENT = 16, 16 << 20
 
 
 def _same(left: str, right: str) -> Column:
@@ -207,7 +216,7 @@ def extract_continuously(files: DataFrame, path: str, checkpoint: str, available
                 touched = [r.bucket for r in wanted.select("bucket").distinct().collect()]  # FACT_BUCKETS numbers at most
                 keys = stored.where(F.col("bucket").isin(touched))
                 known = materialize(_prefixed(keys, "old_").join(_sent(_prefixed(wanted, "new_")), _same("old_", "new_"), "left_semi"))
-                wanted = wanted.join(known, _same("", "old_"), "left_anti")
+                wanted = wanted.join(_sent(known), _same("", "old_"), "left_anti")
             wanted = materialize(wanted)
             new = keyed.where(~deleted).join(_sent(_prefixed(wanted, "new_")), _same("", "new_"), "left_semi")
             # a content that a batch holds several times is parsed where it lies, and its facts are dealt out instead
@@ -218,9 +227,12 @@ def extract_continuously(files: DataFrame, path: str, checkpoint: str, available
 
 
 def _sent(keys: DataFrame) -> DataFrame:
-    """Keys that are sent to every task, if they are small enough; else the join deals them out."""
+    """Keys that are sent to every task, if they are small enough; else the join deals them out.
+
+    That is said by a hint: of tables that pack well, or whose other columns are wide, sizes are guessed far too small.
+    """
     size = keys.agg(F.sum(sum((F.octet_length(F.coalesce(c, F.lit(""))) for c in keys.columns), F.lit(48)))).first()[0] or 0
-    return F.broadcast(keys) if size <= SENT else keys
+    return F.broadcast(keys) if size <= SENT else keys.hint("merge")
 
 
 def _all_versions(spark: SparkSession, path: str) -> DataFrame:
@@ -232,7 +244,7 @@ def _all_versions(spark: SparkSession, path: str) -> DataFrame:
 
 def _with_facts(spark: SparkSession, path: str, versions: DataFrame) -> DataFrame:
     facts = fact_runs(spark, path).read().drop("bucket").withColumnsRenamed({k: f"f_{k}" for k in FACT_KEYS})
-    return versions.join(facts, _same("", "f_")).drop(*[f"f_{k}" for k in FACT_KEYS])
+    return versions.join(facts.hint("merge"), _same("", "f_")).drop(*[f"f_{k}" for k in FACT_KEYS])
 
 
 def read_versions(spark: SparkSession, path: str) -> DataFrame:
@@ -262,7 +274,7 @@ def evict(spark: SparkSession, path: str) -> None:
     cannot bring a file back. A content that comes again is parsed again.
     """
     current = materialize(_current(spark, path))
-    live = _prefixed(current, "live_")
+    live = _sent(_prefixed(current, "live_"))
     fact_runs(spark, path).rewrite(lambda rows: rows.join(live, _same("", "live_"), "left_semi"))
     last = lambda rows: rows.groupBy("repo", "path").agg(F.max(F.struct("ts", "deleted", "code_hash")).alias("v"))
     version_runs(spark, path).rewrite(lambda rows: last(rows).select("repo", "path", "v.code_hash", "v.ts", "v.deleted"))

@@ -1,6 +1,7 @@
 """Streaming against batch: late rows, replays, rewrites, deletions, new contents."""
 
 import datetime as dt
+import tempfile
 
 from conftest import rows
 from pyspark.sql import functions as F
@@ -212,3 +213,19 @@ def test_many_batches_leave_few_folders(spark, tmp_path):
     assert levels.covers(199) and not levels.covers(200)
     levels.rewrite(lambda df: df.where("k <> 1"))
     assert len(levels.runs()) == 1 and {r.k for r in levels.read().collect()} == {0, 2} and levels.covers(199)
+
+
+def test_a_table_of_one_file_or_a_folder_of_them_is_a_stream(spark, tmp_path):
+    spark.range(5).repartition(2).write.parquet(str(tmp_path / "t.parquet"))
+    part = next((tmp_path / "t.parquet").glob("part-*.parquet"))
+    for path, n in ((tmp_path / "t.parquet", 5), (part, spark.read.parquet(str(part)).count())):
+        out = tempfile.mkdtemp(dir=tmp_path)
+        jobs.run_to_table(jobs.table_stream(spark, str(path), "id long"), f"{out}/rows", f"{out}/ck", available_now=True).awaitTermination()
+        assert spark.read.schema("id long").parquet(f"{out}/rows").count() == n
+
+
+def test_many_keys_are_merged_and_not_sent(spark, monkeypatch):
+    monkeypatch.setattr(jobs, "SENT", 0)
+    keys = spark.createDataFrame([("r", "p", "h")], "repo string, path string, code_hash string")
+    joined = keys.join(jobs._sent(jobs._prefixed(keys, "new_")), jobs._same("", "new_"), "left_semi")
+    assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
