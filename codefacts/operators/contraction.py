@@ -3,6 +3,8 @@
 A node with one edge in and one out only passes things on. Pointer doubling finds where each stretch of such nodes ends, so a
 line of n nodes takes about log2(n) rounds, and a walk afterwards has one round for each branching on its way. State is a row
 for each node or edge.
+
+Both sides of these joins have a row for each node, and sizes of aggregates are guessed too small: none is sent through the driver.
 """
 
 from __future__ import annotations
@@ -10,11 +12,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codefacts.session import materialize
+from codefacts.session import materialize as _materialize
 
 _NODE = ["repo", "node"]
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """State of one round; it is joined in the next one, so its size is told as it is."""
+    return _materialize(df, true_size=True)
+
+
 def straight(edges: DataFrame, keep: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes of straight stretches and of rings without a way in or out; ``edges`` are distinct, without loops.
 
@@ -23,13 +30,13 @@ def straight(edges: DataFrame, keep: DataFrame | None = None) -> tuple[DataFrame
     """
     after = edges.groupBy("repo", F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("stop")).where("n = 1")
     before = edges.groupBy("repo", F.col("dst").alias("node")).agg(F.count("*").alias("n")).where("n = 1").select(*_NODE)
-    line = after.join(before, _NODE).select(*_NODE, "stop", F.lit(1).cast("long").alias("steps"), F.col("node").alias("tail"), F.col("node").alias("low"))
+    line = after.join(before.hint("merge"), _NODE).select(*_NODE, "stop", F.lit(1).cast("long").alias("steps"), F.col("node").alias("tail"), F.col("node").alias("low"))
     if keep is not None:
         line = line.join(keep.select(*_NODE), _NODE, "left_anti")
     line = materialize(line.withColumn("open", F.lit(True)))
     while not line.where("open").isEmpty():
         further = line.select("repo", F.col("node").alias("stop"), F.col("stop").alias("s"), F.col("steps").alias("k"), F.col("tail").alias("t"), F.col("low").alias("l"))
-        doubled = line.join(further, ["repo", "stop"], "left")
+        doubled = line.join(further.hint("merge"), ["repo", "stop"], "left")
         line = materialize(
             doubled.select(
                 *_NODE, F.coalesce("s", "stop").alias("stop"), (F.col("steps") + F.coalesce("k", F.lit(0))).alias("steps"), F.coalesce("t", "tail").alias("tail"),

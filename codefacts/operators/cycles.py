@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codefacts.operators.contraction import contract, straight
-from codefacts.session import materialize
+from codefacts.operators.contraction import contract, materialize, straight
 
 _NODE = ["repo", "node"]
 
@@ -146,6 +145,36 @@ def cycles(edges: DataFrame, self_loops: bool = True) -> DataFrame:
     edges = materialize(edges.select("repo", "src", "dst").distinct())  # whatever made them is not done again
     members = materialize(_components(edges.where("src <> dst")))
     found = edges.select("repo", F.array("src").alias("cycle")).limit(0) if members.isEmpty() else shortest_cycles(edges, members)
+    return _described(found, edges, self_loops)
+
+
+def _described(found: DataFrame, edges: DataFrame, self_loops: bool) -> DataFrame:
     if self_loops:
         found = found.unionByName(edges.where("src = dst").select("repo", F.array("src").alias("cycle")))
     return found.select("repo", "cycle", F.size("cycle").alias("length"), F.array_join(F.concat("cycle", F.slice("cycle", 1, 1)), " -> ").alias("chain"))
+
+
+def closing_cycles(edges: DataFrame, self_loops: bool = True) -> DataFrame:
+    """For every edge that leads back to the smallest node of a cycle, the shortest such cycle; of several the first in node order.
+
+    Columns as in ``cycles``, which has one cycle for each component; these are up to one for each edge. Paths grow breadth first from
+    every node through larger nodes of its component, one path for each (start, node), however long: for graphs of few nodes.
+    """
+    edges = materialize(edges.select("repo", "src", "dst").distinct())
+    members = materialize(_components(edges.where("src <> dst")))
+    of = lambda end: members.select("repo", F.col("node").alias(end), F.col("component").alias(f"{end}_c"))
+    inner = edges.where("src <> dst").join(of("src"), ["repo", "src"]).join(of("dst"), ["repo", "dst"]).where("src_c = dst_c")
+    inner = materialize(inner.select("repo", "src", "dst"))
+    pair, round_ = ["repo", "start", "node"], 0
+    seen = frontier = materialize(inner.where("dst > src").select("repo", F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src", "dst").alias("path")))
+    while not frontier.isEmpty():
+        step = frontier.join(inner.withColumnRenamed("src", "node"), _NODE).where("dst > start")
+        grown = step.select("repo", "start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        fresh = grown.join(seen.select(*pair), pair, "left_anti")
+        frontier = materialize(fresh.groupBy(*pair).agg(F.min("path").alias("path")))
+        round_ += 1
+        seen = seen.unionByName(frontier)
+        seen = materialize(seen) if round_ % 16 == 0 else seen
+    back = inner.where("dst < src").select("repo", F.col("dst").alias("start"), F.col("src").alias("node"))
+    found = seen.join(back, pair).select("repo", F.col("path").alias("cycle"))
+    return _described(found, edges, self_loops)

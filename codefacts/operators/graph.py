@@ -9,7 +9,7 @@ from codefacts.functions import paths
 from codefacts.functions.ranking import top_k
 from codefacts.functions.skew import counted_join, salted_join
 from codefacts.operators.contraction import spread  # noqa: F401 - part of this module's interface
-from codefacts.operators.cycles import cycles, strong_components  # noqa: F401 - likewise
+from codefacts.operators.cycles import closing_cycles, cycles, strong_components  # noqa: F401 - likewise
 from codefacts.session import cut_lineage, grow, materialize
 
 
@@ -75,7 +75,7 @@ def resolve_calls(calls: DataFrame, import_facts: DataFrame, defs: DataFrame, fi
         (F.size(segs) == 1).alias("bare"),
     )
     binds = bindings(import_facts).withColumnRenamed("target", "source")
-    named = materialize(targets.join(binds, ["repo", "path", "bind"], "left"))
+    named = materialize(targets.join(binds, ["repo", "path", "bind"], "left"), true_size=True)
     key = ["repo", "path", "target"]
 
     # A: module prefixes, longest first, that exist and define the target
@@ -111,7 +111,8 @@ def resolve_calls(calls: DataFrame, import_facts: DataFrame, defs: DataFrame, fi
 def resolve_includes(includes: DataFrame, file_paths: DataFrame) -> DataFrame:
     """Local includes -> file: the exact path, else the only path that ends with it, else the only equal file name.
 
-    Every path suffix becomes a key, so "ends with" is an equi join. A suffix shared by many files collapses to a count.
+    Every path suffix becomes a key, so "ends with" is an equi join. A suffix shared by many files collapses to a count. All sides
+    grow with the files, and sizes of aggregates are guessed too small, so none is sent through the driver.
     """
     suffixes = file_paths.select("repo", "path", F.explode(paths.path_suffixes("path")).alias("suffix"))
     unique = suffixes.groupBy("repo", "suffix").agg(
@@ -123,11 +124,11 @@ def resolve_includes(includes: DataFrame, file_paths: DataFrame) -> DataFrame:
     wanted = targets.select("repo", "clean").distinct().withColumn("base", paths.basename("clean"))
     exact = unique.select("repo", F.col("suffix").alias("clean"), "n", "hit", "whole")
     named = unique.where("n = 1").select("repo", F.col("suffix").alias("base"), F.col("hit").alias("base_hit"))
-    joined = wanted.join(exact, ["repo", "clean"], "left").join(named, ["repo", "base"], "left")
+    joined = wanted.join(exact.hint("merge"), ["repo", "clean"], "left").join(named.hint("merge"), ["repo", "base"], "left")
     dest = F.when(F.col("whole"), F.col("clean")).when(F.col("n") == 1, F.col("hit")).otherwise(F.col("base_hit"))
     found = joined.select("repo", "clean", dest.alias("dst_path"))
     # one header may be the target of a third of all includes
-    return salted_join(targets, found, ["repo", "clean"], ["path"], "left").select("repo", "path", "target", "dst_path")
+    return salted_join(targets, found.hint("merge"), ["repo", "clean"], ["path"], "left").select("repo", "path", "target", "dst_path")
 
 
 # ------------------------------------------------------------------ rollups
