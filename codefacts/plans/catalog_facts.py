@@ -441,16 +441,16 @@ def event_components(spark, sf):
 @query(
     "event_succession_cycles",
     "I1 G7",
-    _EVENT_COMPONENTS + """, walk as (select eg.repo, src as start, dst as node, [src, dst] as path from eg join own on own.repo = eg.repo and own.node = src and own.component = src where dst <> src
+    _EVENT_GRAPH + """, walk as (select repo, src as start, dst as node, [src, dst] as path from eg where dst > src
       union all select w.repo, start, dst, list_append(path, dst) from walk w join eg on eg.repo = w.repo and eg.src = w.node
-      where dst <> start and not list_contains(path, dst)),
-    closed as (select w.repo, start, path, row_number() over (partition by w.repo, start order by len(path), list_reverse(path)) as r
+      where dst > start and not list_contains(path, dst)),
+    closed as (select w.repo, start, node, path, row_number() over (partition by w.repo, start, node order by len(path), path) as r
       from walk w join eg on eg.repo = w.repo and eg.src = w.node and eg.dst = w.start)
     select repo, len(path) as length, array_to_string(list_append(path, path[1]), ' -> ') as chain from closed where r = 1
     union all select repo, 1, src || ' -> ' || src from eg where src = dst""",
 )
 def event_succession_cycles(spark, sf):
-    return gr.cycles(_event_graph(spark, sf)).select("repo", F.col("length").cast("long").alias("length"), "chain")
+    return gr.closing_cycles(_event_graph(spark, sf)).select("repo", F.col("length").cast("long").alias("length"), "chain")
 
 
 @query(

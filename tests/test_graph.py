@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codefacts.functions import skew
 from codefacts.operators import contraction as co
+from codefacts.operators import cxx
 from codefacts.operators import cycles as cy
 from codefacts.operators import divergence as dv
 from codefacts.operators import facts as fx
@@ -227,3 +228,24 @@ def test_degrees_and_subgraph(spark):
     assert rows(gr.degrees(df), "node", "in_deg", "out_deg", "in_w", "out_w") == [("a", 0, 2, 0, 3), ("b", 1, 1, 2, 5), ("c", 2, 0, 6, 0)]
     assert rows(gr.core_subgraph(df, 2), "src", "dst") == [("a", "b")]
     assert rows(gr.ego_network(df, "b"), "src", "dst", "direction") == [("a", "b", "in"), ("b", "c", "out")]
+
+
+def test_sides_that_grow_with_the_files_are_not_broadcast(make_files):
+    files = make_files({f"lib/p{i}.h": f'#include "p{i + 1}.h"\n' for i in range(4)})
+    text = gr.resolve_includes(cxx.includes(files), files.select("repo", "path"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+
+
+def test_a_cycle_for_each_closing_edge(spark):
+    edges = spark.createDataFrame([("r", *e) for e in ("ab", "ba", "bc", "ca", "cb", "cc", "xy")], "repo string, src string, dst string")
+    assert rows(gr.closing_cycles(edges), "length", "chain") == [(1, "c -> c"), (2, "a -> b -> a"), (2, "b -> c -> b"), (3, "a -> b -> c -> a")]
+    assert gr.closing_cycles(edges.where("src = 'x'")).count() == 0
+
+
+def test_straight_stretches_are_joined_by_merging(spark, monkeypatch):
+    from codefacts.operators import contraction as co
+
+    plans, real = [], co.materialize
+    monkeypatch.setattr(co, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    co.straight(spark.createDataFrame([("r", "a", "b"), ("r", "b", "c"), ("r", "c", "d")], "repo string, src string, dst string"))
+    assert plans and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
