@@ -30,7 +30,7 @@ def import_edges(import_facts: DataFrame, file_paths: DataFrame) -> DataFrame:
         F.posexplode(candidates).alias("pos", "src_path"),
     )
     known = file_paths.select("repo", F.col("path").alias("src_path")).distinct()
-    hits = tried.join(known, ["repo", "src_path"])
+    hits = tried.join(known.hint("merge"), ["repo", "src_path"])
     best = F.min_by(F.struct("src_path", "src_var"), F.struct("o", "pos")).alias("e")
     return hits.groupBy("repo", "path", "var").agg(best).select("repo", "path", "var", "e.*")
 
@@ -44,10 +44,10 @@ def follow(edges: DataFrame, targets: DataFrame) -> DataFrame:
     goals = cut_lineage(targets.select("repo", "path", "var").distinct())
     level = goals.select("repo", "path", "var", F.col("path").alias("hit_path"), F.col("var").alias("hit_var"))
     found = level.withColumn("hops", F.lit(0))
-    open_edges = edges.join(goals, ["repo", "path", "var"], "left_anti")
+    open_edges = edges.join(goals.hint("merge"), ["repo", "path", "var"], "left_anti")
     for hop in count(1):  # ends: a name has one import edge, so nothing is reached twice
         ahead = level.select("repo", F.col("path").alias("src_path"), F.col("var").alias("src_var"), "hit_path", "hit_var")
-        step = open_edges.join(ahead, ["repo", "src_path", "src_var"]).select("repo", "path", "var", "hit_path", "hit_var")
+        step = open_edges.join(ahead.hint("merge"), ["repo", "src_path", "src_var"]).select("repo", "path", "var", "hit_path", "hit_var")
         level = cut_lineage(step)
         if level.isEmpty():
             break
@@ -59,15 +59,15 @@ def registrar_bindings(routes: DataFrame, single_calls: DataFrame, bps: DataFram
     """For routes declared on a parameter of a registrar function, the blueprint passed by the first known call."""
     registrars = routes.where("owner_is_param and registrar is not null").select("repo", "path", F.col("registrar").alias("var"))
     func_follow = follow(edges, registrars).select("repo", "path", F.col("var").alias("f"), "hit_path", "hit_var")
-    sites = single_calls.where(F.instr("f", ".") == 0).join(func_follow, ["repo", "path", "f"])
+    sites = single_calls.where(F.instr("f", ".") == 0).join(func_follow.hint("merge"), ["repo", "path", "f"])
     sites = sites.where((F.col("path") != F.col("hit_path")) | (F.col("f") == F.col("hit_var")))
     given = bp_follow.select("repo", "path", F.col("var").alias("a"), F.col("hit_path").alias("bp_path"), F.col("hit_var").alias("bp_var"))
-    args = sites.join(given, ["repo", "path", "a"])
+    args = sites.join(given.hint("merge"), ["repo", "path", "a"])
     first = F.min_by(F.struct("bp_path", "bp_var"), F.struct("path", "f", "a")).alias("b")
     chosen = args.groupBy("repo", "hit_path", "hit_var").agg(first).select("repo", "hit_path", "hit_var", "b.*")
     info = bps.select("repo", F.col("path").alias("bp_path"), F.col("var").alias("bp_var"), F.col("name").alias("reg_name"),
                       F.col("prefix").alias("reg_prefix"), F.col("prefix_literal").alias("reg_literal"))
-    out = chosen.join(info, ["repo", "bp_path", "bp_var"])
+    out = chosen.join(info.hint("merge"), ["repo", "bp_path", "bp_var"])
     return out.select("repo", F.col("hit_path").alias("path"), F.col("hit_var").alias("registrar"), "reg_name", "reg_prefix", "reg_literal")
 
 
@@ -81,7 +81,8 @@ def resolve_endpoints(routes: DataFrame, bps: DataFrame, single_calls: DataFrame
                       file_paths: DataFrame, profile: Profile = Profile()) -> DataFrame:
     """Routes with ``prefix``, ``endpoint_path``, ``bp_name`` and how they were resolved.
 
-    ``resolution`` is one of blueprint, noprefix, imported, registrar, app, default, nonliteral, unresolved.
+    ``resolution`` is one of blueprint, noprefix, imported, registrar, app, default, nonliteral, unresolved. All sides grow with the
+    files, and facts pack far below the size of their rows, so they are merged and none is sent through the driver.
     """
     last_bp = first_per_group(bps, ["repo", "path", "var"], [F.desc("seq")])
     edges = materialize(import_edges(import_facts, file_paths))
@@ -89,11 +90,11 @@ def resolve_endpoints(routes: DataFrame, bps: DataFrame, single_calls: DataFrame
     regs = registrar_bindings(routes, single_calls, last_bp, edges, bp_follow)
     owners = bp_follow.join(
         last_bp.select("repo", F.col("path").alias("hit_path"), F.col("var").alias("hit_var"), F.col("name").alias("own_name"),
-                       F.col("prefix").alias("own_prefix"), F.col("prefix_literal").alias("own_literal")),
+                       F.col("prefix").alias("own_prefix"), F.col("prefix_literal").alias("own_literal")).hint("merge"),
         ["repo", "hit_path", "hit_var"],
     ).select("repo", "path", F.col("var").alias("bp"), "hit_path", "own_name", "own_prefix", "own_literal")
 
-    rows = routes.join(owners, ["repo", "path", "bp"], "left").join(regs, ["repo", "path", "registrar"], "left")
+    rows = routes.join(owners.hint("merge"), ["repo", "path", "bp"], "left").join(regs.hint("merge"), ["repo", "path", "registrar"], "left")
     by_param = F.col("owner_is_param") & F.col("registrar").isNotNull()
     reg_known, own_known = F.col("reg_literal").isNotNull(), F.col("own_literal").isNotNull()
     how = (

@@ -89,3 +89,12 @@ def test_every_form(resolve):
 def test_default_prefix_of_components(resolve):
     table, _ = resolve(replace(Profile(), default_component_prefix="/c/{identifier}"))
     assert table == {**WANT, "plugins/gift/routes.py": [("default", "/c/gift/list")]}
+
+
+def test_no_side_is_sent_through_the_driver(spark, make_files):
+    """Facts pack far below the size of their rows; a side that grows with the files would be sent whole."""
+    facts = fx.extract_facts(make_files(FILES))
+    rows = ep.resolve_endpoints(fx.routes(facts), fx.blueprints(facts), fx.single_name_calls(facts), fx.import_facts(facts), facts.select("repo", "path"))
+    for df in (rows, ep.import_edges(fx.import_facts(facts), facts.select("repo", "path"))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
