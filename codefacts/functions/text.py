@@ -15,21 +15,22 @@ from codefacts.profile import LINE_COMMENT_PREFIXES
 #: characters that end a line, and the other white space, in Java regex classes
 _BREAKS = r"\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
 _BLANKS = r"\t\x1f \xa0\u1680\u2000-\u200a\u202f\u205f\u3000"
-_SPACE = f"[{_BREAKS}{_BLANKS}]"
+#: the same characters, each by itself
+_SPACES = "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029\t\x1f \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
 LINE_BREAK = f"\\r\\n|[{_BREAKS}]"
 
 
 def strip(col: Column | str) -> Column:
-    """Trim Unicode white space on both sides (SQL ``trim`` only trims blanks)."""
-    return F.regexp_replace(_c(col), f"^{_SPACE}+|{_SPACE}+$", "")
+    """Trim Unicode white space on both sides (SQL ``trim`` by itself only trims blanks); only the ends of the text are looked at."""
+    return F.trim(_c(col), F.lit(_SPACES))
 
 
 def strip_right(col: Column | str) -> Column:
-    return F.regexp_replace(_c(col), f"{_SPACE}+$", "")
+    return F.rtrim(_c(col), F.lit(_SPACES))
 
 
 def indent_width(col: Column | str) -> Column:
-    return F.length(_c(col)) - F.length(F.regexp_replace(_c(col), f"^{_SPACE}+", ""))
+    return F.length(_c(col)) - F.length(F.ltrim(_c(col), F.lit(_SPACES)))
 
 
 def first_line(col: Column | str) -> Column:
@@ -59,10 +60,10 @@ def total_lines(text: Column | str) -> Column:
 
 
 def code_lines(text: Column | str, comment_prefixes: tuple[str, ...] = LINE_COMMENT_PREFIXES) -> Column:
-    """C11: lines that are neither blank nor start with a comment prefix, counted in one regex pass."""
+    """C11: lines that are neither blank nor start with a comment prefix, counted in one regex pass; a match takes its whole line."""
     escaped = "|".join("".join("\\" + ch for ch in prefix) for prefix in comment_prefixes)
     no_comment = f"(?!{escaped})" if escaped else ""
-    pattern = f"(?<![^{_BREAKS}])[{_BLANKS}]*+{no_comment}[^{_BREAKS}{_BLANKS}]"
+    pattern = f"(?<![^{_BREAKS}])[{_BLANKS}]*+{no_comment}[^{_BREAKS}{_BLANKS}][^{_BREAKS}]*+"
     return F.regexp_count(_c(text), F.lit(pattern)).cast("long")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codefacts.session import materialize
 from codefacts.sources.corpus import spread_rows, spread_scan
 
 #: language of a document -> extension of the file it stands for
@@ -263,6 +264,15 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.withColumn("size", F.octet_length("content").cast("long")).withColumn("mtime", F.lit(0).cast("long"))
 
 
+def stored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files, written once for several readers.
+
+    Every kind of file comes from a scan of its own; they are dealt out before they are written, else a reader that parses one
+    kind finds it in a few splits, which grow with the tables.
+    """
+    return materialize(spread_rows(code_corpus(spark, sf_dir)))
+
+
 WORKFLOW_FILE = '''name: ci %1$s
 on: push
 jobs:

@@ -234,7 +234,10 @@ so as (select *, case when file like 'plugins/%' then split_part(file, '/', 2) e
 
 
 def symbols_of(spark, sf):
-    facts = materialize(facts_of(spark, sf))
+    return symbols_in(materialize(facts_of(spark, sf)))
+
+
+def symbols_in(facts):
     return sy.symbol_table(fx.classes(facts), fx.functions(facts), fx.routes(facts))
 
 

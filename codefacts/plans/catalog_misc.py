@@ -14,7 +14,7 @@ from codefacts.operators import overview as ov
 from codefacts.operators import structure as st
 from codefacts.plans import adapters as ad
 from codefacts.plans.analysis import load_corpus
-from codefacts.plans.catalog_facts import CORPUS, DEFS, symbols_of
+from codefacts.plans.catalog_facts import CORPUS, DEFS, symbols_in
 from codefacts.plans.registry import query
 from codefacts.session import materialize
 from codefacts.sources import corpus as sc
@@ -212,7 +212,7 @@ def commit_log_text(spark, sf):
       union all select repo, 'shared/base.py', 19, 3, '', 1, 2, 5, 3, 'misc' from n)""",
 )
 def script_census(spark, sf):
-    c = load_corpus(materialize(ad.code_corpus(spark, sf)))
+    c = load_corpus(ad.stored_corpus(spark, sf))
     registry = spark.createDataFrame([("tool",)], "id string")
     rows = ce.script_census(c.files, c.py_facts, registry)
     return rows.select("repo", "path", "lines", "funcs", F.array_join("nonstd", ",").alias("nonstd"), "v", "quality", "reuse", "cost", "score", "category", "in_registry")
@@ -299,7 +299,7 @@ k as (select n.repo, coalesce(ns, 0) as plugins, coalesce(bad, 0) as plugins_man
 
 
 def _kpis(spark, sf):
-    files = materialize(ad.code_corpus(spark, sf))
+    files = ad.stored_corpus(spark, sf)
     c = load_corpus(files)
     comps, mods = st.components(files, c.tables, c.profile), st.modules(files, c.tables, c.profile)
     violations = st.boundary_violations(c.tables.imports, comps, mods, c.profile)
@@ -333,7 +333,7 @@ def project_summary(spark, sf):
     gone = ad.table(spark, sf, "region").select(
         F.concat(F.lit("region"), F.col("r_regionkey").cast("string")).alias("project"), F.concat(F.lit("gone"), F.col("r_regionkey").cast("string")).alias("repo")
     )
-    files = materialize(ad.code_corpus(spark, sf))
+    files = ad.stored_corpus(spark, sf)
     totals = ov.totals(ov.file_sizes(files)).select("repo", "files", F.col("code").alias("lines_code"))
     return dc.project_summary(nation.unionByName(gone), totals)
 
@@ -360,7 +360,7 @@ def role_distribution(spark, sf):
     union all select repo, 2, '    ' || node from pick union all select distinct repo, 4, '  s' || k || ' --> s' || nx from s""",
 )
 def dependency_diagram(spark, sf):
-    c = load_corpus(materialize(ad.code_corpus(spark, sf)))
+    c = load_corpus(ad.stored_corpus(spark, sf))
     comps, imps = st.components(c.files, c.tables, c.profile), st.component_imports(c.tables.imports, c.profile)
     return dc.dependency_diagram(st.core_usage(imps, c.profile), comps, st.component_edges(comps, imps))
 
@@ -372,7 +372,7 @@ def dependency_diagram(spark, sf):
     from (select repo, 'core' as node from c union select repo, 'shared' from n union select 'parts', 'lib' from p) o""",
 )
 def violation_overlay(spark, sf):
-    c = load_corpus(materialize(ad.code_corpus(spark, sf)))
+    c = load_corpus(ad.stored_corpus(spark, sf))
     comps, mods = st.component_index(c.files, c.profile), st.module_dirs(c.files, c.profile)
     bad = st.boundary_violations(c.tables.imports, comps, mods, c.profile).select("repo", F.col("module").alias("node"))
     return gr.mark_violations(mods.select("repo", F.col("name").alias("node")), "node", bad)
@@ -386,10 +386,10 @@ def violation_overlay(spark, sf):
     union all select repo, path, 15, 'python', null from c union all select repo, 'shared/base.py', 18, 'python', null from n union all select repo, path, 13, 'h', null from p""",
 )
 def mirror_files(spark, sf):
-    files = materialize(ad.code_corpus(spark, sf))
+    files = ad.stored_corpus(spark, sf)
     c = load_corpus(files)
     comps, mods = st.components(files, c.tables, c.profile), st.modules(files, c.tables, c.profile)
-    tables = sinks.mirror_tables(comps, c.tables.routes, symbols_of(spark, sf), ov.file_sizes(files, c.profile), mods)
+    tables = sinks.mirror_tables(comps, c.tables.routes, symbols_in(c.py_facts), ov.file_sizes(files, c.profile), mods)
     return tables["files"]
 
 
@@ -399,10 +399,10 @@ def mirror_files(spark, sf):
     DEFS + "select repo, rule, methods, 's' || k as plugin, path as file, lineno from rt",
 )
 def mirror_routes(spark, sf):
-    files = materialize(ad.code_corpus(spark, sf))
+    files = ad.stored_corpus(spark, sf)
     c = load_corpus(files)
     comps, mods = st.components(files, c.tables, c.profile), st.modules(files, c.tables, c.profile)
-    return sinks.mirror_tables(comps, c.tables.routes, symbols_of(spark, sf), ov.file_sizes(files, c.profile), mods)["routes"]
+    return sinks.mirror_tables(comps, c.tables.routes, symbols_in(c.py_facts), ov.file_sizes(files, c.profile), mods)["routes"]
 
 
 @query(

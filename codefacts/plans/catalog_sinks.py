@@ -25,7 +25,7 @@ _LISTED = CORPUS + """, fl as (select repo, 'plugins/s' || k || '/' || unnest(['
 
 
 def _sizes(spark, sf):
-    return ov.file_sizes(materialize(ad.code_corpus(spark, sf)))
+    return ov.file_sizes(ad.stored_corpus(spark, sf))
 
 
 @query("sections_written", "A20", _LISTED + "select 'two' as snapshot, repo, path, 'kept' as note from fl union all select 'one', repo, path, 'first' from fl")
@@ -53,7 +53,7 @@ def symbol_index_written(spark, sf):
 )
 def snapshot_written(spark, sf):
     """Built from components and modules, stored under a name beside another one, and read back by its name."""
-    c = load_corpus(materialize(ad.code_corpus(spark, sf)))
+    c = load_corpus(ad.stored_corpus(spark, sf))
     built = materialize(df_.build_snapshot(st.components(c.files, c.tables, c.profile), st.modules(c.files, c.tables, c.profile), "now"))
     path = jobs.scratch(spark, "snapshots")
     sinks.save_snapshot(built.where("entity = 'shared'").withColumn("snapshot", F.lit("before")), path)
@@ -160,7 +160,7 @@ def frontend_repos(spark, sf):
 )
 def project_scopes(spark, sf):
     """Regions as projects, nations as members, folders as scopes, and frontends that belong to a region."""
-    files = materialize(ad.code_corpus(spark, sf).unionByName(_frontend_files(spark, sf)))
+    files = materialize(sc.spread_rows(ad.code_corpus(spark, sf).unionByName(_frontend_files(spark, sf))))
     named = ad.table(spark, sf, "nation").select(F.concat(F.lit("region"), F.col("n_regionkey").cast("string")).alias("project"), F.lower(F.translate("n_name", " ", "_")).alias("repo"))
     region = ad.table(spark, sf, "region").select(F.col("r_regionkey").cast("string").alias("k"))
     project = F.concat(F.lit("region"), "k")

@@ -23,7 +23,7 @@ _COMP = """, co as (select repo, 's' || k as dir, 's' || k as identifier, name,
 
 
 def _corpus(spark, sf):
-    return load_corpus(materialize(ad.code_corpus(spark, sf)))
+    return load_corpus(ad.stored_corpus(spark, sf))
 
 
 def _components(c):
@@ -130,7 +130,7 @@ def core_module_import_roots(spark, sf):
 )
 def module_descriptions(spark, sf):
     """A profile that knows ``core``, and a folder that no repository has; all others are found by their files."""
-    c = load_corpus(materialize(ad.code_corpus(spark, sf)), Profile(core_modules={"core": "Customers", "gone": "Nowhere"}))
+    c = load_corpus(ad.stored_corpus(spark, sf), Profile(core_modules={"core": "Customers", "gone": "Nowhere"}))
     return st.modules(c.files, c.tables, c.profile).select("repo", "name", "description", "known")
 
 

@@ -241,3 +241,37 @@ def test_source_as_the_standard_library_prints_it():
     for code in ("x", "'it\\'s'", '"a\\n"', "u'k'", "1", "True", "None", "1e999", "2j", "b'x'", "...", "f(x)", "-1", "f'{x}'"):
         node = ast.parse(code, mode="eval").body
         assert _source(node) == ast.unparse(node)
+
+
+def test_kinds_of_files_are_dealt_out(spark, tmp_path):
+    """Each kind comes from a scan of its own; a reader that parses one kind must not find it in a few files."""
+    from collections import defaultdict
+
+    from pyspark.sql import functions as F
+
+    from codefacts.plans import adapters as ad
+
+    n = spark.range(1, 201)
+    tables = {
+        "nation": "0 as n_nationkey, 'PERU' as n_name", "supplier": "id as s_suppkey, 0 as s_nationkey, 's' as s_name, 1.0 as s_acctbal",
+        "customer": "id as c_custkey, 0 as c_nationkey, 'c' as c_name, 1.0 as c_acctbal", "part": "id as p_partkey, 'p' as p_name, 'Brand#1' as p_brand, 2 as p_size",
+    }
+    for name, columns in tables.items():
+        (n.limit(1) if name == "nation" else n).selectExpr(*columns.split(", ")).write.parquet(f"{tmp_path}/{name}.parquet")
+    seen = defaultdict(set)
+    stored = ad.stored_corpus(spark, str(tmp_path))
+    for r in stored.select(F.input_file_name().alias("f"), F.element_at(F.split("path", "[.]"), -1).alias("kind")).distinct().collect():
+        seen[r.f].add(r.kind)
+    full = [kinds for kinds in seen.values() if {"py", "h"} <= kinds]
+    assert len(seen) > 1 and len(full) == len(seen)
+
+
+def test_signatures_are_those_of_the_unparser():
+    import ast
+
+    from codefacts.functions import syntax
+
+    written = ["a, b=2", "", "a, b=x, c='y'", "a: int, *r, k=1, **o", "a, /, b=-1", "a=(1, 2)", "s=u'x', e=..., n=None, f=1.5, y=b'z'"]
+    for text in written:
+        args = ast.parse(f"def f({text}): pass").body[0].args
+        assert syntax._signature(args) == ast.unparse(args)

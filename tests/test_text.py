@@ -64,3 +64,19 @@ def test_first_line(spark, t):
     got = spark.createDataFrame([(t,)], "t string").select(text.first_line("t")).first()[0]
     stripped = t.strip()
     assert got == (stripped.splitlines()[0].strip() if stripped else None)
+
+
+def test_ends_of_a_text_are_looked_at_without_a_regex(spark):
+    """A pattern that ends in ``$`` is tried at every character; line rules strip every line of every file."""
+    odd = ["\u2003 a b\u3000\x85", "\x1c\x1d", "\u200b kept \u200b", "\u180e", "x" + " " * 50 + "y \r\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string")
+    out = df.select("i", text.strip("t").alias("s"), text.strip_right("t").alias("r"), text.indent_width("t").alias("w"))
+    assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for r in out.collect():
+        t = odd[r.i]
+        assert (r.s, r.r, r.w) == (t.strip(), t.rstrip(), len(t) - len(t.lstrip())), repr(t)
+
+
+def test_a_code_line_is_matched_whole():
+    """Else every character of it is tried as the start of another line."""
+    assert str(text.code_lines("t")).count("]*+") == 2
