@@ -20,6 +20,19 @@ _SPACES = "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029\t\x1f \xa0\u1680" + "".join(
 LINE_BREAK = f"\\r\\n|[{_BREAKS}]"
 
 
+def _all_but(chars: str) -> str:
+    """``[^chars]`` as the ranges in between: Java tests a negated class of several characters some fifteen times as slowly."""
+    gaps, start = [], 0
+    for at in sorted(map(ord, chars)):
+        if start < at:
+            gaps.append(f"\\x{{{start:x}}}-\\x{{{at - 1:x}}}")
+        start = at + 1
+    return f"[{''.join(gaps)}\\x{{{start:x}}}-\\x{{10ffff}}]"
+
+
+_IN_LINE, _INK = _all_but(_SPACES[:10]), _all_but(_SPACES)
+
+
 def strip(col: Column | str) -> Column:
     """Trim Unicode white space on both sides (SQL ``trim`` by itself only trims blanks); only the ends of the text are looked at."""
     return F.trim(_c(col), F.lit(_SPACES))
@@ -63,7 +76,7 @@ def code_lines(text: Column | str, comment_prefixes: tuple[str, ...] = LINE_COMM
     """C11: lines that are neither blank nor start with a comment prefix, counted in one regex pass; a match takes its whole line."""
     escaped = "|".join("".join("\\" + ch for ch in prefix) for prefix in comment_prefixes)
     no_comment = f"(?!{escaped})" if escaped else ""
-    pattern = f"(?<![^{_BREAKS}])[{_BLANKS}]*+{no_comment}[^{_BREAKS}{_BLANKS}][^{_BREAKS}]*+"
+    pattern = f"(?<!{_IN_LINE})[{_BLANKS}]*+{no_comment}{_INK}{_IN_LINE}*+"
     return F.regexp_count(_c(text), F.lit(pattern)).cast("long")
 
 
