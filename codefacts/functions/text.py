@@ -18,6 +18,8 @@ _BLANKS = r"\t\x1f \xa0\u1680\u2000-\u200a\u202f\u205f\u3000"
 #: the same characters, each by itself
 _SPACES = "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029\t\x1f \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
 LINE_BREAK = f"\\r\\n|[{_BREAKS}]"
+#: the same breaks, begun with one class: of two ways to begin, Java tries both at every character
+_ONE_BREAK = r"[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028-\u2029](?:(?<=\r)\n)?"
 
 
 def _all_but(chars: str) -> str:
@@ -55,9 +57,9 @@ def first_line(col: Column | str) -> Column:
 def split_lines(text: Column | str) -> Column:
     """Lines of a text; a break at the end does not open another line, an empty text has none."""
     t = _c(text)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(
-        F.split(F.regexp_replace(t, f"(?:{LINE_BREAK})\\z", ""), LINE_BREAK)
-    )
+    # the last break is found at the end, not by a pattern that is tried at every character
+    ended = F.when(t.endswith("\r\n"), F.left(t, F.length(t) - 2)).when(F.right(t, F.lit(1)).isin(*_SPACES[:10]), F.left(t, F.length(t) - 1)).otherwise(t)
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(ended, _ONE_BREAK))
 
 
 def count_breaks(text: Column | str) -> Column:

@@ -216,18 +216,31 @@ def pair_rule_hits(files: DataFrame, rules: tuple[PairRule, ...] = (RAW_CONNECTI
 
     rows = files.select("repo", "path", text.split_lines("content").alias("raw"))
     rows = rows.select("repo", "path", "raw", *[F.transform("raw", names(r)).alias(f"vars_{k}") for k, r in enumerate(rules)])
-    # only a file with an assignment pays for the line facts; a filter here would be pushed below the split and repeat it
-    facts = [F.when(F.exists(f"vars_{k}", lambda v: v != ""), F.transform("raw", _pair_line(r))).alias(f"lines_{k}") for k, r in enumerate(rules)]
+    # a variable that no line of its window holds has no use; most are left out by that
+    rows = rows.select("repo", "path", "raw", *[_used_ahead(r, F.col(f"vars_{k}")).alias(f"vars_{k}") for k, r in enumerate(rules)])
+    # only a file with such an assignment pays for the line facts; a filter here would be pushed below the split and repeat it
+    facts = [F.when(F.exists(f"vars_{k}", lambda v: v != ""), F.zip_with("raw", F.transform("raw", text.strip), _pair_line(r))).alias(f"lines_{k}") for k, r in enumerate(rules)]
     rows = rows.select("repo", "path", *[f"vars_{k}" for k in range(len(rules))], *facts)
     hits = F.concat(*[_pair_outcomes(r, F.col(f"vars_{k}"), F.col(f"lines_{k}")) for k, r in enumerate(rules)])
     used = rows.select("repo", "path", F.explode(hits).alias("h"))
     return used.select("repo", "path", "h.rule", "h.line_no", F.col("h.body").alias("snippet"))
 
 
+def _used_ahead(rule: PairRule, variables: Column) -> Column:
+    """The variables of all lines, empty where no line of the window holds the variable and a use would have to."""
+    if not _always_holds_variable(rule.use):
+        return variables
+
+    def kept(var: Column, i: Column) -> Column:
+        ahead = F.slice("raw", i + 2, F.lit(rule.window - 1))
+        return F.when((var != "") & F.exists(ahead, lambda x: x.contains(var)), var).otherwise("")
+
+    return F.transform(variables, kept)
+
+
 def _pair_line(rule: PairRule):
-    """What depends on a line alone is worked out once per line, not once per assignment above it."""
-    def facts(raw: Column) -> Column:
-        body = text.strip(raw)
+    """What depends on a line alone is worked out once per line, not once per assignment above it; so is its stripped text."""
+    def facts(raw: Column, body: Column) -> Column:
         goes_on = F.lit(False)
         for word in CONTINUING_BLOCKS:
             goes_on = goes_on | body.startswith(word)

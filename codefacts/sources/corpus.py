@@ -10,13 +10,12 @@ from codefacts.schemas import SCHEMA_VERSION
 
 
 def spread_scan(scan: DataFrame) -> DataFrame:
-    """Spread the rows of a plain scan that has fewer input splits than the cluster has cores.
+    """Deal out the rows of a plain scan to as many partitions as it has splits, at least one for every core.
 
-    A parquet file with one row group is one split, however many cores wait. Parsing and regex stages cost far more than
-    moving their rows once; a scan that already has a split per core is returned as it is.
+    A row group is read by one task, however many splits its file is cut into: the others are empty. Their number does not
+    show it, and parsing and regex stages cost far more than moving their rows once.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(max(scan.rdd.getNumPartitions(), scan.sparkSession.sparkContext.defaultParallelism))
 
 
 def spread_rows(rows: DataFrame) -> DataFrame:

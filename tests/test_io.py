@@ -136,3 +136,19 @@ def test_parse_cache_round_trip(spark, tmp_path, make_files):
     facts = fx.extract_facts(make_files({"a.py": "def f(): pass\n"}))
     facts.write.parquet(str(tmp_path / "facts"))
     assert rows(fx.functions(spark.read.parquet(str(tmp_path / "facts"))), "name") == [("f",)]
+
+
+def test_rows_of_one_row_group_reach_every_core(spark, tmp_path):
+    """A file with one row group is cut into many splits, all but one of them empty."""
+    from codefacts.sources.corpus import spread_scan
+
+    spark.range(0, 100_000, 1, 1).write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        scan = spark.read.parquet(str(tmp_path / "t"))
+        assert scan.rdd.getNumPartitions() > 4 and sum(n > 0 for n in scan.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()) == 1
+        sizes = spread_scan(scan).rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sum(sizes) == 100_000 and min(sizes) > 0

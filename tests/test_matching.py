@@ -74,6 +74,20 @@ def test_pairing_like_a_loop(spark, make_files):
         assert rows(got, "path", "line_no", "snippet") == sorted(want, key=repr)
 
 
+def test_variables_that_are_not_used_ahead_are_left_out(spark):
+    """Line facts and uses are only worked out for a variable that a line of its window holds."""
+    from pyspark.sql import functions as F
+
+    raw = ["a = open()", "b = open()", "", "use(a)", "use(b)", "a"]
+    df = spark.createDataFrame([(raw, ["a", "b", "", "", "", "a"])], "raw array<string>, vars array<string>")
+    rule = mt.PairRule("open", assign=r"(\w) = open", use=r"use\({var}\)", window=3)
+    assert df.select(mt._used_ahead(rule, F.col("vars"))).first()[0] == ["", "", "", "", "", ""]
+    longer = mt.PairRule("open", assign=rule.assign, use=rule.use, window=4)
+    assert df.select(mt._used_ahead(longer, F.col("vars"))).first()[0] == ["a", "b", "", "", "", ""]
+    unsure = mt.PairRule("open", assign=rule.assign, use=r"use\({var}\)|drop", window=3)
+    assert df.select(mt._used_ahead(unsure, F.col("vars"))).first()[0] == ["a", "b", "", "", "", "a"]
+
+
 def test_uses_anywhere_in_their_line(make_files):
     body = "conn = get_raw_connection()\nrow = conn.execute(q)\n\ndef f():\n    db = pool.get_raw_connection()\n    return db.execute(q)\n"
     late = "x = 1; conn = get_raw_connection()\nconn.execute(q)\n"

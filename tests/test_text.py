@@ -81,3 +81,9 @@ def test_a_code_line_is_matched_whole():
     """Else every character of it is tried as the start of another line; negated classes are slow in Java."""
     assert "[^" not in str(text.code_lines("t"))
     assert str(text.code_lines("t")).count("]*+") == 2
+
+
+def test_lines_are_split_by_a_pattern_that_begins_with_one_class():
+    """And the break at the end is looked for at the end: both patterns were tried at every character."""
+    plan = str(text.split_lines("t"))
+    assert "regexp" not in plan and "\\r\\n|" not in plan
