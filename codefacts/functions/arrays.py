@@ -9,26 +9,32 @@ from pyspark.sql import functions as F
 BLOCK = 256
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sums_before(lengths: Column) -> Column:
-    """For an array of numbers: at each place the sum of those before it."""
+    """For an array of numbers: at each place the sum of those before it. The array is worked out once."""
     add = lambda total, x: total + x
     zero = F.lit(0).cast("long")
-    blocks = F.when(F.size(lengths) > 0, F.sequence(F.lit(0), ((F.size(lengths) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
-    block = lambda b: F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))
-    sums = F.transform(blocks, lambda b: F.struct(b.alias("b"), F.aggregate(block(b), zero, add).alias("sum")))
-    running = F.aggregate(
-        sums,
-        F.struct(F.array().cast("array<bigint>").alias("done"), zero.alias("total")),
-        lambda acc, s: F.struct(F.concat(acc["done"], F.array(acc["total"])).alias("done"), (acc["total"] + s["sum"]).alias("total")),
-        lambda acc: acc["done"],
-    )
-    return F.flatten(
-        F.zip_with(
-            blocks,
-            running,
-            lambda b, from_: F.transform(block(b), lambda _, i: from_ + F.aggregate(F.slice(block(b), F.lit(1), i), zero, add)),
+
+    def within(from_: Column):
+        return lambda part: F.transform(part, lambda _, i: from_ + F.aggregate(F.slice(part, F.lit(1), i), zero, add))
+
+    def in_blocks(all_: Column) -> Column:
+        block = lambda b: F.slice(all_, b * BLOCK + 1, F.lit(BLOCK))
+        blocks = F.when(F.size(all_) > 0, F.sequence(F.lit(0), ((F.size(all_) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+        sums = F.transform(blocks, lambda b: F.struct(b.alias("b"), F.aggregate(block(b), zero, add).alias("sum")))
+        running = F.aggregate(
+            sums,
+            F.struct(F.array().cast("array<bigint>").alias("done"), zero.alias("total")),
+            lambda acc, s: F.struct(F.concat(acc["done"], F.array(acc["total"])).alias("done"), (acc["total"] + s["sum"]).alias("total")),
+            lambda acc: acc["done"],
         )
-    )
+        return F.flatten(F.zip_with(blocks, running, lambda b, from_: once(block(b), within(from_))))
+
+    return once(lengths, lambda all_: F.when(F.size(all_) <= BLOCK, within(zero)(all_)).otherwise(in_blocks(all_)))
 
 
 def place(bounds: Column, value: Column) -> Column:

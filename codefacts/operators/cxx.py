@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.functions import paths, text
-from codefacts.functions.arrays import sums_before
+from codefacts.functions.arrays import once, sums_before
 from codefacts.profile import CXX_EXTS
 
 # ---------------------------------------------------------------- fixed values
@@ -39,11 +39,6 @@ def blank_comments(col: Column | str) -> Column:
     return F.regexp_replace(F.array_join(pieces, ""), r"//[^\n]*", "")
 
 
-def _once(value: Column, use) -> Column:
-    """``use`` of a value that is worked out once, however often it is named there."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _located(body: str, pattern: str) -> Column:
     """An array of (piece, lineno): the text from each match to the next one, and the line of the match.
 
@@ -60,7 +55,7 @@ def _located(body: str, pattern: str) -> Column:
         above = sums_before(F.transform(c["pieces"], lambda p: text.count_breaks(p).cast("long")))
         return F.zip_with(c["pieces"], above, lambda p, n: F.struct(p.alias("piece"), (c["first"] + n + 1).cast("int").alias("lineno")))
 
-    return _once(_once(cut, pieces), numbered)
+    return once(once(cut, pieces), numbered)
 
 
 def sources(files: DataFrame) -> DataFrame:

@@ -75,3 +75,18 @@ def test_difference_from_the_root_down(spark, tmp_path, monkeypatch):
     rounds, real = [], dg.materialize
     monkeypatch.setattr(dg, "materialize", lambda df: rounds.append(1) or real(df))
     assert dg.corpus_difference(spark, a, same).count() == 0 and len(rounds) == 1
+
+
+def test_sums_before_work_out_their_array_once(spark):
+    """The counts of a long file were taken anew for each of its blocks and elements."""
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    from codefacts.functions.arrays import BLOCK, sums_before
+
+    assert str(sums_before(F.transform("a", lambda x: x + F.col("marker")))).count("marker") == 1
+    for n in (0, 1, 7, BLOCK, BLOCK + 1, 3 * BLOCK + 5):
+        lengths = [(k * 37) % 11 for k in range(n)]
+        df = spark.createDataFrame([(lengths,)], "a array<bigint>")
+        assert df.select(sums_before(F.col("a"))).first()[0] == [0, *itertools.accumulate(lengths)][:n]
